@@ -76,13 +76,14 @@ v_pred AS (
   FROM r
 )"""
 
-# Master table over v_energy_h (deadband 3.0, horizon 24, week 168), as in plans.ingest.
-V_MASTER_H = """
-v_master_h AS (
+# Master table over an energy view (deadband 3.0, horizon 24, week 168), as plans.ingest.
+def master_cte(name: str, src: str) -> str:
+    return f"""
+{name} AS (
   WITH e AS (
     SELECT series_id, ts, spot, da, load, spot - da AS real_spread_abs,
            CAST(CASE WHEN abs(spot - da) <= 3.0 THEN 0 ELSE sign(spot - da) END AS BIGINT) AS spread_target
-    FROM v_energy_h
+    FROM {src}
     WHERE series_id IS NOT NULL AND ts IS NOT NULL AND spot IS NOT NULL AND NOT isnan(spot)
       AND da IS NOT NULL AND NOT isnan(da) AND load IS NOT NULL AND NOT isnan(load)),
   s AS (
@@ -103,6 +104,10 @@ v_master_h AS (
     AND load_lag_24 IS NOT NULL AND load_lag_168 IS NOT NULL
 )"""
 
+
+V_MASTER_H = master_cte("v_master_h", "v_energy_h")
+V_MASTER_D = master_cte("v_master_d", "v_energy_d")
+
 V_ACTIONS = """
 v_actions AS (
   WITH m AS (
@@ -126,6 +131,7 @@ _DEPS = {
     "v_embedded": (V_EMBEDDED, []),
     "v_pred": (V_PRED, []),
     "v_master_h": (V_MASTER_H, ["v_energy_h"]),
+    "v_master_d": (V_MASTER_D, ["v_energy_d"]),
     "v_actions": (V_ACTIONS, ["v_master_h"]),
 }
 
@@ -146,3 +152,20 @@ def with_views(body: str, *views: str, extra: list[str] | None = None) -> str:
     if not parts:
         return body.strip()
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+
+
+def rounded(select_sql: str, cols: list[str], digits: int = 6) -> str:
+    """Wrap a SELECT so the listed double columns are rounded like the Spark side."""
+    if not cols:
+        return select_sql
+    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{select_sql.strip()}\n) _q"
+
+
+def clean_text_sql(x: str) -> str:
+    """DuckDB twin of functions.text.clean_news_text (RE2; data has only ASCII spaces)."""
+    c = f"replace({x}, '\"', '')"
+    c = f"regexp_replace({c}, '\\*{{3,}}.*?\\*{{3,}}\\s*', '', 'g')"
+    c = f"regexp_replace({c}, '^\\*+\\s*|\\s*\\*+$', '', 'g')"
+    c = f"regexp_replace({c}, '\\s+', ' ', 'g')"
+    return f"trim({c})"
