@@ -149,9 +149,13 @@ def with_views(body: str, *views: str, extra: list[str] | None = None) -> str:
     for v in views:
         visit(v)
     parts = [_DEPS[v][0].strip() for v in order] + [e.strip() for e in (extra or [])]
+    body = body.strip()
+    if body[:5].upper() == "WITH " and parts:
+        # merge the body's own CTE list into ours
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     if not parts:
-        return body.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+        return body
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 
 def rounded(select_sql: str, cols: list[str], digits: int = 6) -> str:
