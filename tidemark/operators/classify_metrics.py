@@ -176,8 +176,8 @@ def _auc_from_counts(g: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
     return g.groupBy(*keys).agg(
-        (F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
-         / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
+                     F.sum("pos") * F.sum("neg")).alias("auc"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
