@@ -1 +1,44 @@
 """Registered queries."""
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tidemark.operators import decay, models  # noqa: E402
+from tidemark.plans.common import round_doubles  # noqa: E402
+from tidemark.plans.ingest import master_table  # noqa: E402
+from tidemark.plans.registry import register  # noqa: E402
+from tidemark.sources import tables as T  # noqa: E402
+
+TOPICS = ["click", "purchase", "signup", "view"]      # event types minus the "other" one
+EMB_DIM = 64
+PARAMS = [(L, lam) for L in decay.LOOKBACK_WINDOWS for lam in decay.TIME_DECAY_LAMBDAS]
+
+
+def feature_table(spark, sf_dir):
+    master = master_table(T.energy_hourly(spark, sf_dir))
+    tg = decay.decayed_topic_grid(T.topic_news(spark, sf_dir), master, other_label=T.OTHER_TOPIC_EVENTS)
+    eg = decay.decayed_embedding_grid(T.embedded_news(spark, sf_dir), master)
+    return models.assemble_features(master, tg, eg, TOPICS, EMB_DIM, PARAMS)
+
+
+FEATURES = models.BASELINE_FEATURES + TOPICS + [f"emb_{i}" for i in range(EMB_DIM)]
+
+
+@register("m1_feature_assembly")
+def m1_feature_assembly(spark, sf_dir):
+    return round_doubles(feature_table(spark, sf_dir))
+
+
+@register("m3_ridge_grid_search")
+def m3_ridge_grid_search(spark, sf_dir):
+    """No SQL twin (iterative model selection); checked against NumPy in tests."""
+    res = models.ridge_grid_search(feature_table(spark, sf_dir), FEATURES)
+    return round_doubles(res)
+
+
+@register("k3_top_parameter_sets")
+def k3_top_parameter_sets(spark, sf_dir):
+    res = models.ridge_grid_search(feature_table(spark, sf_dir), FEATURES)
+    return round_doubles(models.top_parameter_sets(res, 5))
+
+
+_unused = F
