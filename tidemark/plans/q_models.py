@@ -41,4 +41,127 @@ def k3_top_parameter_sets(spark, sf_dir):
     return round_doubles(models.top_parameter_sets(res, 5))
 
 
-_unused = F
+
+# ---------------------------------------------------------------- Spark ML learners
+from tidemark.operators import learners, split  # noqa: E402
+from tidemark.operators import classify_metrics as cm  # noqa: E402
+from tidemark.session import cut_lineage  # noqa: E402
+
+LINE_TOPICS = [f"ln{i}" for i in range(1, 8)]
+CURVE_FRACTIONS = (0.2, 0.4, 0.6, 0.8, 1.0)   # registered budget; library default: 10 fractions
+SEARCH_DRAWS = 2          # registered-query budget; the library default is the reference's 80
+SEARCH_SPLITS, SEARCH_STEP, SEARCH_MIN_TRAIN = 4, 12, 336   # reference search-function defaults
+
+
+def modeling_table(spark, sf_dir):
+    """Daily multi-series master + decayed line-topic features, class-indexed label
+    (P19: -1/0/1 -> 0/1/2), chronological split and a global time-ordered row index."""
+    energy = T.energy_daily(spark, sf_dir)
+    master = master_table(energy)
+    li = T.table(spark, sf_dir, "lineitem")
+    arts = li.select(F.col("l_shipdate").alias("publishedAt"),
+                     F.concat(F.lit("ln"), F.col("l_linenumber").cast("string")).alias("topic"))
+    w = decay.decayed_topic_counts(arts, master, 336, 0.05)
+    tw = decay.topic_features_wide(w, LINE_TOPICS)
+    d = master.join(tw, "ts", "left").na.fill(0.0, subset=LINE_TOPICS)
+    d = d.withColumn("label", (F.col(models.TARGET) + 1).cast("double"))
+    d = split.chrono_split(d, [], ["ts", "series_id"])
+    # every candidate fit re-reads this table: materialise it once (reliable checkpoint)
+    return cut_lineage(d), models.BASELINE_FEATURES + LINE_TOPICS
+
+
+def _train_folds(d):
+    tr = d.filter(F.col("split") == "train")
+    f = split.expanding_folds(tr.select("ts", "series_id"), [], ["ts", "series_id"],
+                              SEARCH_SPLITS, SEARCH_STEP, SEARCH_MIN_TRAIN)
+    # fold rows carry the global row index of the modeling table
+    return tr, cut_lineage(f.select("fold", "role", "ts", "series_id")
+                           .join(tr.select("ts", "series_id", "row_index"), ["ts", "series_id"]))
+
+
+def _search(spark, sf_dir):
+    d, feats = modeling_table(spark, sf_dir)
+    tr, folds = _train_folds(d)
+    scores, best = learners.forest_random_search(tr, feats, folds, n_draws=SEARCH_DRAWS, seed=42)
+    return d, feats, scores, best
+
+
+@register("m4_forest_random_search")
+def m4_forest_random_search(spark, sf_dir):
+    """Candidates x expanding folds; mean/std macro-F1 per candidate (A35) with its
+    parameters.  No SQL twin (model fitting)."""
+    _, _, scores, _ = _search(spark, sf_dir)
+    summ = cm.cv_score_summary(scores, ["candidate"], "macro_f1")
+    cands = learners.sample_param_maps(SEARCH_DRAWS, 42)
+    pm = spark.createDataFrame([(i, c["numTrees"], c["maxDepth"], c["subsamplingRate"], c["minInstancesPerNode"],
+                                 c["featureSubsetFraction"]) for i, c in enumerate(cands)],
+                               "candidate int, numTrees int, maxDepth int, subsamplingRate double, "
+                               "minInstancesPerNode int, featureSubsetFraction double")
+    return round_doubles(summ.join(pm, "candidate"))
+
+
+def _fit_best(spark, sf_dir):
+    d, feats, _, best = _search(spark, sf_dir)
+    tr = d.filter(F.col("split") == "train")
+    model = learners.fit_forest(tr, feats, best["params"])
+    return d, feats, model
+
+
+def _preds(model, d, feats, split_name, name="forest"):
+    part = learners.vectorise(d.filter(F.col("split") == split_name), feats)
+    return learners.predictions_table(model, part, name, "row_index")
+
+
+@register("m7_split_evaluation")
+def m7_split_evaluation(spark, sf_dir):
+    """Best candidate refitted on train; classification report on val and test."""
+    d, feats, model = _fit_best(spark, sf_dir)
+    parts = [cm.classification_report(_preds(model, d, feats, s)).withColumn("split", F.lit(s))
+             for s in ("val", "test")]
+    return round_doubles(parts[0].unionByName(parts[1]))
+
+
+@register("m8_calibrated_test_metrics")
+def m8_calibrated_test_metrics(spark, sf_dir):
+    """Platt calibration fitted on validation predictions, applied to test."""
+    d, feats, model = _fit_best(spark, sf_dir)
+    val, test = _preds(model, d, feats, "val"), _preds(model, d, feats, "test")
+    cal = learners.calibrate_platt(val, test, [0, 1, 2]).withColumn("model", F.lit("forest_calibrated"))
+    both = test.unionByName(cal.select(*test.columns))
+    return round_doubles(cm.accuracy_macro_f1(both))
+
+
+@register("m10_feature_importance")
+def m10_feature_importance(spark, sf_dir):
+    d, feats, model = _fit_best(spark, sf_dir)
+    return round_doubles(learners.feature_importance(model, feats, spark))
+
+
+@register("a29_importance_by_category")
+def a29_importance_by_category(spark, sf_dir):
+    from tidemark.operators import eda
+    d, feats, model = _fit_best(spark, sf_dir)
+    return round_doubles(eda.category_importance(learners.feature_importance(model, feats, spark)))
+
+
+@register("m13_learning_curve")
+def m13_learning_curve(spark, sf_dir):
+    d, feats, _, best = _search(spark, sf_dir)
+    tr, folds = _train_folds(d)
+    return round_doubles(learners.learning_curve(tr, feats, folds, best["params"], fractions=CURVE_FRACTIONS))
+
+
+@register("m14_feature_set_comparison")
+def m14_feature_set_comparison(spark, sf_dir):
+    """The same learner on signal features vs baseline-only features, and
+    the constant-long rule, scored on the test split."""
+    d, feats, _, best = _search(spark, sf_dir)
+    tr = d.filter(F.col("split") == "train")
+    m_sig = learners.fit_forest(tr, feats, best["params"])
+    m_base = learners.fit_forest(tr, models.BASELINE_FEATURES, best["params"])
+    p_sig = _preds(m_sig, d, feats, "test", "signal")
+    p_base = _preds(m_base, d, models.BASELINE_FEATURES, "test", "baseline")
+    const = p_sig.select(F.lit("constant_long").alias("model"), "row_id", "y_true",
+                         F.lit(2).cast("bigint").alias("y_pred"), "proba")
+    allp = p_sig.unionByName(p_base).unionByName(const)
+    return round_doubles(cm.accuracy_macro_f1(allp))
