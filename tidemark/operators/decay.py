@@ -75,6 +75,13 @@ def decayed_topic_counts(articles: DataFrame, targets: DataFrame,
                          target_ts: str = "ts", other_label: str | None = None) -> DataFrame:
     """A1: (ts, topic, weight) with weight = sum of exp(-lambda * whole hours)."""
     b = topic_buckets(articles, ts, topic, other_label)
+    return decayed_from_buckets(b, targets, lookback, decay_lambda, target_ts=target_ts)
+
+
+def decayed_from_buckets(b: DataFrame, targets: DataFrame, lookback: int = DEFAULT_LOOKBACK,
+                         decay_lambda: float = DEFAULT_LAMBDA, *, target_ts: str = "ts") -> DataFrame:
+    """A1 from a (topic, h, n, n_on) bucket table (batch or streamed buckets; rows
+    with the same (topic, h) from different micro-batches simply add up)."""
     x = _explode_lags(b, lookback)
     L = int(lookback)
     eff = F.when(F.col("k") < L, F.col("n")).otherwise(F.col("n_on"))
