@@ -96,3 +96,82 @@ def erfc_sql(x: str) -> str:
 def chi2_1_sf(x) -> Column:
     """Survival function of chi-square with one degree of freedom."""
     return erfc(F.sqrt(_c(x) / F.lit(2.0)))
+
+
+# ---------------------------------------------------------------- integer mixing hash
+# Murmur3 32-bit finalizer built from BIGINT operations that cannot overflow (the
+# 32x32-bit product is split into 16-bit halves), so ANSI mode never trips and the
+# same function is expressible in any SQL engine with bit operators.
+_M32 = 0xFFFFFFFF
+_C1, _C2, _GOLD = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B1
+
+
+def _mulmod32(x: Column, c: int) -> Column:
+    lo, hi = c & 0xFFFF, c >> 16
+    part_hi = F.shiftleft((x * F.lit(hi)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (x * F.lit(lo) + part_hi).bitwiseAND(F.lit(_M32))
+
+
+def with_mix_uniform(df, out: str, seed: int, rep: str, key: str):
+    """Add ``out`` = deterministic U[0,1) from (seed, replicate, key), integer ops only.
+
+    Each mixing step is its own column: a step reads its input twice, and as one
+    nested expression the tree would double per step."""
+    steps = []
+
+    def col(name):
+        return F.col(name)
+
+    k = F.col(key).cast("bigint")
+    steps.append(("_mx0", k.bitwiseAND(F.lit(_M32)).bitwiseXOR(F.shiftright(k, 32).bitwiseAND(F.lit(_M32)))))
+    n = 0
+
+    def fmix(src: str) -> str:
+        nonlocal n
+        names = []
+        for expr in ("x16", "m1", "x13", "m2", "x16b"):
+            n += 1
+            names.append(f"_mx{n}")
+            prev = src if len(names) == 1 else names[-2]
+            c = col(prev)
+            if expr.startswith("x"):
+                sh = 13 if expr == "x13" else 16
+                steps.append((names[-1], c.bitwiseXOR(F.shiftright(c, sh))))
+            else:
+                steps.append((names[-1], _mulmod32(c, _C1 if expr == "m1" else _C2)))
+        return names[-1]
+
+    a = fmix("_mx0")
+    n += 1
+    mixed = f"_mx{n}"
+    r = _mulmod32(F.col(rep).cast("bigint").bitwiseAND(F.lit(_M32)), _GOLD)
+    steps.append((mixed, (col(a) + r + F.lit(int(seed) & _M32)).bitwiseAND(F.lit(_M32))))
+    b = fmix(mixed)
+    out_df = df
+    for name, expr in steps:
+        out_df = out_df.withColumn(name, expr)
+    out_df = out_df.withColumn(out, F.col(b).cast("double") / F.lit(4294967296.0))
+    return out_df.drop(*[name for name, _ in steps])
+
+
+def _mulmod32_sql(x: str, c: int) -> str:
+    lo, hi = c & 0xFFFF, c >> 16
+    return f"(((({x}) * {lo}) + (((({x}) * {hi}) & 65535) << 16)) & {_M32})"
+
+
+def _fmix32_sql(h: str) -> str:
+    h = f"xor({h}, (({h}) >> 16))"
+    h = _mulmod32_sql(h, _C1)
+    h = f"xor({h}, (({h}) >> 13))"
+    h = _mulmod32_sql(h, _C2)
+    return f"xor({h}, (({h}) >> 16))"
+
+
+def mix_uniform_sql(seed: int, rep: str, key: str) -> str:
+    """The same ``mix_uniform`` as DuckDB SQL text."""
+    k = f"CAST({key} AS BIGINT)"
+    k32 = f"xor(({k} & {_M32}), (({k} >> 32) & {_M32}))"
+    a = _fmix32_sql(k32)
+    r = _mulmod32_sql(f"(CAST({rep} AS BIGINT) & {_M32})", _GOLD)
+    b = _fmix32_sql(f"((({a}) + ({r}) + {int(seed) & _M32}) & {_M32})")
+    return f"(CAST({b} AS DOUBLE) / 4294967296.0)"

@@ -2,7 +2,7 @@
 
 McNemar: four conditional counts from one pass over the paired predictions.
 Bootstrap: Poisson bootstrap.  Replicate r gives row i the weight
-Poisson(1)^-1(u(seed, r, i)) with ``u`` a hash of the key, so every executor draws
+Poisson(1)^-1(u(seed, r, i)) with ``u`` an integer hash of the key (codegen-friendly), so every executor draws
 the same weights without coordination and the job is reproducible; both models
 share the resamples (as the reference, which reseeds identically for each model).
 Each row is exploded to its replicates inside the map stage and partially
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import chi2_1_sf, hash_uniform, poisson1_quantile
+from tidemark.functions.numeric import chi2_1_sf, poisson1_quantile, with_mix_uniform
 
 
 def paired_predictions(pred: DataFrame, model_a: str = "signal", model_b: str = "baseline",
@@ -56,7 +56,7 @@ def bootstrap_accuracy(paired: DataFrame, n_boot: int = 1000, seed: int = 42, co
     reps = F.explode(F.sequence(F.lit(0), F.lit(int(n_boot) - 1))).alias("rep")
     x = paired.select(key, (F.col("pred_a") == F.col("y_true")).cast("double").alias("ca"),
                       (F.col("pred_b") == F.col("y_true")).cast("double").alias("cb"), reps)
-    x = x.withColumn("w", poisson1_quantile(hash_uniform(F.lit(seed), F.col("rep"), F.col(key))))
+    x = with_mix_uniform(x, "_u", seed, "rep", key).withColumn("w", poisson1_quantile(F.col("_u")))
     r = x.groupBy("rep").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("ca")).alias("sa"),
                              F.sum(F.col("w") * F.col("cb")).alias("sb"))
     r = r.filter(F.col("sw") > 0)

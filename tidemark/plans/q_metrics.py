@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import argmax_array, erfc_sql, poisson1_cdf_table
+from tidemark.functions.numeric import argmax_array, erfc_sql, mix_uniform_sql, poisson1_cdf_table
 from tidemark.operators import classify_metrics as cm
 from tidemark.operators import inference_stats as st
 from tidemark.plans.common import round_doubles
@@ -136,8 +136,7 @@ N_BOOT = 1000
 
 
 def _boot_sql() -> str:
-    u = ("(CAST(('0x' || substr(md5('42-' || CAST(r.rep AS VARCHAR) || '-' || CAST(row_id AS VARCHAR)), 1, 8))"
-         " AS BIGINT) / 4294967296.0)")
+    u = mix_uniform_sql(42, "r.rep", "row_id")
     body = f"""
 x AS (SELECT r.rep, CAST(pa = y_true AS DOUBLE) AS ca, CAST(pb = y_true AS DOUBLE) AS cb, {u} AS u
       FROM paired CROSS JOIN range({N_BOOT}) r(rep)),
