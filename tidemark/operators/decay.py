@@ -36,6 +36,17 @@ DEFAULT_LAMBDA = 0.05
 MIN_WEIGHT_SUM = 1e-10
 
 
+def hour_index(ts_col) -> "F.Column":
+    """Whole hours since the epoch of an hour-aligned TIMESTAMP_NTZ (UTC session)."""
+    c = F.col(ts_col) if isinstance(ts_col, str) else ts_col
+    return F.floor(F.unix_timestamp(c) / 3600).cast("bigint")
+
+
+def from_hour_index(col) -> "F.Column":
+    c = F.col(col) if isinstance(col, str) else col
+    return F.timestamp_seconds(c * 3600).cast("timestamp_ntz")
+
+
 def exclude_other(articles: DataFrame, topic: str, other_label: str | None) -> DataFrame:
     """Drop the "other" topic (NULL topics survive the ``<=>`` test and are
     removed by the NOT NULL filter, as in the reference)."""
@@ -47,25 +58,36 @@ def exclude_other(articles: DataFrame, topic: str, other_label: str | None) -> D
 
 def topic_buckets(articles: DataFrame, ts: str = "publishedAt", topic: str = "topic",
                   other_label: str | None = None) -> DataFrame:
-    """(topic, h, n, n_on): article counts per topic and ceiling hour."""
+    """(topic, hi, n, n_on): article counts per topic and ceiling hour (hour index)."""
     a = exclude_other(articles.filter(F.col(ts).isNotNull()), topic, other_label)
     h = ceil_hour(ts)
-    return (a.select(F.col(topic).alias("topic"), h.alias("h"), (F.col(ts) == h).alias("on"))
-            .groupBy("topic", "h")
+    return (a.select(F.col(topic).alias("topic"), hour_index(h).alias("hi"), (F.col(ts) == h).alias("on"))
+            .groupBy("topic", "hi")
             .agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("n_on")))
 
 
 def _explode_lags(df: DataFrame, max_lookback: int) -> DataFrame:
-    """Each bucket reaches target hours ``t = h + k`` for k in [0, max_lookback]."""
-    return (df.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(max_lookback)))).alias("k"))
-            .withColumn("t", F.col("h") + F.make_dt_interval(hours=F.col("k"))))
+    """Each bucket reaches target hours ``t = h + k`` for k in [0, max_lookback].
+
+    The bucket table is small (hours x topics [x positions]) so AQE coalesces its
+    shuffle into very few partitions; the (L+1)-fold fan-out must not run in one or
+    two tasks, so the buckets are hash-spread over the cluster's parallelism first
+    (a shuffle of the small table, not of the exploded rows)."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    if "hi" not in df.columns:            # bucket tables keyed by a timestamp (streamed)
+        df = df.withColumn("hi", hour_index("h")).drop("h")
+    keys = [c for c in ("hi", "topic", "pos") if c in df.columns]
+    spread = df.repartition(n, *keys)
+    # integer hour arithmetic in the hot loop; timestamps only on the output rows
+    return (spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(max_lookback)))).alias("k"))
+            .withColumn("t", F.col("hi") + F.col("k")))
 
 
 def _restrict_to_targets(df: DataFrame, targets: DataFrame, ts: str) -> DataFrame:
     """Keep only the requested target hours.  The target side is the distinct hour
     set (bounded by the time span); AQE broadcasts it when its measured size is
     under the threshold and keeps a shuffle join otherwise."""
-    tgt = targets.select(F.col(ts).alias("t")).distinct()
+    tgt = targets.select(hour_index(ts).alias("t")).distinct()
     return df.join(tgt, "t", "left_semi")
 
 
@@ -89,7 +111,7 @@ def decayed_from_buckets(b: DataFrame, targets: DataFrame, lookback: int = DEFAU
     x = _restrict_to_targets(x, targets, target_ts)
     return (x.groupBy("t", "topic")
             .agg(F.sum(eff * F.exp(F.lit(-float(decay_lambda)) * F.col("k"))).alias("weight"))
-            .select(F.col("t").alias("ts"), "topic", "weight"))
+            .select(from_hour_index("t").alias("ts"), "topic", "weight"))
 
 
 def decayed_topic_grid(articles: DataFrame, targets: DataFrame,
@@ -126,7 +148,7 @@ def decayed_topic_grid(articles: DataFrame, targets: DataFrame,
     return (wide.select("t", "topic", F.explode(cells).alias("c"))
             .filter(F.col("c.cnt") > 0)
             .select(F.col("c.lookback").alias("lookback"), F.col("c.decay_lambda").alias("decay_lambda"),
-                    F.col("t").alias("ts"), "topic", F.col("c.weight").alias("weight")))
+                    from_hour_index("t").alias("ts"), "topic", F.col("c.weight").alias("weight")))
 
 
 def _lam_key(lam: float) -> str:
@@ -143,15 +165,15 @@ def valid_vectors(df: DataFrame, vec: str = "embedding", dim: int | None = None)
 
 def embedding_buckets(articles: DataFrame, ts: str = "publishedAt", vec: str = "embedding",
                       dim: int | None = None) -> DataFrame:
-    """(h, pos, n, n_on, sv, sv_on): per ceiling hour and vector position.
+    """(hi, pos, n, n_on, sv, sv_on): per ceiling hour (index) and vector position.
 
     ``posexplode`` and the partial aggregate run in the same map stage, so the
     shuffle carries one row per (hour, position) per task."""
     a = valid_vectors(articles.filter(F.col(ts).isNotNull()), vec, dim)
     h = ceil_hour(ts)
-    x = a.select(h.alias("h"), (F.col(ts) == h).alias("on"), F.posexplode(vec).alias("pos", "v"))
+    x = a.select(hour_index(h).alias("hi"), (F.col(ts) == h).alias("on"), F.posexplode(vec).alias("pos", "v"))
     v = F.col("v").cast("double")
-    return (x.groupBy("h", "pos")
+    return (x.groupBy("hi", "pos")
             .agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("n_on"),
                  F.sum(v).alias("sv"), F.sum(F.when(F.col("on"), v).otherwise(0.0)).alias("sv_on")))
 
@@ -175,7 +197,7 @@ def decayed_embeddings(articles: DataFrame, targets: DataFrame,
     w = F.exp(F.lit(-float(decay_lambda)) * F.col("k"))
     g = x.groupBy("t", "pos").agg(F.sum(w * n_eff).alias("sw"), F.sum(w * sv_eff).alias("swv"))
     value = F.when(F.col("sw") > MIN_WEIGHT_SUM, F.col("swv") / F.col("sw")).otherwise(F.lit(0.0))
-    return g.select(F.col("t").alias("ts"), F.col("pos").cast("bigint").alias("dim"),
+    return g.select(from_hour_index("t").alias("ts"), F.col("pos").cast("bigint").alias("dim"),
                     value.alias("value"))
 
 
@@ -212,7 +234,7 @@ def decayed_embedding_grid(articles: DataFrame, targets: DataFrame,
     value = (F.when(F.col("c.sw") > MIN_WEIGHT_SUM, F.col("c.swv") / F.col("c.sw"))
              .otherwise(F.lit(0.0)))
     return c.select(F.col("c.lookback").alias("lookback"), F.col("c.decay_lambda").alias("decay_lambda"),
-                    F.col("t").alias("ts"), F.col("pos").cast("bigint").alias("dim"), value.alias("value"))
+                    from_hour_index("t").alias("ts"), F.col("pos").cast("bigint").alias("dim"), value.alias("value"))
 
 
 def assemble_vectors(long_df: DataFrame, keys: Sequence[str] = ("ts",), pos: str = "dim",
