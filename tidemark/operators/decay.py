@@ -114,38 +114,53 @@ def decayed_from_buckets(b: DataFrame, targets: DataFrame, lookback: int = DEFAU
             .select(from_hour_index("t").alias("ts"), "topic", "weight"))
 
 
+def _range_index(lookbacks: Sequence[int]):
+    """r(k) = number of look-backs <= k: range r holds k in [L_{r-1}, L_r)."""
+    return sum((F.col("k") >= int(L)).cast("int") for L in lookbacks)
+
+
 def decayed_topic_grid(articles: DataFrame, targets: DataFrame,
                        lookbacks: Sequence[int] = LOOKBACK_WINDOWS,
                        lambdas: Sequence[float] = TIME_DECAY_LAMBDAS,
                        *, ts: str = "publishedAt", topic: str = "topic",
                        target_ts: str = "ts", other_label: str | None = None) -> DataFrame:
-    """A3 (topics): all (lookback, lambda) pairs in ONE explode + ONE shuffle.
-
-    Buckets are exploded once to the largest look-back; each pair is a conditional
-    sum in the same aggregate, then the pairs are unpivoted to rows.
-    Output: (lookback, decay_lambda, ts, topic, weight), sparse as in A1.
-    """
+    """A3 (topics): all (lookback, lambda) pairs from ONE explode to the largest
+    look-back.
+
+    Range decomposition: each exploded row falls in exactly one look-back range
+    [L_{r-1}, L_r), so the first aggregate keeps per-range sums (one weighted sum
+    per lambda, plus the on-the-hour boundary term at k = L_{r-1}) instead of one
+    sum per (L, lambda) pair; the window for L_j is then the prefix over ranges
+    r <= j plus the boundary of range j+1, computed on the small aggregated rows.
+    Output: (lookback, decay_lambda, ts, topic, weight), sparse as in A1."""
+    Ls = sorted(int(v) for v in lookbacks)
     b = topic_buckets(articles, ts, topic, other_label)
-    lmax = max(int(v) for v in lookbacks)
+    lmax = Ls[-1]
     x = _explode_lags(b, lmax)
     x = x.filter((F.col("k") < lmax) | (F.col("n_on") > 0))
     x = _restrict_to_targets(x, targets, target_ts)
-    aggs, pairs = [], []
-    for L in lookbacks:
-        L = int(L)
-        eff = (F.when(F.col("k") < L, F.col("n"))
-               .when(F.col("k") == L, F.col("n_on")).otherwise(F.lit(0)))
-        aggs.append(F.sum(eff).alias(f"c_{L}"))
-        for lam in lambdas:
-            name = f"w_{L}_{_lam_key(lam)}"
-            aggs.append(F.sum(eff * F.exp(F.lit(-float(lam)) * F.col("k"))).alias(name))
-            pairs.append((L, float(lam), name))
-    wide = x.groupBy("t", "topic").agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(L).cast("bigint").alias("lookback"),
-                               F.lit(lam).alias("decay_lambda"),
-                               F.col(f"c_{L}").alias("cnt"),
-                               F.col(name).alias("weight")) for L, lam, name in pairs])
-    return (wide.select("t", "topic", F.explode(cells).alias("c"))
+    x = x.withColumn("r", _range_index(Ls))
+    starts = [0] + Ls                                  # first k of range r
+    at_start = F.col("k") == F.element_at(F.array(*[F.lit(v) for v in starts]), F.col("r") + 1)
+    aggs = [F.sum("n").alias("cn"), F.sum(F.when(at_start, F.col("n_on")).otherwise(0)).alias("cb")]
+    for li, lam in enumerate(lambdas):
+        w = F.exp(F.lit(-float(lam)) * F.col("k"))
+        aggs += [F.sum(w * F.col("n")).alias(f"R{li}"),
+                 F.sum(F.when(at_start, w * F.col("n_on")).otherwise(0.0)).alias(f"B{li}")]
+    per_range = x.groupBy("t", "topic", "r").agg(*aggs)
+    aggs2, cells = [], []
+    for j, L in enumerate(Ls):
+        upto, nxt = F.col("r") <= j, F.col("r") == j + 1
+        aggs2.append((F.sum(F.when(upto, F.col("cn")).otherwise(0))
+                      + F.sum(F.when(nxt, F.col("cb")).otherwise(0))).alias(f"c_{L}"))
+        for li, lam in enumerate(lambdas):
+            name = f"w_{L}_{li}"
+            aggs2.append((F.sum(F.when(upto, F.col(f"R{li}")).otherwise(0.0))
+                          + F.sum(F.when(nxt, F.col(f"B{li}")).otherwise(0.0))).alias(name))
+            cells.append(F.struct(F.lit(L).cast("bigint").alias("lookback"), F.lit(float(lam)).alias("decay_lambda"),
+                                  F.col(f"c_{L}").alias("cnt"), F.col(name).alias("weight")))
+    wide = per_range.groupBy("t", "topic").agg(*aggs2)
+    return (wide.select("t", "topic", F.explode(F.array(*cells)).alias("c"))
             .filter(F.col("c.cnt") > 0)
             .select(F.col("c.lookback").alias("lookback"), F.col("c.decay_lambda").alias("decay_lambda"),
                     from_hour_index("t").alias("ts"), "topic", F.col("c.weight").alias("weight")))
@@ -206,31 +221,39 @@ def decayed_embedding_grid(articles: DataFrame, targets: DataFrame,
                            lambdas: Sequence[float] = TIME_DECAY_LAMBDAS,
                            *, ts: str = "publishedAt", vec: str = "embedding",
                            target_ts: str = "ts", dim: int | None = None) -> DataFrame:
-    """A3 (embeddings): (lookback, decay_lambda, ts, dim, value) in one shuffle."""
+    """A3 (embeddings): (lookback, decay_lambda, ts, dim, value) from one explode,
+    with the same range decomposition as ``decayed_topic_grid``."""
+    Ls = sorted(int(v) for v in lookbacks)
     b = embedding_buckets(articles, ts, vec, dim)
-    lmax = max(int(v) for v in lookbacks)
+    lmax = Ls[-1]
     x = _explode_lags(b, lmax)
     x = x.filter((F.col("k") < lmax) | (F.col("n_on") > 0))
     x = _restrict_to_targets(x, targets, target_ts)
-    aggs, pairs = [], []
-    for L in lookbacks:
-        L = int(L)
-        n_eff = (F.when(F.col("k") < L, F.col("n"))
-                 .when(F.col("k") == L, F.col("n_on")).otherwise(F.lit(0)))
-        sv_eff = (F.when(F.col("k") < L, F.col("sv"))
-                  .when(F.col("k") == L, F.col("sv_on")).otherwise(F.lit(0.0)))
-        aggs.append(F.sum(n_eff).alias(f"c_{L}"))
-        for lam in lambdas:
-            w = F.exp(F.lit(-float(lam)) * F.col("k"))
-            key = f"{L}_{_lam_key(lam)}"
-            aggs += [F.sum(w * n_eff).alias(f"sw_{key}"), F.sum(w * sv_eff).alias(f"swv_{key}")]
-            pairs.append((L, float(lam), key))
-    wide = x.groupBy("t", "pos").agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(L).cast("bigint").alias("lookback"),
-                               F.lit(lam).alias("decay_lambda"), F.col(f"c_{L}").alias("cnt"),
-                               F.col(f"sw_{key}").alias("sw"), F.col(f"swv_{key}").alias("swv"))
-                      for L, lam, key in pairs])
-    c = wide.select("t", "pos", F.explode(cells).alias("c")).filter(F.col("c.cnt") > 0)
+    x = x.withColumn("r", _range_index(Ls))
+    starts = [0] + Ls
+    at_start = F.col("k") == F.element_at(F.array(*[F.lit(v) for v in starts]), F.col("r") + 1)
+    aggs = [F.sum("n").alias("cn"), F.sum(F.when(at_start, F.col("n_on")).otherwise(0)).alias("cb")]
+    for li, lam in enumerate(lambdas):
+        w = F.exp(F.lit(-float(lam)) * F.col("k"))
+        aggs += [F.sum(w * F.col("n")).alias(f"Rw{li}"), F.sum(w * F.col("sv")).alias(f"Rv{li}"),
+                 F.sum(F.when(at_start, w * F.col("n_on")).otherwise(0.0)).alias(f"Bw{li}"),
+                 F.sum(F.when(at_start, w * F.col("sv_on")).otherwise(0.0)).alias(f"Bv{li}")]
+    per_range = x.groupBy("t", "pos", "r").agg(*aggs)
+    aggs2, cells = [], []
+    for j, L in enumerate(Ls):
+        upto, nxt = F.col("r") <= j, F.col("r") == j + 1
+
+        def pref(a, bnd):
+            return F.sum(F.when(upto, F.col(a)).otherwise(0.0)) + F.sum(F.when(nxt, F.col(bnd)).otherwise(0.0))
+        aggs2.append((F.sum(F.when(upto, F.col("cn")).otherwise(0))
+                      + F.sum(F.when(nxt, F.col("cb")).otherwise(0))).alias(f"c_{L}"))
+        for li, lam in enumerate(lambdas):
+            aggs2 += [pref(f"Rw{li}", f"Bw{li}").alias(f"sw_{L}_{li}"), pref(f"Rv{li}", f"Bv{li}").alias(f"sv_{L}_{li}")]
+            cells.append(F.struct(F.lit(L).cast("bigint").alias("lookback"), F.lit(float(lam)).alias("decay_lambda"),
+                                  F.col(f"c_{L}").alias("cnt"), F.col(f"sw_{L}_{li}").alias("sw"),
+                                  F.col(f"sv_{L}_{li}").alias("swv")))
+    wide = per_range.groupBy("t", "pos").agg(*aggs2)
+    c = wide.select("t", "pos", F.explode(F.array(*cells)).alias("c")).filter(F.col("c.cnt") > 0)
     value = (F.when(F.col("c.sw") > MIN_WEIGHT_SUM, F.col("c.swv") / F.col("c.sw"))
              .otherwise(F.lit(0.0)))
     return c.select(F.col("c.lookback").alias("lookback"), F.col("c.decay_lambda").alias("decay_lambda"),
