@@ -215,3 +215,14 @@ def test_backtest_edge_rows(spark):
     assert log[1]["pnl_was_capped"] is None
     m = bt.backtest_metrics(spark.createDataFrame(log)).collect()[0]
     assert m["final_value"] == pytest.approx(eq[-1])      # Q11: last row never reaches it
+
+
+def test_exact_quantiles_narrowing(spark):
+    """A28 median: histogram narrowing == numpy linear quantile, incl. a hot value."""
+    from tidemark.operators.eda import exact_quantiles
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), rng.exponential(size=500)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    got = exact_quantiles(df, "v", [0.0, 0.1, 0.5, 0.77, 1.0], max_exact=50, bins=8)
+    want = np.quantile(vals, [0.0, 0.1, 0.5, 0.77, 1.0])
+    assert got == pytest.approx(list(want), abs=1e-12)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,15 +98,66 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], lower: bool = True) -
     return one.select(F.explode(cells).alias("c")).select("c.col_a", "c.col_b", "c.corr")
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], max_exact: int = 200_000,
+                    bins: int = 1024) -> list[float | None]:
+    """Exact linear-interpolated quantiles (pandas/NumPy 'linear', DuckDB
+    ``quantile_cont``) without sending the column to one task.
+
+    Each rank is found by histogram narrowing: one grouped count over ``bins``
+    equal-width bins of the current value range (a small aggregate), keep the bin
+    that holds the rank, repeat until the bin holds at most ``max_exact`` rows (or
+    one distinct value), then read that bounded slice.  A value repeated in a third
+    of all rows ends the search as a single-valued bin."""
+    from tidemark.session import cut_lineage
+    # the search makes a few passes: materialise the single value column once
+    x = cut_lineage(df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    n, lo0, hi0 = x.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None for _ in probs]
+
+    def kth(r: int) -> float:
+        cur = x
+        lo, hi, below = lo0, hi0, 0
+        while True:
+            if lo == hi:
+                return lo
+            width = hi - lo
+            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width) * bins), F.lit(bins - 1)).cast("int")
+            hist = sorted(cur.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"),
+                                                        F.max("v").alias("mx")).collect())
+            acc = below
+            for row in hist:
+                if acc + row["c"] > r:
+                    sel = cur.filter(b == row["b"])
+                    if row["c"] <= max_exact or row["mn"] == row["mx"]:
+                        if row["mn"] == row["mx"]:
+                            return row["mn"]
+                        vals = sorted(v[0] for v in sel.collect())
+                        return vals[r - acc]
+                    cur, lo, hi, below = sel, row["mn"], row["mx"], acc
+                    break
+                acc += row["c"]
+
+    out = []
+    for q in probs:
+        pos = q * (n - 1)
+        r0 = int(np.floor(pos))
+        r1 = min(r0 + 1, n - 1)
+        v0 = kth(r0)
+        v1 = kth(r1) if pos > r0 else v0
+        out.append(v0 + (v1 - v0) * (pos - r0))
+    return out
+
+
 def topic_stats(df: DataFrame, topic: str, score: str, other_label: str) -> DataFrame:
     """Mean and median score, share of the "other" topic, distinct topics and
-    non-null topic count (one aggregate; the median is an exact percentile)."""
+    non-null topic count; the median is exact and distributed (``exact_quantiles``)."""
+    med = exact_quantiles(df, score, [0.5])[0]
     return df.agg(
         F.avg(score).alias("mean_score"),
-        F.percentile(F.col(score), F.lit(0.5)).alias("median_score"),
         (F.count_if(F.col(topic) == other_label) / F.count(F.lit(1)) * 100).alias("other_pct"),
         F.count_distinct(topic).alias("n_topics"),
-        F.count(topic).alias("n_classified"))
+        F.count(topic).alias("n_classified")).withColumn("median_score", F.lit(med).cast("double"))
 
 
 def category_importance(imp: DataFrame, feature: str = "feature", value: str = "importance") -> DataFrame:
