@@ -120,3 +120,26 @@ SELECT avg(score) AS mean_score, quantile_cont(score, 0.5) AS median_score,
 FROM v_topic_news""", ["mean_score", "median_score", "other_pct"]), "v_topic_news"))
 def a28_topic_stats(spark, sf_dir):
     return round_doubles(eda.topic_stats(T.topic_news(spark, sf_dir), "topic", "score", T.OTHER_TOPIC_EVENTS))
+
+
+KDE_FEATURES = ["spot", "load", "real_spread_abs"]
+
+
+def _kde_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT spread_target_shift_24 AS g, '{f}' AS feature, {f} AS x FROM v_master_h"
+                               for f in KDE_FEATURES)
+    return f"""l AS ({parts}),
+st AS (SELECT g, feature, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h,
+              min(x) - 0.5 * (max(x) - min(x)) AS g0, 2.0 * (max(x) - min(x)) / 999 AS step
+       FROM l GROUP BY 1, 2 HAVING count(*) > 1 AND stddev_samp(x) > 0),
+gr AS (SELECT st.*, r.gi, st.g0 + r.gi * st.step AS gx FROM st, range(1000) r(gi))"""
+
+
+@register("a27_kde_density", with_views(rounded("""
+SELECT gr.feature, gr.g AS spread_target_shift_24, CAST(gr.gi AS BIGINT) AS grid_index, gr.gx AS x,
+       sum(exp(-0.5 * ((gr.gx - l.x) / gr.h) * ((gr.gx - l.x) / gr.h))) / (gr.n * gr.h * sqrt(2 * pi())) AS density
+FROM gr JOIN l ON l.g = gr.g AND l.feature = gr.feature AND abs(gr.gx - l.x) <= 8.0 * gr.h
+GROUP BY gr.feature, gr.g, gr.gi, gr.gx, gr.n, gr.h""", ["x", "density"]), "v_master_h", extra=[_kde_sql()]))
+def a27_kde_density(spark, sf_dir):
+    m = master_table(T.energy_hourly(spark, sf_dir))
+    return round_doubles(eda.kde_density(m, KDE_FEATURES, "spread_target_shift_24"))

@@ -165,3 +165,17 @@ def m14_feature_set_comparison(spark, sf_dir):
                          F.lit(2).cast("bigint").alias("y_pred"), "proba")
     allp = p_sig.unionByName(p_base).unionByName(const)
     return round_doubles(cm.accuracy_macro_f1(allp))
+
+
+@register("m12_partial_dependence")
+def m12_partial_dependence(spark, sf_dir):
+    d, feats, model = _fit_best(spark, sf_dir)
+    test = d.filter(F.col("split") == "test")
+    return round_doubles(learners.partial_dependence(model, test, feats, ["spot", "ln1"], grid_resolution=20))
+
+
+@register("m11_permutation_importance")
+def m11_permutation_importance(spark, sf_dir):
+    d, feats, model = _fit_best(spark, sf_dir)
+    test = d.filter(F.col("split") == "test")
+    return round_doubles(learners.permutation_importance(model, test, feats, "row_index", n_repeats=5))
