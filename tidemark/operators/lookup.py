@@ -37,3 +37,11 @@ def short_label(df: DataFrame, label: str, short: Mapping[str, str], out: str =
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
     """J7 for table-sized dimensions."""
     return df.join(dim, key, how)
+
+
+def resolve_column(df: DataFrame, candidates) -> str | None:
+    """P10: first candidate name present in the frame (plan-time, no data read)."""
+    for c in candidates:
+        if c in df.columns:
+            return c
+    return None

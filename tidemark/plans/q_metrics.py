@@ -268,3 +268,10 @@ SELECT model, CAST(t_idx AS INT) AS t_idx, threshold, accuracy, macro_f1,
 FROM s""", ["threshold", "accuracy", "macro_f1"]), "v_pred", extra=[_sweep_sql()]))
 def a33_threshold_sweep(spark, sf_dir):
     return round_doubles(cm.threshold_sweep(T.predictions(spark, sf_dir)))
+
+
+@register("p26_residuals", with_views("""
+SELECT model, row_id, CAST(y_pred - y_true AS BIGINT) AS residual FROM v_pred""", "v_pred"))
+def p26_residuals(spark, sf_dir):
+    p = T.predictions(spark, sf_dir)
+    return p.select("model", "row_id", (F.col("y_pred") - F.col("y_true")).cast("bigint").alias("residual"))
