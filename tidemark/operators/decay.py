@@ -36,19 +36,20 @@ DEFAULT_LAMBDA = 0.05
 MIN_WEIGHT_SUM = 1e-10
 
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def hour_index(ts_col) -> "F.Column":
     """Whole hours since 1970-01-01 of a TIMESTAMP_NTZ (wall-clock arithmetic: no
     session time zone involved)."""
     c = F.col(ts_col) if isinstance(ts_col, str) else ts_col
-    return F.timestamp_diff("HOUR", _EPOCH, c).cast("bigint")
+    return F.timestamp_diff("HOUR", _epoch(), c).cast("bigint")
 
 
 def from_hour_index(col) -> "F.Column":
     c = F.col(col) if isinstance(col, str) else col
-    return F.timestamp_add("HOUR", c, _EPOCH)
+    return F.timestamp_add("HOUR", c, _epoch())
 
 
 def exclude_other(articles: DataFrame, topic: str, other_label: str | None) -> DataFrame:

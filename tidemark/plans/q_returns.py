@@ -84,7 +84,8 @@ SELECT strategy, ts, equity, running_max, equity - running_max AS drawdown,
 """, ["equity", "running_max", "drawdown", "drawdown_pct"]), "v_actions", extra=[_RET_SQL]))
 def w3_cumulative_drawdown(spark, sf_dir):
     r = rt.action_returns(_actions(spark, sf_dir), cost=COST, pct_cost=PCT_COST)
-    d = windows.running_drawdown(r.select("strategy", "ts", "ret"), "ret", ["strategy"], ["ts"])
+    from tidemark.plans.scan import global_running_drawdown
+    d = global_running_drawdown(r.select("strategy", "ts", "ret"), ["strategy"], ["ts"], "ret", "week")
     return round_doubles(d.select("strategy", "ts", "equity", "running_max", "drawdown", "drawdown_pct"))
 
 

@@ -55,3 +55,49 @@ def global_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return (d.join(part, [*keys, "_blk"], "inner")
             .withColumn(out, F.col("_carry") + F.col("_run"))
             .drop("_blk", "_run", "_carry"))
+
+
+def blocked_rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, aggs: dict,
+                    block_rows: int = 1_000_000) -> DataFrame:
+    """Rolling ``rowsBetween(-(n-1), 0)`` aggregates computed in row blocks.
+
+    Rows are numbered per key (``global_row_number``), cut into blocks of
+    ``block_rows``; the last ``n-1`` rows of each block are copied into the next
+    block as context, each (key, block) is windowed on its own (bounded task size),
+    and the context copies are dropped.  ``aggs`` maps output name -> function of
+    the window spec returning a Column."""
+    keys, order = list(keys), list(order)
+    if n - 1 > block_rows:
+        raise ValueError("window longer than a block")
+    d = global_row_number(df, keys, order, "_rn").drop("n_rows")
+    d = d.withColumn("_blk", F.floor((F.col("_rn") - 1) / block_rows)).withColumn("_ctx", F.lit(False))
+    ctx = d.filter(((F.col("_rn") - 1) % block_rows) >= block_rows - (n - 1)) \
+           .withColumn("_blk", F.col("_blk") + 1).withColumn("_ctx", F.lit(True))
+    u = d.unionByName(ctx)
+    w = Window.partitionBy(*keys, "_blk").orderBy("_rn").rowsBetween(-(n - 1), 0)
+    for name, fn in aggs.items():
+        u = u.withColumn(name, fn(w))
+    return u.filter(~F.col("_ctx")).drop("_rn", "_blk", "_ctx")
+
+
+def global_running_drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                            block_unit: str = DEFAULT_BLOCK) -> DataFrame:
+    """W3 block-wise: equity = running sum of ``value``, running max of the equity,
+    drawdown; per-block carries come from a window over the few block rows."""
+    keys, order = list(keys), list(order)
+    d = df.withColumn("_blk", _block(order[0], block_unit))
+    w_in = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_run", F.sum(value).over(w_in))
+    d = d.withColumn("_rmax", F.max("_run").over(w_in))
+    per = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_bs"), F.max("_run").alias("_bm"))
+    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_carry"), "_bs", "_bm")
+    # best equity reached in earlier blocks = max over them of (their carry + their block max)
+    per = per.withColumn("_prevmax", F.max(F.col("_carry") + F.col("_bm")).over(wb))
+    j = d.join(per.select(*keys, "_blk", "_carry", "_prevmax"), [*keys, "_blk"], "inner")
+    eq = F.col("_carry") + F.col("_run")
+    rmax = F.greatest(F.coalesce(F.col("_prevmax"), F.col("_carry") + F.col("_rmax")), F.col("_carry") + F.col("_rmax"))
+    return (j.withColumn("equity", eq).withColumn("running_max", rmax)
+             .withColumn("drawdown", F.col("equity") - F.col("running_max"))
+             .withColumn("drawdown_pct", F.try_divide(F.col("drawdown"), F.nullif(F.col("running_max"), F.lit(0.0))) * 100)
+             .drop("_blk", "_run", "_rmax", "_carry", "_prevmax"))
