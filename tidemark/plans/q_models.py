@@ -23,7 +23,34 @@ def feature_table(spark, sf_dir):
 FEATURES = models.BASELINE_FEATURES + TOPICS + [f"emb_{i}" for i in range(EMB_DIM)]
 
 
-@register("m1_feature_assembly")
+def _m1_sql() -> str:
+    from tidemark.plans.oracle_views import rounded, with_views
+    from tidemark.plans.q_decay import _a3_sql, _a3e_sql
+    # the brute-force grid twins (complete statements) are reused as subqueries
+    topics_sql = _a3_sql()
+    emb_sql = _a3e_sql()
+    params = ", ".join(f"({L}, {lam}::DOUBLE)" for L, lam in PARAMS)
+    tcols = ", ".join(f"coalesce(max(CASE WHEN t.topic = '{t}' THEN t.weight END), 0.0) AS {t}" for t in TOPICS)
+    ecols = ", ".join(f"coalesce(max(CASE WHEN e.dim = {i} THEN e.value END), 0.0) AS emb_{i}" for i in range(EMB_DIM))
+    mcols = ("series_id, ts, spot, da, load, real_spread_abs, spread_target, real_spread_abs_shift_24, "
+             "spread_target_shift_24, price_lag_24, price_lag_168, load_lag_24, load_lag_168, hour, "
+             "week_of_year, month, day_of_week, day_of_year")
+    body = f"""
+SELECT m.*, p.lookback, p.decay_lambda, tw.* EXCLUDE (lookback, decay_lambda, ts), ew.* EXCLUDE (lookback, decay_lambda, ts)
+FROM (SELECT {mcols} FROM v_master_h) m
+CROSS JOIN (SELECT CAST(l AS BIGINT) AS lookback, d AS decay_lambda FROM (VALUES {params}) v(l, d)) p
+LEFT JOIN (SELECT t.lookback, t.decay_lambda, t.ts, {tcols} FROM ({topics_sql}) t GROUP BY 1, 2, 3) tw
+       ON tw.lookback = p.lookback AND tw.decay_lambda = p.decay_lambda AND tw.ts = m.ts
+LEFT JOIN (SELECT e.lookback, e.decay_lambda, e.ts, {ecols} FROM ({emb_sql}) e GROUP BY 1, 2, 3) ew
+       ON ew.lookback = p.lookback AND ew.decay_lambda = p.decay_lambda AND ew.ts = m.ts"""
+    body = body.replace("tw.* EXCLUDE (lookback, decay_lambda, ts)", ", ".join(f"coalesce(tw.{t}, 0.0) AS {t}" for t in TOPICS))
+    body = body.replace("ew.* EXCLUDE (lookback, decay_lambda, ts)", ", ".join(f"coalesce(ew.emb_{i}, 0.0) AS emb_{i}" for i in range(EMB_DIM)))
+    doubles = ["spot", "da", "load", "real_spread_abs", "real_spread_abs_shift_24", "price_lag_24", "price_lag_168",
+               "load_lag_24", "load_lag_168", "decay_lambda", *TOPICS, *[f"emb_{i}" for i in range(EMB_DIM)]]
+    return with_views(rounded(body, doubles), "v_master_h")
+
+
+@register("m1_feature_assembly", _m1_sql())
 def m1_feature_assembly(spark, sf_dir):
     return round_doubles(feature_table(spark, sf_dir))
 
