@@ -170,11 +170,18 @@ def class_weights(train: DataFrame, y: str = "y_true", power: float = 1.0) -> Da
     return g.withColumn("weight", F.pow(tot / (k * F.greatest(F.col("count"), F.lit(1))), F.lit(float(power))))
 
 
+def _score_block(n_blocks: int = 1024):
+    """Monotone score -> block map for probabilities in [0, 1] (out-of-range scores
+    fall into the end blocks, still monotone)."""
+    return F.least(F.greatest(F.floor(F.col("score") * n_blocks), F.lit(-1)), F.lit(n_blocks)).cast("int")
+
+
 def _auc_from_counts(g: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mann-Whitney AUC from (keys, score, pos, neg) rows, ties count one half."""
+    from tidemark.plans.scan import blocked_cumsum
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    # negatives strictly below each distinct score, block-wise over score ranges
+    g = blocked_cumsum(g, keys, "score", "neg", "neg_below", _score_block(), inclusive=False)
     return g.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
                      F.sum("pos") * F.sum("neg")).alias("auc"),
@@ -215,10 +222,12 @@ def roc_points(pred: DataFrame, classes: Sequence[int] = (0, 1, 2), keys: Sequen
                  F.element_at(F.col(proba), (F.col("cls") + 1).cast("int")).alias("score"),
                  (F.col(y) == F.col("cls")).cast("bigint").alias("is_pos"))
     g = x.groupBy(*keys, "cls", "score").agg(F.sum("is_pos").alias("pos"), F.sum(1 - F.col("is_pos")).alias("neg"))
+    from tidemark.plans.scan import blocked_cumsum
     part = Window.partitionBy(*keys, "cls")
-    run = part.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = (g.withColumn("tp", F.sum("pos").over(run)).withColumn("fp", F.sum("neg").over(run))
-          .withColumn("P", F.sum("pos").over(part)).withColumn("N", F.sum("neg").over(part)))
+    g = blocked_cumsum(g, [*keys, "cls"], "score", "pos", "tp", _score_block(), descending=True)
+    g = blocked_cumsum(g, [*keys, "cls"], "score", "neg", "fp", _score_block(), descending=True)
+    tots = g.groupBy(*keys, "cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    g = g.join(tots, [*keys, "cls"])
     g = g.withColumn("tpr", F.try_divide(F.col("tp"), F.col("P"))) \
          .withColumn("fpr", F.try_divide(F.col("fp"), F.col("N")))
     o = part.orderBy(F.col("score").desc())

@@ -101,3 +101,23 @@ def global_running_drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[
              .withColumn("drawdown", F.col("equity") - F.col("running_max"))
              .withColumn("drawdown_pct", F.try_divide(F.col("drawdown"), F.nullif(F.col("running_max"), F.lit(0.0))) * 100)
              .drop("_blk", "_run", "_rmax", "_carry", "_prevmax"))
+
+
+def blocked_cumsum(df: DataFrame, keys: Sequence[str], order_col: str, value: str, out: str,
+                   block: "F.Column", descending: bool = False, inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` per key in ``order_col`` order, block-wise: ``block``
+    must be monotone in ``order_col`` (e.g. floor(score * 1024) for scores in [0, 1]).
+    Within-block windows are partitioned by (key, block); the carry of earlier blocks
+    comes from a window over the per-block totals."""
+    keys = list(keys)
+    d = df.withColumn("_blk", block)
+    ob = F.col("_blk").desc() if descending else F.col("_blk").asc()
+    oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    tot = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_bt"))
+    wb = Window.partitionBy(*keys).orderBy(ob).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_carry"))
+    hi = 0 if inclusive else -1
+    w_in = Window.partitionBy(*keys, "_blk").orderBy(oc).rowsBetween(Window.unboundedPreceding, hi)
+    d = d.withColumn("_run", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
+    return (d.join(tot, [*keys, "_blk"], "inner").withColumn(out, F.col("_carry") + F.col("_run"))
+             .drop("_blk", "_run", "_carry"))
