@@ -247,3 +247,17 @@ def test_blockwise_windows_equal_plain(spark):
     w = {(r["key"], r["ts"]): (r["equity"], r["running_max"]) for r in
          windows.running_drawdown(df, "v", ["key"], ["ts"]).collect()}
     assert all(g[k] == pytest.approx(w[k], rel=1e-9, abs=1e-9) for k in w)
+
+
+def test_bootstrap_user_metric_matches_builtin(spark):
+    """A user metric over the weighted confusion cells == the built-in one."""
+    rows = [("m", i, i % 3, (i * 7) % 3) for i in range(300)]
+    p = spark.createDataFrame(rows, "model string, row_id long, y_true long, y_pred long")
+
+    def acc(cells):
+        return (cells["w"] * (cells["y_true"] == cells["y_pred"])).sum() / cells["w"].sum()
+
+    a = st.bootstrap_confusion_metric(p, "accuracy", 50, 7).collect()[0]
+    b = st.bootstrap_confusion_metric(p, n_boot=50, seed=7, user_metric=acc).collect()[0]
+    assert a["mean"] == pytest.approx(b["mean"], abs=1e-12)
+    assert a["lower"] == pytest.approx(b["lower"], abs=1e-12) and a["upper"] == pytest.approx(b["upper"], abs=1e-12)

@@ -82,3 +82,47 @@ def ci_overlap_verdict(ci: DataFrame) -> DataFrame:
                .when(F.col("a_hi") < F.col("b_lo"), F.lit("baseline better, intervals disjoint"))
                .otherwise(F.lit("intervals overlap")))
     return j.withColumn("difference", F.col("a_mean") - F.col("b_mean")).withColumn("verdict", verdict)
+
+
+def bootstrap_confusion_metric(pred: DataFrame, metric: str = "macro_f1", n_boot: int = 1000, seed: int = 42,
+                               confidence: float = 0.95, keys=("model",), key: str = "row_id",
+                               user_metric=None) -> DataFrame:
+    """A20/U1 generalised: bootstrap interval of a confusion-matrix metric.
+
+    Replicate weights are the same hash-seeded Poisson draws as
+    ``bootstrap_accuracy`` (shared by all models).  Rows are reduced to weighted
+    (replicate, y_true, y_pred) cells in the map stage, so each replicate's input
+    is a k x k matrix whatever the data size; ``metric`` is 'macro_f1' or
+    'accuracy' (SQL aggregates), or ``user_metric(cells: pandas.DataFrame) -> float``
+    applied per replicate with ``applyInPandas`` on those bounded cells."""
+    import pandas as pd
+    keys = list(keys)
+    alpha = (1 - confidence) / 2
+    x = pred.select(*keys, key, "y_true", "y_pred",
+                    F.explode(F.sequence(F.lit(0), F.lit(int(n_boot) - 1))).alias("rep"))
+    x = with_mix_uniform(x, "_u", seed, "rep", key).withColumn("w", poisson1_quantile(F.col("_u")))
+    cells = x.groupBy(*keys, "rep", "y_true", "y_pred").agg(F.sum("w").alias("w")).filter(F.col("w") > 0)
+    if user_metric is not None:
+        def per_rep(pdf: pd.DataFrame) -> pd.DataFrame:
+            row = {k: pdf.iloc[0][k] for k in [*keys, "rep"]}
+            row["score"] = float(user_metric(pdf[["y_true", "y_pred", "w"]]))
+            return pd.DataFrame([row])
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields
+                            if f.name in [*keys, "rep"]] + ["score double"])
+        scores = cells.groupBy(*keys, "rep").applyInPandas(per_rep, schema)
+    else:
+        both = F.array(F.struct(F.col("y_true").alias("c"), F.col("w").alias("t"),
+                                F.when(F.col("y_true") == F.col("y_pred"), F.col("w")).otherwise(0).alias("tp"),
+                                F.lit(0).cast("bigint").alias("pp")),
+                       F.struct(F.col("y_pred").alias("c"), F.lit(0).cast("bigint").alias("t"),
+                                F.lit(0).cast("bigint").alias("tp"), F.col("w").alias("pp")))
+        per_class = cells.select(*keys, "rep", F.explode(both).alias("e")).groupBy(*keys, "rep", "e.c").agg(
+            F.sum("e.tp").alias("tp"), F.sum("e.t").alias("sup"), F.sum("e.pp").alias("prd"))
+        f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("sup") + F.col("prd")), F.lit(0.0))
+        agg = F.avg(f1) if metric == "macro_f1" else F.sum("tp") / F.sum("sup")
+        scores = per_class.groupBy(*keys, "rep").agg(agg.alias("score"))
+    return scores.groupBy(*keys).agg(
+        F.avg("score").alias("mean"),
+        F.percentile(F.col("score"), F.lit(alpha * 1.0)).alias("lower"),
+        F.percentile(F.col("score"), F.lit(1.0 - alpha)).alias("upper"),
+        F.count(F.lit(1)).alias("n_replicates"))

@@ -149,6 +149,30 @@ def calibrate_platt(val_pred: DataFrame, test_pred: DataFrame, classes: Sequence
               .drop(*[f"_c{c}" for c in classes])
 
 
+def calibrate_isotonic(val_pred: DataFrame, test_pred: DataFrame, classes: Sequence[int]) -> DataFrame:
+    """M8 (isotonic): per class a monotone fit of the indicator on the class score
+    (Spark ML ``IsotonicRegression``, pool-adjacent-violators run distributed),
+    applied to test and renormalised."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+    from tidemark.functions.numeric import argmax_array
+    out = test_pred
+    cols = []
+    for c in classes:
+        sc = F.element_at("proba", int(c) + 1)
+        v = VectorAssembler(inputCols=["_s"], outputCol="_f")
+        tr = v.transform(val_pred.select(sc.alias("_s"), (F.col("y_true") == c).cast("double").alias("_y")))
+        iso = IsotonicRegression(featuresCol="_f", labelCol="_y", predictionCol=f"_c{c}").fit(tr)
+        out = iso.transform(v.transform(out.withColumn("_s", sc))).drop("_s", "_f")
+        cols.append(F.col(f"_c{c}"))
+    tot = sum(cols[1:], cols[0])
+    out = out.withColumn("proba", F.array(*[F.coalesce(F.try_divide(c, tot), F.lit(1.0 / len(classes)))
+                                             for c in cols]))
+    cls = F.array(*[F.lit(int(c)) for c in classes])
+    return out.withColumn("y_pred", F.element_at(cls, (argmax_array("proba") + 1).cast("int"))) \
+              .drop(*[f"_c{c}" for c in classes])
+
+
 def enrich_with_predictions(df: DataFrame, model, features: Sequence[str], prefix: str, n_classes: int) -> DataFrame:
     """Add ``{prefix}_prob_class{i}`` and ``{prefix}_pred`` to a split."""
     from pyspark.ml.functions import vector_to_array

@@ -275,3 +275,24 @@ SELECT model, row_id, CAST(y_pred - y_true AS BIGINT) AS residual FROM v_pred"""
 def p26_residuals(spark, sf_dir):
     p = T.predictions(spark, sf_dir)
     return p.select("model", "row_id", (F.col("y_pred") - F.col("y_true")).cast("bigint").alias("residual"))
+
+
+def _boot_f1_sql() -> str:
+    u = mix_uniform_sql(42, "r.rep", "p.row_id")
+    return f"""
+xw AS (SELECT p.model, r.rep, p.y_true, p.y_pred, {_poisson_case(u)} AS w
+       FROM v_pred p CROSS JOIN range({N_BOOT}) r(rep)),
+cells AS (SELECT model, rep, y_true, y_pred, sum(w) AS w FROM xw GROUP BY ALL HAVING sum(w) > 0),
+e AS (SELECT model, rep, y_true AS c, w AS t, CASE WHEN y_true = y_pred THEN w ELSE 0 END AS tp, 0 AS pp FROM cells
+      UNION ALL SELECT model, rep, y_pred, 0, 0, w FROM cells),
+pc AS (SELECT model, rep, c, sum(tp) AS tp, sum(t) AS sup, sum(pp) AS prd FROM e GROUP BY ALL),
+sc AS (SELECT model, rep, avg(coalesce(2 * tp / nullif(sup + prd, 0), 0.0)) AS score FROM pc GROUP BY ALL)"""
+
+
+@register("a20_bootstrap_macro_f1", with_views(rounded("""
+SELECT model, avg(score) AS mean, quantile_cont(score, 0.025) AS lower, quantile_cont(score, 0.975) AS upper,
+       count(*) AS n_replicates
+FROM sc GROUP BY model""", ["mean", "lower", "upper"]), "v_pred", extra=[_boot_f1_sql()]))
+def a20_bootstrap_macro_f1(spark, sf_dir):
+    """A20/U1 with the macro-F1 metric (confusion-cell bootstrap)."""
+    return round_doubles(st.bootstrap_confusion_metric(T.predictions(spark, sf_dir), "macro_f1", N_BOOT, 42))

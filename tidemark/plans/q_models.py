@@ -176,7 +176,8 @@ def m8_calibrated_test_metrics(spark, sf_dir):
     d, feats, model = _fit_best(spark, sf_dir)
     val, test = _preds(model, d, feats, "val"), _preds(model, d, feats, "test")
     cal = learners.calibrate_platt(val, test, [0, 1, 2]).withColumn("model", F.lit("forest_calibrated"))
-    both = test.unionByName(cal.select(*test.columns))
+    iso = learners.calibrate_isotonic(val, test, [0, 1, 2]).withColumn("model", F.lit("forest_isotonic"))
+    both = test.unionByName(cal.select(*test.columns)).unionByName(iso.select(*test.columns))
     return round_doubles(cm.accuracy_macro_f1(both))
 
 

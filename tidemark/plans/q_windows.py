@@ -209,3 +209,31 @@ def p28_tail_drop_alert(spark, sf_dir):
     e = T.energy_daily(spark, sf_dir).select("series_id", "ts", "spot")
     return round_doubles(windows.tail_change(e, "spot", 20, ["series_id"], ["ts"], 5.0))
 
+
+
+@register("r6_news_shocks_vs_price", with_views(rounded(f"""
+WITH s AS (SELECT n.publishedAt, coalesce(val.valence, 0) AS valence
+           FROM v_topic_news n LEFT JOIN val ON n.topic = val.topic
+           WHERE coalesce(val.valence, 0) <> 0),
+g AS (SELECT {_wk('publishedAt')} AS week,
+             CAST(count(*) FILTER (WHERE valence = 1) AS BIGINT) AS positive_count,
+             CAST(count(*) FILTER (WHERE valence = -1) AS BIGINT) AS negative_count
+      FROM s GROUP BY 1),
+b AS (SELECT min({_wk('publishedAt')}) AS lo, max({_wk('publishedAt')}) AS hi FROM s),
+sp AS (SELECT unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS week FROM b),
+shocks AS (SELECT sp.week, coalesce(g.positive_count, 0) AS positive_count,
+                  coalesce(g.negative_count, 0) AS negative_count FROM sp LEFT JOIN g USING (week)),
+pg AS (SELECT {_wk('ts')} AS week, avg(spot) AS price FROM v_energy_h GROUP BY 1),
+pb AS (SELECT min({_wk('ts')}) AS lo, max({_wk('ts')}) AS hi FROM v_energy_h),
+psp AS (SELECT unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS week FROM pb),
+price AS (SELECT psp.week, pg.price FROM psp LEFT JOIN pg USING (week))
+SELECT shocks.week, positive_count, negative_count, price
+FROM shocks JOIN price USING (week)""", ["price"]), "v_topic_news", "v_energy_h", extra=[_valence_sql()]))
+def r6_news_shocks_vs_price(spark, sf_dir):
+    """Weekly positive/negative shock counts (P15, A10) next to the weekly mean
+    price (A9), aligned on the common weeks (J3/SET4)."""
+    from tidemark.operators.lookup import valence_lookup
+    shocks = valence_lookup(T.topic_news(spark, sf_dir), "topic", EVENT_VALENCE).filter(F.col("valence") != 0)
+    sc = windows.weekly_sign_counts(shocks, "publishedAt", "valence")
+    price = windows.weekly_mean(T.energy_hourly(spark, sf_dir), "ts", ["spot"]).withColumnRenamed("spot", "price")
+    return round_doubles(sc.join(price, "week", "inner").select("week", "positive_count", "negative_count", "price"))
