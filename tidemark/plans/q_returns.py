@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt
 from tidemark.operators import returns as rt
-from tidemark.operators import windows
 from tidemark.plans.common import round_doubles
 from tidemark.plans.oracle_views import rounded, with_views
 from tidemark.plans.registry import register
