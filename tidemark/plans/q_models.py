@@ -229,3 +229,29 @@ def m11_permutation_importance(spark, sf_dir):
     d, feats, model = _fit_best(spark, sf_dir)
     test = d.filter(F.col("split") == "test")
     return round_doubles(learners.permutation_importance(model, test, feats, "row_index", n_repeats=5))
+
+
+# Second-stage grid (a reduced version of the reference's 27-setting grid).
+SECOND_STAGE_GRID = {"numTrees": [50, 100], "maxDepth": [2, 4], "subsamplingRate": [0.8],
+                     "minInstancesPerNode": [5], "featureSubsetFraction": [0.8]}
+
+
+@register("m5_second_stage_grid")
+def m5_second_stage_grid(spark, sf_dir):
+    """First-stage forest probabilities become features (stacking); a
+    parameter grid is evaluated on the expanding folds for the signal feature set
+    (baseline + topics + stacked) and the baseline set (baseline + stacked)."""
+    d, feats, _, best = _search(spark, sf_dir)
+    tr = d.filter(F.col("split") == "train")
+    first = learners.fit_forest(tr, feats, best["params"])
+    stacked = learners.enrich_with_predictions(d, first, feats, "stage1", 3)
+    stack_cols = [f"stage1_prob_class{i}" for i in range(3)]
+    tr2, folds = _train_folds(stacked)
+    grid = learners.param_grid(SECOND_STAGE_GRID)
+    out = []
+    for name, fs in (("signal", feats + stack_cols), ("baseline", models.BASELINE_FEATURES + stack_cols)):
+        scores, b = learners.forest_grid_search(tr2, fs, folds, grid)
+        summ = cm.cv_score_summary(scores, ["candidate"], "macro_f1").withColumn("feature_set", F.lit(name)) \
+                 .withColumn("is_best", F.col("candidate") == F.lit(b["candidate"]))
+        out.append(summ)
+    return round_doubles(out[0].unionByName(out[1]))
