@@ -95,8 +95,9 @@ def accuracy_macro_f1(pred: DataFrame, keys: Sequence[str] = ("model",), y: str
 def prediction_distribution(pred: DataFrame, keys: Sequence[str] = ("model",), p: str = "y_pred") -> DataFrame:
     """Predictions per class with share of the group (%)."""
     keys = list(keys)
+    from tidemark.operators.eda import with_share
     g = pred.groupBy(*keys, F.col(p).alias("y_pred")).agg(F.count(F.lit(1)).alias("count"))
-    return g.withColumn("share_pct", F.col("count") / F.sum("count").over(Window.partitionBy(*keys)) * 100)
+    return with_share(g, "count", keys, "share_pct")
 
 
 def unseen_predicted_labels(pred: DataFrame, keys: Sequence[str] = ("model",), y: str = "y_true",

@@ -19,7 +19,18 @@ def value_counts(df: DataFrame, col: str, keys: Sequence[str] = (), dropna: bool
     """A4: count and percentage per value (pandas ``value_counts`` drops NULL)."""
     d = df.filter(F.col(col).isNotNull()) if dropna else df
     g = d.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("count"))
-    return g.withColumn("pct", F.col("count") / F.sum("count").over(Window.partitionBy(*keys)) * 100)
+    return with_share(g, "count", keys, "pct")
+
+
+def with_share(g: DataFrame, value: str, keys: Sequence[str], out: str, scale: float = 100.0) -> DataFrame:
+    """W13 on aggregated rows without a one-partition window: per-key totals are a
+    grouped sum joined back on the keys; without keys the total is one scalar."""
+    keys = list(keys)
+    if keys:
+        tot = g.groupBy(*keys).agg(F.sum(value).alias("_tot"))
+        return g.join(tot, keys).withColumn(out, F.col(value) / F.col("_tot") * scale).drop("_tot")
+    total = g.agg(F.sum(value)).first()[0]
+    return g.withColumn(out, F.col(value) / F.lit(float(total or 0) or float("nan")) * scale)
 
 
 def top_n_counts(df: DataFrame, col: str, n: int = 10) -> DataFrame:
