@@ -84,12 +84,13 @@ SELECT source, count(*) AS n_articles,
 FROM v_news GROUP BY source
 """, "v_news"))
 def a34_source_stats(spark, sf_dir):
-    from pyspark.sql.window import Window
+    """Articles per source plus corpus-wide unique sources and date range (the
+    corpus-wide figures are one small aggregate, attached as literals)."""
     n = T.news(spark, sf_dir)
-    per = n.groupBy("source").agg(F.count(F.lit(1)).alias("n_articles"),
-                                  F.min("publishedAt").alias("_lo"), F.max("publishedAt").alias("_hi"))
-    w = Window.partitionBy()   # over the per-source rows only (one per source)
-    return per.select("source", "n_articles",
-                      F.count("source").over(w).alias("n_sources"),
-                      F.min("_lo").over(w).alias("first_published"),
-                      F.max("_hi").over(w).alias("last_published"))
+    per = n.groupBy("source").agg(F.count(F.lit(1)).alias("n_articles"))
+    tot = n.agg(F.count_distinct("source").alias("u"), F.min("publishedAt").alias("lo"),
+                F.max("publishedAt").alias("hi")).first()
+    def ts_lit(v):   # wall-clock literal: no session/process time-zone conversion
+        return F.lit(v.isoformat(sep=" ") if v is not None else None).cast("timestamp_ntz")
+    return per.select("source", "n_articles", F.lit(int(tot["u"])).cast("bigint").alias("n_sources"),
+                      ts_lit(tot["lo"]).alias("first_published"), ts_lit(tot["hi"]).alias("last_published"))
