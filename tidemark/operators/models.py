@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import classify_metrics as cm
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ship_package
 
 # Reference alpha grid (logspace(-3, 3, 13)) and baseline features.
 ALPHAS = [float(a) for a in np.logspace(-3, 3, 13)]
@@ -85,6 +85,7 @@ def _gram_partials(df: DataFrame, keys: Sequence[str], classes: Sequence[int], p
             rows = [dict(zip(keys, kv), stats=v.tolist()) for kv, v in acc.items()]
             yield pd.DataFrame(rows)
 
+    ship_package(df.sparkSession)
     return df.select(*keys, "x", "y").mapInPandas(run, schema)
 
 
