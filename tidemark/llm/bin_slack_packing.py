@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import (INTERNER_LIMIT, Interner, claim, materialize, raw_texts, slices, table)
+from tidemark.llm.common import INTERNER_LIMIT, Interner, claim, map_arrow, materialize, raw_texts, slices, table
 
 MAX_LEN = 4096
 END_ID = 1
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, end_id: int
                      pa.array(number * max_len), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(map_arrow, cut, schema)
 
 
 def fullest(capacity: int, counts: dict[int, int]) -> dict[int, int]:

@@ -6,12 +6,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of text handled at once inside a task, and distinct chunks an interner keeps.
 SLICE_BYTES = 8 << 20
@@ -31,6 +30,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` by workers that have this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def stable_fraction(key: Column, fraction: float) -> Column:
     """True for about ``fraction`` of all keys, decided by the key alone."""
     return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < F.lit(int(fraction * (1 << 30)))
@@ -78,9 +83,3 @@ def claim(key: object, build: Callable[[], object]) -> object:
         _ACTIVE[:] = [key, None]
         _ACTIVE[1] = build()
     return _ACTIVE[1]
-
-
-def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type, from_pandas=isinstance(c, np.ndarray))
-              for c, f in zip(columns, schema, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bin_slack_packing, simhash_vptree
+from tidemark.llm import (bin_slack_packing, bounded_ring, language_backoff, licence_digest,
+                          rule_ledger, sentencepiece_codec, simhash_vptree, url_sweep, weak_label_quality)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [simhash_vptree, bin_slack_packing]
+MODULES = [weak_label_quality, url_sweep, simhash_vptree, language_backoff, rule_ledger,
+           bounded_ring, licence_digest, sentencepiece_codec, bin_slack_packing]
 
 
 def queries() -> dict[str, QueryFn]:
