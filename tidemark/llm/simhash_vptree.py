@@ -7,8 +7,8 @@ triangle inequality a ball of the link radius around a fingerprint can only reac
 branches whose distance shell it overlaps, so a fingerprint visits those shards besides
 its own.  Every link therefore appears in the home shard of one of its ends.  A shard keeps
 its own members in a vantage-point tree (pruned by the same bounds) and streams the visitors
-through it.  It returns a spanning forest of the links found, never all pairs of a dense
-group; connected components of the forests are the components of the links.
+through it.  It returns the groups it finds as stars, never all pairs of a dense group; the
+connected components of the stars are those of the links.
 
 A null or empty text has no words: fingerprint zero, linked like any other.  A null doc_id
 keeps its row; component_id is the least non-null doc_id of the component (null if none).
@@ -23,17 +23,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, raw_texts, table
-from tidemark.llm.components import components
+from tidemark.llm.common import map_arrow, materialize, raw_texts, table
+from tidemark.llm.components import Forest, components
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 #: Distinct fingerprints the routing tree is fitted on (the least by hash), members aimed
 #: at per shard, and leaf size of a shard's own tree.
-SAMPLE = 65_536
-SHARD_MEMBERS = 8_192
+SAMPLE = 32_768
+SHARD_MEMBERS = 65_536
 LEAF = 64
 #: Visitors of a shard aimed at per task; beyond, its visitors are split and its members copied.
 SPLIT_VISITORS = 2_000_000
@@ -60,16 +61,32 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _fingerprint_column(batch_column: pa.Array, shingle: int) -> pa.Array:
+    return pa.array(np.array([fingerprint(t, shingle) for t in raw_texts(batch_column)], np.uint64).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed bigint."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in raw_texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _fingerprint_column(batch.column(1), shingle)],
+                                             names=["doc_id", "fp"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"doc_id {id_type}, fp bigint"))
+            .transform(map_arrow, run, f"doc_id {id_type}, fp bigint"))
+
+
+def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, and the fingerprint as column ``name``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _fingerprint_column(batch.column(at), shingle)],
+                                             names=[*batch.schema.names, name])
+
+    return docs.transform(map_arrow, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 class VantageTree:
@@ -132,94 +149,66 @@ class VantageTree:
             stack.append((self.outside[ref], rows[far + radius > self.bound[ref]]))
 
 
-class Forest:
-    """Union-find over nodes 0..n-1 (members, kept) and the nodes of one query block."""
-
-    def __init__(self, n: int) -> None:
-        self.n, self.parent = n, np.arange(n)
-
-    def room(self, k: int) -> None:
-        self.parent = np.concatenate([self.parent[:self.n], np.arange(self.n, self.n + k)])
-
-    def labels(self) -> np.ndarray:
-        while True:
-            up = self.parent[self.parent]
-            if np.array_equal(up, self.parent):
-                return up
-            self.parent = up
-
-    def _root(self, x: int) -> int:
-        while self.parent[x] != x:
-            x = int(self.parent[x])
-        return x
-
-    def spanning(self, x: np.ndarray, y: np.ndarray) -> list[int]:
-        """Positions of the links (x, y) that join two trees.  Links inside one tree are
-        dropped as arrays, so a dense group costs one step per node, not per pair."""
-        kept, at = [], np.arange(len(x))
-        while len(at):
-            label = self.labels()
-            at = at[label[x[at]] != label[y[at]]]
-            one = np.union1d(np.unique(x[at], return_index=True)[1], np.unique(y[at], return_index=True)[1])
-            for i in at[one].tolist():
-                a, b = self._root(int(x[i])), self._root(int(y[i]))
-                if a != b:
-                    self.parent[max(a, b)] = min(a, b)
-                    kept.append(i)
-        return kept
-
-
 class Shard:
-    """The members of one shard in a vantage-point tree."""
+    """The members of one shard in a vantage-point tree (members in signed order, so that
+    the least node of a group is its root for Spark too)."""
 
     def __init__(self, members: np.ndarray, radius: int) -> None:
-        self.members, self.radius = np.sort(members), radius
+        self.members, self.radius = np.sort(members.view(np.int64)).view(np.uint64), radius
         self.tree = VantageTree(self.members, LEAF, 1, keep=True)
-        self.places = [np.searchsorted(self.members, pts) for pts in self.tree.leaf_points]
+        signed = self.members.view(np.int64)
+        self.places = [np.searchsorted(signed, pts.view(np.int64)) for pts in self.tree.leaf_points]
         self.forest = Forest(len(members))
 
-    def _search(self, queries: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out_a, out_b = [], []
+    def _search(self, queries: np.ndarray, nodes: np.ndarray) -> None:
         for leaf, rows in self.tree.visit(queries, self.radius):
             points, places = self.tree.leaf_points[leaf], self.places[leaf]
-            step = max(1, (1 << 20) // max(1, len(points)))
+            step = max(1, (1 << 18) // max(1, len(points)))
             for k in range(0, len(rows), step):
                 part = rows[k:k + step]
                 q, p = np.nonzero(np.bitwise_count(queries[part, None] ^ points[None, :]) <= self.radius)
-                q, p = part[q], places[p]
-                apart = nodes[q] != p
+                q, p = nodes[part[q]], places[p]
+                apart = q != p
                 if apart.any():
-                    q, p = q[apart], p[apart]
-                    kept = self.forest.spanning(nodes[q], p)
-                    out_a.append(queries[q[kept]])
-                    out_b.append(self.members[p[kept]])
-        empty = np.empty(0, np.uint64)
-        return np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
-
-    def own_links(self, block: int = 32_768) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                    self.forest.link(q[apart], p[apart])
+
+    def own(self, block: int = 32_768) -> None:
         for k in range(0, len(self.members), block):
             part = self.members[k:k + block]
-            yield self._search(part, np.arange(k, k + len(part)))
+            self._search(part, np.arange(k, k + len(part)))
+
+    def member_links(self) -> tuple[np.ndarray, np.ndarray]:
+        at, root = self.forest.stars(0, len(self.members))
+        return self.members[at], self.members[root]
 
     def visitor_links(self, visitors: np.ndarray, block: int = 32_768) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(self.members)
         for k in range(0, len(visitors), block):
             part = visitors[k:k + block]
             self.forest.room(len(part))
-            yield self._search(part, len(self.members) + np.arange(len(part)))
+            self._search(part, n + np.arange(len(part)))
+            at, root = self.forest.stars(n, n + len(part))
+            yield part[at], self.members[root]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], radius: int, splits: int) -> Iterator[pa.RecordBatch]:
-    """Stream rows sorted by (shard, kind): members (kind 0) build the shard, visitors pass."""
-    def rows(links):
-        for a, b in links:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
+    """Stream rows sorted by (shard, kind): members (kind 0) build the shard, visitors pass,
+    and at its end the members' groups go out as stars."""
     current, members, shard = None, [], None
 
-    def build():
-        made = Shard(np.concatenate(members), radius) if members else None
-        return made, rows(made.own_links()) if made and current % splits == 0 else iter(())
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def opened():
+        made = Shard(np.concatenate(members), radius)
+        if current % splits == 0:
+            made.own()
+        return made
+
+    def closing():
+        last = opened() if shard is None and members else shard
+        if last is not None:
+            yield out(*last.member_links())
 
     for batch in batches:
         key, kind = (batch.column(k).to_numpy() for k in (0, 1))
@@ -229,24 +218,22 @@ def _shards(batches: Iterator[pa.RecordBatch], radius: int, splits: int) -> Iter
             if a == b:
                 continue
             if key[a] != current:
-                if current is not None and shard is None:
-                    yield from build()[1]
+                yield from closing()
                 current, members, shard = int(key[a]), [], None
             if kind[a] == 0:
                 members.append(fps[a:b])
                 continue
             if shard is None and members:
-                shard, own = build()
-                yield from own
+                shard = opened()
             if shard is not None:
-                yield from rows(shard.visitor_links(fps[a:b]))
-    if current is not None and shard is None:
-        yield from build()[1]
+                for links in shard.visitor_links(fps[a:b]):
+                    yield out(*links)
+    yield from closing()
 
 
 def hamming_links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) that span the components of all pairs of the distinct ``fp`` of ``fps``
-    at ``radius`` or fewer differing bits."""
+    """Stars (a, b) with the components of all pairs of the distinct ``fp`` of ``fps`` at
+    ``radius`` or fewer differing bits."""
     n = fps.count()
     # the least by hash: a bounded sample, the same at every run
     sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64(F.lit("route"), "fp"), "fp")
@@ -275,22 +262,47 @@ def hamming_links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(fp.view(np.int64))],
                                                      names=["shard", "kind", "fp"])
 
-    routed = fps.select("fp").mapInArrow(route, "shard bigint, kind bigint, fp bigint")
-    ordered = routed.repartitionByRange(leaves * splits, "shard").sortWithinPartitions("shard", "kind")
-    return ordered.mapInArrow(lambda batches: _shards(batches, radius, splits), "a bigint, b bigint")
+    routed = fps.select("fp").transform(map_arrow, route, "shard bigint, kind bigint, fp bigint")
+    ordered = routed.repartition(leaves * splits, "shard").sortWithinPartitions("shard", "kind")
+    return ordered.transform(map_arrow, lambda batches: _shards(batches, radius, splits), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``."""
+    """(doc_id, fp, root, component_id) of every row of ``docs``; root names the component."""
     rows = materialize(fingerprints(docs, shingle, id_col, text_col))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(hamming_links(classes, max_bits))
     rooted = (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns: the one with the least doc_id.  Of rows that
+    share it, or of a component without any doc_id, any one row stays."""
+    found = materialize(near_duplicates(docs, shingle, max_bits, id_col, text_col))
+    first = found.where("doc_id = component_id")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    odd = found.where("doc_id is null").select("doc_id").limit(1).union(repeated)
+    if odd.isEmpty():
+        return docs.join(first.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
+    # ids that do not tell rows apart: those rows go by their fingerprint
+    kept_ids = first.select(F.col("doc_id").alias(id_col)).distinct()
+    odd_ids = repeated.select(F.col("doc_id").alias(id_col))
+    plain = docs.join(kept_ids, id_col, "left_semi").join(odd_ids, id_col, "left_anti").select(docs.columns)
+    name = "fp_of_row"
+    while name in docs.columns:
+        name += "_"
+    shared = docs.join(odd_ids, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    component = found.select(F.col("fp").alias(name), F.col("root").alias(name + "root"),
+                             F.col("component_id").alias(name + "first")).distinct()
+    rest = (with_fingerprint(shared, name, shingle, text_col).join(component, name)
+            .where(F.col(id_col).eqNullSafe(F.col(name + "first"))).dropDuplicates([name + "root"]).select(docs.columns))
+    return plain.unionByName(rest)
 
 
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
