@@ -12,23 +12,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 PERIODS_PER_YEAR = 24 * 365
 
 
 def action_returns(df: DataFrame, action: str = "action", spread: str = "spread",
-                   cost: float = 0.0, pct_cost: float = 0.0, out: str = "ret") -> DataFrame:
+                   cost: float | str = 0.0, pct_cost: float | str = 0.0, out: str = "ret") -> DataFrame:
     """+spread for long, -spread for short, 0 otherwise; minus a fixed cost
-    and ``abs(spread) * pct_cost`` on every non-zero action."""
+    and ``abs(spread) * pct_cost`` on every non-zero action.  Either cost is a number or
+    the name of a column (a table of scenarios crossed with the rows, J6)."""
     a, s = F.col(action), F.col(spread)
-    r = F.when(a == 1, s).when(a == -1, -s).otherwise(F.lit(0.0))
-    traded = a != 0
-    if cost > 0:
-        r = r - F.when(traded, F.lit(float(cost))).otherwise(F.lit(0.0))
-    if pct_cost > 0:
-        r = r - F.when(traded, F.abs(s) * float(pct_cost)).otherwise(F.lit(0.0))
-    return df.withColumn(out, r)
+    fixed, share = (F.col(c) if isinstance(c, str) else F.lit(float(c)) for c in (cost, pct_cost))
+    gain = F.when(a == 1, s).when(a == -1, -s).otherwise(F.lit(0.0))
+    paid = [F.when(a != 0, x).otherwise(F.lit(0.0)) for x in (fixed, F.abs(s) * share)]
+    return df.withColumn(out, gain - paid[0] - paid[1])
 
 
 def spread_normalizer(df: DataFrame, spread: str = "spread", keys: Sequence[str] = ()) -> DataFrame:
@@ -47,10 +44,9 @@ def summarise_returns(df: DataFrame, keys: Sequence[str] = ("strategy",), order:
 
     With ``normalizer`` (a column holding the mean absolute spread) the money
     figures are scaled to percent of it ('percentage' mode)."""
+    from tidemark.plans.scan import global_running_drawdown
     keys = list(keys)
-    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_cum", F.sum(ret).over(run))
-    d = d.withColumn("_dd", F.col("_cum") - F.max("_cum").over(run))
+    d = global_running_drawdown(df, keys, order, ret, "week").withColumnRenamed("drawdown", "_dd")
     r = F.col(ret)
     aggs = [F.sum(r).alias("_tot"), F.avg(r).alias("_mean"), F.stddev_samp(r).alias("_std"),
             F.stddev_samp(F.when(r < 0, r)).alias("_dstd"), F.count_if(r < 0).alias("_nneg"),

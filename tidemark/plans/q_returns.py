@@ -50,15 +50,15 @@ def a11_spread_normalizer(spark, sf_dir):
 @register("a12_return_summary", with_views(rounded(f"""
 WITH nz AS (SELECT series_id, avg(abs(spread)) AS norm FROM rets WHERE strategy = 'long' GROUP BY 1),
 d AS (SELECT r.*, nz.norm,
-             sum(ret) OVER (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum
+             sum(ret) OVER (PARTITION BY strategy, series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum
       FROM rets r JOIN nz USING (series_id)),
-d2 AS (SELECT *, cum - max(cum) OVER (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS dd FROM d),
-g AS (SELECT strategy, sum(ret) AS tot, avg(ret) AS mean, stddev_samp(ret) AS sd,
+d2 AS (SELECT *, cum - max(cum) OVER (PARTITION BY strategy, series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS dd FROM d),
+g AS (SELECT strategy, series_id, sum(ret) AS tot, avg(ret) AS mean, stddev_samp(ret) AS sd,
              stddev_samp(ret) FILTER (WHERE ret < 0) AS dsd, count(*) FILTER (WHERE ret < 0) AS nneg,
              min(dd) AS mdd, count(*) FILTER (WHERE ret <> 0) AS n_trades,
              count(*) FILTER (WHERE ret > 0) AS nwin, first(norm) AS norm
-      FROM d2 GROUP BY strategy)
-SELECT strategy, tot * (100.0 / norm) AS total_return, mean * (100.0 / norm) AS avg_return,
+      FROM d2 GROUP BY strategy, series_id)
+SELECT strategy, series_id, tot * (100.0 / norm) AS total_return, mean * (100.0 / norm) AS avg_return,
        sd * (100.0 / norm) AS volatility,
        CASE WHEN sd > 0 THEN mean / sd * {rt.PERIODS_PER_YEAR ** 0.5!r} END AS sharpe,
        CASE WHEN nneg > 1 AND dsd > 0 THEN mean / dsd * {rt.PERIODS_PER_YEAR ** 0.5!r} END AS sortino,
@@ -71,21 +71,72 @@ def a12_return_summary(spark, sf_dir):
     r = rt.action_returns(a, cost=COST, pct_cost=PCT_COST)
     norm = rt.spread_normalizer(a.filter(F.col("strategy") == "long"), "spread", ["series_id"])
     r = r.join(norm, "series_id")          # one row per series: AQE broadcasts it
-    return round_doubles(rt.summarise_returns(r, ["strategy"], ["ts"], "ret", normalizer="normalizer"))
+    return round_doubles(rt.summarise_returns(r, ["strategy", "series_id"], ["ts"], "ret", normalizer="normalizer"))
+
+
+# Reference defaults of the cost study (name, fixed cost, share of the spread).
+COST_STUDY = [("No Costs", 0.0, 0.0), ("Low Cost", 0.5, 0.0), ("Medium Cost", 1.0, 0.0), ("High Cost", 2.0, 0.001)]
+COST_RANGE = [0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0]
+
+
+def _study() -> list[tuple[str, float, float]]:
+    return COST_STUDY + [(f"Fixed {c}", c, 0.0) for c in COST_RANGE]
+
+
+def _r7_sql() -> str:
+    rows = ", ".join(f"('{n}', {c}::DOUBLE, {p}::DOUBLE)" for n, c, p in _study())
+    rets = f"""
+sc(scenario, fixed, pct) AS (VALUES {rows}),
+rets AS (SELECT scenario, fixed AS fixed_cost, pct AS pct_cost, strategy, series_id, ts, real_spread_abs_shift_24 AS spread,
+                CASE WHEN action = 1 THEN real_spread_abs_shift_24
+                     WHEN action = -1 THEN -real_spread_abs_shift_24 ELSE 0.0 END
+                - CASE WHEN action <> 0 THEN fixed ELSE 0.0 END
+                - CASE WHEN action <> 0 THEN abs(real_spread_abs_shift_24) * pct ELSE 0.0 END AS ret
+         FROM v_actions CROSS JOIN sc)"""
+    part = "PARTITION BY scenario, strategy, series_id ORDER BY ts ROWS UNBOUNDED PRECEDING"
+    sel = f"""
+WITH nz AS (SELECT series_id, avg(abs(spread)) AS norm FROM rets WHERE strategy = 'long' GROUP BY 1),
+d AS (SELECT r.*, nz.norm, sum(ret) OVER ({part}) AS cum FROM rets r JOIN nz USING (series_id)),
+d2 AS (SELECT *, cum - max(cum) OVER ({part}) AS dd FROM d),
+g AS (SELECT scenario, fixed_cost, pct_cost, strategy, series_id, sum(ret) AS tot, avg(ret) AS mean, stddev_samp(ret) AS sd,
+             stddev_samp(ret) FILTER (WHERE ret < 0) AS dsd, count(*) FILTER (WHERE ret < 0) AS nneg,
+             min(dd) AS mdd, count(*) FILTER (WHERE ret <> 0) AS n_trades,
+             count(*) FILTER (WHERE ret > 0) AS nwin, first(norm) AS norm FROM d2 GROUP BY ALL)
+SELECT scenario, fixed_cost, pct_cost, strategy, series_id, tot * (100.0 / norm) AS total_return,
+       mean * (100.0 / norm) AS avg_return, sd * (100.0 / norm) AS volatility,
+       CASE WHEN sd > 0 THEN mean / sd * {rt.PERIODS_PER_YEAR ** 0.5!r} END AS sharpe,
+       CASE WHEN nneg > 1 AND dsd > 0 THEN mean / dsd * {rt.PERIODS_PER_YEAR ** 0.5!r} END AS sortino,
+       mdd * (100.0 / norm) AS max_drawdown,
+       CASE WHEN n_trades > 0 THEN nwin / n_trades * 100 ELSE 0.0 END AS win_rate, n_trades
+FROM g"""
+    return with_views(rounded(sel, ["total_return", "avg_return", "volatility", "sharpe", "sortino", "max_drawdown",
+                                    "win_rate"]), "v_actions", extra=[rets])
+
+
+@register("r7_cost_sensitivity", _r7_sql())
+def r7_cost_sensitivity(spark, sf_dir):
+    a = _actions(spark, sf_dir)
+    norm = rt.spread_normalizer(a.filter(F.col("strategy") == "long"), "spread", ["series_id"])
+    scenarios = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(c).alias("fixed_cost"), F.lit(p).alias("pct_cost"))
+                                    for n, c, p in _study()]))
+    each = a.withColumn("_s", scenarios).select("*", "_s.*").drop("_s")
+    r = rt.action_returns(each, cost="fixed_cost", pct_cost="pct_cost").join(norm, "series_id")
+    keys = ["scenario", "fixed_cost", "pct_cost", "strategy", "series_id"]
+    return round_doubles(rt.summarise_returns(r, keys, ["ts"], "ret", normalizer="normalizer"))
 
 
 @register("w3_cumulative_drawdown", with_views(rounded("""
-WITH d AS (SELECT strategy, ts, ret, sum(ret) OVER (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity
-           FROM rets),
-d2 AS (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS running_max FROM d)
-SELECT strategy, ts, equity, running_max, equity - running_max AS drawdown,
+WITH d AS (SELECT strategy, series_id, ts, ret,
+                  sum(ret) OVER (PARTITION BY strategy, series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM rets),
+d2 AS (SELECT *, max(equity) OVER (PARTITION BY strategy, series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS running_max FROM d)
+SELECT strategy, series_id, ts, equity, running_max, equity - running_max AS drawdown,
        (equity - running_max) / nullif(running_max, 0.0) * 100 AS drawdown_pct FROM d2
 """, ["equity", "running_max", "drawdown", "drawdown_pct"]), "v_actions", extra=[_RET_SQL]))
 def w3_cumulative_drawdown(spark, sf_dir):
     r = rt.action_returns(_actions(spark, sf_dir), cost=COST, pct_cost=PCT_COST)
     from tidemark.plans.scan import global_running_drawdown
-    d = global_running_drawdown(r.select("strategy", "ts", "ret"), ["strategy"], ["ts"], "ret", "week")
-    return round_doubles(d.select("strategy", "ts", "equity", "running_max", "drawdown", "drawdown_pct"))
+    d = global_running_drawdown(r.select("strategy", "series_id", "ts", "ret"), ["strategy", "series_id"], ["ts"], "ret", "week")
+    return round_doubles(d.select("strategy", "series_id", "ts", "equity", "running_max", "drawdown", "drawdown_pct"))
 
 
 # ---------------------------------------------------------------- backtest twin
@@ -93,7 +144,7 @@ def w3_cumulative_drawdown(spark, sf_dir):
 
 def _step_sql(v: str, p: str = "") -> dict[str, str]:
     """SQL expressions of one fold step from state ``v`` over the row columns
-    ``{p}da, {p}s, {p}a, {p}cost`` (same operation order as backtest._fold_rows)."""
+    ``{p}da, {p}s, {p}a, {p}cost`` (same operation order as backtest.portfolio_backtest)."""
     da, sp, a, cost = f"{p}da", f"{p}s", f"{p}a", f"{p}cost"
     pos = f"({v} * {bt.POSITION_PCT!r})"
     sizing = f"greatest(abs({da}), {bt.PRICE_FLOOR!r})"
@@ -230,8 +281,8 @@ def a30_backtest_metrics(spark, sf_dir):
     return round_doubles(bt.backtest_metrics(_trade_log(spark, sf_dir)))
 
 
-@register("r7_cost_sensitivity", _metrics_sql(COST_SCENARIOS))
-def r7_cost_sensitivity(spark, sf_dir):
+@register("b2_backtest_cost_scenarios", _metrics_sql(COST_SCENARIOS))
+def b2_backtest_cost_scenarios(spark, sf_dir):
     log = _trade_log(spark, sf_dir, COST_SCENARIOS)
     return round_doubles(bt.backtest_metrics(log, ["strategy", "series_id", "cost"]))
 
@@ -241,16 +292,21 @@ def _tail_sql() -> str:
     tl = f"tl AS ({body.strip()})"
     sel = """
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY strategy, series_id ORDER BY period DESC) AS p FROM tl)
-SELECT strategy, series_id, count(*) AS n_periods, arg_max(equity, p) AS start_equity,
-       arg_min(portfolio_value, p) AS end_value, sum(net_pnl) AS total_pnl,
-       count(*) FILTER (WHERE net_pnl > 0) AS n_wins, count(*) FILTER (WHERE net_pnl < 0) AS n_losses,
+SELECT strategy, series_id, count(*) AS n_periods, min(period) AS first_period, max(period) AS last_period,
+       arg_max(equity, p) AS start_equity, arg_min(equity, p) AS end_value,
+       arg_min(equity, p) - arg_max(equity, p) AS total_pnl,
+       (arg_min(equity, p) - arg_max(equity, p)) / arg_max(equity, p) * 100 AS total_pnl_pct,
+       count(*) FILTER (WHERE action <> 0) AS n_trades,
+       count(*) FILTER (WHERE action <> 0 AND net_pnl > 0) AS n_wins,
+       count(*) FILTER (WHERE action <> 0 AND net_pnl < 0) AS n_losses,
+       count(*) FILTER (WHERE action <> 0 AND net_pnl > 0) / nullif(count(*) FILTER (WHERE action <> 0), 0) * 100 AS win_rate,
        avg(spread) AS spread_mean, stddev_samp(spread) AS spread_std, min(spread) AS spread_min,
        max(spread) AS spread_max, count(*) FILTER (WHERE action = 1) AS n_long,
        count(*) FILTER (WHERE action = -1) AS n_short, count(*) FILTER (WHERE action = 0) AS n_flat,
        sum(CASE WHEN action = 1 THEN net_pnl ELSE 0.0 END) AS pnl_long,
        sum(CASE WHEN action = -1 THEN net_pnl ELSE 0.0 END) AS pnl_short
 FROM t WHERE p <= 20 GROUP BY ALL"""
-    return _recursive(with_views(rounded(sel, ["start_equity", "end_value", "total_pnl", "spread_mean", "spread_std",
+    return _recursive(with_views(rounded(sel, ["start_equity", "end_value", "total_pnl", "total_pnl_pct", "win_rate", "spread_mean", "spread_std",
                                                "spread_min", "spread_max", "pnl_long", "pnl_short"]),
                                  "v_actions", extra=[cte, tl]))
 
@@ -260,6 +316,22 @@ def a31_equity_tail_report(spark, sf_dir):
     return round_doubles(bt.equity_tail_report(_trade_log(spark, sf_dir), 20))
 
 
+def _losses_sql() -> str:
+    cte, body = _backtest_sql()
+    tl = f"tl AS ({body.strip()})"
+    sel = """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY strategy, series_id ORDER BY period DESC) AS p FROM tl),
+l AS (SELECT *, row_number() OVER (PARTITION BY strategy, series_id ORDER BY net_pnl, period) AS rank
+      FROM t WHERE p <= 20 AND action <> 0 AND net_pnl < 0)
+SELECT strategy, series_id, rank, period, action, spread, net_pnl FROM l WHERE rank <= 5"""
+    return _recursive(with_views(rounded(sel, ["spread", "net_pnl"]), "v_actions", extra=[cte, tl]))
+
+
+@register("k5_largest_losses", _losses_sql())
+def k5_largest_losses(spark, sf_dir):
+    return round_doubles(bt.largest_losses(_trade_log(spark, sf_dir), 20, 5))
+
+
 def _equity_sql() -> str:
     cte, body = _backtest_sql()
     tl = f"tl AS ({body.strip()})"
