@@ -12,8 +12,11 @@ def test_string_helpers(spark):
                                "a string, b string, c string, d string")
     r = df.select(sanitize_feature_name("a").alias("s"), truncate_label("b", 8).alias("t"),
                   feature_category("c").alias("k"), is_blank("d").alias("bl"),
-                  feature_category(F.lit("td_topic_x")).alias("k2")).first()
+                  feature_category(F.lit("news_topic_x")).alias("k2"),
+                  feature_category(F.lit("hydro_mw")).alias("k3"), feature_category(F.lit("ln1"), "ln").alias("k4"),
+                  sanitize_feature_name(F.lit("CO₂ Ő½")).alias("s2")).first()
     assert r["s"] == "Groesse_Ueberschuss_EUR"
+    assert r["s2"] == "CO2_O12" and r["k3"] == "Energy" and r["k4"] == "NLP"
     assert r["t"] == "abcde..."
     assert r["k"] == "Price" and r["k2"] == "NLP" and r["bl"] is True
 

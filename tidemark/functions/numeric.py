@@ -35,15 +35,6 @@ def argmax_array(arr) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("bigint")
 
 
-def hash_uniform(*parts) -> Column:
-    """Deterministic U[0,1) from md5 of the joined parts.
-
-    Same definition in DuckDB: ``('0x'||substr(md5(k),1,8))::BIGINT / 4294967296``.
-    """
-    key = F.concat_ws("-", *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def poisson1_quantile(u) -> Column:
     """Inverse CDF of Poisson(1) at ``u`` (exact up to k = 12, mass beyond < 1e-10)."""
     u = _c(u)

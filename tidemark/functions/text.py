@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +22,9 @@ def clean_news_text(x) -> Column:
     collapse white space and trim.  NULL stays NULL (all functions are null-safe)."""
     c = _c(x)
     c = F.regexp_replace(c, '"', "")
-    c = F.regexp_replace(c, r"(?U)\*{3,}.*?\*{3,}\s*", "")
-    c = F.regexp_replace(c, r"(?U)^\*+\s*|\s*\*+$", "")
+    # (?d): only a line feed ends a line for . and $, as in Python
+    c = F.regexp_replace(c, r"(?Ud)\*{3,}.*?\*{3,}\s*", "")
+    c = F.regexp_replace(c, r"(?Ud)^\*+\s*|\s*\*+$", "")
     c = F.regexp_replace(c, r"(?U)\s+", " ")
     return F.trim(c)
 
@@ -37,16 +41,22 @@ UMLAUT_FROM = "äöüÄÖÜß"
 UMLAUT_TO = ["ae", "oe", "ue", "Ae", "Oe", "Ue", "ss"]
 
 
+def _ascii_fold():
+    """NFKD with everything that is not ASCII left out; Spark has no normaliser, so this one
+    step is an Arrow-batched UDF (feature names are few)."""
+    @F.pandas_udf("string")
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
+    return fold
+
+
 def sanitize_feature_name(x) -> Column:
-    """Umlauts -> digraphs, strip accents, non ``[A-Za-z0-9_.-]`` -> ``_``,
-    collapse and strip underscores."""
+    """Umlauts -> digraphs, NFKD to ASCII, non ``[A-Za-z0-9_.-]`` -> ``_``, collapse and
+    strip underscores."""
     c = _c(x)
     for src, dst in zip(UMLAUT_FROM, UMLAUT_TO):
         c = F.replace(c, F.lit(src), F.lit(dst))
-    # NFKD + drop combining marks == remove accents; Java's Normalizer is not exposed
-    # in SQL, so fold the common Latin accents with translate and replace the rest.
-    c = F.translate(c, "àáâãåçèéêëìíîïñòóôõùúûýÿÀÁÂÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÙÚÛÝ",
-                    "aaaaaceeeeiiiinooooouuuyyAAAAACEEEEIIIINOOOOUUUY")
+    c = _ascii_fold()(c)
     c = F.regexp_replace(c, r"[^A-Za-z0-9_\-.]", "_")
     c = F.regexp_replace(c, r"_+", "_")
     return F.regexp_replace(c, r"^_+|_+$", "")
@@ -59,11 +69,13 @@ def truncate_label(x, max_len: int = 40) -> Column:
                   F.concat(F.substring(c, 1, max_len - 3), F.lit("..."))).otherwise(c)
 
 
-def feature_category(x) -> Column:
-    """Tag a feature name as NLP / Price / Energy / Other."""
+# Keywords of the feature categories.
+PRICE_WORDS = "price|spread|auction|spot"
+ENERGY_WORDS = "solar|wind|hydro|biomass|load|generation"
+
+
+def feature_category(x, nlp_prefix: str = "news_") -> Column:
+    """Tag a feature name as NLP (by its prefix), Price, Energy or Other."""
     c = F.lower(_c(x))
-    return (F.when(c.startswith("topic_") | c.startswith("embedding_") | c.contains("decay")
-                   | c.startswith("td_"), "NLP")
-            .when(c.rlike("price|spread|auction|spot"), "Price")
-            .when(c.rlike("load|generation|renewable|nuclear|wind|solar"), "Energy")
-            .otherwise("Other"))
+    return (F.when(c.startswith(nlp_prefix.lower()), "NLP").when(c.rlike(PRICE_WORDS), "Price")
+            .when(c.rlike(ENERGY_WORDS), "Energy").otherwise("Other"))

@@ -173,8 +173,8 @@ def class_weights(train: DataFrame, y: str = "y_true", power: float = 1.0) -> Da
 
 def _score_block(n_blocks: int = 1024):
     """Monotone score -> block map for probabilities in [0, 1] (out-of-range scores
-    fall into the end blocks, still monotone)."""
-    return F.least(F.greatest(F.floor(F.col("score") * n_blocks), F.lit(-1)), F.lit(n_blocks)).cast("int")
+    fall into the end blocks, NaN above all numbers as Spark sorts it)."""
+    return F.when(F.isnan("score"), F.lit(n_blocks + 1)).otherwise(F.least(F.greatest(F.floor(F.col("score") * n_blocks), F.lit(-1)), F.lit(n_blocks)).cast("int"))
 
 
 def _auc_from_counts(g: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -208,8 +208,12 @@ def ovo_auc(pred: DataFrame, classes: Sequence[int] = (0, 1, 2), keys: Sequence[
                   F.col("e.score").alias("score")).agg(
         F.sum("e.is_pos").alias("pos"), F.sum(1 - F.col("e.is_pos")).alias("neg"))
     a = _auc_from_counts(g, [*keys, "pair", "pos_class"])
-    per_pair = a.groupBy(*keys, "pair").agg(F.avg("auc").alias("pair_auc"))
-    return per_pair.groupBy(*keys).agg(F.avg("pair_auc").alias("auc_ovo"))
+    # classes without rows leave no pair; with two classes the AUC of the higher one counts,
+    # with one there is none
+    a = a.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+    per_pair = a.groupBy(*keys, "pair").agg(F.avg("auc").alias("pair_auc"), F.max_by("auc", "pos_class").alias("high_auc"))
+    return per_pair.groupBy(*keys).agg(F.when(F.count(F.lit(1)) == 1, F.max("high_auc"))
+                                       .otherwise(F.avg("pair_auc")).alias("auc_ovo"))
 
 
 def roc_points(pred: DataFrame, classes: Sequence[int] = (0, 1, 2), keys: Sequence[str] = ("model",),
@@ -239,6 +243,31 @@ def roc_points(pred: DataFrame, classes: Sequence[int] = (0, 1, 2), keys: Sequen
     return g.select(*keys, "cls", F.col("score").alias("threshold"), "tpr", "fpr", "auc")
 
 
+def macro_roc(points: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+    """Macro-average ROC from ``roc_points``: at every distinct fpr of any class the mean of
+    the class curves, each interpolated linearly, and the area under that mean curve.
+
+    A class's curve at x is its highest tpr at fpr = x, else the line between its neighbours;
+    both come from running windows over the distinct fpr values per class."""
+    keys = list(keys)
+    curve = points.filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull()).select(*keys, "cls", "fpr", "tpr")
+    zero = curve.select(*keys, "cls", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).distinct()
+    curve = curve.unionByName(zero).groupBy(*keys, "cls", "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo"))
+    grid = curve.select(*keys, "fpr").distinct().join(curve.select(*keys, "cls").distinct(), keys)
+    full = grid.join(curve, [*keys, "cls", "fpr"], "left")
+    w = Window.partitionBy(*keys, "cls").orderBy("fpr")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    at = F.when(F.col("hi").isNotNull(), F.col("fpr"))
+    full = full.select("*", F.last(at, True).over(back).alias("x0"), F.last("hi", True).over(back).alias("y0"),
+                       F.first(at, True).over(ahead).alias("x1"), F.first("lo", True).over(ahead).alias("y1"))
+    y = F.coalesce("hi", F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x1") - F.col("x0")),
+                   F.col("y0"))
+    mean = full.groupBy(*keys, "fpr").agg(F.avg(y).alias("tpr"))
+    o = Window.partitionBy(*keys).orderBy("fpr")
+    part = (F.col("fpr") - F.lag("fpr").over(o)) * (F.col("tpr") + F.lag("tpr").over(o)) / 2
+    return mean.select("*", F.sum(F.coalesce(part, F.lit(0.0))).over(Window.partitionBy(*keys)).alias("macro_auc"))
+
+
 def cv_score_summary(scores: DataFrame, keys: Sequence[str], value: str = "score") -> DataFrame:
     """Mean and population std of fold scores per parameter/training size."""
     return scores.groupBy(*keys).agg(F.avg(value).alias("mean_score"),

@@ -92,17 +92,37 @@ def _restrict_to_targets(df: DataFrame, targets: DataFrame, ts: str) -> DataFram
     """Keep only the requested target hours.  The target side is the distinct hour
     set (bounded by the time span); AQE broadcasts it when its measured size is
     under the threshold and keeps a shuffle join otherwise."""
-    tgt = targets.select(hour_index(ts).alias("t")).distinct()
+    whole = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz") == F.col(ts)
+    tgt = targets.filter(F.col(ts).isNotNull()).select(
+        F.when(whole, hour_index(ts)).otherwise(F.raise_error(F.lit(
+            "a target is not on the hour: name its minutes in target_minutes")).cast("bigint")).alias("t")).distinct()
     return df.join(tgt, "t", "left_semi")
 
 
 def decayed_topic_counts(articles: DataFrame, targets: DataFrame,
                          lookback: int = DEFAULT_LOOKBACK, decay_lambda: float = DEFAULT_LAMBDA,
                          *, ts: str = "publishedAt", topic: str = "topic",
-                         target_ts: str = "ts", other_label: str | None = None) -> DataFrame:
-    """A1: (ts, topic, weight) with weight = sum of exp(-lambda * whole hours)."""
-    b = topic_buckets(articles, ts, topic, other_label)
-    return decayed_from_buckets(b, targets, lookback, decay_lambda, target_ts=target_ts)
+                         target_ts: str = "ts", other_label: str | None = None,
+                         target_minutes: Sequence[int] = (0,)) -> DataFrame:
+    """A1: (ts, topic, weight) with weight = sum of exp(-lambda * whole hours).
+
+    Targets lie on the minutes ``target_minutes`` past the hour ((0, 15, 30, 45) for a
+    quarter-hourly grid); whole hours are counted back from the target, so for each minute
+    the articles are bucketed on a clock that is shifted by it.  Another minute raises."""
+    minutes = sorted({int(m) for m in target_minutes})
+    past = F.minute(target_ts)
+    parts = []
+    for m in minutes:
+        shift = F.expr(f"INTERVAL {m} MINUTES")
+        own = targets.filter(past == m) if m != minutes[0] else targets.filter((past == m) | ~past.isin(minutes))
+        b = topic_buckets(articles.withColumn(ts, (F.col(ts) - shift).cast("timestamp_ntz")), ts, topic, other_label)
+        moved = own.select((F.col(target_ts) - shift).cast("timestamp_ntz").alias(target_ts))
+        r = decayed_from_buckets(b, moved, lookback, decay_lambda, target_ts=target_ts)
+        parts.append(r.withColumn("ts", (F.col("ts") + shift).cast("timestamp_ntz")))
+    out = parts[0]
+    for r in parts[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def decayed_from_buckets(b: DataFrame, targets: DataFrame, lookback: int = DEFAULT_LOOKBACK,
@@ -171,10 +191,6 @@ def decayed_topic_grid(articles: DataFrame, targets: DataFrame,
                     from_hour_index("t").alias("ts"), "topic", F.col("c.weight").alias("weight")))
 
 
-def _lam_key(lam: float) -> str:
-    return str(lam).replace(".", "p").replace("-", "m")
-
-
 def valid_vectors(df: DataFrame, vec: str = "embedding", dim: int | None = None) -> DataFrame:
     """Drop NULL vectors, vectors holding NULL/NaN and wrong-width vectors."""
     cond = F.col(vec).isNotNull() & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v))
@@ -202,10 +218,7 @@ def decayed_embeddings(articles: DataFrame, targets: DataFrame,
                        lookback: int = DEFAULT_LOOKBACK, decay_lambda: float = DEFAULT_LAMBDA,
                        *, ts: str = "publishedAt", vec: str = "embedding",
                        target_ts: str = "ts", dim: int | None = None) -> DataFrame:
-    """A2 in long form: (ts, dim, value) = sum(w * v) / sum(w) per position.
-
-    ``assemble_vectors`` turns it back into one array per ts (groups bounded by
-    the embedding width)."""
+    """A2 in long form: (ts, dim, value) = sum(w * v) / sum(w) per position."""
     b = embedding_buckets(articles, ts, vec, dim)
     L = int(lookback)
     x = _explode_lags(b, L)
@@ -265,18 +278,6 @@ def decayed_embedding_grid(articles: DataFrame, targets: DataFrame,
                     from_hour_index("t").alias("ts"), F.col("pos").cast("bigint").alias("dim"), value.alias("value"))
 
 
-def assemble_vectors(long_df: DataFrame, keys: Sequence[str] = ("ts",), pos: str = "dim",
-                     value: str = "value", out: str = "embedding") -> DataFrame:
-    """Long (keys, pos, value) -> (keys, array) ordered by position.
-
-    Each group holds exactly one row per vector position, so it is bounded by the
-    embedding width whatever the data volume."""
-    return (long_df.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
-                 .alias("_pv"))
-            .select(*keys, F.transform("_pv", lambda s: s["v"]).alias(out)))
-
-
 def topic_features_wide(long_df: DataFrame, topics: Sequence[str], keys: Sequence[str] = ("ts",),
                         topic: str = "topic", value: str = "weight", prefix: str = "") -> DataFrame:
     """Pivot long topic weights to model columns with an explicit topic list

@@ -23,14 +23,8 @@ def value_counts(df: DataFrame, col: str, keys: Sequence[str] = (), dropna: bool
 
 
 def with_share(g: DataFrame, value: str, keys: Sequence[str], out: str, scale: float = 100.0) -> DataFrame:
-    """W13 on aggregated rows without a one-partition window: per-key totals are a
-    grouped sum joined back on the keys; without keys the total is one scalar."""
-    keys = list(keys)
-    if keys:
-        tot = g.groupBy(*keys).agg(F.sum(value).alias("_tot"))
-        return g.join(tot, keys).withColumn(out, F.col(value) / F.col("_tot") * scale).drop("_tot")
-    total = g.agg(F.sum(value)).first()[0]
-    return g.withColumn(out, F.col(value) / F.lit(float(total or 0) or float("nan")) * scale)
+    """W13 on aggregated rows: share of the total of the keys (null keys are a group too)."""
+    return g.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(*keys)) * scale)
 
 
 def top_n_counts(df: DataFrame, col: str, n: int = 10) -> DataFrame:
@@ -109,59 +103,43 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], lower: bool = True) -
     return one.select(F.explode(cells).alias("c")).select("c.col_a", "c.col_b", "c.corr")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], max_exact: int = 200_000,
-                    bins: int = 1024) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024) -> list[float | None]:
     """Exact linear-interpolated quantiles (pandas/NumPy 'linear', DuckDB
-    ``quantile_cont``) without sending the column to one task.
+    ``quantile_cont``) without collecting rows, the same way at any size.
 
-    Each rank is found by histogram narrowing: one grouped count over ``bins``
-    equal-width bins of the current value range (a small aggregate), keep the bin
-    that holds the rank, repeat until the bin holds at most ``max_exact`` rows (or
-    one distinct value), then read that bounded slice.  A value repeated in a third
-    of all rows ends the search as a single-valued bin."""
+    The value of a rank is found by histogram narrowing: a grouped count over ``bins``
+    equal-width bins of the current value range (``bins`` rows), keep the bin that holds the
+    rank and its least and largest value, repeat until both are equal.  The next larger
+    value, for interpolation, is one more aggregate."""
     from tidemark.session import cut_lineage
     # the search makes a few passes: materialise the single value column once
     x = cut_lineage(df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")))
-    n, lo0, hi0 = x.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None for _ in probs]
-    if n <= max_exact:                      # small input: one bounded read
-        allv = sorted(v[0] for v in x.collect())
-        return [allv[int(np.floor(q * (n - 1)))] + (allv[min(int(np.floor(q * (n - 1))) + 1, n - 1)]
-                - allv[int(np.floor(q * (n - 1)))]) * (q * (n - 1) - np.floor(q * (n - 1))) for q in probs]
-
-    def kth(r: int) -> float:
-        cur = x
-        lo, hi, below = lo0, hi0, 0
-        while True:
-            if lo == hi:
-                return lo
-            width = hi - lo
-            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width) * bins), F.lit(bins - 1)).cast("int")
-            hist = sorted(cur.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"),
-                                                        F.max("v").alias("mx")).collect())
-            acc = below
-            for row in hist:
-                if acc + row["c"] > r:
-                    sel = cur.filter(b == row["b"])
-                    if row["c"] <= max_exact or row["mn"] == row["mx"]:
-                        if row["mn"] == row["mx"]:
-                            return row["mn"]
-                        vals = sorted(v[0] for v in sel.collect())
-                        return vals[r - acc]
-                    cur, lo, hi, below = sel, row["mn"], row["mx"], acc
+    n, lowest, highest = x.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+
+    def kth(rank: int) -> tuple[float, int]:
+        """The value of a rank and how many values are at or below it."""
+        lo, hi, below, inside = lowest, highest, 0, n
+        while lo < hi:
+            width = (hi - lo) / bins
+            at = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)) if width > 0 else (F.col("v") > lo).cast("bigint")
+            rows = (x.filter((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy(at.alias("b"))
+                    .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx")).orderBy("b").collect())
+            for row in rows:
+                if below + row["c"] > rank:
+                    lo, hi, inside = row["mn"], row["mx"], row["c"]
                     break
-                acc += row["c"]
+                below += row["c"]
+        return lo, below + inside
 
-    out = []
-    for q in probs:
-        pos = q * (n - 1)
-        r0 = int(np.floor(pos))
-        r1 = min(r0 + 1, n - 1)
-        v0 = kth(r0)
-        v1 = kth(r1) if pos > r0 else v0
-        out.append(v0 + (v1 - v0) * (pos - r0))
-    return out
+    def quantile(q: float) -> float:
+        at = q * (n - 1)
+        value, upto = kth(int(np.floor(at)))
+        part = at - np.floor(at)
+        if part == 0 or upto > np.floor(at) + 1:
+            return value
+        return value + (x.filter(F.col("v") > value).agg(F.min("v")).first()[0] - value) * part
+
+    return [quantile(q) if n else None for q in probs]
 
 
 def topic_stats(df: DataFrame, topic: str, score: str, other_label: str) -> DataFrame:
@@ -175,10 +153,11 @@ def topic_stats(df: DataFrame, topic: str, score: str, other_label: str) -> Data
         F.count(topic).alias("n_classified")).withColumn("median_score", F.lit(med).cast("double"))
 
 
-def category_importance(imp: DataFrame, feature: str = "feature", value: str = "importance") -> DataFrame:
+def category_importance(imp: DataFrame, feature: str = "feature", value: str = "importance",
+                        nlp_prefix: str = "news_") -> DataFrame:
     """Importance summed by feature category with share of the total."""
     from tidemark.functions.text import feature_category
-    g = imp.groupBy(feature_category(feature).alias("category")).agg(F.sum(value).alias("importance"))
+    g = imp.groupBy(feature_category(feature, nlp_prefix).alias("category")).agg(F.sum(value).alias("importance"))
     return g.withColumn("pct", F.col("importance") / F.sum("importance").over(Window.partitionBy()) * 100)
 
 
@@ -188,9 +167,10 @@ def kde_density(df: DataFrame, features: Sequence[str], group: str | None = None
     Scott bandwidth h = std(ddof=1) * n^(-1/5), evaluated on ``grid_size`` points
     spanning [min - range/2, max + range/2].
 
-    Each row only touches the grid points within ``cutoff`` bandwidths (kernel mass
-    beyond 8h is below 1e-14), so work grows with rows x (16h / grid step), not
-    rows x grid; the per-(feature, group) stats table is tiny (joined by key)."""
+    Each row adds to the grid points within ``cutoff`` bandwidths: beyond 8h its kernel is
+    below 1e-14 of the peak, under the precision of the sum.  Work so grows with rows x
+    (16h / grid step), not rows x grid.  Every grid point of every (feature, group) is
+    returned; the stats table that spans the grid has one row for each of them."""
     keys = ["feature"] + ([group] if group else [])
     stack = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("x"))
                       for f in features])
@@ -209,8 +189,13 @@ def kde_density(df: DataFrame, features: Sequence[str], group: str | None = None
     gx = F.col("g0") + F.col("gi") * F.col("step")
     z = (gx - F.col("x")) / F.col("h")
     contrib = F.exp(-0.5 * z * z)
-    dens = e.groupBy(*keys, "gi").agg(F.sum(contrib).alias("s"), F.first("h").alias("h"), F.first("n").alias("n"),
-                                      F.first("g0").alias("g0"), F.first("step").alias("step"))
-    return dens.select(*keys, F.col("gi").cast("bigint").alias("grid_index"),
-                       (F.col("g0") + F.col("gi") * F.col("step")).alias("x"),
-                       (F.col("s") / (F.col("n") * F.col("h") * F.lit(float(np.sqrt(2 * np.pi))))).alias("density"))
+    dens = e.groupBy(*keys, "gi").agg(F.sum(contrib).alias("s"))
+    grid = st.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "h", "g0", "step",
+                     F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("_gi"))
+    same = F.col("_gi") == F.col("gi")
+    for k in keys:
+        same = same & F.col(f"_{k}").eqNullSafe(F.col(k))
+    full = grid.join(dens.select(*keys, "gi", "s"), same, "left")
+    return full.select(*[F.col(f"_{k}").alias(k) for k in keys], F.col("_gi").cast("bigint").alias("grid_index"),
+                       (F.col("g0") + F.col("_gi") * F.col("step")).alias("x"),
+                       (F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.col("h") * F.lit(float(np.sqrt(2 * np.pi))))).alias("density"))

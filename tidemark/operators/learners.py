@@ -123,12 +123,12 @@ def fit_forest(train: DataFrame, features: Sequence[str], params: dict, label: s
     return _forest(params, label=label, seed=seed).fit(with_class_weights(vectorise(train, features), label))
 
 
-def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
+def feature_importance(model, features: Sequence[str], spark, nlp_prefix: str = "news_") -> DataFrame:
     """Importance per feature, sorted descending, with its category."""
     from tidemark.functions.text import feature_category
     imp = model.featureImportances.toArray().tolist()
     df = spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
-    return df.withColumn("category", feature_category("feature")) \
+    return df.withColumn("category", feature_category("feature", nlp_prefix)) \
              .withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), F.col("feature"))))
 
 
@@ -144,14 +144,21 @@ def calibrate_platt(val_pred: DataFrame, test_pred: DataFrame, classes: Sequence
     for c in classes:
         sc = F.element_at("proba", int(c) + 1)
         v = VectorAssembler(inputCols=["_s"], outputCol="_f")
-        tr = v.transform(val_pred.select(sc.alias("_s"), (F.col("y_true") == c).cast("double").alias("_y")))
-        lr = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=0.0).fit(tr)
+        # Platt's smoothed targets: (n+ + 1) / (n+ + 2) for hits and 1 / (n- + 2) for misses, as
+        # two weighted rows per prediction
+        hit = (F.col("y_true") == c)
+        n_hit, n_miss = val_pred.agg(F.count_if(hit), F.count_if(~hit)).first()
+        target = F.when(hit, F.lit((n_hit + 1.0) / (n_hit + 2.0))).otherwise(F.lit(1.0 / (n_miss + 2.0)))
+        both = F.explode(F.array(F.struct(F.lit(1.0).alias("_y"), F.col("_t").alias("_w")),
+                                 F.struct(F.lit(0.0).alias("_y"), (1 - F.col("_t")).alias("_w"))))
+        tr = v.transform(val_pred.select(sc.alias("_s"), target.alias("_t")).select("_s", both.alias("_p")).select("_s", "_p.*"))
+        lr = LogisticRegression(featuresCol="_f", labelCol="_y", weightCol="_w", regParam=0.0).fit(tr)
         out = v.transform(out.withColumn("_s", sc))
         out = lr.transform(out).withColumn(f"_c{c}", vector_to_array("probability")[1]) \
                 .drop("_s", "_f", "rawPrediction", "probability", "prediction")
         cal_cols.append(F.col(f"_c{c}"))
     tot = sum(cal_cols[1:], cal_cols[0])
-    out = out.withColumn("proba", F.array(*[F.try_divide(c, tot) for c in cal_cols]))
+    out = out.withColumn("proba", F.array(*[F.coalesce(F.try_divide(c, tot), F.lit(1.0 / len(classes))) for c in cal_cols]))
     from tidemark.functions.numeric import argmax_array
     cls = F.array(*[F.lit(int(c)) for c in classes])
     return out.withColumn("y_pred", F.element_at(cls, (argmax_array("proba") + 1).cast("int"))) \
@@ -195,18 +202,21 @@ def enrich_with_predictions(df: DataFrame, model, features: Sequence[str], prefi
 def learning_curve(train: DataFrame, features: Sequence[str], folds: DataFrame, params: dict,
                    fractions: Sequence[float] = tuple(np.linspace(0.1, 1.0, 10)), label: str = "label",
                    id_col: str = "row_index", parallelism: int = 4) -> DataFrame:
-    """Per train fraction and fold, fit on the first fraction of the fold's
-    training rows (time order), score train and test macro-F1; mean/std/gap (A35)."""
+    """Per train size and fold, fit on the first rows of the fold's training rows (time
+    order), score train and test macro-F1; mean/std/gap (A35).  The sizes are fractions of the
+    first fold's training rows and the same for all folds."""
     from tidemark.session import cut_lineage
     spark = train.sparkSession
     base = cut_lineage(vectorise(train, features))
     fold_ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
 
+    # one list of train sizes for all folds, from the first fold's training rows
+    first_size = folds.filter((F.col("fold") == fold_ids[0]) & (F.col("role") == "train")).count()
+
     def run(job):
         frac, f = job
+        k = max(int(first_size * frac), 1)
         trf = folds.filter((F.col("fold") == f) & (F.col("role") == "train"))
-        n = trf.count()
-        k = max(int(n * frac), 1)
         tr_ids = trf.filter(F.col(id_col) < F.lit(k) + trf.agg(F.min(id_col)).first()[0]).select(id_col)
         tr = base.join(tr_ids, id_col)
         te = base.join(folds.filter((F.col("fold") == f) & (F.col("role") == "test")).select(id_col), id_col)

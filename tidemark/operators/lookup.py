@@ -3,8 +3,8 @@
 Configuration dimensions (topic -> valence, label -> short label, group -> leaves)
 are small and fixed by the configuration, not by the data, so they are inlined as a
 ``map`` literal: one hash lookup per row inside codegen, no join and no shuffle.
-For a dimension that is itself a large table, ``lookup_join`` uses a plain left
-join and lets AQE pick broadcast only when the measured size allows it.
+A dimension that is itself a large table is a plain left join: AQE picks a broadcast
+only when the measured size allows it.
 """
 
 from __future__ import annotations
@@ -34,11 +34,6 @@ def short_label(df: DataFrame, label: str, short: Mapping[str, str], out: str =
     return df.withColumn(out, F.coalesce(F.element_at(m, F.col(label)), F.col(label)))
 
 
-def lookup_join(df: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """J7 for table-sized dimensions."""
-    return df.join(dim, key, how)
-
-
 def resolve_column(df: DataFrame, candidates) -> str | None:
     """P10: first candidate name present in the frame (plan-time, no data read)."""
     for c in candidates:

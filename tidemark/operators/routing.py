@@ -7,8 +7,8 @@ Python: every executor routes its own rows with JVM expressions.
 
 Scores come from a pluggable scorer ``scorer(text_col, labels_col, stage) -> Column``
 returning an array of scores aligned with ``labels_col`` (NULL for a blank text).
-``hash_scorer`` is the deterministic stand-in used for parity with the SQL twin; a
-model-backed scorer plugs in through ``mapInPandas`` (see ``model_scorer``).
+``text_scorer`` reads them from the label scores that ``with_label_scores`` computes from
+the text; ``hash_scorer`` gives deterministic pseudo-scores for tests of the routing alone.
 """
 
 from __future__ import annotations
@@ -103,7 +103,9 @@ def route(df: DataFrame, text: str, scorer: Scorer, *, groups: Mapping[str, Sequ
     ``{prefix}_stage1_score``."""
     order = [g for g in stage_order if g in groups] + [g for g in groups if g not in stage_order]
     glabels = F.array(*[F.lit(g) for g in order])
-    s1 = scorer(F.col(text), glabels, "stage1")
+    # scores become columns before they are used several times: each is worked out once
+    df = df.withColumn("_s1", scorer(F.col(text), glabels, "stage1"))
+    s1 = F.col("_s1")
     g_top, g_score = _top(glabels, s1)
     fb_leaf = groups.get(fallback_group, [None])[0] if fallback_group else None
     blank = s1.isNull()
@@ -115,7 +117,8 @@ def route(df: DataFrame, text: str, scorer: Scorer, *, groups: Mapping[str, Sequ
     d = df.withColumn("_g", stage1_label).withColumn("_g1", stage1_score)
     leaves = F.element_at(leaf_map, F.col("_g"))
     d = d.withColumn("_leaves", leaves)
-    s2 = scorer(F.col(text), F.col("_leaves"), "stage2")
+    d = d.withColumn("_s2", scorer(F.col(text), F.col("_leaves"), "stage2"))
+    s2 = F.col("_s2")
     l_top, l_score = _top(F.col("_leaves"), s2)
     single = F.size("_leaves") == 1
     fb = F.lit(fb_leaf) if fb_leaf is not None else F.lit(None).cast("string")
@@ -128,19 +131,20 @@ def route(df: DataFrame, text: str, scorer: Scorer, *, groups: Mapping[str, Sequ
         .when(low, F.greatest(stage2_score, F.col("_g1"))).otherwise(stage2_score)
     return (d.withColumn(prefix, final_label).withColumn(f"{prefix}_score", final_score)
              .withColumn(f"{prefix}_stage1", F.col("_g")).withColumn(f"{prefix}_stage1_score", F.col("_g1"))
-             .drop("_g", "_g1", "_leaves"))
+             .drop("_g", "_g1", "_leaves", "_s1", "_s2"))
 
 
 def route_flat(df: DataFrame, text: str, scorer: Scorer, labels: Sequence[str] = CANDIDATE_LABELS,
                prefix: str = "classification") -> DataFrame:
     """Single stage over all labels; blank -> NULL label, score 0."""
     arr = F.array(*[F.lit(v) for v in labels])
-    s = scorer(F.col(text), arr, "flat")
+    df = df.withColumn("_s", scorer(F.col(text), arr, "flat"))
+    s = F.col("_s")
     top, best = _top(arr, s)
     label = F.when(s.isNull(), F.lit(None).cast("string")).otherwise(top)
     score = F.when(s.isNull(), F.lit(0.0)).otherwise(best)
     return (df.withColumn(prefix, label).withColumn(f"{prefix}_score", score)
-              .withColumn(f"{prefix}_stage1", label).withColumn(f"{prefix}_stage1_score", score))
+              .withColumn(f"{prefix}_stage1", label).withColumn(f"{prefix}_stage1_score", score).drop("_s"))
 
 
 def second_pass_other(df: DataFrame, text: str, scorer: Scorer, other_label: str = OTHER_LABEL,
@@ -157,53 +161,69 @@ def second_pass_other(df: DataFrame, text: str, scorer: Scorer, other_label: str
     return out.drop("_is_other", tmp, f"{tmp}_score", f"{tmp}_stage1", f"{tmp}_stage1_score")
 
 
-def model_scorer_udf(predict: Callable, labels: Sequence[str]):
-    """Wrap a batch scorer ``predict(list[str], list[str]) -> list[list[float]]``
-    as an Arrow-batched pandas UDF returning score arrays (the model is created once
-    per Python worker by ``predict`` itself, e.g. via a cached loader)."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, DoubleType
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def _score(texts: pd.Series) -> pd.Series:
-        mask = texts.isna() | (texts.astype(str).str.strip() == "")
-        out = [None] * len(texts)
-        idx = [i for i, m in enumerate(mask) if not m]
-        if idx:
-            res = predict([texts.iloc[i] for i in idx], list(labels))
-            for i, r in zip(idx, res):
-                out[i] = [float(x) for x in r]
-        return pd.Series(out)
-
-    return _score
-
-
-def tfidf_label_scores(docs: DataFrame, id_col: str, text_col: str, labels: Sequence[str]) -> DataFrame:
-    """T1 offline scorer: TF-IDF cosine between each document and each label text,
-    normalised to sum 1 per document (zero-shot stand-in without a language model).
-
-    Tokens are exploded and joined to the (small, fixed) label-token table on the
-    token: an equi-join, partial aggregates per (doc, label); document frequencies are
-    a grouped count.  Output: (id, label, score)."""
-    tok = r"[^\p{L}\p{N}]+"
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("id"),
-                    F.explode(F.split(F.lower(F.col(text_col)), tok)).alias("token")).filter(F.length("token") > 0)
-    n_docs = docs.select(id_col).distinct().count()
-    tf = d.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.select("token", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    lab = spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "label_idx int, label string")
-    lt = (lab.select("label_idx", "label", F.explode(F.split(F.lower("label"), tok)).alias("token"))
-             .filter(F.length("token") > 0).groupBy("label_idx", "label", "token").agg(F.count(F.lit(1)).alias("ltf")))
-    lt = lt.join(idf, "token", "left").select("label_idx", "label", "token",
-                                              (F.col("ltf") * F.coalesce("idf", F.lit(1.0))).alias("lw"))
-    ln = lt.groupBy("label_idx").agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("ln"))
-    dot = w.join(F.broadcast(lt), "token").groupBy("id", "label_idx").agg(F.sum(F.col("w") * F.col("lw")).alias("dot"))
-    cos = dot.join(norms, "id").join(F.broadcast(ln), "label_idx") \
-             .select("id", "label_idx", (F.col("dot") / (F.col("dn") * F.col("ln"))).alias("cos"))
-    tot = cos.groupBy("id").agg(F.sum("cos").alias("tot"))
-    return cos.join(tot, "id").join(F.broadcast(lab), "label_idx") \
-              .select("id", "label", F.try_divide(F.col("cos"), F.col("tot")).alias("score"))
+#: Score that every label gets before any evidence, per unit of evidence.
+EVIDENCE_FLOOR = 0.01
+
+_NOT_WORD = r"[^\p{L}\p{N}]+"
+
+
+def label_tokens(labels: Sequence[str]) -> dict[str, list[str]]:
+    """Distinct lower-case word tokens of each label."""
+    import re
+    return {v: sorted({t for t in re.split(r"[\W_]+", v.lower()) if t}) for v in labels}
+
+
+def with_label_scores(docs: DataFrame, text_col: str, labels: Sequence[str], out: str = "label_evidence") -> DataFrame:
+    """Add a map label -> TF-IDF evidence of the text for the label (NULL for blank text).
+
+    evidence = sum over the label's tokens of (share of the token among the text's tokens) * idf,
+    divided by the root of the number of label tokens; idf = ln((1 + N) / (1 + df)) + 1.  The
+    length of the document's own vector scales all labels alike and cancels in the scores.
+
+    Only the tokens of the labels (a few dozen, fixed by the configuration) leave the text:
+    each text becomes an array of their counts in one projection, the document frequencies
+    are one global aggregate of these arrays, joined back as a single row."""
+    tokens = label_tokens(labels)
+    vocabulary = sorted({t for ts in tokens.values() for t in ts})
+    lits = F.array(*[F.lit(t) for t in vocabulary])
+    c = F.col(text_col)
+    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), _NOT_WORD), lambda w: w != "")
+    d = docs.withColumn("_words", words)
+    d = d.withColumn("_n", F.size("_words")).withColumn("_hits", F.filter("_words", lambda w: w.isin(vocabulary)))
+    # (the hits are named twice, so Spark keeps them as a column instead of working them out per token)
+    none = F.array_repeat(F.lit(0), len(vocabulary))
+    d = d.withColumn("_tf", F.when(F.size("_hits") == 0, none).otherwise(
+        F.transform(lits, lambda t: F.size(F.filter("_hits", lambda w: w == t))))).drop("_words", "_hits")
+    present = [F.count_if(F.col("_tf")[k] > 0).alias(f"d{k}") for k in range(len(vocabulary))]
+    counts = d.select("_tf").agg(F.count(F.lit(1)).alias("n_docs"), *present)
+    idf = counts.select(F.array(*[F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col(f"d{k}"))) + 1
+                                  for k in range(len(vocabulary))]).alias("_idf"))
+    d = d.join(F.broadcast(idf))  # one row
+    entries = []
+    for label, ts in tokens.items():
+        at = [vocabulary.index(t) for t in ts]
+        weight = sum((F.col("_tf")[k] * F.col("_idf")[k] for k in at), F.lit(0.0))
+        entries += [F.lit(label), F.try_divide(weight, F.col("_n") * F.lit(float(max(len(at), 1)) ** 0.5))]
+    scored = F.when(is_blank(text_col), F.lit(None)).otherwise(
+        F.transform_values(F.create_map(*entries), lambda k, v: F.round(F.coalesce(v, F.lit(0.0)), 12)))
+    return d.withColumn(out, scored).drop("_tf", "_n", "_idf")
+
+
+def text_scorer(evidence: str = "label_evidence", floor: float = EVIDENCE_FLOOR) -> Scorer:
+    """Scores of the candidate labels from their evidence, normalised to sum 1 over the
+    candidates as zero-shot scores are; without evidence all candidates are equal."""
+    def score(text: Column, labels: Column, stage: str) -> Column:
+        raw = F.transform(labels, lambda lab: F.element_at(F.col(evidence), lab) + F.lit(floor))
+        tot = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(F.col(evidence).isNull(), F.lit(None)).otherwise(F.transform(raw, lambda x: x / tot))
+    return score
+
+
+def label_scores(docs: DataFrame, id_col: str, text_col: str, labels: Sequence[str]) -> DataFrame:
+    """T1 in long form: (id, label, score) for every label of every document; the score is NULL
+    for a blank text."""
+    d = with_label_scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text", labels)
+    arr = F.array(*[F.lit(v) for v in labels])
+    pairs = F.arrays_zip(arr.alias("label"), F.coalesce(text_scorer()(F.col("_text"), arr, "flat"),
+                                                        F.transform(arr, lambda x: F.lit(None).cast("double"))).alias("score"))
+    return d.select("id", F.explode(pairs).alias("p")).select("id", "p.label", "p.score")

@@ -4,13 +4,12 @@
 ``hashed_embedding`` is the offline encoder: signed feature hashing of word tokens
 into ``dim`` buckets, L2-normalised; tokens are exploded and aggregated per
 (document, bucket) with partial aggregation, so a huge document or a hot token is
-combined map-side.  A model-backed encoder plugs in as an Arrow pandas UDF
-(``model_encoder_udf``).
+combined map-side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,25 +34,6 @@ def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = 64)
                                      F.coalesce(F.try_divide(F.col("v"), F.col("n")), F.lit(0.0)).alias("value"))
 
 
-def model_encoder_udf(encode: Callable, dim: int):
-    """Batch encoder ``encode(list[str]) -> 2-D array`` as a pandas UDF; blank -> NULL."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, FloatType
-
-    @F.pandas_udf(ArrayType(FloatType()))
-    def _enc(texts: pd.Series) -> pd.Series:
-        mask = texts.isna() | (texts.astype(str).str.strip() == "")
-        out = [None] * len(texts)
-        idx = [i for i, m in enumerate(mask) if not m]
-        if idx:
-            vecs = encode([texts.iloc[i] for i in idx])
-            for i, v in zip(idx, vecs):
-                out[i] = [float(x) for x in v][:dim]
-        return pd.Series(out)
-
-    return _enc
-
-
 def pca_reduce(df: DataFrame, vec: str = "embedding", k: int = 20, id_cols: Sequence[str] = ("id",),
                prefix: str = "embedding_dim_") -> DataFrame:
     """Spark ML PCA fitted on the table (distributed covariance, d x d

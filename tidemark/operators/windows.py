@@ -93,12 +93,6 @@ def normalise_by_max_abs(df: DataFrame, value: str, keys: Sequence[str], out: st
     return df.withColumn(out or f"{value}_norm", F.coalesce(F.nanvl(v, F.lit(None)), F.lit(0.0)))
 
 
-def share_of_total(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "share_pct",
-                   scale: float = 100.0) -> DataFrame:
-    """X / sum(x) over the group (use on aggregated rows, not raw rows)."""
-    return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(*keys)) * scale)
-
-
 def tail_rows(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last n rows per key with position from the end (1 = last)."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
@@ -138,11 +132,3 @@ def weekly_sign_counts(df: DataFrame, ts: str, value: str, keys: Sequence[str] =
         F.count_if(F.col(value) == -1).alias("negative_count"))
     sp = week_spine(df, ts, keys)
     return sp.join(g, [*keys, "week"], "left").fillna(0, subset=["positive_count", "negative_count"])
-
-
-def cumulative_counts(df: DataFrame, score: str, label: Column, keys: Sequence[str]) -> DataFrame:
-    """Per distinct score (descending), cumulative positives and negatives."""
-    g = df.groupBy(*keys, score).agg(F.sum(label.cast("bigint")).alias("pos"),
-                                     F.sum((1 - label.cast("bigint"))).alias("neg"))
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))

@@ -16,7 +16,3 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
-
-
-def double_cols(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

@@ -40,7 +40,7 @@ V_NEWS = """
 v_news AS (
   SELECT doc_id AS article_id,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 7919) % 43200 AS BIGINT)) AS publishedAt,
-         substr(text, 1, 60) AS title, text AS description, source,
+         text AS title, text AS description, source,
          'http://example.com/' || CAST(doc_id AS VARCHAR) AS url
   FROM documents
 )"""

@@ -27,6 +27,27 @@ GROUP BY 1, 2
 """, "v_master_h", "v_topic_news")
 
 
+_A1Q_SQL = with_views(f"""
+SELECT m.ts AS ts, a.topic AS topic,
+       round(sum(exp(-0.05 * ((epoch_us(m.ts) - epoch_us(a.publishedAt)) // {HOURS_US}))), 6) AS weight
+FROM (SELECT DISTINCT ts + o.m * INTERVAL 1 MINUTE AS ts FROM v_master_h, (VALUES (0), (15), (30), (45)) o(m)) m
+JOIN v_topic_news a ON a.publishedAt <= m.ts AND a.publishedAt >= m.ts - INTERVAL 48 HOUR
+WHERE a.topic IS NOT NULL AND a.topic <> 'error'
+GROUP BY 1, 2
+""", "v_master_h", "v_topic_news")
+
+
+@register("a1_decayed_counts_quarter_hours", _A1Q_SQL)
+def a1_decayed_counts_quarter_hours(spark, sf_dir):
+    """A1 for targets that are not on the hour."""
+    quarters = F.explode(F.array(*[F.expr(f"INTERVAL {m} MINUTES") for m in (0, 15, 30, 45)]))
+    targets = _master(spark, sf_dir).select("ts").distinct().select("ts", quarters.alias("q"))
+    targets = targets.select((F.col("ts") + F.col("q")).cast("timestamp_ntz").alias("ts"))
+    out = decay.decayed_topic_counts(T.topic_news(spark, sf_dir), targets, 48, 0.05,
+                                     other_label=T.OTHER_TOPIC_EVENTS, target_minutes=(0, 15, 30, 45))
+    return out.select("ts", "topic", F.round("weight", 6).alias("weight"))
+
+
 @register("a1_decayed_topic_counts", _A1_SQL)
 def a1_decayed_topic_counts(spark, sf_dir):
     out = decay.decayed_topic_counts(T.topic_news(spark, sf_dir), _master(spark, sf_dir),

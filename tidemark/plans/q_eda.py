@@ -138,7 +138,7 @@ gr AS (SELECT st.*, r.gi, st.g0 + r.gi * st.step AS gx FROM st, range(1000) r(gi
 @register("a27_kde_density", with_views(rounded("""
 SELECT gr.feature, gr.g AS spread_target_shift_24, CAST(gr.gi AS BIGINT) AS grid_index, gr.gx AS x,
        sum(exp(-0.5 * ((gr.gx - l.x) / gr.h) * ((gr.gx - l.x) / gr.h))) / (gr.n * gr.h * sqrt(2 * pi())) AS density
-FROM gr JOIN l ON l.g = gr.g AND l.feature = gr.feature AND abs(gr.gx - l.x) <= 8.0 * gr.h
+FROM gr JOIN l ON l.g = gr.g AND l.feature = gr.feature
 GROUP BY gr.feature, gr.g, gr.gi, gr.gx, gr.n, gr.h""", ["x", "density"]), "v_master_h", extra=[_kde_sql()]))
 def a27_kde_density(spark, sf_dir):
     m = master_table(T.energy_hourly(spark, sf_dir))

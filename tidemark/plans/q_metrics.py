@@ -221,6 +221,26 @@ def a23_roc_points(spark, sf_dir):
     return round_doubles(cm.roc_points(T.predictions(spark, sf_dir), CLASSES))
 
 
+@register("a23_macro_roc", with_views(rounded("""
+WITH c0 AS (SELECT model, cls, fpr, tpr FROM t WHERE fpr IS NOT NULL AND tpr IS NOT NULL
+            UNION ALL SELECT DISTINCT model, cls, 0.0, 0.0 FROM t),
+c AS (SELECT model, cls, fpr, max(tpr) AS hi, min(tpr) AS lo FROM c0 GROUP BY ALL),
+f AS (SELECT g.model, k.cls, g.fpr, c.hi, c.lo, CASE WHEN c.hi IS NOT NULL THEN g.fpr END AS xk
+      FROM (SELECT DISTINCT model, fpr FROM c) g JOIN (SELECT DISTINCT model, cls FROM c) k USING (model)
+      LEFT JOIN c ON c.model = g.model AND c.cls = k.cls AND c.fpr = g.fpr),
+n AS (SELECT *, last_value(xk IGNORE NULLS) OVER b AS x0, last_value(hi IGNORE NULLS) OVER b AS y0,
+             first_value(xk IGNORE NULLS) OVER a AS x1, first_value(lo IGNORE NULLS) OVER a AS y1
+      FROM f WINDOW b AS (PARTITION BY model, cls ORDER BY fpr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                    a AS (PARTITION BY model, cls ORDER BY fpr ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+m AS (SELECT model, fpr, avg(coalesce(hi, y0 + (y1 - y0) * (fpr - x0) / (x1 - x0), y0)) AS tpr FROM n GROUP BY ALL),
+p AS (SELECT *, (fpr - lag(fpr) OVER o) * (tpr + lag(tpr) OVER o) / 2 AS part FROM m
+      WINDOW o AS (PARTITION BY model ORDER BY fpr))
+SELECT model, fpr, tpr, sum(coalesce(part, 0.0)) OVER (PARTITION BY model) AS macro_auc FROM p
+""", ["fpr", "tpr", "macro_auc"]), "v_pred", extra=[_roc_sql()]))
+def a23_macro_roc(spark, sf_dir):
+    return round_doubles(cm.macro_roc(cm.roc_points(T.predictions(spark, sf_dir), CLASSES)))
+
+
 @register("a24_class_weights", with_views(rounded("""
 SELECT label, count, pow(sum(count) OVER () / (count(*) OVER () * greatest(count, 1)), 2.0) AS weight
 FROM (SELECT y_true AS label, count(*) AS count FROM v_pred WHERE model = 'signal' GROUP BY 1)

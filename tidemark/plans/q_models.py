@@ -75,6 +75,7 @@ from tidemark.operators import classify_metrics as cm  # noqa: E402
 from tidemark.session import cut_lineage  # noqa: E402
 
 LINE_TOPICS = [f"ln{i}" for i in range(1, 8)]
+NLP_PREFIX = "ln"
 CURVE_FRACTIONS = (0.2, 0.4, 0.6, 0.8, 1.0)   # registered budget; library default: 10 fractions
 SEARCH_DRAWS = 2          # registered-query budget; the library default is the reference's 80
 SEARCH_SPLITS, SEARCH_STEP, SEARCH_MIN_TRAIN = 4, 12, 336   # reference search-function defaults
@@ -191,7 +192,7 @@ def m10_feature_importance(spark, sf_dir):
 def a29_importance_by_category(spark, sf_dir):
     from tidemark.operators import eda
     d, feats, model = _fit_best(spark, sf_dir)
-    return round_doubles(eda.category_importance(learners.feature_importance(model, feats, spark)))
+    return round_doubles(eda.category_importance(learners.feature_importance(model, feats, spark), nlp_prefix=NLP_PREFIX))
 
 
 @register("m13_learning_curve")

@@ -28,22 +28,39 @@ def _dims_sql() -> str:
             f"cands AS (SELECT * FROM (VALUES {cands}) c(ci, label))")
 
 
-def _u(key: str, stage: str, label: str) -> str:
-    return (f"(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || '-' || '{stage}' || '-' || {label}), 1, 8))"
-            f" AS BIGINT) / 4294967296.0)")
+ALL_LABELS = list(R.STAGE_ORDER) + list(R.CANDIDATE_LABELS)
+
+
+def _evidence_sql(src: str, text: str) -> str:
+    """CTE ``ev(article_id, label, raw)``: evidence of every label plus the floor."""
+    pairs = ", ".join(f"({_q(v)}, {_q(t)})" for v, ts in R.label_tokens(ALL_LABELS).items() for t in ts)
+    return f"""
+lt AS (SELECT * FROM (VALUES {pairs}) x(label, token)),
+lw AS (SELECT label, sqrt(count(*)) AS width FROM lt GROUP BY 1),
+ws AS (SELECT article_id, list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'),
+                                      lambda x: x <> '') AS words FROM {src}),
+tf AS (SELECT article_id, token, count(*) AS tf FROM (SELECT article_id, unnest(words) AS token FROM ws)
+       WHERE token IN (SELECT token FROM lt) GROUP BY 1, 2),
+dfq AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+idf AS (SELECT t.token, ln((1.0 + (SELECT count(*) FROM {src})) / (1.0 + coalesce(dfq.df, 0))) + 1 AS idf
+        FROM (SELECT DISTINCT token FROM lt) t LEFT JOIN dfq USING (token)),
+hit AS (SELECT tf.article_id, lt.label, sum(tf.tf * idf.idf) AS s FROM tf JOIN idf USING (token) JOIN lt USING (token) GROUP BY 1, 2),
+ev AS (SELECT ws.article_id, lw.label,
+              round(coalesce(coalesce(hit.s, 0.0) / nullif(len(ws.words) * lw.width, 0), 0.0), 12) + {R.EVIDENCE_FLOOR!r} AS raw
+       FROM ws CROSS JOIN lw LEFT JOIN hit ON hit.article_id = ws.article_id AND hit.label = lw.label)"""
 
 
 def _blank(col: str) -> str:
     return f"({col} IS NULL OR length(regexp_replace({col}, '\\s', '', 'g')) = 0)"
 
 
-def _route_sql(src: str, text: str, salt: str, out: str) -> str:
-    """CTEs routing ``src(article_id, {text})``; result CTE ``{out}``."""
+def _route_sql(src: str, text: str, out: str) -> str:
+    """CTEs routing ``src(article_id, {text})`` by ``ev``; result CTE ``{out}``."""
     p = out
     return f"""
 {p}_n AS (SELECT article_id, {_blank(text)} AS blank FROM {src}),
-{p}_s1 AS (SELECT n.article_id, g.gi, g.grp, {_u('n.article_id', salt + 'stage1', 'g.grp')} AS raw
-           FROM {p}_n n, grps g WHERE NOT n.blank),
+{p}_s1 AS (SELECT n.article_id, g.gi, g.grp, ev.raw
+           FROM {p}_n n JOIN ev USING (article_id) JOIN grps g ON g.grp = ev.label WHERE NOT n.blank),
 {p}_t1 AS (SELECT article_id, grp, raw / sum(raw) OVER (PARTITION BY article_id) AS score, gi FROM {p}_s1
            QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY raw DESC, gi) = 1),
 {p}_g AS (SELECT n.article_id,
@@ -51,8 +68,9 @@ def _route_sql(src: str, text: str, salt: str, out: str) -> str:
                       ELSE t.grp END AS stage1,
                  CASE WHEN n.blank THEN 0.0 ELSE t.score END AS stage1_score, n.blank
           FROM {p}_n n LEFT JOIN {p}_t1 t USING (article_id)),
-{p}_s2 AS (SELECT g.article_id, l.li, l.leaf, {_u('g.article_id', salt + 'stage2', 'l.leaf')} AS raw
+{p}_s2 AS (SELECT g.article_id, l.li, l.leaf, ev.raw
            FROM {p}_g g JOIN lvs l ON l.grp = g.stage1 JOIN lcnt c ON c.grp = g.stage1
+                JOIN ev ON ev.article_id = g.article_id AND ev.label = l.leaf
            WHERE c.n_leaves > 1 AND NOT g.blank),
 {p}_t2 AS (SELECT article_id, leaf, raw / sum(raw) OVER (PARTITION BY article_id) AS score FROM {p}_s2
            QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY raw DESC, li) = 1),
@@ -73,29 +91,30 @@ _OUT_D = ["classification_score", "classification_stage1_score"]
 
 
 @register("t2_hierarchical_routing", with_views(rounded("SELECT * FROM r1", _OUT_D), "v_news",
-                                                extra=[_dims_sql(), _route_sql("v_news", "title", "", "r1")]))
+                                                extra=[_dims_sql(), _evidence_sql("v_news", "title"), _route_sql("v_news", "title", "r1")]))
 def t2_hierarchical_routing(spark, sf_dir):
-    n = T.news(spark, sf_dir)
-    out = R.route(n, "title", R.hash_scorer("article_id"))
+    n = R.with_label_scores(T.news(spark, sf_dir), "title", ALL_LABELS)
+    out = R.route(n, "title", R.text_scorer())
     return round_doubles(out.select(*_OUT))
 
 
 @register("t3_flat_routing", with_views(rounded(f"""
-WITH s AS (SELECT n.article_id, c.ci, c.label, {_u('n.article_id', 'flat', 'c.label')} AS raw
-           FROM v_news n, cands c WHERE NOT {_blank('n.title')}),
+WITH s AS (SELECT n.article_id, c.ci, c.label, ev.raw
+           FROM v_news n JOIN ev USING (article_id) JOIN cands c ON c.label = ev.label WHERE NOT {_blank('n.title')}),
 t AS (SELECT article_id, label, raw / sum(raw) OVER (PARTITION BY article_id) AS score FROM s
       QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY raw DESC, ci) = 1)
 SELECT n.article_id, t.label AS classification, coalesce(t.score, 0.0) AS classification_score,
        t.label AS classification_stage1, coalesce(t.score, 0.0) AS classification_stage1_score
-FROM v_news n LEFT JOIN t USING (article_id)""", _OUT_D), "v_news", extra=[_dims_sql()]))
+FROM v_news n LEFT JOIN t USING (article_id)""", _OUT_D), "v_news", extra=[_dims_sql(), _evidence_sql("v_news", "title")]))
 def t3_flat_routing(spark, sf_dir):
-    n = T.news(spark, sf_dir)
-    return round_doubles(R.route_flat(n, "title", R.hash_scorer("article_id")).select(*_OUT))
+    n = R.with_label_scores(T.news(spark, sf_dir), "title", ALL_LABELS)
+    return round_doubles(R.route_flat(n, "title", R.text_scorer()).select(*_OUT))
 
 
 def _second_pass_sql() -> str:
-    return (_route_sql("v_news", "title", "", "r1") + ",\n"
-            + _route_sql("v_news", "description", "desc", "r2") + """,
+    # the stand-in's title and description are the same whole text, so ``ev`` serves both
+    return (_evidence_sql("v_news", "title") + ",\n" + _route_sql("v_news", "title", "r1") + ",\n"
+            + _route_sql("v_news", "description", "r2") + """,
 r3 AS (SELECT r1.article_id,
               CASE WHEN r1.classification = """ + _q(R.OTHER_LABEL) + """ THEN r2.classification ELSE r1.classification END AS classification,
               CASE WHEN r1.classification = """ + _q(R.OTHER_LABEL) + """ THEN r2.classification_score ELSE r1.classification_score END AS classification_score,
@@ -105,9 +124,10 @@ r3 AS (SELECT r1.article_id,
 
 
 def _routed(spark, sf_dir):
-    n = T.news(spark, sf_dir)
-    first = R.route(n, "title", R.hash_scorer("article_id"))
-    return R.second_pass_other(first, "description", R.hash_scorer("article_id", salt="desc"))
+    n = R.with_label_scores(T.news(spark, sf_dir), "title", ALL_LABELS, "by_title")
+    first = R.route(n, "title", R.text_scorer("by_title"))
+    again = R.with_label_scores(first, "description", ALL_LABELS, "by_description")
+    return R.second_pass_other(again, "description", R.text_scorer("by_description"))
 
 
 @register("t4_second_pass_other", with_views(rounded("SELECT * FROM r3", _OUT_D), "v_news",
@@ -179,9 +199,11 @@ def t6_pca_reduce(spark, sf_dir):
     return vectors.pca_reduce(e, "embedding", 20, ["article_id"])
 
 
-@register("t1_tfidf_label_scores")
+@register("t1_tfidf_label_scores", with_views(rounded(f"""
+SELECT n.article_id AS id, c.label,
+       CASE WHEN NOT {_blank('n.title')} THEN ev.raw / sum(ev.raw) OVER (PARTITION BY n.article_id) END AS score
+FROM v_news n JOIN ev USING (article_id) JOIN cands c ON c.label = ev.label""", ["score"]), "v_news",
+    extra=[_dims_sql(), _evidence_sql("v_news", "title")]))
 def t1_tfidf_label_scores(spark, sf_dir):
-    """Offline zero-shot stand-in over the whole documents; no SQL twin (log/idf
-    conventions are engine-specific); invariants: scores per document sum to 1."""
-    n = T.news(spark, sf_dir)
-    return R.tfidf_label_scores(n, "article_id", "description", R.CANDIDATE_LABELS)
+    """T1 over the whole texts: a score of every label for every document."""
+    return round_doubles(R.label_scores(T.news(spark, sf_dir), "article_id", "title", R.CANDIDATE_LABELS))

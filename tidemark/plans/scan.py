@@ -23,6 +23,15 @@ def _block(ts: str, unit: str):
     return F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
 
 
+def _join_blocks(d: DataFrame, blocks: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Join per-block values back; null keys and null blocks match themselves."""
+    b = blocks.select(*[F.col(c).alias(f"_j_{c}") if c in cols else F.col(c) for c in blocks.columns])
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+    return d.join(b, same).drop(*[f"_j_{c}" for c in cols])
+
+
 def global_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                       out: str = "rn", block_unit: str = DEFAULT_BLOCK) -> DataFrame:
     """1-based row number per ``keys`` ordered by ``order`` (first column a timestamp),
@@ -37,26 +46,11 @@ def global_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     counts = counts.fillna(0, subset=["_off"])
     w_in = Window.partitionBy(*keys, "_blk").orderBy(*order)
     d = d.withColumn("_rin", F.row_number().over(w_in))
-    return (d.join(counts, [*keys, "_blk"], "inner")
+    return (_join_blocks(d, counts, [*keys, "_blk"])
             .withColumn(out, (F.col("_off") + F.col("_rin")).cast("bigint"))
             .drop("_blk", "_rin", "_off", "_bn"))
 
 
-def global_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                  out: str, block_unit: str = DEFAULT_BLOCK) -> DataFrame:
-    """Running sum per ``keys`` in ``order``, computed block-wise."""
-    keys, order = list(keys), list(order)
-    d = df.withColumn("_blk", _block(order[0], block_unit))
-    part = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_bs"))
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(*keys, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_carry"))
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_run", F.sum(value).over(w_in))
-    return (d.join(part, [*keys, "_blk"], "inner")
-            .withColumn(out, F.col("_carry") + F.col("_run"))
-            .drop("_blk", "_run", "_carry"))
-
-
 def blocked_rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, aggs: dict,
                     block_rows: int = 1_000_000) -> DataFrame:
     """Rolling ``rowsBetween(-(n-1), 0)`` aggregates computed in row blocks.
@@ -94,7 +88,7 @@ def global_running_drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[
     per = per.select(*keys, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_carry"), "_bs", "_bm")
     # best equity reached in earlier blocks = max over them of (their carry + their block max)
     per = per.withColumn("_prevmax", F.max(F.col("_carry") + F.col("_bm")).over(wb))
-    j = d.join(per.select(*keys, "_blk", "_carry", "_prevmax"), [*keys, "_blk"], "inner")
+    j = _join_blocks(d, per.select(*keys, "_blk", "_carry", "_prevmax"), [*keys, "_blk"])
     eq = F.col("_carry") + F.col("_run")
     rmax = F.greatest(F.coalesce(F.col("_prevmax"), F.col("_carry") + F.col("_rmax")), F.col("_carry") + F.col("_rmax"))
     return (j.withColumn("equity", eq).withColumn("running_max", rmax)
@@ -119,5 +113,5 @@ def blocked_cumsum(df: DataFrame, keys: Sequence[str], order_col: str, value: st
     hi = 0 if inclusive else -1
     w_in = Window.partitionBy(*keys, "_blk").orderBy(oc).rowsBetween(Window.unboundedPreceding, hi)
     d = d.withColumn("_run", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
-    return (d.join(tot, [*keys, "_blk"], "inner").withColumn(out, F.col("_carry") + F.col("_run"))
+    return (_join_blocks(d, tot, [*keys, "_blk"]).withColumn(out, F.col("_carry") + F.col("_run"))
              .drop("_blk", "_run", "_carry"))

@@ -28,14 +28,27 @@ NEWS_JSON_SCHEMA = T.StructType([
 ])
 
 
+def _read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> DataFrame:
+    """All columns of the header as strings.  A row with more fields than the header is left
+    out; a row with fewer is padded with nulls (one sentinel column tells them apart)."""
+    def reader():
+        return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+
+    names = reader().csv(path).columns
+    more = "_more"
+    while more in names:
+        more += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, more]])
+    rows = reader().schema(schema).option("mode", "PERMISSIVE").option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+    return rows.filter(F.col(more).isNull()).select(*[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+
+
 def read_news_csv(spark: SparkSession, path: str | Sequence[str],
                   columns: Sequence[str] = NEWS_COLUMNS) -> DataFrame:
-    """News CSV scan by header name; extra columns are ignored, malformed rows
-    dropped, quoted multi-line fields allowed; ``publishedAt`` parsed zone-free."""
-    # Header-based column selection: read all columns as strings, keep the named ones.
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", "DROPMALFORMED").option("enforceSchema", False)
-          .csv(path))
+    """News CSV scan by header name; extra columns are ignored, rows with too many fields
+    left out, short ones padded, quoted multi-line fields allowed (one task per file; give
+    many files); ``publishedAt`` parsed zone-free."""
+    df = _read_csv(spark, path, multi_line=True)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise KeyError(f"news CSV lacks columns {missing}")
@@ -43,18 +56,22 @@ def read_news_csv(spark: SparkSession, path: str | Sequence[str],
     return out.withColumn("publishedAt", parse_ts("publishedAt"))
 
 
+# Energy columns that are not used downstream.
+UNUSED_ENERGY_COLUMNS = ["Nuclear", "Renewable", "Non-Renewable"]
+
+
 def read_energy_csv(spark: SparkSession, path: str | Sequence[str], *,
                     ts_col: str = "Timestamp", shift: int = -1,
                     numeric: Sequence[str] | None = None) -> DataFrame:
-    """S2 + P4 + P5: energy CSV with explicit double columns, timestamps moved
-    back ``shift`` hours (Q21) and ``Nuclear`` dropped when present."""
-    df = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    """S2 + P4 + P5: energy CSV with double columns, timestamps moved back ``shift`` hours
+    (Q21) and the unused columns dropped when present."""
+    df = _read_csv(spark, path, multi_line=False)
     cols = [c for c in df.columns if c != ts_col]
     numeric = list(numeric) if numeric is not None else cols
     out = df.select(shift_hours(parse_ts(ts_col), shift).alias(ts_col),
                     *[F.col(f"`{c}`").cast("double").alias(c) if c in numeric else F.col(f"`{c}`")
                       for c in cols])
-    return drop_if_present(out, ["Nuclear"])
+    return drop_if_present(out, UNUSED_ENERGY_COLUMNS)
 
 
 def drop_if_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -12,8 +12,6 @@ Bucket ``h = ceil_hour(a)`` is the end of the 1-hour tumbling window of ``a - 1u
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,21 +35,31 @@ def hourly_topic_buckets(stream: DataFrame, ts: str = "publishedAt", topic: str
     return g.select("topic", F.col("window.end").cast("timestamp_ntz").alias("h"), "n", "n_on")
 
 
-def start_bucket_stream(spark: SparkSession, source_dir: str, sink_dir: str, *, file_glob: str = "events*.parquet",
-                        schema: str | StructType = EVENTS_SCHEMA, ts: str = "ts", topic: str = "event_type",
-                        other_label: str | None = None, checkpoint: str | None = None,
+def start_bucket_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, *,
+                        file_glob: str = "events*.parquet", schema: str | StructType = EVENTS_SCHEMA, ts: str = "ts",
+                        topic: str = "event_type", other_label: str | None = None,
                         once: bool = True) -> StreamingQuery:
-    """File source -> bucket aggregate -> append-mode Parquet sink (exactly-once via
-    the checkpoint).  The checkpoint defaults to a folder under the cluster's
-    ``spark.checkpoint.dir`` (shared storage)."""
-    if checkpoint is None:
-        from tidemark.session import ensure_checkpoint_dir
-        checkpoint = os.path.join(ensure_checkpoint_dir(spark), "hourly-buckets")
+    """File source -> bucket counts per micro-batch -> Parquet, one folder per batch.
+
+    Counts add up, so a batch writes its own partial buckets and no article is ever late: history
+    may arrive in any order and no window stays open at the end.  A batch that is run again
+    after a failure overwrites its folder, which makes the sink exactly-once.
+    ``checkpoint`` belongs to this one stream; ``read_buckets`` sums the batches."""
+    from tidemark.operators.decay import from_hour_index, topic_buckets
     src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
            .option("maxFilesPerTrigger", 64).parquet(source_dir))
     src = src.select(F.col(ts).alias("publishedAt"), F.col(topic).alias("topic"))
-    agg = hourly_topic_buckets(src, "publishedAt", "topic", other_label)
-    w = agg.writeStream.outputMode("append").format("parquet").option("path", sink_dir) \
-           .option("checkpointLocation", checkpoint)
+
+    def write(batch: DataFrame, number: int) -> None:
+        buckets = topic_buckets(batch, other_label=other_label).withColumn("h", from_hour_index("hi"))
+        buckets.select("topic", "h", "n", "n_on").write.mode("overwrite").parquet(f"{sink_dir}/batch={number}")
+
+    w = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def read_buckets(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """(topic, h, n, n_on) over all batches written so far."""
+    return (spark.read.parquet(sink_dir).groupBy("topic", "h")
+            .agg(F.sum("n").alias("n"), F.sum("n_on").alias("n_on")))
