@@ -106,6 +106,9 @@ def test_artifacts_roundtrip(spark):
     man = learners.save_artifacts(d, {"forest": m}, {"features": ["a", "b"], "note": "x"}, spark, df)
     got = learners.load_artifacts(d, spark)
     assert got["manifest"]["features"] == ["a", "b"] and got["test_df"].count() == 60
+    inputs, names = learners.scoring_inputs(got, id_cols=(), target="label")
+    assert inputs.columns == ["label", "a", "b"] and names == ["a", "b"]
+    assert "models" not in learners.load_artifacts(d, spark, load_models=False, load_test_data=False)
     assert got["models"]["forest"].numFeatures == 2 and man["models"]["forest"].endswith("model_forest")
 
 
@@ -114,8 +117,15 @@ def test_fingerprint_cache(spark):
     from tidemark.operators import vectors
     e = T.embedded_news(spark, SF_SMALL)
     d = _tmp()
-    a = vectors.cached_parquet(e, d, ["article_id"], {"k": 1})
-    b = vectors.cached_parquet(e, d, ["article_id"], {"k": 1})
+    a = vectors.cached_parquet(e, d, {"k": 1})
+    b = vectors.cached_parquet(e, d, {"k": 1})
     assert a.inputFiles() == b.inputFiles()
+    # other vectors under the same ids, or a folder without a finished write, are not reused
+    other = vectors.cached_parquet(e.withColumn("embedding", F.reverse("embedding")), d, {"k": 1})
+    assert other.inputFiles() != a.inputFiles()
+    folder = os.path.join(d, next(f for f in os.listdir(d) if a.inputFiles()[0].split("/")[-2] == f))
+    os.rename(os.path.join(folder, "_SUCCESS"), os.path.join(folder, "_HALF"))
+    assert not vectors._written(spark, folder) and vectors.cached_parquet(e, d, {"k": 1}).count() == e.count()
+    a = spark.read.parquet(folder)
     assert vectors.dataset_fingerprint(e, ["article_id"]) == vectors.dataset_fingerprint(e.orderBy(F.rand(1)), ["article_id"])
     assert a.count() == e.count()

@@ -253,18 +253,33 @@ def save_artifacts(output_dir: str, models: dict, manifest: dict, spark, test_df
     return man
 
 
-def load_artifacts(output_dir: str, spark, load_test_data: bool = True) -> dict:
-    """Read the manifest, reload the models, optionally the test split."""
+def load_artifacts(output_dir: str, spark, load_models: bool = True, load_test_data: bool = True) -> dict:
+    """Read the manifest and, if asked, the models (each by the class its own metadata
+    names: forests, linear models, calibrators, encoders) and the test split."""
     import json
     import os
-    from pyspark.ml.classification import RandomForestClassificationModel
+    from pyspark.ml.util import DefaultParamsReader
     man = json.loads(spark.read.json(os.path.join(output_dir, "manifest")).first()["manifest"])
-    out = {"manifest": man, "models": {k: RandomForestClassificationModel.load(v) for k, v in man["models"].items()}}
+    out = {"manifest": man}
+    if load_models:
+        out["models"] = {k: DefaultParamsReader.loadParamsInstance(v, spark.sparkContext) for k, v in man["models"].items()}
     if load_test_data:
         out["test_df"] = spark.read.parquet(os.path.join(output_dir, "test_data"))
     return out
 
 
+def scoring_inputs(artifacts: dict, features_key: str = "features", id_cols: Sequence[str] = ("ts",),
+                   target: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The loaded test split with the manifest's features in model order, the id columns and the
+    target if present; a feature that the split lacks raises."""
+    df, features = artifacts["test_df"], list(artifacts["manifest"][features_key])
+    missing = [f for f in features if f not in df.columns]
+    if missing:
+        raise KeyError(f"test data lack features {missing}")
+    first = [c for c in [*id_cols, target] if c and c in df.columns]
+    return df.select(*first, *[F.col(f"`{f}`") for f in features if f not in first]), features
+
+
 def partial_dependence(model, df: DataFrame, features: Sequence[str], targets: Sequence[str],
                        grid_resolution: int = 100, percentiles: tuple = (0.05, 0.95)) -> DataFrame:
     """M12 (brute force): for each target feature, a grid over its [5 %, 95 %]
@@ -272,9 +287,11 @@ def partial_dependence(model, df: DataFrame, features: Sequence[str], targets: S
     class probabilities are averaged per grid point.  Rows are exploded by the grid
     (a per-row projection) and scored in one ``transform``."""
     from pyspark.ml.functions import vector_to_array
+
+    from tidemark.operators.eda import exact_quantiles
     outs = []
     for f in targets:
-        lo, hi = df.approxQuantile(f, list(percentiles), 0.0)
+        lo, hi = exact_quantiles(df, f, percentiles)
         grid = [float(v) for v in np.linspace(lo, hi, grid_resolution)]
         x = df.select(*[c for c in features if c != f],
                       F.posexplode(F.array(*[F.lit(g) for g in grid])).alias("grid_index", f"`{f}`"))

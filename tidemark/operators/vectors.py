@@ -77,18 +77,19 @@ def dataset_fingerprint(df: DataFrame, cols: Sequence[str]) -> str:
     return f"{r['n']}-{r['s']}"
 
 
-def cached_parquet(df: DataFrame, base_dir: str, key_cols: Sequence[str], params: dict) -> DataFrame:
-    """Reuse a materialised result stored under a fingerprint of its input
-    and of every parameter (Q22 fixed); otherwise write it, then read it back."""
+def _written(spark, path: str) -> bool:
+    """True if a job has finished writing ``path`` (a killed write leaves no ``_SUCCESS``)."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def cached_parquet(df: DataFrame, base_dir: str, params: dict) -> DataFrame:
+    """Reuse a materialised result stored under a fingerprint of all columns of its
+    input and of every parameter (Q22 fixed); otherwise write it, then read it back."""
     import hashlib
     import json
-    import os
-    fp = dataset_fingerprint(df, key_cols)
-    tag = hashlib.sha1((fp + "|" + json.dumps(params, sort_keys=True)).encode()).hexdigest()[:16]
-    path = os.path.join(base_dir, f"cache-{tag}")
-    spark = df.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not present yet
+    tag = hashlib.sha1((dataset_fingerprint(df, df.columns) + "|" + json.dumps(params, sort_keys=True)).encode()).hexdigest()[:16]
+    path, spark = f"{base_dir.rstrip('/')}/cache-{tag}", df.sparkSession
+    if not _written(spark, path):
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
