@@ -30,7 +30,13 @@ HEADLINE = [
     "a22_ovo_auc",
     "a33_threshold_sweep",
     "b1_portfolio_backtest",
+    "b2_backtest_cost_scenarios",
     "r7_cost_sensitivity",
+    "a23_roc_points",
+    "a28_topic_stats",
+    "t1_tfidf_label_scores",
+    "t4_second_pass_other",
+    "t5_hashed_embedding",
 ]
 
 

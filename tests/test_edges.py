@@ -223,7 +223,7 @@ def test_exact_quantiles_narrowing(spark):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), rng.exponential(size=500)])
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    got = exact_quantiles(df, "v", [0.0, 0.1, 0.5, 0.77, 1.0], max_exact=50, bins=8)
+    got = exact_quantiles(df, "v", [0.0, 0.1, 0.5, 0.77, 1.0], bins=8)
     want = np.quantile(vals, [0.0, 0.1, 0.5, 0.77, 1.0])
     assert got == pytest.approx(list(want), abs=1e-12)
 
@@ -261,3 +261,71 @@ def test_bootstrap_user_metric_matches_builtin(spark):
     b = st.bootstrap_confusion_metric(p, n_boot=50, seed=7, user_metric=acc).collect()[0]
     assert a["mean"] == pytest.approx(b["mean"], abs=1e-12)
     assert a["lower"] == pytest.approx(b["lower"], abs=1e-12) and a["upper"] == pytest.approx(b["upper"], abs=1e-12)
+
+
+def test_targets_off_the_hour(spark):
+    """Quarter-hour targets equal the literal band join; an unnamed minute raises."""
+    rng = np.random.default_rng(5)
+    a = _arts(spark, [(i, T0 - dt.timedelta(minutes=int(rng.integers(0, 4000)), seconds=int(i % 3 == 0)), "xy"[i % 2])
+                      for i in range(200)])
+    times = [T0 + dt.timedelta(minutes=m) for m in (0, 15, 30, 105, -45)]
+    tg = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    got = {(r["ts"], r["topic"]): r["weight"] for r in
+           decay.decayed_topic_counts(a, tg, 24, 0.1, target_minutes=(0, 15, 30, 45)).collect()}
+    want = {(r["ts"], r["topic"]): r["weight"] for r in decay.band_join_bruteforce(a, tg, 24, 0.1).collect()}
+    assert got == pytest.approx(want)
+    with pytest.raises(Exception, match="target_minutes"):
+        decay.decayed_topic_counts(a, tg, 24, 0.1).collect()
+
+
+def test_ovo_auc_with_two_classes(spark):
+    """With two classes present the AUC of the higher class counts."""
+    rows = [("m", y, p) for y, p in [(0, [.6, .1, .3]), (0, [.2, .1, .7]), (2, [.3, .1, .6]), (2, [.5, .3, .2]), (2, [.1, .1, .8])]]
+    pred = spark.createDataFrame(rows, "model string, y_true long, proba array<double>")
+    pos, neg = [.6, .2, .8], [.3, .7]
+    want = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+    assert cm.ovo_auc(pred).first()["auc_ovo"] == pytest.approx(want)
+
+
+def test_backtest_costs_per_row_and_null_key(spark):
+    """B1: a cost column may change from row to row, and a null key is a key."""
+    rows = [(None, T0 + dt.timedelta(hours=i), 1, 60.0, 0.0, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "k double, ts timestamp_ntz, action long, da double, s double, fee double")
+    log = bt.portfolio_backtest(df.withColumn("spot", F.lit(1.0)), ["k"], spread="s", cost="fee").orderBy("period").collect()
+    v, want = 100_000.0, []
+    for fee in (0.0, 1.0, 2.0):
+        want.append(v)
+        v -= min(v * 0.1 / 60.0, 200.0) * fee
+    assert [r["equity"] for r in log] == pytest.approx(want) and [r["period"] for r in log] == [0, 1, 2]
+
+
+def test_block_joins_keep_null_keys_and_nan_scores(spark):
+    """Rows in = rows out for null keys and times; NaN scores sort above all numbers."""
+    from tidemark.plans.scan import global_row_number
+    df = spark.createDataFrame([(None, T0), ("a", None), ("a", T0)], "k string, ts timestamp_ntz")
+    assert global_row_number(df, ["k"], ["ts"]).count() == 3
+    rows = [("m", i % 2, [float("nan") if i == 3 else 0.1 * i, 0.5]) for i in range(8)]
+    pred = spark.createDataFrame(rows, "model string, y_true long, proba array<double>")
+    points = cm.roc_points(pred, [0]).orderBy(F.desc("threshold")).collect()
+    assert math.isnan(points[0]["threshold"]) and [r["tpr"] for r in points] == sorted(r["tpr"] for r in points)
+
+
+def test_macro_roc_is_the_mean_of_interpolated_curves(spark):
+    rng = np.random.default_rng(9)
+    y, p = rng.integers(0, 3, 60), rng.dirichlet([1, 1, 1], 60)
+    pred = spark.createDataFrame([("m", int(a), [float(x) for x in b]) for a, b in zip(y, p)],
+                                 "model string, y_true long, proba array<double>")
+    points = cm.roc_points(pred)
+    got = cm.macro_roc(points).orderBy("fpr").collect()
+    curves = {}
+    for c in range(3):
+        xy = sorted((r["fpr"], r["tpr"]) for r in points.filter(F.col("cls") == c).collect())
+        curves[c] = ([0.0] + [a for a, _ in xy], [0.0] + [b for _, b in xy])
+    for r in got:
+        at = []
+        for xs, ys in curves.values():
+            same = [b for a, b in zip(xs, ys) if a == r["fpr"]]
+            at.append(max(same) if same else np.interp(r["fpr"], xs, ys))
+        assert r["tpr"] == pytest.approx(np.mean(at))
+    area = sum((b["fpr"] - a["fpr"]) * (a["tpr"] + b["tpr"]) / 2 for a, b in zip(got, got[1:]))
+    assert got[0]["macro_auc"] == pytest.approx(area)

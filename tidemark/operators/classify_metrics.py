@@ -208,11 +208,9 @@ def ovo_auc(pred: DataFrame, classes: Sequence[int] = (0, 1, 2), keys: Sequence[
                   F.col("e.score").alias("score")).agg(
         F.sum("e.is_pos").alias("pos"), F.sum(1 - F.col("e.is_pos")).alias("neg"))
     a = _auc_from_counts(g, [*keys, "pair", "pos_class"])
-    # classes without rows leave no pair; with two classes the AUC of the higher one counts,
-    # with one there is none
-    a = a.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+    # a pair with an absent class has no AUC; with two classes the AUC of the higher one counts
     per_pair = a.groupBy(*keys, "pair").agg(F.avg("auc").alias("pair_auc"), F.max_by("auc", "pos_class").alias("high_auc"))
-    return per_pair.groupBy(*keys).agg(F.when(F.count(F.lit(1)) == 1, F.max("high_auc"))
+    return per_pair.groupBy(*keys).agg(F.when(F.count("pair_auc") == 1, F.max("high_auc"))
                                        .otherwise(F.avg("pair_auc")).alias("auc_ovo"))
 
 
