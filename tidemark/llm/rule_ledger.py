@@ -49,46 +49,52 @@ def mask(policy: str) -> int:
     return sum(1 << list(RULES).index(r) for r in POLICIES[policy])
 
 
-def _pairs(column: Column) -> Column:
-    """Each element of an array with the one behind it."""
-    n = F.size(column)
-    return F.arrays_zip(F.slice(column, 1, F.greatest(n - 1, F.lit(0))).alias("a"),
-                        F.slice(column, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
-
-
-def _covered(windows: Column) -> Column:
-    """Words covered by the three-word windows that occur twice or more."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    equal = F.filter(_pairs(placed), lambda p: p["a"]["h"] == p["b"]["h"])
-    starts = F.array_sort(F.array_distinct(F.flatten(F.transform(equal, lambda p: F.array(p["a"]["i"], p["b"]["i"])))))
-    return F.aggregate(_pairs(starts), F.lit(3), lambda s, p: s + F.least(F.lit(3), p["b"] - p["a"]))
-
-
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, measurements, fail_bits) of every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.col("words")
+    """(doc_id, measurements, fail_bits) of every row.
+
+    Repeated windows: the sorted hashes show which values occur twice; a 64-bit mask of those
+    values drops most other windows; the windows left are sorted with their positions, equal
+    neighbours mark the repeated ones, and the sorted positions give the words they cover.
+    Each step is a column that the next ones use more than once, so Spark keeps it as a column
+    and works it out once per row."""
+    text, words, windows, ranked = F.col("text"), F.col("words"), F.col("windows"), F.col("ranked")
+    lines, twice, placed, starts = F.col("lines"), F.col("twice"), F.col("placed"), F.col("starts")
     n = F.size(words)
-    tail = F.greatest(n - 2, F.lit(0))
-    split = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
-        "doc_id", text.alias("text"), F.filter(F.split(text, _GAP), lambda w: w != "").alias("words"))
-    solid = split.select(
-        "doc_id", "text", n.cast("bigint").alias("n_words"), F.array_join(words, "").alias("solid"),
-        F.transform(F.arrays_zip(F.slice(words, 1, tail).alias("a"), F.slice(words, 2, tail).alias("b"),
-                                 F.slice(words, 3, tail).alias("c")),
-                    lambda w: F.xxhash64(w["a"], w["b"], w["c"])).alias("windows"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(_SOLID)).alias("lines"))
-    windows, lines = F.col("windows"), F.col("lines")
+
+    def bit(h):
+        return F.shiftright(h, 58).bitwiseAND(F.lit(63))
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.filter(F.split(text, _GAP), lambda w: w != "").alias("words"))
+    rows = rows.select(
+        "doc_id", n.cast("bigint").alias("n_words"), F.array_join(words, "").alias("solid"),
+        F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(0))),
+                    lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))).alias("windows"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(_SOLID)).alias("lines"))
+    rows = rows.select("*", F.sort_array(windows).alias("ranked"))
+    rows = rows.select("*", F.filter(ranked, lambda h, k: (k > 0) & (F.get(ranked, k - 1) == h)).alias("twice"))
+    rows = rows.select("*", F.aggregate(twice, F.lit(0).cast("bigint"),
+                                        lambda m, h: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(h).cast("int")))).alias("marks"))
+    marked = F.filter(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))),
+                      lambda w: F.call_function("shiftrightunsigned", F.col("marks"), bit(w["h"]).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    rows = rows.select("*", F.when(F.col("marks") == 0, none).otherwise(F.sort_array(marked)).alias("placed"))
+    same = F.filter(placed, lambda w, k: ((k > 0) & (F.get(placed, k - 1)["h"] == w["h"]))
+                    | F.coalesce(F.get(placed, k + 1)["h"] == w["h"], F.lit(False)))
+    rows = rows.select("*", F.sort_array(F.transform(same, lambda w: w["i"])).alias("starts"))
+    covered = F.aggregate(F.transform(starts, lambda at, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - at, F.lit(3)))),
+                          F.lit(0), lambda total, part: total + part)
     chars = F.char_length("solid")
-    measured = solid.select(
-        "doc_id", "n_words", chars.cast("bigint").alias("word_chars"),
-        (chars - F.char_length(F.regexp_replace("solid", _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+
+    def dropped(pattern):
+        return (chars - F.char_length(F.regexp_replace("solid", pattern, ""))).cast("bigint")
+
+    measured = rows.select(
+        "doc_id", "n_words", chars.cast("bigint").alias("word_chars"), dropped(_SYMBOLS).alias("n_symbols"),
         F.size(lines).cast("bigint").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_covered(windows))
-        .cast("bigint").alias("n_repeat_words"),
-        (chars - F.char_length(F.regexp_replace("solid", r"\p{Lu}+", ""))).cast("bigint").alias("n_capitals"),
-        (chars - F.char_length(F.regexp_replace("solid", r"\p{L}+", ""))).cast("bigint").alias("n_letters"))
+        covered.cast("bigint").alias("n_repeat_words"),
+        dropped(r"\p{Lu}+").alias("n_capitals"), dropped(r"\p{L}+").alias("n_letters"))
     bits = F.lit(0).cast("bigint")
     for k, condition in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint"))
