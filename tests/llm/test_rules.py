@@ -42,5 +42,5 @@ def test_policies_and_ablation(spark):
 def test_empty_table_and_plan(spark):
     rows = rl.ledger(cases.no_documents(spark))
     assert rows.count() == 0
-    plan = rl.ledger(cases.documents(spark))._jdf.queryExecution().executedPlan().toString()
+    plan = rl.measure(cases.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

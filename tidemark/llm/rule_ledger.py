@@ -1,7 +1,7 @@
 """Quality rules (operator 5, native): rule bitmask ledger.
 
-``ledger`` measures every text and evaluates every rule once: one row per document with the
-measurements and an integer whose bit k is set if rule k fails.  Policies are versioned bit
+``ledger`` measures every text, evaluates every rule once and stores one row per document with
+the measurements and an integer whose bit k is set if rule k fails.  Policies are versioned bit
 masks: ``apply_policy`` is one bitwise AND, and ``ablation`` derives from the grouped bits
 alone how many documents each rule of a policy removes, and removes on its own.  Everything
 is DataFrame functions; nothing is shuffled but the grouped bits.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import materialize, table
 
 _GAP = r"[\x20\x09-\x0D]+"
 _SOLID = r"[^\x20\x09-\x0D]"
@@ -50,7 +50,13 @@ def mask(policy: str) -> int:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, measurements, fail_bits) of every row.
+    """The stored ledger: ``measure`` written once and read back, so that policies, filters and
+    ablations read columns and never evaluate a rule again."""
+    return materialize(measure(docs, id_col, text_col))
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, measurements, fail_bits) of every row, as one projection of the texts.
 
     Repeated windows: the sorted hashes show which values occur twice; a 64-bit mask of those
     values drops most other windows; the windows left are sorted with their positions, equal
