@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_arrow, materialize, raw_texts, table
+from tidemark.llm.common import map_arrow, materialize, raw_texts, stable_fraction, table
 from tidemark.llm.components import Forest, components
 
 SHINGLE = 4
@@ -235,8 +235,9 @@ def hamming_links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
     """Stars (a, b) with the components of all pairs of the distinct ``fp`` of ``fps`` at
     ``radius`` or fewer differing bits."""
     n = fps.count()
-    # the least by hash: a bounded sample, the same at every run
-    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64(F.lit("route"), "fp"), "fp")
+    # a bounded sample, the same at every run; the filter keeps what leaves the tasks bounded too
+    chosen = fps.select("fp").where(stable_fraction(F.col("fp"), min(1.0, 2 * SAMPLE / max(n, 1))))
+    sample = np.array([r[0] for r in chosen.orderBy(F.xxhash64(F.lit("route"), "fp"), "fp")
                       .limit(SAMPLE).collect()], np.int64).view(np.uint64)
     leaves = max(1, min(-(-n // SHARD_MEMBERS), SAMPLE // 16))
     tree = VantageTree(sample, max(1, -(-len(sample) // leaves)), 7, keep=False)

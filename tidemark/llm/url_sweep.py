@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, table
+from tidemark.llm.common import map_arrow, stable_fraction, table
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -55,9 +55,11 @@ def python_key(host: str) -> str:
     return "".join(label + SEP for label in reversed(host.split("."))) if host else ""
 
 
-def _borders(urls: DataFrame, ranges: int) -> list[tuple[str, int]]:
-    """Range borders (key, salt) from the ``SAMPLE`` rows of least hash."""
-    sample = sorted((r[0], r[1]) for r in urls.select("key", "salt").orderBy("salt", "key").limit(SAMPLE)
+def _borders(urls: DataFrame, rows: int, ranges: int) -> list[tuple[str, int]]:
+    """Range borders (key, salt) from about ``SAMPLE`` rows chosen by hash (at most twice as many
+    leave the tasks, however many tasks there are)."""
+    chosen = urls.select("key", "salt").where(stable_fraction(F.col("salt"), min(1.0, 2 * SAMPLE / max(rows, 1))))
+    sample = sorted((r[0], r[1]) for r in chosen.orderBy("salt", "key").limit(SAMPLE)
                     .select("key", F.xxhash64("salt").alias("salt")).collect())
     cuts = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
     return sorted(set(cuts))
@@ -104,9 +106,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = DE
     urls = (narrow.select("page_id", host.alias("host"), path.alias("path"))
             .select("page_id", "host", "path", host_key(F.col("host")).alias("key"),
                     F.xxhash64(F.col("page_id").cast("string"), "path").alias("salt")))
+    rows = urls.count()
     if ranges is None:
-        ranges = max(spark.sparkContext.defaultParallelism, -(-urls.count() // RANGE_ROWS))
-    borders = _borders(urls, ranges)
+        ranges = max(spark.sparkContext.defaultParallelism, -(-rows // RANGE_ROWS))
+    borders = _borders(urls, rows, ranges)
 
     def place(keys, salts):
         return [bisect.bisect_right(borders, (k, s)) for k, s in zip(keys, salts)]
