@@ -24,3 +24,36 @@ def test_edges_and_empty(spark):
 
 def test_known_notices_hold_the_trigger():
     assert all(ld._NOTICE in text.lower() for _, text in ld.KNOWN if "\n" not in text)
+
+
+def _scan(spark, texts, **kw):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    return {r["doc_id"]: (r["licence"], r["notices"]) for r in ld.scan(docs, **kw).collect()}
+
+
+def test_titled_and_commented_files_match(spark):
+    isc = next(t for k, t in ld.KNOWN if k == "ISC")
+    hashed = "\n".join("# " + x for x in f"Copyright (c) 2020 Someone\n\n{MIT}".split("\n"))
+    starred = "/*\n" + "\n".join(" * " + x for x in f"MIT License\n\n(c) Acme\n© 2021 Other\nAll rights reserved.\n\n{MIT}".split("\n")) + "\n */"
+    got = _scan(spark, {1: "MIT License\n\nCopyright (c) 2020 Someone\n\n" + MIT, 2: "ISC License\n\nCopyright 2020 X\n\n" + isc,
+                        3: hashed, 4: starred, 5: "Prose.\n## MIT License\nMore.", 6: "// SPDX-License-Identifier: GPL-2.0-or-later\ncode"})
+    assert got == {1: ("MIT", "MIT"), 2: ("ISC", "ISC"), 3: ("MIT", ""), 4: ("MIT", "MIT"), 5: (None, "MIT"), 6: (None, "GPL-2.0")}
+
+
+def test_full_public_texts_match_in_any_wrapping(spark):
+    texts, want = {}, {}
+    for i, (name, titles, text) in enumerate(ld.TEXTS):
+        # all on one line but the copyright line: list items (c) stay wherever a line breaks
+        flat = "\n".join(f"\n{x}\n" if x.strip().startswith("Copyright [") else x + " " for x in text.split("\n")).replace(" \n", " ") \
+            if name in ("Apache-2.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Zlib") else text
+        texts |= {3 * i: text, 3 * i + 1: f"{titles[0]}\n\nCopyright (c) 2020 Someone\n\n{text}", 3 * i + 2: flat}
+        want |= dict.fromkeys(range(3 * i, 3 * i + 3), name)
+    got = _scan(spark, texts)
+    assert {i: got[i][0] for i in got} == want
+    assert {"BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Apache-2.0"} <= set(want.values())
+
+
+def test_line_filter_follows_the_given_list(spark):
+    known = [("X", "Public domain work."), ("Y", "For non-commercial use"), ("Z", "Our licence")]
+    assert _scan(spark, {1: "a\npublic DOMAIN work\nfor noncommercial use", 2: "a\n# our license"}, known=known) == {1: (None, "X,Y"), 2: (None, "Z")}
+    assert ld.triggers(ld.KNOWN) == [ld._NOTICE] == ["licen"]

@@ -1,6 +1,6 @@
 """License scans (operator 8): canonical digest lookup.
 
-A text is made canonical: lower case, copyright lines out, every run of other characters
+A text is made canonical: lower case, copyright lines out (behind comment marks too), every run of other characters
 than letters and digits one space, equivalent spellings unified.  The SHA-256 of the whole
 canonical text is hash-joined to the digests of known licences and notices, so any
 wrapping, punctuation or spelling of the same words matches, and nothing else does.  Single
@@ -11,10 +11,15 @@ give equal rows; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.licence_texts import TEXTS
 
 # Public licence texts and notices (identifier, text).
 KNOWN: list[tuple[str, str]] = [
@@ -71,9 +76,101 @@ SPELLINGS: list[tuple[str, str]] = [
     ("non infringement", "noninfringement"), ("noncommercial", "non commercial"), ("https", "http"), ("wilful", "willful"),
 ]
 
-_COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[|by )|\(c\)|©|all rights reserved)[^\n]*$"
-#: Every known notice of one line holds this, so other lines need no digest.
-_NOTICE = "licen"
+# How the list items (c) of the known texts go on; other lines that start with (c) name a holder.
+ITEMS = ["the licenses", "representations", "you must", "under patent"]
+
+
+def _unlike(starts: list[str]) -> str:
+    """A pattern (without lookahead, for RE2) of a text that starts like none of these."""
+    rest: dict[str, list[str]] = {}
+    for x in starts:
+        rest.setdefault(x[0], []).append(x[1:])
+    longer = [f"{head}{_unlike(tails)}" for head, tails in rest.items() if all(tails)]
+    return "(?:" + "|".join([f"[^{''.join(rest)}\\n]", *longer]) + ")"
+
+
+_HOLDER = r"\(c\)(?:[^\n]*[0-9]{4}|[ \t]*[^ \t\n" + "".join(sorted({x[0] for x in ITEMS})) + "]|[ \\t]*(?:" + "|".join(
+    x[0] + _unlike([y[1:] for y in ITEMS if y[0] == x[0]]) for x in ITEMS) + "))"
+#: Comment marks may stand before a copyright line.
+_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[|by )|" + _HOLDER + r"|©|all rights reserved)[^\n]*$"
+
+# Title lines of the short texts above.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD"),
+}
+#: Titles of several licences: no notice of one.
+_SHARED = ("BSD License", 'The "Artistic License"')
+#: The terms end here; copies often leave out the advice that follows.
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _forms() -> list[tuple[str, str]]:
+    """The full texts as they are dealt: with each title and without, with and without the advice
+    after the terms, short lists with numbers and with bullets; then titles and SPDX tags."""
+    texts = [(name, TITLES[name], text) for name, text in KNOWN if "\n" in text and name in TITLES] + TEXTS
+    texts += [(name, titles, text.replace("and/or distribute", "and distribute")) for name, titles, text in texts if name == "ISC"]
+    out = []
+    for name, titles, text in texts:
+        bodies = [text]
+        if _END in text:
+            terms = text[:text.index(_END)]
+            bodies += [terms + _END, terms] if name == "Apache-2.0" else [terms + _END]
+        if name.startswith("BSD-"):
+            bodies.append(re.sub(r"(?m)^[1-4]\. ", "* ", text))
+        out += [(name, f"{title}\n\n{body}") for body in bodies for title in ("", *titles)]
+        out += [(name, title) for title in titles if "license" in title.lower() and title not in _SHARED]
+    for name in sorted({name for name, _ in KNOWN + out}):
+        ends = ("", "+", "-only", "-or-later") if name.startswith(("GPL", "LGPL", "GFDL")) else ("",)
+        out += [(name, f"SPDX-License-Identifier: {name}{end}") for end in ends]
+    return list(dict.fromkeys(out))
+
+
+KNOWN += _forms()
+
+
+def _kept(part: str) -> bool:
+    """Whether a text without `part` cannot get it from SPELLINGS: where a part overlaps what a
+    spelling puts in, the text had the same letters there."""
+    for variant, usual in SPELLINGS:
+        for at in range(1 - len(part), len(usual)):
+            cut = usual[max(at, 0):at + len(part)]
+            if part[max(-at, 0):][:len(cut)] == cut and not (
+                    cut in variant if at >= 0 and len(cut) == len(part) else
+                    variant.startswith(cut) if at < 0 and len(cut) < len(usual) else
+                    variant.endswith(cut) if at >= 0 else False):
+                return False
+    return True
+
+
+def triggers(known: list[tuple[str, str]]) -> list[str]:
+    """Parts of words such that every line equal to a known notice of one line holds one of them,
+    so other lines need no digest.  The longest part in most notices first; a notice
+    without such a part gives the empty one, which every line holds."""
+    left = {x for x in (_plain(text) for _, text in known if "\n" not in text) if x}
+    out: list[str] = []
+    while left:
+        count: dict[str, int] = {}
+        for text in left:
+            parts = {w[i:j] for w in text.split(" ") for i in range(len(w)) for j in range(i + 3, len(w) + 1)}
+            for part in parts:
+                count[part] = count.get(part, 0) + 1
+        part = next((x for x in sorted(count, key=lambda x: (-count[x], -len(x), x)) if _kept(x)), "")
+        out.append(part)
+        left = {x for x in left if part not in x}
+    return out
+
+
+def _plain(text: str) -> str:
+    """`canonical` of a known notice in Python."""
+    out = re.sub(r"[\W_]+", " ", re.sub(_COPYRIGHT.replace(r"\p{L}\p{N}", r"\w"), "", text.lower())).strip()
+    for variant, usual in SPELLINGS:
+        out = out.replace(variant, usual)
+    return out
+
+
+#: What the twin filters lines by: the one trigger of KNOWN.
+_NOTICE, = triggers(KNOWN)
 
 
 def canonical(text: Column) -> Column:
@@ -98,8 +195,10 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "d
     spark = docs.sparkSession
     digests = known_digests(spark, known)
     pairs = digests.collect()  # the fixed list above
+    digests = spark.createDataFrame(pairs, digests.schema)
+    found_by = triggers(known)
     lookup = F.create_map(*[F.lit(x) for r in pairs for x in (r["digest"], r["licence"])])
-    line = F.transform(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains(_NOTICE)),
+    line = F.transform(F.filter(F.split("text", "\n"), lambda x: reduce(or_, [F.lower(x).contains(part) for part in found_by], F.lit(False))),
                        lambda x: F.element_at(lookup, F.sha2(canonical(x), 256)))
     units = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         "doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"),
