@@ -55,3 +55,14 @@ def test_ridge_grid_matches_numpy(spark):
     assert res["cv_macro_f1"] == pytest.approx(scores[best], abs=1e-9)
     assert res["val_accuracy"] == pytest.approx(np.mean(pv == y[tr:va]), abs=1e-12)
     assert res["val_macro_f1"] == pytest.approx(_macro_f1(y[tr:va], pv), abs=1e-9)
+
+
+def test_search_budget_is_the_configured_one(spark):
+    from tidemark.operators import learners
+    assert q_models.SEARCH_DRAWS == 80 and len(learners.param_grid(q_models.SECOND_STAGE_GRID)) == 27
+    d, _ = q_models.modeling_table(spark, SF_SMALL)
+    _, folds = q_models._train_folds(d)
+    got = {(r["fold"], r["role"]): (r["n"], r["last"]) for r in
+           folds.groupBy("fold", "role").agg(F.count("*").alias("n"), F.max("row_index").alias("last")).collect()}
+    assert got == {(f, role): x for f in range(8) for role, x in
+                   (("train", (336 + 72 * f, 335 + 72 * f)), ("test", (72, 407 + 72 * f)))}

@@ -97,11 +97,15 @@ def forest_grid_search(data: DataFrame, features: Sequence[str], folds: DataFram
     cands = list(cands)
     fold_ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
 
+    def part(f, role):
+        return base.join(folds.filter((F.col("fold") == f) & (F.col("role") == role)).select(id_col), id_col)
+
+    # every candidate reads the same two tables of a fold: joined and weighted once
+    parts = {f: (cut_lineage(with_class_weights(part(f, "train"), label)), cut_lineage(part(f, "test"))) for f in fold_ids}
+
     def run(ci_fold):
         ci, f = ci_fold
-        tr = base.join(folds.filter((F.col("fold") == f) & (F.col("role") == "train")).select(id_col), id_col)
-        te = base.join(folds.filter((F.col("fold") == f) & (F.col("role") == "test")).select(id_col), id_col)
-        tr = with_class_weights(tr, label)
+        tr, te = parts[f]
         m = _forest(cands[ci], label=label, seed=seed).fit(tr)
         pr = predictions_table(m, te, f"cand{ci}", id_col, label)
         s = cm.accuracy_macro_f1(pr).collect()[0]
