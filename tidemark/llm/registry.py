@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (bin_slack_packing, bounded_ring, collision_projections, language_backoff, licence_digest,
-                          merkle_manifest, periodic_runs, rule_ledger, sentencepiece_codec, simhash_vptree, url_sweep, weak_label_quality)
+                          merkle_manifest, periodic_runs, rule_ledger, secret_scan, sentencepiece_codec, simhash_vptree, url_sweep,
+                          weak_label_quality)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 MODULES = [weak_label_quality, url_sweep, simhash_vptree, language_backoff, rule_ledger,
            collision_projections, bounded_ring, licence_digest, sentencepiece_codec, bin_slack_packing,
-           merkle_manifest, periodic_runs]
+           secret_scan, merkle_manifest, periodic_runs]
 
 
 def queries() -> dict[str, QueryFn]:
