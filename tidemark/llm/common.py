@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir, ship_package
 
-#: Bytes of text handled at once inside a task, and distinct chunks an interner keeps.
+#: Bytes of text handled at once inside a task, distinct chunks that an interner keeps, and their bytes.
 SLICE_BYTES = 8 << 20
 INTERNER_LIMIT = 1_000_000
+INTERNER_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +65,12 @@ class Interner(dict):
     def __init__(self) -> None:
         super().__init__()
         self.todo: list[bytes] = []
+        self.nbytes = 0
 
     def __missing__(self, key: bytes) -> int:
         index = len(self)
         self[key] = index
+        self.nbytes += len(key)
         self.todo.append(key)
         return index
 

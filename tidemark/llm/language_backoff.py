@@ -7,19 +7,25 @@ the scores of its words and the language priors; the posterior of the best langu
 score.
 
 Training counts words and n-grams of labelled documents in Spark (partial counts per Arrow
-batch, summed after a shuffle).  It uses at most about ``docs_per_lang`` documents of each
-language, chosen by a hash of the id, and keeps the ``max_words`` most frequent words and
-``max_grams`` n-grams of each length, so the model has a fixed size bound.
+batch, summed after a shuffle).  It uses at most about ``docs_per_lang`` documents of each of
+the ``max_langs`` most frequent languages, chosen by a hash of the id: that bound on labelled
+rows is the only one.  Every word and n-gram of those documents is kept.
+
+Scoring works in whole batches: each distinct chunk of text is cut into words once, each
+distinct word is looked up once, and the n-grams of all unseen words of a batch are added up
+by one sum over row numbers.  The memos of a worker are bounded by entries and bytes.
 
 A text that is null or has no letter gets ``und`` and score 0, and so does every text if
-there is nothing to learn from.  Languages are tied in alphabetical order.  Repeated rows
-give equal rows; an empty table gives an empty result."""
+there is nothing to learn from.  Languages are tied in alphabetical order.  Texts are read
+whole; a very long one is cut at its white space.  Repeated rows give equal rows; an empty
+table gives an empty result.  Only the named columns are read, so others may have any name."""
 
 from __future__ import annotations
 
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import (
-    INTERNER_LIMIT, Interner, claim, map_arrow, materialize, raw_texts, slices, stable_fraction, table)
+    INTERNER_BYTES, INTERNER_LIMIT, Interner, claim, map_arrow, raw_texts, slices, table)
 
 DOCS_PER_LANG = 2_000
-MAX_WORDS = 40_000
-MAX_GRAMS = 20_000
+MAX_LANGS = 1_000
 ORDER = 4
 SMOOTHING = 0.5
+SAMPLE_STEPS = 1 << 30
 UNDETERMINED = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -44,51 +50,96 @@ def letter_runs(text: bytes | None) -> list[str]:
     return _LETTERS.findall(text.decode("utf-8", "replace").lower()) if text else []
 
 
-class Model:
-    """Log frequencies: ``words`` and ``grams[k]`` (k characters) map to a row per language."""
+def _words(chunk: bytes) -> list[str]:
+    """Letter runs of a chunk; most chunks are one word of ASCII letters."""
+    return [chunk.decode("ascii").lower()] if chunk.isalpha() else letter_runs(chunk)
 
-    def __init__(self, langs: list[str], prior: np.ndarray, words: dict, grams: list[dict]) -> None:
-        self.key, self.langs, self.prior, self.words, self.grams = uuid.uuid4().hex, langs, prior, words, grams
 
-    def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        out, marked = np.zeros(len(self.langs)), f"^{word}$"
+class Model:
+    """Log frequencies, a column per language.  ``words`` and ``grams`` map to rows of ``word_logs``
+    and ``gram_logs``; the logs of a gram of k characters, which overlaps k - 1 others, are
+    divided by k."""
+
+    def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], word_logs: np.ndarray,
+                 grams: dict[str, int], gram_logs: np.ndarray) -> None:
+        self.key, self.langs, self.prior = uuid.uuid4().hex, langs, prior
+        self.words, self.word_logs, self.grams, self.gram_logs = words, word_logs, grams, gram_logs
+
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the longest known n-grams of a word, read left to right."""
+        rows, marked, known = [], f"^{word}$", self.grams.get
         for i in range(len(marked)):
-            for k in range(min(ORDER, len(marked) - i), 0, -1):
-                row = self.grams[k].get(marked[i:i + k])
+            for k in range(ORDER, 0, -1):
+                row = known(marked[i:i + k])
                 if row is not None:
-                    out += row / k  # a gram of k characters overlaps k - 1 others
+                    rows.append(row)
                     break
-        return out
+        return rows
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word."""
+        rows = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        unseen = np.flatnonzero(rows < 0)
+        if not len(self.word_logs):
+            out = np.zeros((len(words), len(self.langs)))
+        else:
+            out = self.word_logs[rows]
+            out[unseen] = 0.0
+        return _add_rows(out, unseen, [self.backoff(words[i]) for i in unseen.tolist()], self.gram_logs)
+
+
+def _add_rows(out: np.ndarray, at: np.ndarray, lists: list[list[int]], source: np.ndarray) -> np.ndarray:
+    """Add the sum of the rows in ``lists[j]`` of ``source`` to ``out[at[j]]``, as one summation."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    some = sizes > 0
+    if some.any():
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        out[at[some]] += np.add.reduceat(source[flat], (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+class Memo(Interner):
+    """key -> row of scores, for the keys met so far."""
+
+    def __init__(self, columns: int) -> None:
+        super().__init__()
+        self.rows = np.zeros((1024, columns))
+
+    def take(self) -> tuple[list, int]:
+        """The new keys and the number of the first; there is a row for each of them."""
+        todo, self.todo = self.todo, []
+        if len(self) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(self), self.rows.shape[1]))])
+        return todo, len(self) - len(todo)
+
+    def full(self) -> bool:
+        return len(self) > INTERNER_LIMIT or self.nbytes > INTERNER_BYTES
 
 
 class Scorer:
-    """Scores texts chunk by chunk; each distinct chunk is scored once per worker."""
+    """Scores texts by their chunks: each distinct chunk, and each distinct word, once per worker."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.reset()
 
     def reset(self) -> None:
-        self.index, self.rows = Interner(), np.zeros((1024, len(self.model.langs) + 1))
+        self.index, self.words = Memo(len(self.model.langs) + 1), Memo(len(self.model.langs))
 
     def _learn(self) -> None:
-        todo, self.index.todo = self.index.todo, []
-        start = len(self.index) - len(todo)
-        if len(self.index) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((len(self.index), self.rows.shape[1]))])
-        for at, chunk in enumerate(todo, start):
-            runs = letter_runs(chunk)
-            for word in runs:
-                self.rows[at, :-1] += self.model.word_scores(word)
-            self.rows[at, -1] = len(runs)
+        chunks, start = self.index.take()
+        met = [list(map(self.words.__getitem__, _words(c))) for c in chunks]
+        words, first = self.words.take()
+        if words:
+            self.words.rows[first:first + len(words)] = self.model.score_words(words)
+        at = np.arange(start, start + len(chunks))
+        self.index.rows[at, :-1] = _add_rows(np.zeros((len(chunks), len(self.model.langs))), at - start, met, self.words.rows)
+        self.index.rows[at, -1] = list(map(len, met))
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = [], np.zeros(len(texts))
         for a, b in slices(texts):
-            if len(self.index) > INTERNER_LIMIT:
+            if self.index.full() or self.words.full():
                 self.reset()
             look, met = self.index.__getitem__, []
             for t in texts[a:b]:
@@ -96,7 +147,7 @@ class Scorer:
                 met.append(np.fromiter(map(look, chunks), np.int64, len(chunks)))
             self._learn()
             for i, at in enumerate(met, a):
-                total = self.rows[at].sum(axis=0)
+                total = self.index.rows[at].sum(axis=0)
                 if not total[-1] or not self.model.langs:
                     langs.append(UNDETERMINED)
                     continue
@@ -129,39 +180,46 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["lang", "kind", "gram", "n"])
 
 
-def fit(docs: DataFrame, training: Column, docs_per_lang: int = DOCS_PER_LANG, max_words: int = MAX_WORDS,
-        max_grams: int = MAX_GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, training: Column, docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS,
+        id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``docs`` where ``training`` holds and the language is not null."""
     labelled = docs.where(training).where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], np.zeros(0), {}, [{} for _ in range(ORDER + 1)])
-    chosen = F.lit(False)
-    for lang in langs:
-        chosen = chosen | ((F.col("lang") == lang) & stable_fraction(F.col("id"), min(1.0, docs_per_lang / sizes[lang])))
+        none = np.zeros((0, 0))
+        return Model([], np.zeros(0), {}, none, {}, none)
+    # one lookup whatever the number of languages; null (and so left out) for one that is not learnt
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, docs_per_lang / sizes[lang]) * SAMPLE_STEPS))])
+    chosen = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(SAMPLE_STEPS)) < F.element_at(share, F.col("lang"))
     counted = (labelled.where(chosen).select("text", "lang")
                .transform(map_arrow, _counts, "lang string, kind int, gram string, n bigint")
-               .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-               .groupBy("kind", "gram").agg(F.sum("n").alias("total"),
-                                            F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")))
-    counted = materialize(counted)
-    tables = []
+               .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
+    # every word and n-gram of the sampled documents: bounded by docs_per_lang and max_langs
+    found = counted.select("kind", "gram", "lang", "n").toPandas()
+    place = {x: i for i, x in enumerate(langs)}
+    logs, numbers = [], []
     for kind in range(ORDER + 1):
-        least, most = (2, max_words) if kind == 0 else (1, max_grams)
-        kept = (counted.where((F.col("kind") == kind) & (F.col("total") >= least))
-                .orderBy(F.desc("total"), "gram").limit(most).collect())
-        counts = np.array([[r["by_lang"].get(x, 0) for x in langs] for r in kept], float).reshape(-1, len(langs))
-        logs = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * max(1, len(kept)))
-        tables.append({r["gram"]: row for r, row in zip(kept, logs)})
-    share = np.array([sizes[x] for x in langs], float)
-    return Model(langs, np.log(share / share.sum()), tables[0], tables)
+        part = found[found["kind"] == kind]
+        index = Interner()
+        rows = np.fromiter(map(index.__getitem__, part["gram"]), np.int64, len(part))
+        counts = np.zeros((len(index), len(langs)))
+        np.add.at(counts, (rows, part["lang"].map(place).to_numpy(np.int64)), part["n"].to_numpy(float))
+        logs.append((np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * max(1, len(index)))) / max(kind, 1))
+        numbers.append(dict(index))
+    grams, base = {}, 0
+    for kind in range(1, ORDER + 1):
+        grams.update((g, i + base) for g, i in numbers[kind].items())
+        base += len(numbers[kind])
+    prior = np.array([sizes[x] for x in langs], float)
+    return Model(langs, np.log(prior / prior.sum()), numbers[0], logs[0], grams, np.concatenate(logs[1:]))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words and n-grams of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = claim(("language", shared.value.key), lambda: Scorer(shared.value))
