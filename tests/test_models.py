@@ -58,8 +58,8 @@ def test_ridge_grid_matches_numpy(spark):
 
 
 def test_search_budget_is_the_configured_one(spark):
-    from tidemark.operators import learners
-    assert q_models.SEARCH_DRAWS == 80 and len(learners.param_grid(q_models.SECOND_STAGE_GRID)) == 27
+    from tidemark.operators import boosting, learners
+    assert q_models.SEARCH_DRAWS == 80 and len(learners.param_grid(boosting.STACK_GRID)) == 27
     d, _ = q_models.modeling_table(spark, SF_SMALL)
     _, folds = q_models._train_folds(d)
     got = {(r["fold"], r["role"]): (r["n"], r["last"]) for r in

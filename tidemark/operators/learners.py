@@ -1,17 +1,15 @@
 """Spark ML learners for the boosted-tree / second-stage steps (M4, M5, M6, M7,
 M8, M10, M13, M14, K4, K6, P24, A35, S6).
 
-The reference's gradient-boosted libraries are replaced by Spark ML's
-``RandomForestClassifier`` (multiclass, probabilities, ``weightCol``): every fit
-is a distributed tree-aggregate job over the table; the candidate loop is a small
-driver-side thread pool that submits those jobs concurrently.  Folds come from
-``split.expanding_folds`` (time-ordered), never random k-fold.
+Models over a whole split are Spark ML's ``RandomForestClassifier`` (multiclass,
+probabilities, ``weightCol``): every fit is a distributed tree-aggregate job over the
+table.  Parameter searches and learning curves, many small fits on expanding folds,
+are in ``boosting``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,28 +18,6 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import classify_metrics as cm
 
-# Search space bounds mapped from the reference's tree-model space.
-SEARCH_SPACE = {
-    "numTrees": ("int", 100, 400),
-    "maxDepth": ("int", 2, 5),
-    "subsamplingRate": ("uniform", 0.5, 0.9),
-    "minInstancesPerNode": ("int", 3, 11),
-    "featureSubsetFraction": ("uniform", 0.5, 0.9),
-}
-
-
-def sample_param_maps(n: int, seed: int = 42, space: dict = SEARCH_SPACE) -> list[dict]:
-    """Seeded random draws from the search space (one dict per candidate)."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(int(n)):
-        d = {}
-        for k, (kind, lo, hi) in space.items():
-            d[k] = int(rng.integers(lo, hi + 1)) if kind == "int" else float(lo + (hi - lo) * rng.random())
-        out.append(d)
-    return out
-
-
 def with_class_weights(train: DataFrame, label: str = "label", power: float = 2.0, out: str = "w") -> DataFrame:
     """A24 joined as ``weightCol`` (one row per class: AQE broadcasts it)."""
     cw = cm.class_weights(train, label, power).select(F.col("label").alias(label), F.col("weight").alias(out))
@@ -76,53 +52,6 @@ def predictions_table(model, df: DataFrame, model_name: str, id_col: str, label:
                     vector_to_array("probability").alias("proba"))
 
 
-def forest_random_search(data: DataFrame, features: Sequence[str], folds: DataFrame, *, n_draws: int = 80,
-                         seed: int = 42, label: str = "label", id_col: str = "row_index",
-                         parallelism: int = 4) -> tuple[DataFrame, dict]:
-    """M4: random search over ``n_draws`` candidates x expanding folds; returns the
-    per-(candidate, fold) scores table and the best candidate (by mean CV macro-F1,
-    K4).  ``folds`` has (id_col, fold, role) rows."""
-    return forest_grid_search(data, features, folds, sample_param_maps(n_draws, seed), seed=seed, label=label,
-                              id_col=id_col, parallelism=parallelism)
-
-
-def forest_grid_search(data: DataFrame, features: Sequence[str], folds: DataFrame, cands: Sequence[dict], *,
-                       seed: int = 42, label: str = "label", id_col: str = "row_index",
-                       parallelism: int = 4) -> tuple[DataFrame, dict]:
-    """M4/M5: evaluate explicit parameter maps x expanding folds (each fit is a
-    distributed Spark ML job; a small thread pool submits them concurrently)."""
-    from tidemark.session import cut_lineage
-    spark = data.sparkSession
-    base = cut_lineage(vectorise(data, features))
-    cands = list(cands)
-    fold_ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
-
-    def part(f, role):
-        return base.join(folds.filter((F.col("fold") == f) & (F.col("role") == role)).select(id_col), id_col)
-
-    # every candidate reads the same two tables of a fold: joined and weighted once
-    parts = {f: (cut_lineage(with_class_weights(part(f, "train"), label)), cut_lineage(part(f, "test"))) for f in fold_ids}
-
-    def run(ci_fold):
-        ci, f = ci_fold
-        tr, te = parts[f]
-        m = _forest(cands[ci], label=label, seed=seed).fit(tr)
-        pr = predictions_table(m, te, f"cand{ci}", id_col, label)
-        s = cm.accuracy_macro_f1(pr).collect()[0]
-        return ci, f, float(s["macro_f1"]), float(s["accuracy"])
-
-    jobs = [(ci, f) for ci in range(len(cands)) for f in fold_ids]
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        res = list(ex.map(run, jobs))
-    scores = spark.createDataFrame([(ci, f, mf, acc) for ci, f, mf, acc in res],
-                                   "candidate int, fold int, macro_f1 double, accuracy double")
-    summary = cm.cv_score_summary(scores, ["candidate"], "macro_f1")
-    w = Window.orderBy(F.col("mean_score").desc(), F.col("candidate"))
-    best = summary.withColumn("_r", F.row_number().over(w)).filter("_r = 1").collect()[0]
-    return scores, {"candidate": int(best["candidate"]), "params": cands[int(best["candidate"])],
-                    "cv_macro_f1": float(best["mean_score"])}
-
-
 def fit_forest(train: DataFrame, features: Sequence[str], params: dict, label: str = "label", seed: int = 42):
     return _forest(params, label=label, seed=seed).fit(with_class_weights(vectorise(train, features), label))
 
@@ -203,42 +132,6 @@ def enrich_with_predictions(df: DataFrame, model, features: Sequence[str], prefi
     return p
 
 
-def learning_curve(train: DataFrame, features: Sequence[str], folds: DataFrame, params: dict,
-                   fractions: Sequence[float] = tuple(np.linspace(0.1, 1.0, 10)), label: str = "label",
-                   id_col: str = "row_index", parallelism: int = 4) -> DataFrame:
-    """Per train size and fold, fit on the first rows of the fold's training rows (time
-    order), score train and test macro-F1; mean/std/gap (A35).  The sizes are fractions of the
-    first fold's training rows and the same for all folds."""
-    from tidemark.session import cut_lineage
-    spark = train.sparkSession
-    base = cut_lineage(vectorise(train, features))
-    fold_ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
-
-    # one list of train sizes for all folds, from the first fold's training rows
-    first_size = folds.filter((F.col("fold") == fold_ids[0]) & (F.col("role") == "train")).count()
-
-    def run(job):
-        frac, f = job
-        k = max(int(first_size * frac), 1)
-        trf = folds.filter((F.col("fold") == f) & (F.col("role") == "train"))
-        tr_ids = trf.filter(F.col(id_col) < F.lit(k) + trf.agg(F.min(id_col)).first()[0]).select(id_col)
-        tr = base.join(tr_ids, id_col)
-        te = base.join(folds.filter((F.col("fold") == f) & (F.col("role") == "test")).select(id_col), id_col)
-        m = _forest(params, label=label).fit(with_class_weights(tr, label))
-        s_tr = cm.accuracy_macro_f1(predictions_table(m, tr, "m", id_col, label)).collect()[0]["macro_f1"]
-        s_te = cm.accuracy_macro_f1(predictions_table(m, te, "m", id_col, label)).collect()[0]["macro_f1"]
-        return float(frac), int(f), int(k), float(s_tr), float(s_te)
-
-    jobs = [(fr, f) for fr in fractions for f in fold_ids]
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        res = list(ex.map(run, jobs))
-    df = spark.createDataFrame(res, "fraction double, fold int, n_train int, train_f1 double, test_f1 double")
-    return df.groupBy("fraction").agg(F.avg("n_train").alias("n_train"), F.avg("train_f1").alias("train_mean"),
-                                      F.stddev_pop("train_f1").alias("train_std"), F.avg("test_f1").alias("test_mean"),
-                                      F.stddev_pop("test_f1").alias("test_std")) \
-             .withColumn("gap", F.col("train_mean") - F.col("test_mean"))
-
-
 def save_artifacts(output_dir: str, models: dict, manifest: dict, spark, test_df: DataFrame | None = None) -> dict:
     """Spark ML persistence per model, test split as Parquet, manifest as
     a one-row JSON table (extra keys become manifest fields)."""
@@ -284,62 +177,124 @@ def scoring_inputs(artifacts: dict, features_key: str = "features", id_cols: Seq
     return df.select(*first, *[F.col(f"`{f}`") for f in features if f not in first]), features
 
 
+def split_points(model, features: Sequence[str]) -> dict[str, list[float]]:
+    """Thresholds per feature of a fitted forest, ascending; as many as the forest has nodes."""
+    import uuid
+
+    from pyspark.sql import SparkSession
+
+    from tidemark.session import ensure_checkpoint_dir
+    spark = SparkSession.getActiveSession()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-model-{uuid.uuid4().hex}"
+    model.write().save(path)  # the saved form lists the nodes as a table
+    nodes = spark.read.parquet(f"{path}/data")
+    split = "nodeData.split" if "nodeData" in nodes.columns else "split"
+    rows = (nodes.select(F.col(f"{split}.featureIndex").alias("f"), F.element_at(F.col(f"{split}.leftCategoriesOrThreshold"), 1).alias("t"))
+            .where("f >= 0").groupBy("f").agg(F.sort_array(F.collect_set("t")).alias("ts")).collect())
+    found = {features[r["f"]]: list(r["ts"]) for r in rows}
+    return {f: found.get(f, []) for f in features}
+
+
 def partial_dependence(model, df: DataFrame, features: Sequence[str], targets: Sequence[str],
                        grid_resolution: int = 100, percentiles: tuple = (0.05, 0.95)) -> DataFrame:
-    """M12 (brute force): for each target feature, a grid over its [5 %, 95 %]
-    percentiles; every row is scored with the feature set to each grid value and the
-    class probabilities are averaged per grid point.  Rows are exploded by the grid
-    (a per-row projection) and scored in one ``transform``."""
+    """For each target feature, a grid over its [5 %, 95 %] percentiles; every row is scored
+    with the feature set to each grid value and the class probabilities are averaged.
+
+    A forest's answer changes only at its split points, so grid values between the same two
+    points of a feature share one copy of the rows: a row is copied once per interval that the
+    grid meets, not once per grid point.  All features are scored by one ``transform``."""
+    from bisect import bisect_left
+
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from tidemark.operators.eda import exact_quantiles
-    outs = []
+    from tidemark.operators.eda import exact_quantile_table
+    ends, splits = exact_quantile_table(df, targets, percentiles), split_points(model, features)
+    points, copies = [], []
     for f in targets:
-        lo, hi = exact_quantiles(df, f, percentiles)
-        grid = [float(v) for v in np.linspace(lo, hi, grid_resolution)]
-        x = df.select(*[c for c in features if c != f],
-                      F.posexplode(F.array(*[F.lit(g) for g in grid])).alias("grid_index", f"`{f}`"))
-        x = x.withColumnRenamed(f"`{f}`", f)
-        p = model.transform(vectorise(x, features))
-        arr = vector_to_array("probability")
-        k = model.numClasses
-        outs.append(p.groupBy("grid_index").agg(
-            F.first(F.col(f"`{f}`")).alias("value"), *[F.avg(arr[i]).alias(f"avg_proba_{i}") for i in range(k)])
-            .withColumn("feature", F.lit(f)))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        lo, hi = ends[f]
+        if lo is None:
+            continue
+        seen: set = set()
+        for i, v in enumerate(np.linspace(lo, hi, grid_resolution).tolist()):
+            interval = bisect_left(splits[f], v)  # a value at a threshold goes left
+            points.append((f, i, v, interval))
+            if interval not in seen:
+                seen.add(interval)
+                copies.append((f, interval, v))
+    spark = df.sparkSession
+    grid = spark.createDataFrame(points, "feature string, grid_index int, value double, interval int")
+    # features x intervals structs, the same for all rows
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("pf"), F.lit(k).alias("interval"), F.lit(v).alias("pv")) for f, k, v in copies]))
+    x = df.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f) for f in features], each.alias("_g"))
+    x = x.select(*[F.when(F.col("_g.pf") == f, F.col("_g.pv")).otherwise(F.col(f"`{f}`")).alias(f) if f in targets else F.col(f"`{f}`")
+                   for f in features], F.col("_g.pf").alias("_pf"), F.col("_g.interval").alias("_interval"))
+    p = model.transform(VectorAssembler(inputCols=list(features), outputCol="features").transform(x))
+    arr, k = vector_to_array("probability"), model.numClasses
+    means = p.groupBy("_pf", "_interval").agg(*[F.avg(arr[i]).alias(f"avg_proba_{i}") for i in range(k)])
+    return (grid.join(means, (F.col("feature") == F.col("_pf")) & (F.col("interval") == F.col("_interval")))
+            .select("grid_index", "value", *[f"avg_proba_{i}" for i in range(k)], "feature"))
+
+
+def permuted(i: F.Column, n: int, *key: F.Column) -> F.Column:
+    """A permutation of 0..n-1 as an expression: Feistel rounds over the next power of two, walked
+    until the value is below n (each step fails with at most one half)."""
+    bits = max(2, (max(n, 2) - 1).bit_length())
+    low = bits // 2
+    low_mask, high_mask = (1 << low) - 1, (1 << (bits - low)) - 1
+
+    def walk(x, _):
+        return F.when(x < n, x).otherwise(_feistel(x, low, low_mask, high_mask, key))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _feistel(i.cast("bigint"), low, low_mask, high_mask, key), walk)
+
+
+#: Steps of a cycle walk; the chance that one is still outside after them is below 2**-WALK.
+WALK = 96
+
+
+def _feistel(x: F.Column, low: int, low_mask: int, high_mask: int, key) -> F.Column:
+    """Eight half rounds on the two parts of a number; each state is a lambda variable, so that
+    it is worked out once."""
+    state = F.array(F.struct(F.shiftright(x, low).alias("a"), x.bitwiseAND(F.lit(low_mask).cast("bigint")).alias("b")))
+    for r in range(4):
+        state = F.transform(state, lambda s, r=r: F.struct(
+            s["a"].bitwiseXOR(F.xxhash64(F.lit(2 * r), *key, s["b"])).bitwiseAND(F.lit(high_mask).cast("bigint")).alias("a"), s["b"].alias("b")))
+        state = F.transform(state, lambda s, r=r: F.struct(
+            s["a"].alias("a"), s["b"].bitwiseXOR(F.xxhash64(F.lit(2 * r + 1), *key, s["a"])).bitwiseAND(F.lit(low_mask).cast("bigint")).alias("b")))
+    return F.transform(state, lambda s: F.call_function("shiftleft", s["a"], F.lit(low)).bitwiseOR(s["b"]))[0]
 
 
 def permutation_importance(model, df: DataFrame, features: Sequence[str], id_col: str, label: str = "label",
-                           n_repeats: int = 5, seed: int = 42, buckets: int = 64) -> DataFrame:
-    """Macro-F1 drop when one feature's values are permuted across rows.
-
-    The permutation avoids a global sort: rows are spread over ``buckets`` hash
-    buckets per (feature, repeat) and, inside a bucket ordered by a second hash, each
-    row takes the value of the next row (a cyclic shift); all (feature, repeat)
-    copies are scored by one ``transform`` and one grouped metric."""
-    from tidemark.functions.numeric import with_mix_uniform
-    base = cm.accuracy_macro_f1(predictions_table(model, vectorise(df, features), "m", id_col, label)) \
+                           n_repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Macro-F1 drop when one feature's values are permuted across all rows.
+
+    Rows are numbered; a keyed bijection on the numbers (``permuted``) gives every row of a
+    (feature, repeat) copy another row's number, and one equijoin on it fetches that row's
+    value.  Each value is used exactly once, at any size, without sorting by random keys."""
+    from pyspark.ml.functions import array_to_vector
+
+    from tidemark.plans.scan import ranked_rows
+    from tidemark.session import cut_lineage
+    filled = df.select(F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features]).alias("x"),
+                       F.col(label).cast("double").alias("label"), F.col(id_col).alias("row_id"))
+    rows = cut_lineage(ranked_rows(filled, ["row_id"]))
+    n = rows.count()
+    base = cm.accuracy_macro_f1(predictions_table(model, rows.withColumn("features", array_to_vector("x")), "m", "row_id", "label")) \
              .collect()[0]["macro_f1"]
-    reps = F.array(*[F.struct(F.lit(f).alias("pf"), F.lit(r).alias("rep")) for f in features for r in range(n_repeats)])
-    x = df.select(*features, id_col, label, F.explode(reps).alias("_fr")).select("*", "_fr.pf", "_fr.rep").drop("_fr")
-    x = x.withColumn("_rk", F.xxhash64(F.col("pf"), F.col("rep"), F.col(id_col)))
-    x = with_mix_uniform(x, "_u", seed, "rep", id_col)
-    x = x.withColumn("_b", (F.col("_u") * buckets).cast("int"))
-    w = Window.partitionBy("pf", "rep", "_b").orderBy("_rk", id_col)
-    # value taken from the next row in the bucket (the last row takes the first row's)
-    for f in features:
-        nxt = F.coalesce(F.lead(F.col(f"`{f}`")).over(w), F.first(F.col(f"`{f}`")).over(w.rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)))
-        x = x.withColumn(f, F.when(F.col("pf") == f, nxt).otherwise(F.col(f"`{f}`")))
-    p = model.transform(vectorise(x, features))
-    pr = p.select("pf", "rep", F.col(label).cast("bigint").alias("y_true"), F.col("prediction").cast("bigint").alias("y_pred"))
-    s = cm.accuracy_macro_f1(pr, ["pf", "rep"])
-    return s.groupBy(F.col("pf").alias("feature")).agg(
+    copies = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.lit(r).alias("rep")) for i in range(len(features)) for r in range(n_repeats)]))
+    x = rows.select("rank", "x", "label", copies.alias("c")).select("rank", "x", "label", "c.f", "c.rep")
+    x = x.withColumn("source", permuted(F.col("rank"), n, F.lit(seed), F.col("f"), F.col("rep")))
+    values = rows.select(F.col("rank").alias("source"), F.posexplode("x").alias("f", "moved"))
+    x = x.join(values, ["source", "f"])
+    x = x.withColumn("features", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("f"), F.col("moved")).otherwise(v))))
+    p = model.transform(x)
+    s = cm.accuracy_macro_f1(p.select("f", "rep", F.col("label").cast("bigint").alias("y_true"), F.col("prediction").cast("bigint").alias("y_pred")),
+                             ["f", "rep"])
+    names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("f") + 1)
+    return s.groupBy(names.alias("feature")).agg(
         (F.lit(base) - F.avg("macro_f1")).alias("importance_mean"),
-        F.stddev_pop(F.lit(base) - F.col("macro_f1")).alias("importance_std"))
+        F.stddev_pop(F.lit(base) - F.col("macro_f1")).alias("importance_std"), F.count("*").alias("n_repeats"))
 
 
 def param_grid(space: dict) -> list[dict]:

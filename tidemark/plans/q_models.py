@@ -70,7 +70,7 @@ def k3_top_parameter_sets(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- Spark ML learners
-from tidemark.operators import learners, split  # noqa: E402
+from tidemark.operators import boosting, learners, split  # noqa: E402
 from tidemark.operators import classify_metrics as cm  # noqa: E402
 from tidemark.session import cut_lineage  # noqa: E402
 
@@ -80,6 +80,12 @@ CURVE_FRACTIONS = tuple(k / 10 for k in range(1, 11))
 # The budget that the reference's configuration and notebook run.
 SEARCH_DRAWS = 80
 SEARCH_SPLITS, SEARCH_STEP, SEARCH_MIN_TRAIN = split.N_SPLITS, split.STEP, split.MIN_TRAIN
+#: The evaluated forest: the middle of the configured tree ranges.  Evaluation, calibration,
+#: importances and dependence take any setting; they do not search.
+FOREST = {"numTrees": 250, "maxDepth": 4, "subsamplingRate": 0.7, "minInstancesPerNode": 7, "featureSubsetFraction": 0.7}
+#: The learning curve's boosting setting, likewise.
+CURVE_SETTING = {"n_estimators": 250, "max_depth": 4, "learning_rate": 0.04, "subsample": 0.7, "colsample": 0.7, "gamma": 2.75,
+                 "min_child_weight": 7, "reg_alpha": 0.1, "reg_lambda": 1.0}
 
 
 _MEMO: dict = {}
@@ -125,39 +131,27 @@ def _train_folds(d):
                            .join(tr.select("ts", "series_id", "row_index"), ["ts", "series_id"]))
 
 
-def _search(spark, sf_dir):
-    """Random search (memoised per application and input: later queries refit the
-    chosen candidate instead of repeating the search)."""
-    key = _memo_key(spark, sf_dir, "search")
+@register("m4_forest_random_search")
+def m4_forest_random_search(spark, sf_dir):
+    """80 draws of boosting settings x 8 expanding folds, early stopping on validation
+    rows; scores per candidate, its settings and rank.  No SQL twin (model fitting)."""
+    d, feats = modeling_table(spark, sf_dir)
+    tr, folds = _train_folds(d)
+    settings = boosting.sample_settings(SEARCH_DRAWS, 42)
+    rows = boosting.fold_rows(tr, folds, feats, d.filter(F.col("split") == "val"))
+    return round_doubles(boosting.summary(boosting.search(rows, settings), settings))
+
+
+def _fit_best(spark, sf_dir, params=None):
+    """The forest fitted on the training split, once per application, input and setting."""
+    params = params or FOREST
+    key = _memo_key(spark, sf_dir, tuple(sorted(params.items())))
     if key not in _MEMO:
         d, feats = modeling_table(spark, sf_dir)
-        tr, folds = _train_folds(d)
-        scores, best = learners.forest_random_search(tr, feats, folds, n_draws=SEARCH_DRAWS, seed=42)
-        _MEMO[key] = (d, feats, cut_lineage(scores), best)
+        _MEMO[key] = d, feats, learners.fit_forest(d.filter(F.col("split") == "train"), feats, params)
     return _MEMO[key]
 
 
-@register("m4_forest_random_search")
-def m4_forest_random_search(spark, sf_dir):
-    """Candidates x expanding folds; mean/std macro-F1 per candidate (A35) with its
-    parameters.  No SQL twin (model fitting)."""
-    _, _, scores, _ = _search(spark, sf_dir)
-    summ = cm.cv_score_summary(scores, ["candidate"], "macro_f1")
-    cands = learners.sample_param_maps(SEARCH_DRAWS, 42)
-    pm = spark.createDataFrame([(i, c["numTrees"], c["maxDepth"], c["subsamplingRate"], c["minInstancesPerNode"],
-                                 c["featureSubsetFraction"]) for i, c in enumerate(cands)],
-                               "candidate int, numTrees int, maxDepth int, subsamplingRate double, "
-                               "minInstancesPerNode int, featureSubsetFraction double")
-    return round_doubles(summ.join(pm, "candidate"))
-
-
-def _fit_best(spark, sf_dir):
-    d, feats, _, best = _search(spark, sf_dir)
-    tr = d.filter(F.col("split") == "train")
-    model = learners.fit_forest(tr, feats, best["params"])
-    return d, feats, model
-
-
 def _preds(model, d, feats, split_name, name="forest"):
     part = learners.vectorise(d.filter(F.col("split") == split_name), feats)
     return learners.predictions_table(model, part, name, "row_index")
@@ -198,19 +192,17 @@ def a29_importance_by_category(spark, sf_dir):
 
 @register("m13_learning_curve")
 def m13_learning_curve(spark, sf_dir):
-    d, feats, _, best = _search(spark, sf_dir)
+    d, feats = modeling_table(spark, sf_dir)
     tr, folds = _train_folds(d)
-    return round_doubles(learners.learning_curve(tr, feats, folds, best["params"], fractions=CURVE_FRACTIONS))
+    return round_doubles(boosting.learning_curve(boosting.fold_rows(tr, folds, feats), CURVE_SETTING, CURVE_FRACTIONS))
 
 
 @register("m14_feature_set_comparison")
 def m14_feature_set_comparison(spark, sf_dir):
     """The same learner on signal features vs baseline-only features, and
     the constant-long rule, scored on the test split."""
-    d, feats, _, best = _search(spark, sf_dir)
-    tr = d.filter(F.col("split") == "train")
-    m_sig = learners.fit_forest(tr, feats, best["params"])
-    m_base = learners.fit_forest(tr, models.BASELINE_FEATURES, best["params"])
+    d, feats, m_sig = _fit_best(spark, sf_dir)
+    m_base = learners.fit_forest(d.filter(F.col("split") == "train"), models.BASELINE_FEATURES, FOREST)
     p_sig = _preds(m_sig, d, feats, "test", "signal")
     p_base = _preds(m_base, d, models.BASELINE_FEATURES, "test", "baseline")
     const = p_sig.select(F.lit("constant_long").alias("model"), "row_id", "y_true",
@@ -230,31 +222,20 @@ def m12_partial_dependence(spark, sf_dir):
 def m11_permutation_importance(spark, sf_dir):
     d, feats, model = _fit_best(spark, sf_dir)
     test = d.filter(F.col("split") == "test")
-    return round_doubles(learners.permutation_importance(model, test, feats, "row_index", n_repeats=5))
-
-
-# Second-stage grid of 27 settings as the reference's (depths, row and column shares are its
-# own; a forest has neither a leaf limit nor a learning rate: leaf sizes and tree numbers stand in).
-SECOND_STAGE_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "subsamplingRate": [0.8],
-                     "minInstancesPerNode": [5, 10, 20], "featureSubsetFraction": [0.8]}
+    return round_doubles(learners.permutation_importance(model, test, feats, "row_index", n_repeats=10))
 
 
 @register("m5_second_stage_grid")
 def m5_second_stage_grid(spark, sf_dir):
-    """First-stage forest probabilities become features (stacking); a
-    parameter grid is evaluated on the expanding folds for the signal feature set
+    """First-stage forest probabilities become features (stacking); the 27 settings
+    of the second stage run on the expanding folds for the signal feature set
     (baseline + topics + stacked) and the baseline set (baseline + stacked)."""
-    d, feats, _, best = _search(spark, sf_dir)
-    tr = d.filter(F.col("split") == "train")
-    first = learners.fit_forest(tr, feats, best["params"])
-    stacked = learners.enrich_with_predictions(d, first, feats, "stage1", 3)
+    d, feats, first = _fit_best(spark, sf_dir)
+    stacked = cut_lineage(learners.enrich_with_predictions(d, first, feats, "stage1", 3))
     stack_cols = [f"stage1_prob_class{i}" for i in range(3)]
-    tr2, folds = _train_folds(stacked)
-    grid = learners.param_grid(SECOND_STAGE_GRID)
-    out = []
+    tr, folds = _train_folds(stacked)
+    settings, out = learners.param_grid(boosting.STACK_GRID), []
     for name, fs in (("signal", feats + stack_cols), ("baseline", models.BASELINE_FEATURES + stack_cols)):
-        scores, b = learners.forest_grid_search(tr2, fs, folds, grid)
-        summ = cm.cv_score_summary(scores, ["candidate"], "macro_f1").withColumn("feature_set", F.lit(name)) \
-                 .withColumn("is_best", F.col("candidate") == F.lit(b["candidate"]))
-        out.append(summ)
+        rows = boosting.fold_rows(tr, folds, fs, stacked.filter(F.col("split") == "val"))
+        out.append(boosting.summary(boosting.search(rows, settings), settings).withColumn("feature_set", F.lit(name)))
     return round_doubles(out[0].unionByName(out[1]))

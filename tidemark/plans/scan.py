@@ -32,6 +32,25 @@ def _join_blocks(d: DataFrame, blocks: DataFrame, cols: Sequence[str]) -> DataFr
     return d.join(b, same).drop(*[f"_j_{c}" for c in cols])
 
 
+def ranged(df: DataFrame, by: Sequence[str], out: str = "_part", n: int | None = None) -> DataFrame:
+    """The rows with the number of their range partition: borders come from a sample, so ranges
+    hold about equal numbers of rows whatever the values are, and ties of ``by`` stay together.
+    Stored, so that the numbers hold however often the result is read."""
+    from tidemark.session import cut_lineage
+    parts = n or max(2 * df.sparkSession.sparkContext.defaultParallelism, 8)
+    return cut_lineage(df.repartitionByRange(parts, *by).withColumn(out, F.spark_partition_id()))
+
+
+def ranked_rows(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
+    """Gapless 0-based number of all rows by ``order`` (unique), from equal ranges and their counts."""
+    d = ranged(df, list(order))
+    counts = d.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
+    base = counts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    w = Window.partitionBy("_part").orderBy(*order)
+    return (d.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(base), F.col("_part") == F.col("_p"))
+            .withColumn(out, (F.col("_base") + F.col("_rn") - 1).cast("bigint")).drop("_part", "_p", "_base", "_rn"))
+
+
 def global_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                       out: str = "rn", block_unit: str = DEFAULT_BLOCK) -> DataFrame:
     """1-based row number per ``keys`` ordered by ``order`` (first column a timestamp),
