@@ -263,19 +263,61 @@ def test_bootstrap_user_metric_matches_builtin(spark):
     assert a["lower"] == pytest.approx(b["lower"], abs=1e-12) and a["upper"] == pytest.approx(b["upper"], abs=1e-12)
 
 
-def test_targets_off_the_hour(spark):
-    """Quarter-hour targets equal the literal band join; an unnamed minute raises."""
+@pytest.mark.parametrize("fractional", [False, True])
+def test_targets_at_any_instant(spark, fractional):
+    """Second-exact targets, whole and fractional ages, equal the literal band join."""
     rng = np.random.default_rng(5)
-    a = _arts(spark, [(i, T0 - dt.timedelta(minutes=int(rng.integers(0, 4000)), seconds=int(i % 3 == 0)), "xy"[i % 2])
-                      for i in range(200)])
-    times = [T0 + dt.timedelta(minutes=m) for m in (0, 15, 30, 105, -45)]
+    rows = [(i, T0 - dt.timedelta(minutes=int(rng.integers(0, 6000)), seconds=int(rng.integers(0, 60)) * (i % 3 == 0)), "xyz"[i % 3])
+            for i in range(300)]
+    times = [T0 + dt.timedelta(seconds=int(s)) for s in [0, 900, 1800, -2700, 17, 3601, 3599, *rng.integers(-300_000, 90_000, 40)]]
+    times += [r[1] for r in rows[:6]] + [rows[3][1] + dt.timedelta(hours=24), rows[4][1] + dt.timedelta(hours=72)]
+    times += [rows[3][1] + dt.timedelta(hours=24, microseconds=1)]
+    a = _arts(spark, rows)
+    tg = spark.createDataFrame([(t,) for t in times + times[:2]], "ts timestamp_ntz")
+    how = {"fractional": True} if fractional else {"any_instant": True}
+    grid = {}
+    for r in decay.decayed_topic_grid(a, tg, [24, 72], [0.1, 0.5], **how).collect():
+        grid.setdefault((r["lookback"], r["decay_lambda"]), {})[(r["ts"], r["topic"])] = r["weight"]
+    for L in (24, 72):
+        for lam in (0.1, 0.5):
+            want = {(r["ts"], r["topic"]): r["weight"] for r in decay.band_join_bruteforce(a, tg, L, lam, fractional=fractional).collect()}
+            assert grid[(L, lam)] == pytest.approx(want, rel=1e-9, abs=1e-12)
+    one = {(r["ts"], r["topic"]): r["weight"] for r in decay.decayed_topic_counts(a, tg, 24, 0.1, **how).collect()}
+    assert one == pytest.approx(grid[(24, 0.1)])
+
+
+@pytest.mark.parametrize("how", [{"any_instant": True}, {"fractional": True}])
+def test_embeddings_at_any_instant(spark, how):
+    rng = np.random.default_rng(6)
+    rows = [(i, T0 - dt.timedelta(seconds=int(rng.integers(0, 200_000))), rng.normal(size=3).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "article_id long, publishedAt timestamp_ntz, embedding array<double>")
+    times = [T0 + dt.timedelta(seconds=int(s)) for s in rng.integers(-100_000, 60_000, 12)]
     tg = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
-    got = {(r["ts"], r["topic"]): r["weight"] for r in
-           decay.decayed_topic_counts(a, tg, 24, 0.1, target_minutes=(0, 15, 30, 45)).collect()}
-    want = {(r["ts"], r["topic"]): r["weight"] for r in decay.band_join_bruteforce(a, tg, 24, 0.1).collect()}
-    assert got == pytest.approx(want)
-    with pytest.raises(Exception, match="target_minutes"):
+    got = {(r["ts"], r["dim"]): r["value"] for r in decay.decayed_embeddings(df, tg, 24, 0.2, **how).collect()}
+    want = {}
+    for t in times:
+        ages = [(t - r[1]).total_seconds() / 3600 for r in rows]
+        w = np.array([np.exp(-0.2 * (x if "fractional" in how else np.floor(x))) if 0 <= x <= 24 else 0.0 for x in ages])
+        if w.sum():
+            mean = (w[:, None] * np.array([r[2] for r in rows])).sum(axis=0) / w.sum()
+            want.update({(t, d): mean[d] for d in range(3)})
+    assert got == pytest.approx(want, rel=1e-7, abs=1e-9)
+
+
+def test_decay_guards(spark):
+    a = _arts(spark, [(1, T0, "x")])
+    tg = spark.createDataFrame([(T0 + dt.timedelta(minutes=5),)], "ts timestamp_ntz")
+    with pytest.raises(Exception, match="any_instant"):
         decay.decayed_topic_counts(a, tg, 24, 0.1).collect()
+    with pytest.raises(ValueError, match="700"):
+        decay.decayed_topic_counts(a, tg, 504, 2.0)
+    # long gaps, empty blocks and steep decay next to the limit
+    far = _arts(spark, [(i, T0 - dt.timedelta(hours=int(h)), "x") for i, h in enumerate([0, 1, 139, 140, 141, 900, 4000, 4001])])
+    hours = spark.createDataFrame([(T0 + dt.timedelta(hours=int(h)),) for h in (-4000, -3861, -3860, -800, -1, 0, 138, 140, 141)], "ts timestamp_ntz")
+    for L, lam in ((140, 5.0), (140, 0.0), (1, 0.3)):
+        got = {r["ts"]: r["weight"] for r in decay.decayed_topic_counts(far, hours, L, lam).collect()}
+        want = {r["ts"]: r["weight"] for r in decay.band_join_bruteforce(far, hours, L, lam).collect()}
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-15)
 
 
 def test_ovo_auc_with_two_classes(spark):

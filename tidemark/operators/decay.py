@@ -7,12 +7,27 @@ Semantics (per target hour ``t`` and article time ``a``):
 * topics: sum of weights per topic; embeddings: sum(w * v) / sum(w), zero vector
   when sum(w) <= 1e-10.
 
-Exact rewrite (no band join): with ``h = ceil_hour(a)`` and ``on = (a == h)``, for an
-hour-aligned ``t`` the truncated age is ``k = t - h`` and ``a >= t - L`` holds iff
-``k < L`` or (``k == L`` and ``on``).  So articles first collapse to hour buckets
-(``n``, ``n_on``; partial aggregation before the shuffle removes any hot topic or
-hour), each bucket is exploded to the ``L + 1`` target hours it reaches, and one
-grouped sum produces the result.  Cost grows with buckets x L, not with articles.
+Exact rewrite (no band join, no copy per hour of age).  With ``h = ceil_hour(a)`` and
+``on = (a == h)``, for an hour-aligned ``t`` the truncated age is ``k = t - h`` and ``a >= t - L``
+holds iff ``k < L`` or (``k == L`` and ``on``).  So articles first collapse to hour cells (``n``,
+``n_on``; partial aggregation before the shuffle removes any hot topic or hour), and a window
+is the difference of two decayed prefixes.  Prefixes are kept per block of as many hours as the
+longest look-back and rebased to the block's end, so that no weight leaves the range of a double:
+``_prefixes`` gives each cell the decayed sum of its block up to it and the rest of its block
+after it.  A window meets at most two blocks: it is the sum up to ``t`` in the block of ``t``
+less the decayed sum up to ``t - L`` (same block) or plus the decayed rest after ``t - L`` (block
+before).  ``_emit`` hands every prefix to the targets that need it, one row per look-back, and a
+grouped sum gives all windows and lambdas at once.
+
+Targets at any instant: ``any_instant=True`` lays a lattice of whole hours back from every
+target, counts the articles up to each lattice point by one sorted sweep over articles and points
+(range-partitioned, carries at the range borders) and goes on with the lattice's hours as cells.
+``fractional=True`` weighs by ``exp(-lambda * hours)`` without truncation; there the sweep itself
+carries the decayed prefixes, at ``t`` and ``t - L``.
+
+Precision: differences lose what the window's weight lies below the prefix: about 1e-16 x the
+article count of a look-back, relative to the window's weight.  ``lambda * lookback`` must not
+exceed 700 (beyond, the oldest weights would leave the range of a double).
 
 Output is long and sparse: a (t, topic) row exists iff the window holds at least
 one article.  Absent rows mean weight 0 (the reference's empty-window value); the
@@ -25,8 +40,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.functions.timecal import ceil_hour
+from tidemark.functions.timecal import ceil_hour, fractional_hours_between, whole_hours_between
 
 # The reference's parameter grid and defaults.
 LOOKBACK_WINDOWS = [24, 48, 72, 168, 336, 504]
@@ -71,124 +87,212 @@ def topic_buckets(articles: DataFrame, ts: str = "publishedAt", topic: str = "to
             .agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("n_on")))
 
 
-def _explode_lags(df: DataFrame, max_lookback: int) -> DataFrame:
-    """Each bucket reaches target hours ``t = h + k`` for k in [0, max_lookback].
+def _prefixes(cells: DataFrame, keys: Sequence[str], lambdas: Sequence[float], sums: Sequence[str], width: float) -> DataFrame:
+    """Per cell (keys, x in hours, sums, each with ``_on``): block end ``e``, and per lambda i and sum
+    the decayed block prefix ``p{i}_{sum}``, valued at x, and rest of the block ``r{i}_{sum}``,
+    valued at e; the plain counts are ``p_n`` and ``r_n``."""
+    end = (F.floor(F.col("x") / width) + 1) * width
+    d = cells.withColumn("e", end.cast("double"))
+    upto = Window.partitionBy(*keys, "e").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys, "e").orderBy("x").rowsBetween(1, Window.unboundedFollowing)
+    out = [F.sum("n").over(upto).alias("p_n"), F.coalesce(F.sum("n").over(after), F.lit(0)).alias("r_n")]
+    for i, lam in enumerate(lambdas):
+        w = F.exp(F.lit(-float(lam)) * (F.col("e") - F.col("x")))
+        for c in sums:
+            out += [(F.sum(F.col(c) * w).over(upto) / w).alias(f"p{i}_{c}"),
+                    F.coalesce(F.sum(F.col(c) * w).over(after), F.lit(0.0)).alias(f"r{i}_{c}")]
+    return d.select("*", *out)
+
+
+def _fill_hours(d: DataFrame, keys: Sequence[str], lambdas: Sequence[float], sums: Sequence[str]) -> DataFrame:
+    """Prefixes at every whole hour from a cell to the next one of its block, or the block's end:
+    the prefix fades, the rest of the block stays."""
+    nxt = F.lead("x").over(Window.partitionBy(*keys, "e").orderBy("x"))
+    d = d.withColumn("nx", F.coalesce(nxt, F.col("e").cast("bigint")))
+    d = d.select("*", F.explode(F.sequence(F.col("x"), F.greatest(F.col("nx") - 1, F.col("x")))).alias("y"))
+    own = F.col("y") == F.col("x")
+    cols = [F.col("y").alias("x"), "e", "p_n", "r_n", *[F.when(own, F.col(f"{c}_on")).otherwise(0).alias(f"{c}_on") for c in sums]]
+    for i, lam in enumerate(lambdas):
+        fade = F.exp(F.lit(-float(lam)) * (F.col("y") - F.col("x")))
+        for c in sums:
+            cols += [(F.col(f"p{i}_{c}") * fade).alias(f"p{i}_{c}"), F.col(f"r{i}_{c}")]
+    return d.select(*keys, *cols)
+
+
+def _emit(d: DataFrame, targets: DataFrame, join: Sequence[str], keys: Sequence[str], lookbacks: Sequence[int], lambdas: Sequence[float],
+          sums: Sequence[str], width: float, unit: int = 1) -> DataFrame:
+    """(keys, t, lookback, decay_lambda, cnt, sums) of every non-empty window.  ``d``: prefixes at
+    points ``at`` (``unit`` per hour, x = at / unit); ``targets``: (join..., t) distinct."""
+    Ls = [int(v) for v in lookbacks]
+    roles = F.explode(F.array(F.lit(0).cast("bigint"), *[F.lit(v).cast("bigint") for v in Ls]))
+    d = d.select("*", roles.alias("lb")).withColumn("t", F.col("at") + F.col("lb") * unit)
+    d = d.join(targets, [*join, "t"], "left_semi")
+    hour = F.col("t") / unit
+    own = F.col("lb") == 0
+    same = F.floor(hour / width) == F.floor(F.col("x") / width)
+    start = {"n": F.when(own, F.lit(None)).when(same, F.col("n_on") - F.col("p_n")).otherwise(F.col("r_n") + F.col("n_on"))}
+    aggs = [F.sum(F.when(own, F.col("p_n"))).alias("P")]
+    aggs += [F.sum(F.when(F.col("lb") == v, start["n"])).alias(f"C{v}") for v in Ls]
+    for i, lam in enumerate(lambdas):
+        lag = F.exp(F.lit(-float(lam)) * F.col("lb"))
+        gap = F.exp(F.lit(-float(lam)) * (hour - F.col("e")))
+        for c in sums:
+            part = F.when(same, lag * (F.col(f"{c}_on") - F.col(f"p{i}_{c}"))).otherwise(gap * F.col(f"r{i}_{c}") + lag * F.col(f"{c}_on"))
+            aggs.append(F.sum(F.when(own, F.col(f"p{i}_{c}"))).alias(f"P{i}{c}"))
+            aggs += [F.sum(F.when(F.col("lb") == v, part)).alias(f"C{i}{c}{v}") for v in Ls]
+    g = d.groupBy(*keys, "t").agg(*aggs)
+
+    def whole(p, c):
+        return F.coalesce(F.col(p), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))
+
+    cells = [F.struct(F.lit(v).cast("bigint").alias("lookback"), F.lit(float(lam)).alias("decay_lambda"), whole("P", f"C{v}").alias("cnt"),
+                      *[whole(f"P{i}{c}", f"C{i}{c}{v}").alias(f"s_{c}") for c in sums])
+             for v in Ls for i, lam in enumerate(lambdas)]
+    return g.select(*keys, "t", F.explode(F.array(*cells)).alias("w")).select(*keys, "t", "w.*").filter("cnt > 0")
+
+
+def _check_span(lookbacks: Sequence[int], lambdas: Sequence[float]) -> None:
+    if max(lookbacks) * max(abs(float(v)) for v in lambdas) > 700:
+        raise ValueError("decay_lambda * lookback must not exceed 700")
+
+
+def hour_windows(cells: DataFrame, targets: DataFrame, keys: Sequence[str], lookbacks: Sequence[int], lambdas: Sequence[float],
+                 sums: Sequence[str] = ("n",), join: Sequence[str] = ()) -> DataFrame:
+    """All (look-back, lambda) windows over hour cells (keys, hi, n, n_on[, sv, sv_on]) at the whole
+    hours ``t`` of ``targets`` (distinct, with the ``join`` keys): (keys, t, lookback, decay_lambda,
+    cnt, s_<sum>...).  Cells of one (keys, hour) in several rows add up."""
+    _check_span(lookbacks, lambdas)
+    width = max(int(v) for v in lookbacks)
+    d = cells.groupBy(*keys, F.col("hi").alias("x")).agg(*[F.sum(c).alias(c) for s in sums for c in (s, f"{s}_on")])
+    # a cell of zeros at the start of each block, so that every later hour of it has a prefix
+    zero = [F.lit(0).cast(d.schema[c].dataType).alias(c) for s in sums for c in (s, f"{s}_on")]
+    heads = d.select(*keys, (F.floor(F.col("x") / width) * width).cast("bigint").alias("x"), *zero).distinct()
+    d = d.unionByName(heads).groupBy(*keys, "x").agg(*[F.sum(c).alias(c) for s in sums for c in (s, f"{s}_on")])
+    d = _fill_hours(_prefixes(d, keys, lambdas, sums, width), keys, lambdas, sums)
+    return _emit(d.withColumn("at", F.col("x")), targets, join, keys, lookbacks, lambdas, sums, width)
+
+
+HOUR_US = 3_600_000_000
+
+
+def _instant(ts: str):
+    return F.timestamp_diff("MICROSECOND", _epoch(), F.col(ts)).cast("bigint")
+
+
+def _sweep(events: DataFrame, points: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Articles and points merged by (keys, at): own sums, ``probe`` and the block-wise running sums
+    ``c_<sum>`` up to and including ``at``."""
+    from tidemark.plans.scan import ranged
+    zeros = [F.lit(0.0 if c != "n" else 0).cast(events.schema[c].dataType).alias(c) for c in sums]
+    rows = (events.select(*keys, "at", *sums, F.lit(0).alias("probe"))
+            .unionByName(points.select(*keys, "at", *zeros, F.lit(1).alias("probe")))
+            .groupBy(*keys, "at").agg(*[F.sum(c).alias(c) for c in sums], F.max("probe").alias("probe")))
+    d = ranged(rows, [*keys, "at"])
+    totals = d.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carry = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in sums])
+    inside = Window.partitionBy(*keys, "_part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[F.sum(c).over(inside).alias(f"i_{c}") for c in sums]).join(carry, [*keys, "_part"])
+    return d.select(*keys, "at", *sums, "probe", *[(F.col(f"b_{c}") + F.col(f"i_{c}")).alias(f"c_{c}") for c in sums])
+
+
+def _lattice_cells(events: DataFrame, targets: DataFrame, keys: Sequence[str], each, lookback: int, sums: Sequence[str]) -> DataFrame:
+    """Hour cells (keys, phase, hi, sums and ``_on``) of the lattice of whole hours back from each
+    target, from the running sums at the lattice points.  ``each``: array of the key's values."""
+    hours = F.explode(F.sequence(F.lit(0), F.lit(int(lookback) + 1))).alias("k")
+    points = (targets.select("at", hours).select((F.col("at") - F.col("k") * HOUR_US).alias("at")).distinct()
+              .select("at", F.explode(each).alias(keys[0])))
+    d = _sweep(events, points, keys, sums).filter("probe = 1").select(
+        "*", F.pmod("at", F.lit(HOUR_US)).alias("phase"), F.floor(F.col("at") / HOUR_US).cast("bigint").alias("hi"))
+    w = Window.partitionBy(*keys, "phase").orderBy("hi")
+    linked = F.lag("hi").over(w) == F.col("hi") - 1
+    # a point without one an hour before it is older than every window that meets it
+    return d.select(*keys, "phase", "hi", *[F.when(linked, F.col(f"c_{c}") - F.lag(f"c_{c}").over(w)).otherwise(F.col(c)).alias(c) for c in sums],
+                    *[F.col(c).alias(f"{c}_on") for c in sums])
+
+
+def _any_instant(events: DataFrame, targets: DataFrame, keys: Sequence[str], each, lookbacks, lambdas, sums) -> DataFrame:
+    """``hour_windows`` at any instants: (keys, ts, lookback, decay_lambda, cnt, s_...)."""
+    cells = _lattice_cells(events, targets, keys, each, max(lookbacks), sums)
+    own = targets.select(F.pmod("at", F.lit(HOUR_US)).alias("phase"), F.floor(F.col("at") / HOUR_US).cast("bigint").alias("t"))
+    w = hour_windows(cells, own, [*keys, "phase"], lookbacks, lambdas, sums, join=["phase"])
+    return w.withColumn("ts", _from_instant(F.col("t") * HOUR_US + F.col("phase")))
+
+
+def _fractional(events: DataFrame, targets: DataFrame, keys: Sequence[str], each, lookbacks, lambdas, sums) -> DataFrame:
+    """Windows weighted by exact ages: prefixes at ``t`` and ``t - L`` from one sweep per block."""
+    _check_span(lookbacks, lambdas)
+    width = max(int(v) for v in lookbacks)
+    steps = F.explode(F.array(F.lit(0).cast("bigint"), *[F.lit(int(v) * HOUR_US) for v in lookbacks])).alias("back")
+    points = (targets.select("at", steps).select((F.col("at") - F.col("back")).alias("at")).distinct().select("at", F.explode(each).alias(keys[0])))
+    zeros = [F.lit(0).cast(events.schema[c].dataType).alias(c) for c in sums]
+    rows = (events.select(*keys, "at", *sums).unionByName(points.select(*keys, "at", *zeros))
+            .groupBy(*keys, "at").agg(*[F.sum(c).alias(c) for c in sums]))
+    d = _prefixes(rows.withColumn("x", F.col("at") / HOUR_US).select("*", *[F.col(c).alias(f"{c}_on") for c in sums]), keys, lambdas, sums, width)
+    w = _emit(d, targets.select(F.col("at").alias("t")), [], keys, lookbacks, lambdas, sums, width, unit=HOUR_US)
+    return w.withColumn("ts", _from_instant(F.col("t")))
+
+
+def _from_instant(us) -> "F.Column":
+    return F.timestamp_add("MICROSECOND", us, _epoch())
+
+
+def _instants(targets: DataFrame, target_ts: str) -> DataFrame:
+    return targets.filter(F.col(target_ts).isNotNull()).select(_instant(target_ts).alias("at")).distinct()
+
+
+def _target_hours(targets: DataFrame, ts: str) -> DataFrame:
+    """The distinct target hours (bounded by the time span); an instant off the hour raises."""
+    whole = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz") == F.col(ts)
+    return targets.filter(F.col(ts).isNotNull()).select(
+        F.when(whole, hour_index(ts)).otherwise(F.raise_error(F.lit(
+            "a target is not on the hour: pass any_instant=True")).cast("bigint")).alias("t")).distinct()
 
-    The bucket table is small (hours x topics [x positions]) so AQE coalesces its
-    shuffle into very few partitions; the (L+1)-fold fan-out must not run in one or
-    two tasks, so the buckets are hash-spread over the cluster's parallelism first
-    (a shuffle of the small table, not of the exploded rows)."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    if "hi" not in df.columns:            # bucket tables keyed by a timestamp (streamed)
-        df = df.withColumn("hi", hour_index("h")).drop("h")
-    keys = [c for c in ("hi", "topic", "pos") if c in df.columns]
-    spread = df.repartition(n, *keys)
-    # integer hour arithmetic in the hot loop; timestamps only on the output rows
-    return (spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(max_lookback)))).alias("k"))
-            .withColumn("t", F.col("hi") + F.col("k")))
 
+def _topic_events(articles: DataFrame, ts: str, topic: str, other_label: str | None) -> tuple[DataFrame, F.Column]:
+    """(topic, at, n) per instant, and the array of topics (the label set, one row each)."""
+    a = exclude_other(articles.filter(F.col(ts).isNotNull()), topic, other_label).select(F.col(topic).alias("topic"), _instant(ts).alias("at"))
+    names = sorted(r[0] for r in a.select("topic").distinct().collect())
+    each = F.array(*[F.lit(v) for v in names]) if names else F.array().cast("array<string>")
+    return a.groupBy("topic", "at").agg(F.count(F.lit(1)).alias("n")), each
 
-def _restrict_to_targets(df: DataFrame, targets: DataFrame, ts: str) -> DataFrame:
-    """Keep only the requested target hours.  The target side is the distinct hour
-    set (bounded by the time span); AQE broadcasts it when its measured size is
-    under the threshold and keeps a shuffle join otherwise."""
-    whole = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz") == F.col(ts)
-    tgt = targets.filter(F.col(ts).isNotNull()).select(
-        F.when(whole, hour_index(ts)).otherwise(F.raise_error(F.lit(
-            "a target is not on the hour: name its minutes in target_minutes")).cast("bigint")).alias("t")).distinct()
-    return df.join(tgt, "t", "left_semi")
+
+def decayed_topic_grid(articles: DataFrame, targets: DataFrame,
+                       lookbacks: Sequence[int] = LOOKBACK_WINDOWS,
+                       lambdas: Sequence[float] = TIME_DECAY_LAMBDAS,
+                       *, ts: str = "publishedAt", topic: str = "topic",
+                       target_ts: str = "ts", other_label: str | None = None,
+                       any_instant: bool = False, fractional: bool = False) -> DataFrame:
+    """A3 (topics): (lookback, decay_lambda, ts, topic, weight) of all pairs at once, sparse as in A1."""
+    if any_instant or fractional:
+        events, each = _topic_events(articles, ts, topic, other_label)
+        run = _fractional if fractional else _any_instant
+        w = run(events, _instants(targets, target_ts), ["topic"], each, lookbacks, lambdas, ["n"])
+    else:
+        b = topic_buckets(articles, ts, topic, other_label)
+        w = hour_windows(b, _target_hours(targets, target_ts), ["topic"], lookbacks, lambdas).withColumn("ts", from_hour_index("t"))
+    return w.select("lookback", "decay_lambda", "ts", "topic", F.greatest("s_n", F.lit(0.0)).alias("weight"))
 
 
 def decayed_topic_counts(articles: DataFrame, targets: DataFrame,
                          lookback: int = DEFAULT_LOOKBACK, decay_lambda: float = DEFAULT_LAMBDA,
                          *, ts: str = "publishedAt", topic: str = "topic",
                          target_ts: str = "ts", other_label: str | None = None,
-                         target_minutes: Sequence[int] = (0,)) -> DataFrame:
-    """A1: (ts, topic, weight) with weight = sum of exp(-lambda * whole hours).
-
-    Targets lie on the minutes ``target_minutes`` past the hour ((0, 15, 30, 45) for a
-    quarter-hourly grid); whole hours are counted back from the target, so for each minute
-    the articles are bucketed on a clock that is shifted by it.  Another minute raises."""
-    minutes = sorted({int(m) for m in target_minutes})
-    past = F.minute(target_ts)
-    parts = []
-    for m in minutes:
-        shift = F.expr(f"INTERVAL {m} MINUTES")
-        own = targets.filter(past == m) if m != minutes[0] else targets.filter((past == m) | ~past.isin(minutes))
-        b = topic_buckets(articles.withColumn(ts, (F.col(ts) - shift).cast("timestamp_ntz")), ts, topic, other_label)
-        moved = own.select((F.col(target_ts) - shift).cast("timestamp_ntz").alias(target_ts))
-        r = decayed_from_buckets(b, moved, lookback, decay_lambda, target_ts=target_ts)
-        parts.append(r.withColumn("ts", (F.col("ts") + shift).cast("timestamp_ntz")))
-    out = parts[0]
-    for r in parts[1:]:
-        out = out.unionByName(r)
-    return out
+                         any_instant: bool = False, fractional: bool = False) -> DataFrame:
+    """A1: (ts, topic, weight) with weight = sum of exp(-lambda * whole hours).  Targets lie on the
+    hour; ``any_instant`` allows others, ``fractional`` weighs by exact ages (any instant too)."""
+    return decayed_topic_grid(articles, targets, [lookback], [decay_lambda], ts=ts, topic=topic, target_ts=target_ts, other_label=other_label,
+                              any_instant=any_instant, fractional=fractional).select("ts", "topic", "weight")
 
 
 def decayed_from_buckets(b: DataFrame, targets: DataFrame, lookback: int = DEFAULT_LOOKBACK,
                          decay_lambda: float = DEFAULT_LAMBDA, *, target_ts: str = "ts") -> DataFrame:
-    """A1 from a (topic, h, n, n_on) bucket table (batch or streamed buckets; rows
-    with the same (topic, h) from different micro-batches simply add up)."""
-    x = _explode_lags(b, lookback)
-    L = int(lookback)
-    eff = F.when(F.col("k") < L, F.col("n")).otherwise(F.col("n_on"))
-    x = x.filter(eff > 0)
-    x = _restrict_to_targets(x, targets, target_ts)
-    return (x.groupBy("t", "topic")
-            .agg(F.sum(eff * F.exp(F.lit(-float(decay_lambda)) * F.col("k"))).alias("weight"))
-            .select(from_hour_index("t").alias("ts"), "topic", "weight"))
-
-
-def _range_index(lookbacks: Sequence[int]):
-    """r(k) = number of look-backs <= k: range r holds k in [L_{r-1}, L_r)."""
-    return sum((F.col("k") >= int(L)).cast("int") for L in lookbacks)
-
-
-def decayed_topic_grid(articles: DataFrame, targets: DataFrame,
-                       lookbacks: Sequence[int] = LOOKBACK_WINDOWS,
-                       lambdas: Sequence[float] = TIME_DECAY_LAMBDAS,
-                       *, ts: str = "publishedAt", topic: str = "topic",
-                       target_ts: str = "ts", other_label: str | None = None) -> DataFrame:
-    """A3 (topics): all (lookback, lambda) pairs from ONE explode to the largest
-    look-back.
-
-    Range decomposition: each exploded row falls in exactly one look-back range
-    [L_{r-1}, L_r), so the first aggregate keeps per-range sums (one weighted sum
-    per lambda, plus the on-the-hour boundary term at k = L_{r-1}) instead of one
-    sum per (L, lambda) pair; the window for L_j is then the prefix over ranges
-    r <= j plus the boundary of range j+1, computed on the small aggregated rows.
-    Output: (lookback, decay_lambda, ts, topic, weight), sparse as in A1."""
-    Ls = sorted(int(v) for v in lookbacks)
-    b = topic_buckets(articles, ts, topic, other_label)
-    lmax = Ls[-1]
-    x = _explode_lags(b, lmax)
-    x = x.filter((F.col("k") < lmax) | (F.col("n_on") > 0))
-    x = _restrict_to_targets(x, targets, target_ts)
-    x = x.withColumn("r", _range_index(Ls))
-    starts = [0] + Ls                                  # first k of range r
-    at_start = F.col("k") == F.element_at(F.array(*[F.lit(v) for v in starts]), F.col("r") + 1)
-    aggs = [F.sum("n").alias("cn"), F.sum(F.when(at_start, F.col("n_on")).otherwise(0)).alias("cb")]
-    for li, lam in enumerate(lambdas):
-        w = F.exp(F.lit(-float(lam)) * F.col("k"))
-        aggs += [F.sum(w * F.col("n")).alias(f"R{li}"),
-                 F.sum(F.when(at_start, w * F.col("n_on")).otherwise(0.0)).alias(f"B{li}")]
-    per_range = x.groupBy("t", "topic", "r").agg(*aggs)
-    aggs2, cells = [], []
-    for j, L in enumerate(Ls):
-        upto, nxt = F.col("r") <= j, F.col("r") == j + 1
-        aggs2.append((F.sum(F.when(upto, F.col("cn")).otherwise(0))
-                      + F.sum(F.when(nxt, F.col("cb")).otherwise(0))).alias(f"c_{L}"))
-        for li, lam in enumerate(lambdas):
-            name = f"w_{L}_{li}"
-            aggs2.append((F.sum(F.when(upto, F.col(f"R{li}")).otherwise(0.0))
-                          + F.sum(F.when(nxt, F.col(f"B{li}")).otherwise(0.0))).alias(name))
-            cells.append(F.struct(F.lit(L).cast("bigint").alias("lookback"), F.lit(float(lam)).alias("decay_lambda"),
-                                  F.col(f"c_{L}").alias("cnt"), F.col(name).alias("weight")))
-    wide = per_range.groupBy("t", "topic").agg(*aggs2)
-    return (wide.select("t", "topic", F.explode(F.array(*cells)).alias("c"))
-            .filter(F.col("c.cnt") > 0)
-            .select(F.col("c.lookback").alias("lookback"), F.col("c.decay_lambda").alias("decay_lambda"),
-                    from_hour_index("t").alias("ts"), "topic", F.col("c.weight").alias("weight")))
+    """A1 from a (topic, hi or h, n, n_on) bucket table (batch or streamed buckets; rows
+    with the same (topic, hour) from different micro-batches simply add up)."""
+    if "hi" not in b.columns:             # bucket tables keyed by a timestamp (streamed)
+        b = b.withColumn("hi", hour_index("h")).drop("h")
+    w = hour_windows(b, _target_hours(targets, target_ts), ["topic"], [lookback], [decay_lambda])
+    return w.select(from_hour_index("t").alias("ts"), "topic", F.greatest("s_n", F.lit(0.0)).alias("weight"))
 
 
 def valid_vectors(df: DataFrame, vec: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -214,68 +318,37 @@ def embedding_buckets(articles: DataFrame, ts: str = "publishedAt", vec: str = "
                  F.sum(v).alias("sv"), F.sum(F.when(F.col("on"), v).otherwise(0.0)).alias("sv_on")))
 
 
-def decayed_embeddings(articles: DataFrame, targets: DataFrame,
-                       lookback: int = DEFAULT_LOOKBACK, decay_lambda: float = DEFAULT_LAMBDA,
-                       *, ts: str = "publishedAt", vec: str = "embedding",
-                       target_ts: str = "ts", dim: int | None = None) -> DataFrame:
-    """A2 in long form: (ts, dim, value) = sum(w * v) / sum(w) per position."""
-    b = embedding_buckets(articles, ts, vec, dim)
-    L = int(lookback)
-    x = _explode_lags(b, L)
-    near = F.col("k") < L
-    n_eff = F.when(near, F.col("n")).otherwise(F.col("n_on"))
-    sv_eff = F.when(near, F.col("sv")).otherwise(F.col("sv_on"))
-    x = x.filter(n_eff > 0)
-    x = _restrict_to_targets(x, targets, target_ts)
-    w = F.exp(F.lit(-float(decay_lambda)) * F.col("k"))
-    g = x.groupBy("t", "pos").agg(F.sum(w * n_eff).alias("sw"), F.sum(w * sv_eff).alias("swv"))
-    value = F.when(F.col("sw") > MIN_WEIGHT_SUM, F.col("swv") / F.col("sw")).otherwise(F.lit(0.0))
-    return g.select(from_hour_index("t").alias("ts"), F.col("pos").cast("bigint").alias("dim"),
-                    value.alias("value"))
-
-
 def decayed_embedding_grid(articles: DataFrame, targets: DataFrame,
                            lookbacks: Sequence[int] = LOOKBACK_WINDOWS,
                            lambdas: Sequence[float] = TIME_DECAY_LAMBDAS,
                            *, ts: str = "publishedAt", vec: str = "embedding",
-                           target_ts: str = "ts", dim: int | None = None) -> DataFrame:
-    """A3 (embeddings): (lookback, decay_lambda, ts, dim, value) from one explode,
-    with the same range decomposition as ``decayed_topic_grid``."""
-    Ls = sorted(int(v) for v in lookbacks)
-    b = embedding_buckets(articles, ts, vec, dim)
-    lmax = Ls[-1]
-    x = _explode_lags(b, lmax)
-    x = x.filter((F.col("k") < lmax) | (F.col("n_on") > 0))
-    x = _restrict_to_targets(x, targets, target_ts)
-    x = x.withColumn("r", _range_index(Ls))
-    starts = [0] + Ls
-    at_start = F.col("k") == F.element_at(F.array(*[F.lit(v) for v in starts]), F.col("r") + 1)
-    aggs = [F.sum("n").alias("cn"), F.sum(F.when(at_start, F.col("n_on")).otherwise(0)).alias("cb")]
-    for li, lam in enumerate(lambdas):
-        w = F.exp(F.lit(-float(lam)) * F.col("k"))
-        aggs += [F.sum(w * F.col("n")).alias(f"Rw{li}"), F.sum(w * F.col("sv")).alias(f"Rv{li}"),
-                 F.sum(F.when(at_start, w * F.col("n_on")).otherwise(0.0)).alias(f"Bw{li}"),
-                 F.sum(F.when(at_start, w * F.col("sv_on")).otherwise(0.0)).alias(f"Bv{li}")]
-    per_range = x.groupBy("t", "pos", "r").agg(*aggs)
-    aggs2, cells = [], []
-    for j, L in enumerate(Ls):
-        upto, nxt = F.col("r") <= j, F.col("r") == j + 1
-
-        def pref(a, bnd):
-            return F.sum(F.when(upto, F.col(a)).otherwise(0.0)) + F.sum(F.when(nxt, F.col(bnd)).otherwise(0.0))
-        aggs2.append((F.sum(F.when(upto, F.col("cn")).otherwise(0))
-                      + F.sum(F.when(nxt, F.col("cb")).otherwise(0))).alias(f"c_{L}"))
-        for li, lam in enumerate(lambdas):
-            aggs2 += [pref(f"Rw{li}", f"Bw{li}").alias(f"sw_{L}_{li}"), pref(f"Rv{li}", f"Bv{li}").alias(f"sv_{L}_{li}")]
-            cells.append(F.struct(F.lit(L).cast("bigint").alias("lookback"), F.lit(float(lam)).alias("decay_lambda"),
-                                  F.col(f"c_{L}").alias("cnt"), F.col(f"sw_{L}_{li}").alias("sw"),
-                                  F.col(f"sv_{L}_{li}").alias("swv")))
-    wide = per_range.groupBy("t", "pos").agg(*aggs2)
-    c = wide.select("t", "pos", F.explode(F.array(*cells)).alias("c")).filter(F.col("c.cnt") > 0)
-    value = (F.when(F.col("c.sw") > MIN_WEIGHT_SUM, F.col("c.swv") / F.col("c.sw"))
-             .otherwise(F.lit(0.0)))
-    return c.select(F.col("c.lookback").alias("lookback"), F.col("c.decay_lambda").alias("decay_lambda"),
-                    from_hour_index("t").alias("ts"), F.col("pos").cast("bigint").alias("dim"), value.alias("value"))
+                           target_ts: str = "ts", dim: int | None = None,
+                           any_instant: bool = False, fractional: bool = False) -> DataFrame:
+    """A3 (embeddings): (lookback, decay_lambda, ts, dim, value) of all pairs at once, with
+    value = sum(w * v) / sum(w) per position."""
+    sums = ["n", "sv"]
+    if any_instant or fractional:
+        a = valid_vectors(articles.filter(F.col(ts).isNotNull()), vec, dim).select(_instant(ts).alias("at"), F.posexplode(vec).alias("pos", "v"))
+        events = a.groupBy("pos", "at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("double")).alias("sv"))
+        most = dim or (valid_vectors(articles, vec).agg(F.max(F.size(vec))).first()[0] or 0)
+        each = F.sequence(F.lit(0), F.lit(int(most) - 1)) if most else F.array().cast("array<int>")
+        run = _fractional if fractional else _any_instant
+        w = run(events, _instants(targets, target_ts), ["pos"], each, lookbacks, lambdas, sums)
+    else:
+        b = embedding_buckets(articles, ts, vec, dim)
+        w = hour_windows(b, _target_hours(targets, target_ts), ["pos"], lookbacks, lambdas, sums).withColumn("ts", from_hour_index("t"))
+    value = F.when(F.col("s_n") > MIN_WEIGHT_SUM, F.col("s_sv") / F.col("s_n")).otherwise(F.lit(0.0))
+    return w.select("lookback", "decay_lambda", "ts", F.col("pos").cast("bigint").alias("dim"), value.alias("value"))
+
+
+def decayed_embeddings(articles: DataFrame, targets: DataFrame,
+                       lookback: int = DEFAULT_LOOKBACK, decay_lambda: float = DEFAULT_LAMBDA,
+                       *, ts: str = "publishedAt", vec: str = "embedding",
+                       target_ts: str = "ts", dim: int | None = None,
+                       any_instant: bool = False, fractional: bool = False) -> DataFrame:
+    """A2 in long form: (ts, dim, value) = sum(w * v) / sum(w) per position."""
+    return decayed_embedding_grid(articles, targets, [lookback], [decay_lambda], ts=ts, vec=vec, target_ts=target_ts, dim=dim,
+                                  any_instant=any_instant, fractional=fractional).select("ts", "dim", "value")
 
 
 def topic_features_wide(long_df: DataFrame, topics: Sequence[str], keys: Sequence[str] = ("ts",),
@@ -289,13 +362,13 @@ def topic_features_wide(long_df: DataFrame, topics: Sequence[str], keys: Sequenc
 
 def band_join_bruteforce(articles: DataFrame, targets: DataFrame, lookback: int, decay_lambda: float,
                          *, ts: str = "publishedAt", topic: str = "topic", target_ts: str = "ts",
-                         other_label: str | None = None) -> DataFrame:
+                         other_label: str | None = None, fractional: bool = False) -> DataFrame:
     """J1 as a literal theta join (test oracle only: it plans as a nested loop)."""
     a = exclude_other(articles, topic, other_label).select(F.col(ts).alias("a"), F.col(topic).alias("topic"))
     t = targets.select(F.col(target_ts).alias("t")).distinct()
     j = t.join(a, (F.col("a") <= F.col("t"))
                & (F.col("a") >= F.col("t") - F.make_dt_interval(hours=F.lit(int(lookback)))))
-    hrs = F.expr("timestampdiff(HOUR, a, t)")
+    hrs = fractional_hours_between("a", "t") if fractional else whole_hours_between("a", "t")
     return (j.groupBy("t", "topic")
             .agg(F.sum(F.exp(F.lit(-float(decay_lambda)) * hrs)).alias("weight"))
             .select(F.col("t").alias("ts"), "topic", "weight"))

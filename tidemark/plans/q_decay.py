@@ -44,7 +44,7 @@ def a1_decayed_counts_quarter_hours(spark, sf_dir):
     targets = _master(spark, sf_dir).select("ts").distinct().select("ts", quarters.alias("q"))
     targets = targets.select((F.col("ts") + F.col("q")).cast("timestamp_ntz").alias("ts"))
     out = decay.decayed_topic_counts(T.topic_news(spark, sf_dir), targets, 48, 0.05,
-                                     other_label=T.OTHER_TOPIC_EVENTS, target_minutes=(0, 15, 30, 45))
+                                     other_label=T.OTHER_TOPIC_EVENTS, any_instant=True)
     return out.select("ts", "topic", F.round("weight", 6).alias("weight"))
 
 
