@@ -123,32 +123,25 @@ def _emit(d: DataFrame, targets: DataFrame, join: Sequence[str], keys: Sequence[
           sums: Sequence[str], width: float, unit: int = 1) -> DataFrame:
     """(keys, t, lookback, decay_lambda, cnt, sums) of every non-empty window.  ``d``: prefixes at
     points ``at`` (``unit`` per hour, x = at / unit); ``targets``: (join..., t) distinct."""
-    Ls = [int(v) for v in lookbacks]
-    roles = F.explode(F.array(F.lit(0).cast("bigint"), *[F.lit(v).cast("bigint") for v in Ls]))
-    d = d.select("*", roles.alias("lb")).withColumn("t", F.col("at") + F.col("lb") * unit)
+    # a point is the end of the windows that stop there and the start of those L hours later
+    roles = F.explode(F.array(*[F.struct(F.lit(lag).cast("bigint").alias("lag"), F.lit(int(v)).cast("bigint").alias("lookback"))
+                                for v in lookbacks for lag in (0, int(v))])).alias("role")
+    d = d.select("*", roles).select("*", "role.lag", "role.lookback").withColumn("t", F.col("at") + F.col("lag") * unit)
     d = d.join(targets, [*join, "t"], "left_semi")
     hour = F.col("t") / unit
-    own = F.col("lb") == 0
+    own = F.col("lag") == 0
     same = F.floor(hour / width) == F.floor(F.col("x") / width)
-    start = {"n": F.when(own, F.lit(None)).when(same, F.col("n_on") - F.col("p_n")).otherwise(F.col("r_n") + F.col("n_on"))}
-    aggs = [F.sum(F.when(own, F.col("p_n"))).alias("P")]
-    aggs += [F.sum(F.when(F.col("lb") == v, start["n"])).alias(f"C{v}") for v in Ls]
+    aggs = [F.sum(F.when(own, F.col("p_n")).when(same, F.col("n_on") - F.col("p_n")).otherwise(F.col("r_n") + F.col("n_on"))).alias("cnt")]
     for i, lam in enumerate(lambdas):
-        lag = F.exp(F.lit(-float(lam)) * F.col("lb"))
+        lag = F.exp(F.lit(-float(lam)) * F.col("lag"))
         gap = F.exp(F.lit(-float(lam)) * (hour - F.col("e")))
         for c in sums:
-            part = F.when(same, lag * (F.col(f"{c}_on") - F.col(f"p{i}_{c}"))).otherwise(gap * F.col(f"r{i}_{c}") + lag * F.col(f"{c}_on"))
-            aggs.append(F.sum(F.when(own, F.col(f"p{i}_{c}"))).alias(f"P{i}{c}"))
-            aggs += [F.sum(F.when(F.col("lb") == v, part)).alias(f"C{i}{c}{v}") for v in Ls]
-    g = d.groupBy(*keys, "t").agg(*aggs)
-
-    def whole(p, c):
-        return F.coalesce(F.col(p), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))
-
-    cells = [F.struct(F.lit(v).cast("bigint").alias("lookback"), F.lit(float(lam)).alias("decay_lambda"), whole("P", f"C{v}").alias("cnt"),
-                      *[whole(f"P{i}{c}", f"C{i}{c}{v}").alias(f"s_{c}") for c in sums])
-             for v in Ls for i, lam in enumerate(lambdas)]
-    return g.select(*keys, "t", F.explode(F.array(*cells)).alias("w")).select(*keys, "t", "w.*").filter("cnt > 0")
+            start = F.when(same, lag * (F.col(f"{c}_on") - F.col(f"p{i}_{c}"))).otherwise(gap * F.col(f"r{i}_{c}") + lag * F.col(f"{c}_on"))
+            aggs.append(F.sum(F.when(own, F.col(f"p{i}_{c}")).otherwise(start)).alias(f"s{i}_{c}"))
+    g = d.groupBy(*keys, "t", "lookback").agg(*aggs).filter("cnt > 0")
+    each = F.explode(F.array(*[F.struct(F.lit(float(lam)).alias("decay_lambda"), *[F.col(f"s{i}_{c}").alias(f"s_{c}") for c in sums])
+                               for i, lam in enumerate(lambdas)])).alias("w")
+    return g.select(*keys, "t", "lookback", "cnt", each).select(*keys, "t", "lookback", "cnt", "w.*")
 
 
 def _check_span(lookbacks: Sequence[int], lambdas: Sequence[float]) -> None:
@@ -163,11 +156,11 @@ def hour_windows(cells: DataFrame, targets: DataFrame, keys: Sequence[str], look
     cnt, s_<sum>...).  Cells of one (keys, hour) in several rows add up."""
     _check_span(lookbacks, lambdas)
     width = max(int(v) for v in lookbacks)
-    d = cells.groupBy(*keys, F.col("hi").alias("x")).agg(*[F.sum(c).alias(c) for s in sums for c in (s, f"{s}_on")])
-    # a cell of zeros at the start of each block, so that every later hour of it has a prefix
-    zero = [F.lit(0).cast(d.schema[c].dataType).alias(c) for s in sums for c in (s, f"{s}_on")]
-    heads = d.select(*keys, (F.floor(F.col("x") / width) * width).cast("bigint").alias("x"), *zero).distinct()
-    d = d.unionByName(heads).groupBy(*keys, "x").agg(*[F.sum(c).alias(c) for s in sums for c in (s, f"{s}_on")])
+    both = [c for s in sums for c in (s, f"{s}_on")]
+    # with a cell of zeros at the start of its block, so that every later hour of it has a prefix
+    head = F.struct((F.floor(F.col("hi") / width) * width).cast("bigint").alias("x"), *[F.lit(0).cast(cells.schema[c].dataType).alias(c) for c in both])
+    rows = cells.select(*keys, F.explode(F.array(F.struct(F.col("hi").alias("x"), *both), head)).alias("c"))
+    d = rows.groupBy(*keys, "c.x").agg(*[F.sum(f"c.{c}").alias(c) for c in both])
     d = _fill_hours(_prefixes(d, keys, lambdas, sums, width), keys, lambdas, sums)
     return _emit(d.withColumn("at", F.col("x")), targets, join, keys, lookbacks, lambdas, sums, width)
 
