@@ -263,6 +263,36 @@ def test_bootstrap_user_metric_matches_builtin(spark):
     assert a["lower"] == pytest.approx(b["lower"], abs=1e-12) and a["upper"] == pytest.approx(b["upper"], abs=1e-12)
 
 
+def test_poisson_draws_are_exact(spark):
+    """Moments and distribution of the draws for small and large cells; independent of the rows."""
+    sizes = {1: 1, 2: 9, 3: 10, 4: 57, 5: 4_000, 6: 3_000_000_000}
+    cells = spark.createDataFrame(list(sizes.items()), "cell long, n long")
+    pdf = st.poisson_draws(cells, 4000, 3).toPandas()
+    for cell, n in sizes.items():
+        w = pdf[pdf["cell"] == cell]["w"].to_numpy(float)
+        assert len(w) == 4000 and abs(w.mean() - n) < 5 * math.sqrt(n / 4000) and w.var() / n == pytest.approx(1, abs=0.12)
+    w = pdf[pdf["cell"] == 4]["w"].to_numpy()
+    cdf = np.cumsum([math.exp(-57 + k * math.log(57) - math.lgamma(k + 1)) for k in range(120)])
+    assert max(abs(np.mean(w <= k) - cdf[k]) for k in range(120)) < 1.95 / math.sqrt(4000)  # Kolmogorov, 0.1 %
+    pairs = pdf.pivot(index="rep", columns="cell", values="w")
+    assert abs(np.corrcoef(pairs[4], pairs[5])[0, 1]) < 0.08
+
+
+def test_bootstrap_interval_equals_plain_resampling(spark):
+    rng = np.random.default_rng(0)
+    y, a, b = rng.integers(0, 3, 600), rng.integers(0, 3, 600), rng.integers(0, 3, 600)
+    a[:250], b[:200] = y[:250], y[:200]
+    rows = [(m, i, int(y[i]), int(p[i])) for m, p in (("signal", a), ("baseline", b)) for i in range(600)]
+    pred = spark.createDataFrame(rows, "model string, row_id long, y_true long, y_pred long")
+    got = {r["side"]: r for r in st.bootstrap_accuracy(st.paired_predictions(pred), 1000, 5).collect()}
+    f1 = {r["model"]: r for r in st.bootstrap_confusion_metric(pred, "accuracy", 1000, 5).collect()}
+    for side, model, p in (("a", "signal", a), ("b", "baseline", b)):
+        plain = [np.mean((p == y)[rng.integers(0, 600, 600)]) for _ in range(1000)]
+        for r in (got[side], f1[model]):
+            assert r["n_replicates"] == 1000 and r["mean"] == pytest.approx(np.mean(plain), abs=0.004)
+            assert [r["lower"], r["upper"]] == pytest.approx(np.quantile(plain, [0.025, 0.975]).tolist(), abs=0.012)
+
+
 @pytest.mark.parametrize("fractional", [False, True])
 def test_targets_at_any_instant(spark, fractional):
     """Second-exact targets, whole and fractional ages, equal the literal band join."""

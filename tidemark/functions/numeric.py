@@ -55,6 +55,33 @@ def poisson1_cdf_table() -> list[float]:
     return out
 
 
+#: Candidates per draw of a large mean; the chance that none is accepted is below 1e-16.
+POISSON_TRIES = 24
+#: Means below this are drawn as sums of Poisson(1) draws.
+POISSON_SMALL = 10
+
+
+def log_factorial_sql(k: str) -> str:
+    """ln(k!) for k >= 0 as SQL text for any engine: Stirling's series at k + 9, stepped back."""
+    x = f"({k} + 9.0)"
+    back = " * ".join(f"({k} + {i}.0)" for i in range(1, 9))
+    return (f"(({x} - 0.5) * ln{x} - {x} + {0.5 * math.log(2 * math.pi)!r} + 1.0 / (12.0 * {x}) - 1.0 / (360.0 * {x} * {x} * {x})"
+            f" + 1.0 / (1260.0 * {x} * {x} * {x} * {x} * {x}) - ln({back}))")
+
+
+def poisson_try_sql(n: str, u: str, v: str) -> str:
+    """One candidate of an exact Poisson(n) draw, n >= 10, from two uniforms: the number, or null if
+    it is rejected (transformed rejection with squeeze; the constants are the published ones)."""
+    b = f"(0.931e0 + 2.53e0 * sqrt({n}))"
+    a = f"(-0.059e0 + 0.02483e0 * {b})"
+    us = f"(0.5e0 - abs({u} - 0.5e0))"
+    k = f"cast(floor((2e0 * {a} / {us} + {b}) * ({u} - 0.5e0) + {n} + 0.43e0) as double)"
+    least = f"(ln({v}) + ln(1.1239e0 + 1.1328e0 / ({b} - 3.4e0)) - ln({a} / ({us} * {us}) + {b}))"
+    return (f"CASE WHEN {u} <= 0e0 OR {v} <= 0e0 THEN NULL WHEN {us} >= 0.07e0 AND {v} <= 0.9277e0 - 3.6224e0 / ({b} - 2e0) THEN {k} "
+            f"WHEN {k} < 0e0 OR ({us} < 0.013e0 AND {v} > {us}) THEN NULL "
+            f"WHEN {least} <= -{n} + {k} * ln({n}) - {log_factorial_sql(k)} THEN {k} END")
+
+
 def erfc(x) -> Column:
     """Complementary error function, Chebyshev fit (fractional error < 1.2e-7).
 

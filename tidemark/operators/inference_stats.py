@@ -1,13 +1,12 @@
 """Paired model comparison.
 
 McNemar: four conditional counts from one pass over the paired predictions.
-Bootstrap: Poisson bootstrap.  Replicate r gives row i the weight
-Poisson(1)^-1(u(seed, r, i)) with ``u`` an integer hash of the key (codegen-friendly), so every executor draws
-the same weights without coordination and the job is reproducible; both models
-share the resamples (as the reference, which reseeds identically for each model).
-Each row is exploded to its replicates inside the map stage and partially
-aggregated per (replicate, model), so the shuffle carries one row per replicate
-per task.
+Bootstrap: Poisson bootstrap on cells.  Rows that agree in the true class and in every model's
+prediction form one cell; the sum of the Poisson(1) weights of a cell's n rows is one Poisson(n)
+draw, so a replicate needs one draw per cell and the job's size does not depend on the rows.
+Draws are exact (``poisson_draws``) and come from an integer hash of (seed, replicate, cell, try),
+so every executor draws the same weights without coordination; all models share the resamples
+(as the reference, which reseeds identically for each model).
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import chi2_1_sf, poisson1_quantile, with_mix_uniform
+from tidemark.functions.numeric import (
+    POISSON_SMALL, POISSON_TRIES, chi2_1_sf, poisson1_quantile, poisson_try_sql, with_mix_uniform)
 
 
 def paired_predictions(pred: DataFrame, model_a: str = "signal", model_b: str = "baseline",
@@ -47,18 +47,35 @@ def mcnemar(paired: DataFrame) -> DataFrame:
     return t.withColumn("mcnemar_statistic", stat).withColumn("mcnemar_p_value", chi2_1_sf(stat))
 
 
+def poisson_draws(cells: DataFrame, n_boot: int, seed: int = 42, cell: str = "cell", n: str = "n") -> DataFrame:
+    """(rep, cell, w): an exact Poisson(n) draw for every replicate and cell (``cell``: distinct
+    bigint numbers).  Small n: n draws of Poisson(1) by inversion; else the first accepted of
+    ``POISSON_TRIES`` candidates."""
+    reps = F.explode(F.sequence(F.lit(0), F.lit(int(n_boot) - 1))).alias("rep")
+    tries = F.explode(F.sequence(F.lit(0), F.lit(POISSON_TRIES - 1))).alias("try")
+    x = cells.select(F.col(cell).cast("bigint").alias("cell"), F.col(n).cast("double").alias("n"), reps).select("*", tries)
+    x = x.withColumn("_k", F.col("cell") * (2 * POISSON_TRIES) + 2 * F.col("try")).withColumn("_k2", F.col("_k") + 1)
+    x = with_mix_uniform(with_mix_uniform(x, "u", seed, "rep", "_k"), "v", seed, "rep", "_k2")
+    small = F.when(F.col("try") < F.col("n"), poisson1_quantile(F.col("u")))
+    large = F.expr(poisson_try_sql("n", "u", "v"))
+    x = x.select("rep", "cell", "n", "try", F.when(F.col("n") < POISSON_SMALL, small).alias("_s"),
+                 F.when(F.col("n") >= POISSON_SMALL, large).cast("bigint").alias("_l"))
+    g = x.groupBy("rep", "cell").agg(F.sum("_s").alias("_s"), F.min(F.when(F.col("_l").isNotNull(), F.struct("try", "_l"))).alias("_l"))
+    return g.select("rep", "cell", F.coalesce("_s", "_l._l", F.lit(0)).alias("w"))
+
+
 def bootstrap_accuracy(paired: DataFrame, n_boot: int = 1000, seed: int = 42, confidence: float = 0.95,
                        key: str = "row_id") -> DataFrame:
     """Per model, mean and percentile interval of bootstrap accuracy.
 
     Replicates with zero total weight are skipped (NaN scores in the reference)."""
     alpha = (1 - confidence) / 2
-    reps = F.explode(F.sequence(F.lit(0), F.lit(int(n_boot) - 1))).alias("rep")
-    x = paired.select(key, (F.col("pred_a") == F.col("y_true")).cast("double").alias("ca"),
-                      (F.col("pred_b") == F.col("y_true")).cast("double").alias("cb"), reps)
-    x = with_mix_uniform(x, "_u", seed, "rep", key).withColumn("w", poisson1_quantile(F.col("_u")))
-    r = x.groupBy("rep").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("ca")).alias("sa"),
-                             F.sum(F.col("w") * F.col("cb")).alias("sb"))
+    hit = [(F.col(p) == F.col("y_true")).cast("bigint") for p in ("pred_a", "pred_b")]
+    # four cells: hit or missed by either model; a null prediction is a miss
+    cells = paired.groupBy((F.coalesce(hit[0], F.lit(0)) * 2 + F.coalesce(hit[1], F.lit(0))).alias("cell")).agg(F.count("*").alias("n"))
+    x = poisson_draws(cells, n_boot, seed)
+    ca, cb = F.floor(F.col("cell") / 2), F.col("cell") % 2
+    r = x.groupBy("rep").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * ca).alias("sa"), F.sum(F.col("w") * cb).alias("sb"))
     r = r.filter(F.col("sw") > 0)
     long = r.select("rep", F.explode(F.array(
         F.struct(F.lit("a").alias("side"), (F.col("sa") / F.col("sw")).alias("score")),
@@ -89,19 +106,21 @@ def bootstrap_confusion_metric(pred: DataFrame, metric: str = "macro_f1", n_boot
                                user_metric=None) -> DataFrame:
     """A20/U1 generalised: bootstrap interval of a confusion-matrix metric.
 
-    Replicate weights are the same hash-seeded Poisson draws as
-    ``bootstrap_accuracy`` (shared by all models).  Rows are reduced to weighted
-    (replicate, y_true, y_pred) cells in the map stage, so each replicate's input
-    is a k x k matrix whatever the data size; ``metric`` is 'macro_f1' or
+    Weights are Poisson draws per joint cell (``poisson_draws``), shared by all models.  Each
+    replicate's input is a k x k matrix per model whatever the data size; ``metric`` is 'macro_f1' or
     'accuracy' (SQL aggregates), or ``user_metric(cells: pandas.DataFrame) -> float``
     applied per replicate with ``applyInPandas`` on those bounded cells."""
     import pandas as pd
     keys = list(keys)
     alpha = (1 - confidence) / 2
-    x = pred.select(*keys, key, "y_true", "y_pred",
-                    F.explode(F.sequence(F.lit(0), F.lit(int(n_boot) - 1))).alias("rep"))
-    x = with_mix_uniform(x, "_u", seed, "rep", key).withColumn("w", poisson1_quantile(F.col("_u")))
-    cells = x.groupBy(*keys, "rep", "y_true", "y_pred").agg(F.sum("w").alias("w")).filter(F.col("w") > 0)
+    # rows that agree in the true class and in all models' predictions: classes^(models + 1) cells
+    whole = pred.groupBy(key, "y_true").agg(F.array_sort(F.collect_list(F.struct(*keys, "y_pred"))).alias("preds"))
+    number = F.aggregate("preds", F.col("y_true").cast("bigint") * 31 + F.size("preds"),
+                         lambda acc, p: acc * 1009 + F.coalesce(p["y_pred"], F.lit(-1)).cast("bigint"))
+    joint = whole.groupBy("y_true", "preds").agg(F.count("*").alias("n")).withColumn("cell", number)
+    x = poisson_draws(joint.select("cell", "n"), n_boot, seed).filter(F.col("w") > 0)
+    x = x.join(joint.select("cell", "y_true", F.explode("preds").alias("p")), "cell")
+    cells = x.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], "rep", "y_true", F.col("p.y_pred").alias("y_pred")).agg(F.sum("w").alias("w"))
     if user_metric is not None:
         def per_rep(pdf: pd.DataFrame) -> pd.DataFrame:
             row = {k: pdf.iloc[0][k] for k in [*keys, "rep"]}
