@@ -25,10 +25,12 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +58,26 @@ def _words(chunk: bytes) -> list[str]:
 
 
 class Model:
-    """Log frequencies, a column per language.  ``words`` and ``grams`` map to rows of ``word_logs``
-    and ``gram_logs``; the logs of a gram of k characters, which overlaps k - 1 others, are
-    divided by k."""
+    """Log frequencies, a column per language.  The entry of a word or n-gram has the row of its
+    place in ``word_list`` or ``gram_list``; the logs of a gram of k characters, which overlaps
+    k - 1 others, are divided by k.  The driver and the broadcast hold flat arrays; a worker
+    builds its dictionaries when it first scores."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], word_logs: np.ndarray,
-                 grams: dict[str, int], gram_logs: np.ndarray) -> None:
+    def __init__(self, langs: list[str], prior: np.ndarray, word_list: pa.Array, word_logs: np.ndarray,
+                 gram_list: pa.Array, gram_logs: np.ndarray) -> None:
         self.key, self.langs, self.prior = uuid.uuid4().hex, langs, prior
-        self.words, self.word_logs, self.grams, self.gram_logs = words, word_logs, grams, gram_logs
+        self.word_list, self.word_logs, self.gram_list, self.gram_logs = word_list, word_logs, gram_list, gram_logs
+
+    @cached_property
+    def words(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.word_list.to_pylist())}
+
+    @cached_property
+    def grams(self) -> dict[str, int]:
+        return {g: i for i, g in enumerate(self.gram_list.to_pylist())}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams")}
 
     def backoff(self, word: str) -> list[int]:
         """Rows of the longest known n-grams of a word, read left to right."""
@@ -189,8 +203,8 @@ def fit(docs: DataFrame, training: Column, docs_per_lang: int = DOCS_PER_LANG, m
              .orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     if not langs:
-        none = np.zeros((0, 0))
-        return Model([], np.zeros(0), {}, none, {}, none)
+        none, empty = np.zeros((0, 0)), pa.array([], pa.string())
+        return Model([], np.zeros(0), empty, none, empty, none)
     # one lookup whatever the number of languages; null (and so left out) for one that is not learnt
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, docs_per_lang / sizes[lang]) * SAMPLE_STEPS))])
     chosen = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(SAMPLE_STEPS)) < F.element_at(share, F.col("lang"))
@@ -198,23 +212,19 @@ def fit(docs: DataFrame, training: Column, docs_per_lang: int = DOCS_PER_LANG, m
                .transform(map_arrow, _counts, "lang string, kind int, gram string, n bigint")
                .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
     # every word and n-gram of the sampled documents: bounded by docs_per_lang and max_langs
-    found = counted.select("kind", "gram", "lang", "n").toPandas()
-    place = {x: i for i, x in enumerate(langs)}
-    logs, numbers = [], []
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    found = counted.select("kind", "gram", F.element_at(place, F.col("lang")).alias("lang"), "n").toArrow()
+    logs, lists = [], []
     for kind in range(ORDER + 1):
-        part = found[found["kind"] == kind]
-        index = Interner()
-        rows = np.fromiter(map(index.__getitem__, part["gram"]), np.int64, len(part))
-        counts = np.zeros((len(index), len(langs)))
-        np.add.at(counts, (rows, part["lang"].map(place).to_numpy(np.int64)), part["n"].to_numpy(float))
-        logs.append((np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * max(1, len(index)))) / max(kind, 1))
-        numbers.append(dict(index))
-    grams, base = {}, 0
-    for kind in range(1, ORDER + 1):
-        grams.update((g, i + base) for g, i in numbers[kind].items())
-        base += len(numbers[kind])
+        part = found.filter(pc.equal(found["kind"], kind)).combine_chunks()
+        coded = pc.dictionary_encode(part["gram"]).combine_chunks() if len(part) else pa.array([], pa.string()).dictionary_encode()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        counts = np.zeros((len(coded.dictionary), len(langs)))
+        np.add.at(counts, (coded.indices.to_numpy(), part["lang"].to_numpy()), part["n"].to_numpy())
+        logs.append((np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * max(1, len(counts)))) / max(kind, 1))
+        lists.append(coded.dictionary)
     prior = np.array([sizes[x] for x in langs], float)
-    return Model(langs, np.log(prior / prior.sum()), numbers[0], logs[0], grams, np.concatenate(logs[1:]))
+    return Model(langs, np.log(prior / prior.sum()), lists[0], logs[0], pa.concat_arrays(lists[1:]), np.concatenate(logs[1:]))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
