@@ -134,3 +134,40 @@ def test_quantile_table_and_ranked_rows(spark):
     ranks = scan.ranked_rows(df.where("i % 7 < 5"), ["a", "i"]).orderBy("rank").collect()
     want = sorted((a[i], i) for i in range(501) if i % 7 < 5)
     assert [(r["rank"], r["a"], r["i"]) for r in ranks] == [(k, *x) for k, x in enumerate(want)]
+
+
+def test_prefix_sums_and_neighbours_cross_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i < 400 else None if i < 450 else f"k{i % 4}", int(i), int(rng.integers(0, 9)), float(i) if rng.random() < 0.1 else None)
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint, w double").repartition(5)
+    d = scan.ranged(df, ["k", "i"], n=9)
+    assert d.select("_part").distinct().count() > 5
+    got = {r["i"]: r for r in scan.neighbours(scan.prefix_sums(d, ["k"], ["i"], {"below": "v"}), ["k"], ["i"], ["w"]).collect()}
+    assert len(got) == 500
+    for k, i, _, _ in rows:
+        same = [r for r in rows if r[0] == k]
+        before, after = [r[3] for r in same if r[1] < i and r[3] is not None], [r[3] for r in same if r[1] > i and r[3] is not None]
+        assert got[i]["below"] == sum(r[2] for r in same if r[1] < i)
+        assert got[i]["prev_w"] == (before[-1] if before else None) and got[i]["next_w"] == (after[0] if after else None)
+
+
+def test_crowded_scores_spread_and_match(spark):
+    """All scores within a thousandth of 1 spread over the ranges; areas equal the pairwise count."""
+    from tidemark.operators import classify_metrics as cm
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 400)
+    p = 1 - rng.integers(0, 150, (400, 3)) / 1e6 + (np.arange(3) == y[:, None]) * 3e-5
+    pred = spark.createDataFrame([("m", i, int(y[i]), [float(v) for v in p[i]]) for i in range(400)], "model string, row_id long, y_true long, proba array<double>")
+    d = scan.ranged(pred.select(F.col("proba")[0].alias("s")).distinct(), ["s"], n=8)
+    sizes = [r["count"] for r in d.groupBy("_part").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+
+    def auc(pos, neg):
+        return np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+
+    areas = {r["cls"]: r["auc"] for r in cm.roc_points(pred).collect()}
+    assert areas == pytest.approx({c: auc(p[y == c, c], p[y != c, c]) for c in range(3)})
+    pairs = [(a, b) for a in range(3) for b in range(a + 1, 3)]
+    want = np.mean([(auc(p[y == a, a], p[y == b, a]) + auc(p[y == b, b], p[y == a, b])) / 2 for a, b in pairs])
+    assert cm.ovo_auc(pred).first()["auc_ovo"] == pytest.approx(want)

@@ -171,18 +171,12 @@ def class_weights(train: DataFrame, y: str = "y_true", power: float = 1.0) -> Da
     return g.withColumn("weight", F.pow(tot / (k * F.greatest(F.col("count"), F.lit(1))), F.lit(float(power))))
 
 
-def _score_block(n_blocks: int = 1024):
-    """Monotone score -> block map for probabilities in [0, 1] (out-of-range scores
-    fall into the end blocks, NaN above all numbers as Spark sorts it)."""
-    return F.when(F.isnan("score"), F.lit(n_blocks + 1)).otherwise(F.least(F.greatest(F.floor(F.col("score") * n_blocks), F.lit(-1)), F.lit(n_blocks)).cast("int"))
-
-
 def _auc_from_counts(g: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mann-Whitney AUC from (keys, score, pos, neg) rows, ties count one half."""
-    from tidemark.plans.scan import blocked_cumsum
+    """Mann-Whitney AUC from (keys, score, pos, neg) rows, ties count one half; prefix sums run
+    over ranges of equal row counts, however the scores are spread."""
+    from tidemark.plans.scan import prefix_sums, ranged
     keys = list(keys)
-    # negatives strictly below each distinct score, block-wise over score ranges
-    g = blocked_cumsum(g, keys, "score", "neg", "neg_below", _score_block(), inclusive=False)
+    g = prefix_sums(ranged(g, [*keys, "score"]), keys, ["score"], {"neg_below": "neg"})
     return g.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
                      F.sum("pos") * F.sum("neg")).alias("auc"),
@@ -225,45 +219,49 @@ def roc_points(pred: DataFrame, classes: Sequence[int] = (0, 1, 2), keys: Sequen
                  F.element_at(F.col(proba), (F.col("cls") + 1).cast("int")).alias("score"),
                  (F.col(y) == F.col("cls")).cast("bigint").alias("is_pos"))
     g = x.groupBy(*keys, "cls", "score").agg(F.sum("is_pos").alias("pos"), F.sum(1 - F.col("is_pos")).alias("neg"))
-    from tidemark.plans.scan import blocked_cumsum
-    part = Window.partitionBy(*keys, "cls")
-    g = blocked_cumsum(g, [*keys, "cls"], "score", "pos", "tp", _score_block(), descending=True)
-    g = blocked_cumsum(g, [*keys, "cls"], "score", "neg", "fp", _score_block(), descending=True)
-    tots = g.groupBy(*keys, "cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    g = g.join(tots, [*keys, "cls"])
-    g = g.withColumn("tpr", F.try_divide(F.col("tp"), F.col("P"))) \
-         .withColumn("fpr", F.try_divide(F.col("fp"), F.col("N")))
-    o = part.orderBy(F.col("score").desc())
-    prev_tpr = F.coalesce(F.lag("tpr").over(o), F.lit(0.0))
-    prev_fpr = F.coalesce(F.lag("fpr").over(o), F.lit(0.0))
-    g = g.withColumn("trap", (F.col("fpr") - prev_fpr) * (F.col("tpr") + prev_tpr) / 2)
-    g = g.withColumn("auc", F.sum("trap").over(part))
-    return g.select(*keys, "cls", F.col("score").alias("threshold"), "tpr", "fpr", "auc")
-
-
-def macro_roc(points: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+    from tidemark.plans.scan import _join_blocks, prefix_sums, ranged
+    by = [*keys, "cls"]
+    g = prefix_sums(ranged(g, [*by, "score"]), by, ["score"], {"pos_below": "pos", "neg_below": "neg"})
+    tots = g.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # one row per class
+    g = _join_blocks(g, tots, by)
+    # from the highest score down: the point before this one lacks just this score's rows
+    tp, fp = F.col("P") - F.col("pos_below"), F.col("N") - F.col("neg_below")
+    g = g.select(*by, "score", F.try_divide(tp, F.col("P")).alias("tpr"), F.try_divide(fp, F.col("N")).alias("fpr"),
+                 F.coalesce(F.try_divide(tp - F.col("pos"), F.col("P")), F.lit(0.0)).alias("tpr_before"),
+                 F.coalesce(F.try_divide(fp - F.col("neg"), F.col("N")), F.lit(0.0)).alias("fpr_before"))
+    trap = (F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2
+    g = _join_blocks(g, g.groupBy(*by).agg(F.sum(trap).alias("auc")), by)
+    return g.select(*by, F.col("score").alias("threshold"), "tpr", "fpr", "auc")
+
+
+def macro_roc(points: DataFrame, keys: Sequence[str] = ("model",), classes: Sequence[int] = (0, 1, 2)) -> DataFrame:
     """Macro-average ROC from ``roc_points``: at every distinct fpr of any class the mean of
     the class curves, each interpolated linearly, and the area under that mean curve.
 
-    A class's curve at x is its highest tpr at fpr = x, else the line between its neighbours;
-    both come from running windows over the distinct fpr values per class."""
+    A class's curve at x is its highest tpr at fpr = x, else the line between its neighbours, found
+    by a fill scan over ranges of (keys, fpr); a class without a curve does not count."""
+    from tidemark.plans.scan import _join_blocks, neighbours, ranged
     keys = list(keys)
     curve = points.filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull()).select(*keys, "cls", "fpr", "tpr")
-    zero = curve.select(*keys, "cls", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).distinct()
-    curve = curve.unionByName(zero).groupBy(*keys, "cls", "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo"))
-    grid = curve.select(*keys, "fpr").distinct().join(curve.select(*keys, "cls").distinct(), keys)
-    full = grid.join(curve, [*keys, "cls", "fpr"], "left")
-    w = Window.partitionBy(*keys, "cls").orderBy("fpr")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    at = F.when(F.col("hi").isNotNull(), F.col("fpr"))
-    full = full.select("*", F.last(at, True).over(back).alias("x0"), F.last("hi", True).over(back).alias("y0"),
-                       F.first(at, True).over(ahead).alias("x1"), F.first("lo", True).over(ahead).alias("y1"))
-    y = F.coalesce("hi", F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x1") - F.col("x0")),
-                   F.col("y0"))
-    mean = full.groupBy(*keys, "fpr").agg(F.avg(y).alias("tpr"))
-    o = Window.partitionBy(*keys).orderBy("fpr")
-    part = (F.col("fpr") - F.lag("fpr").over(o)) * (F.col("tpr") + F.lag("tpr").over(o)) / 2
-    return mean.select("*", F.sum(F.coalesce(part, F.lit(0.0))).over(Window.partitionBy(*keys)).alias("macro_auc"))
+    # every curve starts at the origin; the points are read once
+    rows = curve.select(*keys, "cls", F.explode(F.array(F.struct("fpr", "tpr"), F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))).alias("p"))
+    x, y = F.col("p.fpr"), F.col("p.tpr")
+    wide = rows.groupBy(*keys, x.alias("fpr")).agg(*[a for c in classes for a in (
+        F.max(F.when(F.col("cls") == c, y)).alias(f"hi{c}"), F.min(F.when(F.col("cls") == c, y)).alias(f"lo{c}"))])
+    known = [F.when(F.col(f"hi{c}").isNotNull(), F.struct("fpr", f"hi{c}", f"lo{c}")).alias(f"p{c}") for c in classes]
+    d = neighbours(ranged(wide.select("*", *known), [*keys, "fpr"]), keys, ["fpr"], [f"p{c}" for c in classes])
+    ys = []
+    for c in classes:
+        x0, y0 = F.col(f"prev_p{c}.fpr"), F.col(f"prev_p{c}.hi{c}")
+        x1, y1 = F.col(f"next_p{c}.fpr"), F.col(f"next_p{c}.lo{c}")
+        ys.append(F.coalesce(F.col(f"hi{c}"), y0 + (y1 - y0) * (F.col("fpr") - x0) / (x1 - x0), y0))
+    counted = F.filter(F.array(*ys), lambda v: v.isNotNull())
+    mean = F.aggregate(counted, F.lit(0.0), lambda a, v: a + v) / F.size(counted)
+    d = d.select(*keys, "_part", "fpr", mean.alias("tpr")).withColumn("at", F.struct("fpr", "tpr"))
+    d = neighbours(d, keys, ["fpr"], ["at"])
+    part = (F.col("fpr") - F.col("prev_at.fpr")) * (F.col("tpr") + F.col("prev_at.tpr")) / 2
+    d = d.select(*keys, "fpr", "tpr", F.coalesce(part, F.lit(0.0)).alias("part"))
+    return _join_blocks(d, d.groupBy(*keys).agg(F.sum("part").alias("macro_auc")), keys).drop("part")
 
 
 def cv_score_summary(scores: DataFrame, keys: Sequence[str], value: str = "score") -> DataFrame:

@@ -247,7 +247,7 @@ p AS (SELECT *, (fpr - lag(fpr) OVER o) * (tpr + lag(tpr) OVER o) / 2 AS part FR
 SELECT model, fpr, tpr, sum(coalesce(part, 0.0)) OVER (PARTITION BY model) AS macro_auc FROM p
 """, ["fpr", "tpr", "macro_auc"]), "v_pred", extra=[_roc_sql()]))
 def a23_macro_roc(spark, sf_dir):
-    return round_doubles(cm.macro_roc(cm.roc_points(T.predictions(spark, sf_dir), CLASSES)))
+    return round_doubles(cm.macro_roc(cm.roc_points(T.predictions(spark, sf_dir), CLASSES), classes=CLASSES))
 
 
 @register("a24_class_weights", with_views(rounded("""

@@ -41,6 +41,40 @@ def ranged(df: DataFrame, by: Sequence[str], out: str = "_part", n: int | None =
     return cut_lineage(df.repartitionByRange(parts, *by).withColumn(out, F.spark_partition_id()))
 
 
+def prefix_sums(d: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """Add, for every ``out: value`` of ``sums``, the sum of ``value`` over the key's rows before this
+    one.  ``d`` comes from ``ranged(df, [*keys, *order])``; ``order`` is unique within a key."""
+    keys = list(keys)
+    totals = d.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carry = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_c_{o}") for o in sums])
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{o}") for o, v in sums.items()])
+    d = _join_blocks(d, carry, [*keys, "_part"])
+    return d.select(*[c for c in d.columns if not c.startswith(("_c_", "_i_"))], *[(F.col(f"_c_{o}") + F.col(f"_i_{o}")).alias(o) for o in sums])
+
+
+def neighbours(d: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Add ``prev_<c>`` and ``next_<c>``: the nearest non-null value of each column before and after
+    the row, across ranges.  ``d`` as for ``prefix_sums``; each range hands on its first and last."""
+    keys = list(keys)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    back, ahead = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    at = F.struct(*order)
+    # max_by and min_by over the non-null rows: partial aggregation, one row per range
+    ends = d.groupBy(*keys, "_part").agg(*[x for c in cols for x in (
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_z_{c}"), F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_a_{c}"))])
+    parts = Window.partitionBy(*keys).orderBy("_part")
+    ends = ends.select(*keys, "_part", *[x for c in cols for x in (
+        F.last(f"_z_{c}", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_l_{c}"),
+        F.first(f"_a_{c}", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias(f"_f_{c}"))])
+    d = d.select("*", *[x for c in cols for x in (F.last(c, True).over(back).alias(f"_b_{c}"), F.first(c, True).over(ahead).alias(f"_n_{c}"))])
+    d = _join_blocks(d, ends, [*keys, "_part"])
+    own = [c for c in d.columns if not c.startswith(("_b_", "_n_", "_l_", "_f_"))]
+    return d.select(*own, *[x for c in cols for x in (F.coalesce(f"_b_{c}", f"_l_{c}").alias(f"prev_{c}"),
+                                                      F.coalesce(f"_n_{c}", f"_f_{c}").alias(f"next_{c}"))])
+
+
 def ranked_rows(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
     """Gapless 0-based number of all rows by ``order`` (unique), from equal ranges and their counts."""
     d = ranged(df, list(order))
@@ -114,23 +148,3 @@ def global_running_drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[
              .withColumn("drawdown", F.col("equity") - F.col("running_max"))
              .withColumn("drawdown_pct", F.try_divide(F.col("drawdown"), F.nullif(F.col("running_max"), F.lit(0.0))) * 100)
              .drop("_blk", "_run", "_rmax", "_carry", "_prevmax"))
-
-
-def blocked_cumsum(df: DataFrame, keys: Sequence[str], order_col: str, value: str, out: str,
-                   block: "F.Column", descending: bool = False, inclusive: bool = True) -> DataFrame:
-    """Running sum of ``value`` per key in ``order_col`` order, block-wise: ``block``
-    must be monotone in ``order_col`` (e.g. floor(score * 1024) for scores in [0, 1]).
-    Within-block windows are partitioned by (key, block); the carry of earlier blocks
-    comes from a window over the per-block totals."""
-    keys = list(keys)
-    d = df.withColumn("_blk", block)
-    ob = F.col("_blk").desc() if descending else F.col("_blk").asc()
-    oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    tot = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_bt"))
-    wb = Window.partitionBy(*keys).orderBy(ob).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_carry"))
-    hi = 0 if inclusive else -1
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(oc).rowsBetween(Window.unboundedPreceding, hi)
-    d = d.withColumn("_run", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
-    return (_join_blocks(d, tot, [*keys, "_blk"]).withColumn(out, F.col("_carry") + F.col("_run"))
-             .drop("_blk", "_run", "_carry"))
