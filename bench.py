@@ -37,6 +37,10 @@ HEADLINE = [
     "t1_tfidf_label_scores",
     "t4_second_pass_other",
     "t5_hashed_embedding",
+    "a23_macro_roc",
+    "a1_decayed_counts_quarter_hours",
+    "m4_forest_random_search",
+    "m7_split_evaluation",
 ]
 
 

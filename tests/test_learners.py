@@ -171,3 +171,65 @@ def test_crowded_scores_spread_and_match(spark):
     pairs = [(a, b) for a in range(3) for b in range(a + 1, 3)]
     want = np.mean([(auc(p[y == a, a], p[y == b, a]) + auc(p[y == b, b], p[y == a, b])) / 2 for a, b in pairs])
     assert cm.ovo_auc(pred).first()["auc_ovo"] == pytest.approx(want)
+
+
+def test_reduction_per_key(spark):
+    """T6 in M1: orthonormal axes by falling variance, the variance NumPy captures, scores of the centred rows."""
+    from tidemark.operators import vectors
+    rng = np.random.default_rng(11)
+    groups = {("a", 1): rng.normal(size=(80, 6)) @ rng.normal(size=(6, 6)), ("a", 2): rng.normal(size=(50, 6)) * [5, 4, 3, 2, 1, 0],
+              (None, 1): rng.normal(size=(9, 6)) + 100}
+    rows = [(*key, i, [float(v) for v in x]) for key, m in groups.items() for i, x in enumerate(m)]
+    df = spark.createDataFrame(rows, "g string, h int, i int, x array<double>").repartition(6)
+    scores, axes = vectors.pca_by_key(df, ["g", "h"], "x", 3)
+    found = {(r["g"], r["h"]): r for r in axes.collect()}
+    assert set(found) == set(groups) and scores.count() == len(rows)
+    for key, m in groups.items():
+        a = np.array(found[key]["axes"])
+        assert np.allclose(a @ a.T, np.eye(3), atol=1e-9) and np.allclose(found[key]["center"], m.mean(axis=0))
+        values = np.sort(np.linalg.eigvalsh(np.cov(m.T)))[::-1]
+        assert np.allclose(found[key]["share"], values[:3] / values.sum(), atol=1e-6)
+        z = {r["i"]: r["z"] for r in scores.where(F.col("g").eqNullSafe(key[0]) & (F.col("h") == key[1])).collect()}
+        assert np.allclose([z[i] for i in range(len(m))], (m - m.mean(axis=0)) @ a.T, atol=1e-6)
+        assert all(row[np.abs(row).argmax()] > 0 for row in a)
+
+
+def test_whole_table_reduction_keeps_the_variance(spark):
+    """Scores of the table-wide reduction are uncorrelated and hold the leading variance."""
+    from tests.conftest import SF_SMALL
+    from tidemark.plans import registry
+    from tidemark.sources import tables as T
+    z = registry.queries()["t6_pca_reduce"](spark, SF_SMALL).toPandas().drop(columns="article_id").to_numpy()
+    x = np.vstack(T.embedded_news(spark, SF_SMALL).select("embedding").toPandas()["embedding"].to_numpy())
+    cov = np.cov(z.T)
+    assert z.shape[1] == 20 and np.allclose(cov - np.diag(np.diag(cov)), 0, atol=1e-6)
+    assert np.allclose(np.diag(cov), np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:20], rtol=1e-4)
+
+
+def test_scoring_inputs_fill_and_encode(spark):
+    df = spark.createDataFrame([(1, None, 2.0, -1), (2, 3.0, None, 1), (3, 1.0, 1.0, None)], "ts int, a double, b double, y int")
+    art = {"test_df": df, "manifest": {"features": ["b", "a"], "classes": [-1, 0, 1]}}
+    rows = learners.scoring_inputs(art, target="y")[0].orderBy("ts").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 2.0, 0.0), (2, 2, 0.0, 3.0), (3, None, 1.0, 1.0)]
+    art["test_df"] = df.withColumn("y", F.lit(9))
+    with pytest.raises(Exception, match="unknown class 9"):
+        learners.scoring_inputs(art, target="y")[0].collect()
+
+
+def test_values_outside_of_a_fixed_list_raise(spark):
+    from tidemark.operators import decay
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "zz", 2.0)], "ts int, topic string, weight double")
+    assert decay.topic_features_wide(df, ["a", "zz"]).collect()[0]["zz"] == 2.0
+    with pytest.raises(Exception, match="outside of the list"):
+        decay.topic_features_wide(df, ["a"]).collect()
+
+
+def test_top_sets_follow_the_grid_search(spark):
+    """K3: the best rows of M3's table, in its order."""
+    from tests.conftest import SF_SMALL
+    from tidemark.plans import registry
+    q = registry.queries()
+    every, top = q["m3_ridge_grid_search"](spark, SF_SMALL).toPandas(), q["k3_top_parameter_sets"](spark, SF_SMALL).toPandas()
+    assert len(every) == 30 and len(top) == 5
+    score = next(c for c in ("cv_macro_f1", "val_macro_f1") if c in every.columns)
+    assert sorted(top[score], reverse=True) == sorted(every[score], reverse=True)[:5]

@@ -347,7 +347,9 @@ def decayed_embeddings(articles: DataFrame, targets: DataFrame,
 def topic_features_wide(long_df: DataFrame, topics: Sequence[str], keys: Sequence[str] = ("ts",),
                         topic: str = "topic", value: str = "weight", prefix: str = "") -> DataFrame:
     """Pivot long topic weights to model columns with an explicit topic list
-    (no extra distinct-values job); absent cells are 0 (P9)."""
+    (no extra distinct-values job); absent cells are 0 (P9), a topic outside of the list raises."""
+    from tidemark.operators.lookup import only
+    long_df = long_df.withColumn(topic, only(topic, topics, "topic"))
     wide = long_df.groupBy(*keys).pivot(topic, list(topics)).agg(F.first(value))
     return wide.select(*keys, *[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"{prefix}{t}")
                                 for t in topics])

@@ -166,15 +166,24 @@ def load_artifacts(output_dir: str, spark, load_models: bool = True, load_test_d
 
 
 def scoring_inputs(artifacts: dict, features_key: str = "features", id_cols: Sequence[str] = ("ts",),
-                   target: str | None = None) -> tuple[DataFrame, list[str]]:
-    """The loaded test split with the manifest's features in model order, the id columns and the
-    target if present; a feature that the split lacks raises."""
-    df, features = artifacts["test_df"], list(artifacts["manifest"][features_key])
+                   target: str | None = None, classes_key: str = "classes") -> tuple[DataFrame, list[str]]:
+    """The loaded test split with the manifest's features in model order, nulls as 0, the id columns
+    and the target if present.  If the manifest lists the ``classes`` (the label encoder's, in order),
+    the target becomes its class index; a null target stays null, a value outside of them raises.
+    A feature that the split lacks raises too."""
+    df, man = artifacts["test_df"], artifacts["manifest"]
+    features, classes = list(man[features_key]), man.get(classes_key)
     missing = [f for f in features if f not in df.columns]
     if missing:
         raise KeyError(f"test data lack features {missing}")
     first = [c for c in [*id_cols, target] if c and c in df.columns]
-    return df.select(*first, *[F.col(f"`{f}`") for f in features if f not in first]), features
+    out = df.select(*first, *[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f) for f in features if f not in first])
+    if classes is not None and target in first:
+        value = F.col(f"`{target}`").cast("bigint")
+        at = F.array_position(F.array(*[F.lit(int(c)).cast("bigint") for c in classes]), value)
+        out = out.withColumn(target, F.when(at > 0, at - 1).when(value.isNotNull(), F.raise_error(
+            F.concat(F.lit("unknown class "), value.cast("string"))).cast("bigint")))
+    return out, features
 
 
 def split_points(model, features: Sequence[str]) -> dict[str, list[float]]:

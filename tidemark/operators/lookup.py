@@ -40,3 +40,10 @@ def resolve_column(df: DataFrame, candidates) -> str | None:
         if c in df.columns:
             return c
     return None
+
+
+def only(col: str, allowed, what: str):
+    """The column, raising on a non-null value outside of ``allowed``: a pivot over a fixed list would drop it."""
+    c = F.col(col)
+    bad = F.raise_error(F.concat(F.lit(f"{what} outside of the list: "), c.cast("string")))
+    return F.when(c.isNull() | c.isin(*allowed), c).otherwise(bad).alias(col)

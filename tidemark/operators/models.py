@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tidemark.operators.lookup import only
 from pyspark.sql.window import Window
 
 from tidemark.operators import classify_metrics as cm
@@ -47,6 +49,8 @@ def assemble_features(master: DataFrame, topic_grid: DataFrame, emb_grid: DataFr
     from a literal array (a projection, not a join); the feature joins are equi-joins
     on (parameter set, hour)."""
     keys = list(keys)
+    topic_grid = topic_grid.withColumn("topic", only("topic", topics, "topic"))
+    emb_grid = emb_grid.withColumn("dim", only("dim", range(dim), "vector position"))
     tw = topic_grid.groupBy(*keys, "ts").pivot("topic", list(topics)).agg(F.first("weight"))
     ew = emb_grid.groupBy(*keys, "ts").pivot("dim", list(range(dim))).agg(F.first("value"))
     ew = ew.select(*keys, "ts", *[F.col(f"`{i}`").alias(f"emb_{i}") for i in range(dim)])

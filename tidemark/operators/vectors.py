@@ -47,6 +47,58 @@ def pca_reduce(df: DataFrame, vec: str = "embedding", k: int = 20, id_cols: Sequ
     return model.transform(d).select(*id_cols, *[arr[i].alias(f"{prefix}{i}") for i in range(k)])
 
 
+def pca_by_key(df: DataFrame, keys: Sequence[str], vec: str = "x", k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """T6 per parameter set: (rows with ``z``, the k principal scores; components by key).
+
+    One pass gives every key's row count, sum and second moments, summed in the tasks first; the
+    d x d eigenproblem of a key is one row (bounded by the vector's width, not by the rows).
+    Components are orthonormal, by falling variance, each with its largest loading positive, and
+    the scores are those of the centred vectors.  Fewer than k positions give fewer components.
+    Vectors must have one width."""
+    import numpy as np
+    import pandas as pd
+    from tidemark.session import ship_package
+    keys = list(keys)
+    ship_package(df.sparkSession)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+
+    def moments(batches):
+        found: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False):
+                m = np.vstack(part["_v"].to_numpy())
+                n, s, q = found.get(key, (0, 0.0, 0.0))
+                found[key] = (n + len(m), s + m.sum(axis=0), q + m.T @ m)
+        if found:
+            yield pd.DataFrame([(*key, n, s, q.ravel()) for key, (n, s, q) in found.items()], columns=[*keys, "n", "s", "q"])
+
+    def solve(pdf):
+        n = int(pdf["n"].sum())
+        s, q = np.sum(np.vstack(pdf["s"].to_numpy()), axis=0), np.sum(np.vstack(pdf["q"].to_numpy()), axis=0)
+        d = len(s)
+        mean = s / n
+        cov = (q.reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
+        values, axes = np.linalg.eigh((cov + cov.T) / 2)
+        take = np.argsort(-values, kind="stable")[:k]
+        axes = axes[:, take].T
+        axes *= np.where(axes[np.arange(len(take)), np.abs(axes).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+        share = np.maximum(values[take], 0) / max(np.maximum(values, 0).sum(), 1e-300)
+        return pd.DataFrame([(*[pdf.iloc[0][c] for c in keys], n, mean, [a.tolist() for a in axes], share.tolist())],
+                            columns=[*keys, "n", "center", "axes", "share"])
+
+    moved = df.select(*keys, F.col(vec).cast("array<double>").alias("_v")).where("_v is not null")
+    partial = moved.mapInPandas(moments, f"{names}, n bigint, s array<double>, q array<double>")
+    axes = partial.groupBy(*keys).applyInPandas(solve, f"{names}, n bigint, center array<double>, axes array<array<double>>, share array<double>")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    parts = axes.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "center", "axes")  # one row per key
+    centred = F.zip_with(F.col(vec).cast("array<double>"), F.col("center"), lambda v, m: v - m)
+    rows = df.join(parts, same).withColumn("_w", centred)
+    score = F.transform("axes", lambda a: F.aggregate(F.zip_with(a, F.col("_w"), lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v))
+    return rows.withColumn("z", score).drop("_w", "center", "axes", *[f"_k_{c}" for c in keys]), axes
+
+
 def separation_metric(long_df: DataFrame, id_col: str, label_col: str, dim: str = "dim",
                       value: str = "value") -> DataFrame:
     """T7 (re-aimed): per label, mean cosine of members to their own centroid and

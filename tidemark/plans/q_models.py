@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tidemark.operators import decay, models  # noqa: E402
+from tidemark.operators import decay, models, vectors  # noqa: E402
 from tidemark.plans.common import round_doubles  # noqa: E402
 from tidemark.plans.ingest import master_table  # noqa: E402
 from tidemark.plans.registry import register  # noqa: E402
+from tidemark.session import cut_lineage  # noqa: E402
 from tidemark.sources import tables as T  # noqa: E402
 
 TOPICS = ["click", "purchase", "signup", "view"]      # event types minus the "other" one
@@ -55,24 +56,48 @@ def m1_feature_assembly(spark, sf_dir):
     return round_doubles(feature_table(spark, sf_dir))
 
 
+REDUCED = 20
+
+
+def reduced_feature_table(spark, sf_dir):
+    """M1 as the model input: per (look-back, lambda) the decayed embedding vectors are reduced to
+    their 20 principal scores before they are joined to the master rows."""
+    master = master_table(T.energy_hourly(spark, sf_dir))
+    tg = decay.decayed_topic_grid(T.topic_news(spark, sf_dir), master, other_label=T.OTHER_TOPIC_EVENTS)
+    eg = decay.decayed_embedding_grid(T.embedded_news(spark, sf_dir), master)
+    wide = eg.groupBy("lookback", "decay_lambda", "ts").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("x"))
+    scores, _ = vectors.pca_by_key(cut_lineage(wide), ["lookback", "decay_lambda"], "x", REDUCED)
+    long = scores.select("lookback", "decay_lambda", "ts", F.posexplode("z").alias("dim", "value"))
+    return models.assemble_features(master, tg, long, TOPICS, REDUCED, PARAMS)
+
+
+@register("m1_reduced_features")
+def m1_reduced_features(spark, sf_dir):
+    """No SQL twin (eigenvectors); orthonormality, captured variance and scores are tested."""
+    return round_doubles(reduced_feature_table(spark, sf_dir))
+
+
+REDUCED_FEATURES = models.BASELINE_FEATURES + TOPICS + [f"emb_{i}" for i in range(REDUCED)]
+
+
+def _ridge_results(spark, sf_dir):
+    return models.ridge_grid_search(cut_lineage(reduced_feature_table(spark, sf_dir)), REDUCED_FEATURES)
+
+
 @register("m3_ridge_grid_search")
 def m3_ridge_grid_search(spark, sf_dir):
-    """No SQL twin (iterative model selection); checked against NumPy in tests."""
-    res = models.ridge_grid_search(feature_table(spark, sf_dir), FEATURES)
-    return round_doubles(res)
+    """On the reduced features.  No SQL twin (iterative model selection); checked against NumPy in tests."""
+    return round_doubles(_ridge_results(spark, sf_dir))
 
 
 @register("k3_top_parameter_sets")
 def k3_top_parameter_sets(spark, sf_dir):
-    res = models.ridge_grid_search(feature_table(spark, sf_dir), FEATURES)
-    return round_doubles(models.top_parameter_sets(res, 5))
-
+    return round_doubles(models.top_parameter_sets(_ridge_results(spark, sf_dir), 5))
 
 
 # ---------------------------------------------------------------- Spark ML learners
 from tidemark.operators import boosting, learners, split  # noqa: E402
 from tidemark.operators import classify_metrics as cm  # noqa: E402
-from tidemark.session import cut_lineage  # noqa: E402
 
 LINE_TOPICS = [f"ln{i}" for i in range(1, 8)]
 NLP_PREFIX = "ln"

@@ -120,12 +120,13 @@ ROLLING_WEEKS = 4
 
 
 def _r5_spark(spark, sf_dir):
+    from tidemark.operators.lookup import only
     li = T.table(spark, sf_dir, "lineitem")
     arts = li.select(F.col("l_shipdate").alias("publishedAt"),
                      F.concat(F.lit("ln"), F.col("l_linenumber").cast("string")).alias("topic"))
     energy = T.energy_daily(spark, sf_dir)
     targets = energy.select("ts").distinct()
-    w = decay.decayed_topic_counts(arts, targets, 336, 0.05)
+    w = decay.decayed_topic_counts(arts, targets, 336, 0.05).withColumn("topic", only("topic", LINE_TOPICS, "topic"))
     # weekly mean over the target days of each week (absent (t, topic) = 0)
     tw = targets.groupBy(week_label("ts").alias("week")).agg(F.count(F.lit(1)).alias("n_t"))
     sums = (w.groupBy(week_label("ts").alias("week")).pivot("topic", LINE_TOPICS).agg(F.sum("weight")))
