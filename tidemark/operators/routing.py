@@ -7,7 +7,7 @@ Python: every executor routes its own rows with JVM expressions.
 
 Scores come from a pluggable scorer ``scorer(text_col, labels_col, stage) -> Column``
 returning an array of scores aligned with ``labels_col`` (NULL for a blank text).
-``text_scorer`` reads them from the label scores that ``with_label_scores`` computes from
+``text_scorer`` reads them from the label scores that ``with_evidence`` computes from
 the text; ``hash_scorer`` gives deterministic pseudo-scores for tests of the routing alone.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,16 +150,15 @@ def route_flat(df: DataFrame, text: str, scorer: Scorer, labels: Sequence[str] =
 
 def second_pass_other(df: DataFrame, text: str, scorer: Scorer, other_label: str = OTHER_LABEL,
                       prefix: str = "classification", **route_kw) -> DataFrame:
-    """Rows labelled "other" are re-routed on a second text column and the
-    four result columns overwritten unconditionally, row by row (the row carries
-    its own id, so duplicate timestamps cannot cross-update, Q6)."""
-    tmp = "_p2"
-    r = route(df.withColumn("_is_other", F.col(prefix) == F.lit(other_label)), text, scorer, prefix=tmp, **route_kw)
-    out = r
-    for suffix in ("", "_score", "_stage1", "_stage1_score"):
-        out = out.withColumn(prefix + suffix,
-                             F.when(F.col("_is_other"), F.col(tmp + suffix)).otherwise(F.col(prefix + suffix)))
-    return out.drop("_is_other", tmp, f"{tmp}_score", f"{tmp}_stage1", f"{tmp}_stage1_score")
+    """Rows labelled "other" are re-routed on a second text column and get its four result
+    columns; all other rows pass by.  The two sets are disjoint filters of the same rows, so
+    duplicate timestamps cannot cross-update (Q6) and only the "other" rows are scored again.  The
+    first pass is stored once, as both sets read it."""
+    from tidemark.session import cut_lineage
+    df = cut_lineage(df)
+    is_other = F.coalesce(F.col(prefix) == F.lit(other_label), F.lit(False))
+    again = df.filter(is_other).drop(prefix, f"{prefix}_score", f"{prefix}_stage1", f"{prefix}_stage1_score")
+    return df.filter(~is_other).unionByName(route(again, text, scorer, prefix=prefix, **route_kw).select(*df.columns))
 
 
 #: Score that every label gets before any evidence, per unit of evidence.
@@ -173,40 +173,50 @@ def label_tokens(labels: Sequence[str]) -> dict[str, list[str]]:
     return {v: sorted({t for t in re.split(r"[\W_]+", v.lower()) if t}) for v in labels}
 
 
-def with_label_scores(docs: DataFrame, text_col: str, labels: Sequence[str], out: str = "label_evidence") -> DataFrame:
-    """Add a map label -> TF-IDF evidence of the text for the label (NULL for blank text).
+def _vocabulary(labels: Sequence[str]) -> list[str]:
+    return sorted({t for ts in label_tokens(labels).values() for t in ts})
+
+
+def label_counts(docs: DataFrame, texts: Mapping[str, str], labels: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """T1, first half: for every ``out: text column`` of ``texts`` the counts of the labels' tokens
+    (``{out}_tf``, in the order of the sorted tokens) and the number of all tokens (``{out}_n``, null for a
+    blank text), with the ``keep`` columns.
+
+    Only these small arrays leave the texts (the tokens are a few dozen, fixed by the
+    configuration), so they are stored: document frequencies, scores and further passes read
+    them and not the texts."""
+    from tidemark.session import cut_lineage
+    vocabulary = _vocabulary(labels)
+    lits, none = F.array(*[F.lit(t) for t in vocabulary]), F.array_repeat(F.lit(0), len(vocabulary))
+    d = docs.select(*keep, *[F.col(c).alias(f"_t_{o}") for o, c in texts.items()])
+    for o in texts:
+        c = F.col(f"_t_{o}")
+        words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), _NOT_WORD), lambda w: w != "")
+        d = d.withColumn("_words", words).withColumn("_hits", F.filter("_words", lambda w: w.isin(vocabulary)))
+        # (the hits are named twice, so Spark keeps them as a column instead of working them out per token)
+        d = d.withColumn(f"{o}_tf", F.when(F.size("_hits") == 0, none).otherwise(
+            F.transform(lits, lambda t: F.size(F.filter("_hits", lambda w: w == t)))))
+        d = d.withColumn(f"{o}_n", F.when(~is_blank(f"_t_{o}"), F.size("_words"))).drop("_words", "_hits", f"_t_{o}")
+    return cut_lineage(d)
+
+
+def with_evidence(counts: DataFrame, out: str, labels: Sequence[str]) -> DataFrame:
+    """T1, second half: add ``out``, a map label -> TF-IDF evidence (null for a blank text).
 
     evidence = sum over the label's tokens of (share of the token among the text's tokens) * idf,
-    divided by the root of the number of label tokens; idf = ln((1 + N) / (1 + df)) + 1.  The
-    length of the document's own vector scales all labels alike and cancels in the scores.
-
-    Only the tokens of the labels (a few dozen, fixed by the configuration) leave the text:
-    each text becomes an array of their counts in one projection, the document frequencies
-    are one global aggregate of these arrays, joined back as a single row."""
-    tokens = label_tokens(labels)
-    vocabulary = sorted({t for ts in tokens.values() for t in ts})
-    lits = F.array(*[F.lit(t) for t in vocabulary])
-    c = F.col(text_col)
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), _NOT_WORD), lambda w: w != "")
-    d = docs.withColumn("_words", words)
-    d = d.withColumn("_n", F.size("_words")).withColumn("_hits", F.filter("_words", lambda w: w.isin(vocabulary)))
-    # (the hits are named twice, so Spark keeps them as a column instead of working them out per token)
-    none = F.array_repeat(F.lit(0), len(vocabulary))
-    d = d.withColumn("_tf", F.when(F.size("_hits") == 0, none).otherwise(
-        F.transform(lits, lambda t: F.size(F.filter("_hits", lambda w: w == t))))).drop("_words", "_hits")
-    present = [F.count_if(F.col("_tf")[k] > 0).alias(f"d{k}") for k in range(len(vocabulary))]
-    counts = d.select("_tf").agg(F.count(F.lit(1)).alias("n_docs"), *present)
-    idf = counts.select(F.array(*[F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col(f"d{k}"))) + 1
-                                  for k in range(len(vocabulary))]).alias("_idf"))
-    d = d.join(F.broadcast(idf))  # one row
+    divided by the root of the number of label tokens; idf = ln((1 + N) / (1 + df)) + 1 over all
+    rows of ``counts``.  The length of the document's own vector scales all labels alike and
+    cancels in the scores.  One aggregate row with the frequencies reaches the driver."""
+    vocabulary, tf = _vocabulary(labels), F.col(f"{out}_tf")
+    present = counts.agg(F.count(F.lit(1)), *[F.count_if(tf[k] > 0) for k in range(len(vocabulary))]).first()
+    idf = [float(np.log((1 + present[0]) / (1 + n)) + 1) for n in present[1:]]
     entries = []
-    for label, ts in tokens.items():
+    for label, ts in label_tokens(labels).items():
         at = [vocabulary.index(t) for t in ts]
-        weight = sum((F.col("_tf")[k] * F.col("_idf")[k] for k in at), F.lit(0.0))
-        entries += [F.lit(label), F.try_divide(weight, F.col("_n") * F.lit(float(max(len(at), 1)) ** 0.5))]
-    scored = F.when(is_blank(text_col), F.lit(None)).otherwise(
-        F.transform_values(F.create_map(*entries), lambda k, v: F.round(F.coalesce(v, F.lit(0.0)), 12)))
-    return d.withColumn(out, scored).drop("_tf", "_n", "_idf")
+        weight = sum((tf[k] * F.lit(idf[k]) for k in at), F.lit(0.0))
+        entries += [F.lit(label), F.try_divide(weight, F.col(f"{out}_n") * F.lit(float(max(len(at), 1)) ** 0.5))]
+    return counts.withColumn(out, F.when(F.col(f"{out}_n").isNotNull(), F.transform_values(
+        F.create_map(*entries), lambda k, v: F.round(F.coalesce(v, F.lit(0.0)), 12))))
 
 
 def text_scorer(evidence: str = "label_evidence", floor: float = EVIDENCE_FLOOR) -> Scorer:
@@ -222,8 +232,9 @@ def text_scorer(evidence: str = "label_evidence", floor: float = EVIDENCE_FLOOR)
 def label_scores(docs: DataFrame, id_col: str, text_col: str, labels: Sequence[str]) -> DataFrame:
     """T1 in long form: (id, label, score) for every label of every document; the score is NULL
     for a blank text."""
-    d = with_label_scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text", labels)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    d = with_evidence(label_counts(rows, {"label_evidence": "_text"}, labels, ["id"]), "label_evidence", labels)
     arr = F.array(*[F.lit(v) for v in labels])
-    pairs = F.arrays_zip(arr.alias("label"), F.coalesce(text_scorer()(F.col("_text"), arr, "flat"),
+    pairs = F.arrays_zip(arr.alias("label"), F.coalesce(text_scorer()(F.col("label_evidence"), arr, "flat"),
                                                         F.transform(arr, lambda x: F.lit(None).cast("double"))).alias("score"))
     return d.select("id", F.explode(pairs).alias("p")).select("id", "p.label", "p.score")

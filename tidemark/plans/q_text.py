@@ -93,7 +93,7 @@ _OUT_D = ["classification_score", "classification_stage1_score"]
 @register("t2_hierarchical_routing", with_views(rounded("SELECT * FROM r1", _OUT_D), "v_news",
                                                 extra=[_dims_sql(), _evidence_sql("v_news", "title"), _route_sql("v_news", "title", "r1")]))
 def t2_hierarchical_routing(spark, sf_dir):
-    n = R.with_label_scores(T.news(spark, sf_dir), "title", ALL_LABELS)
+    n = R.with_evidence(R.label_counts(T.news(spark, sf_dir), {"label_evidence": "title"}, ALL_LABELS, ["article_id"]), "label_evidence", ALL_LABELS)
     out = R.route(n, "title", R.text_scorer())
     return round_doubles(out.select(*_OUT))
 
@@ -107,7 +107,7 @@ SELECT n.article_id, t.label AS classification, coalesce(t.score, 0.0) AS classi
        t.label AS classification_stage1, coalesce(t.score, 0.0) AS classification_stage1_score
 FROM v_news n LEFT JOIN t USING (article_id)""", _OUT_D), "v_news", extra=[_dims_sql(), _evidence_sql("v_news", "title")]))
 def t3_flat_routing(spark, sf_dir):
-    n = R.with_label_scores(T.news(spark, sf_dir), "title", ALL_LABELS)
+    n = R.with_evidence(R.label_counts(T.news(spark, sf_dir), {"label_evidence": "title"}, ALL_LABELS, ["article_id"]), "label_evidence", ALL_LABELS)
     return round_doubles(R.route_flat(n, "title", R.text_scorer()).select(*_OUT))
 
 
@@ -124,10 +124,10 @@ r3 AS (SELECT r1.article_id,
 
 
 def _routed(spark, sf_dir):
-    n = R.with_label_scores(T.news(spark, sf_dir), "title", ALL_LABELS, "by_title")
-    first = R.route(n, "title", R.text_scorer("by_title"))
-    again = R.with_label_scores(first, "description", ALL_LABELS, "by_description")
-    return R.second_pass_other(again, "description", R.text_scorer("by_description"))
+    counts = R.label_counts(T.news(spark, sf_dir), {"by_title": "title", "by_description": "description"}, ALL_LABELS, ["article_id"])
+    scored = R.with_evidence(R.with_evidence(counts, "by_title", ALL_LABELS), "by_description", ALL_LABELS)
+    first = R.route(scored, "by_title", R.text_scorer("by_title"))
+    return R.second_pass_other(first, "by_description", R.text_scorer("by_description"))
 
 
 @register("t4_second_pass_other", with_views(rounded("SELECT * FROM r3", _OUT_D), "v_news",
