@@ -229,21 +229,21 @@ def test_exact_quantiles_narrowing(spark):
 
 
 def test_blockwise_windows_equal_plain(spark):
-    """Block-wise rolling std and running drawdown == plain single-partition windows."""
-    from tidemark.plans.scan import blocked_rolling, global_running_drawdown
+    """Rolling std and running drawdown by ranges == plain single-partition windows."""
+    from tidemark.plans.scan import running_drawdown
     from pyspark.sql.window import Window as W
     rng = np.random.default_rng(11)
     rows = [("k", T0 + dt.timedelta(hours=i * 7), float(rng.normal())) for i in range(500)]
     rows += [("j", T0 + dt.timedelta(hours=i * 5), float(rng.normal())) for i in range(300)]
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, v double")
-    b = blocked_rolling(df, ["key"], ["ts"], 24, {"s": lambda w: F.stddev_samp("v").over(w)}, block_rows=37)
+    b = windows.rolling_std(df, "v", [24, 3], ["key"], ["ts"], ranges=60).withColumnRenamed("v_std_24", "s")
     p = df.withColumn("s", F.stddev_samp("v").over(W.partitionBy("key").orderBy("ts").rowsBetween(-23, 0)))
     got = {(r["key"], r["ts"]): r["s"] for r in b.collect()}
     want = {(r["key"], r["ts"]): r["s"] for r in p.collect()}
     assert got.keys() == want.keys()
     assert all((got[k] is None and want[k] is None) or got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
     g = {(r["key"], r["ts"]): (r["equity"], r["running_max"]) for r in
-         global_running_drawdown(df, ["key"], ["ts"], "v", "week").collect()}
+         running_drawdown(df, ["key"], ["ts"], "v", n=40).collect()}
     w = {(r["key"], r["ts"]): (r["equity"], r["running_max"]) for r in
          windows.running_drawdown(df, "v", ["key"], ["ts"]).collect()}
     assert all(g[k] == pytest.approx(w[k], rel=1e-9, abs=1e-9) for k in w)
@@ -401,3 +401,44 @@ def test_macro_roc_is_the_mean_of_interpolated_curves(spark):
         assert r["tpr"] == pytest.approx(np.mean(at))
     area = sum((b["fpr"] - a["fpr"]) * (a["tpr"] + b["tpr"]) / 2 for a, b in zip(got, got[1:]))
     assert got[0]["macro_auc"] == pytest.approx(area)
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 90])
+def test_shifts_cross_ranges_in_one_dense_month(spark, ranges):
+    """Lags and leads reach over as many ranges as they need; all rows lie in one day,
+    one key holds most of them, others have fewer rows than the shift, null keys and times stay."""
+    from tidemark.plans.scan import global_row_number, ranged, windowed
+    keys = ["hot"] * 240 + [None] * 20 + ["a"] * 3 + ["b"] * 37
+    rows = [(k, T0 + dt.timedelta(seconds=i), i) for i, k in enumerate(keys)] + [("b", None, 300)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v bigint").repartition(6)
+    got = windowed(df, ["k"], ["ts"], 30, 11, {"back": lambda w: F.lag("v", 30).over(w), "ahead": lambda w: F.lead("v", 11).over(w),
+                                               "place": lambda w: F.col("_rn")}, n=ranges)
+    assert got.columns == ["k", "ts", "v", "back", "ahead", "place"]
+    got = {r["v"]: r for r in got.collect()}
+    assert len(got) == len(rows)
+    numbers = {r["v"]: (r["rn"], r["n_rows"]) for r in global_row_number(df, ["k"], ["ts"], n=ranges).collect()}
+    for key in {k for k, _, _ in rows}:
+        same = [v for _, ts, v in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or T0))]
+        for i, v in enumerate(same):
+            assert got[v]["back"] == (same[i - 30] if i >= 30 else None)
+            assert got[v]["ahead"] == (same[i + 11] if i + 11 < len(same) else None)
+            assert got[v]["place"] == i + 1 and numbers[v] == (i + 1, len(same))
+    if ranges == 7:
+        sizes = [r["count"] for r in ranged(df, ["k", "ts"], n=7).groupBy("_part").count().collect()]
+        assert len(sizes) >= 6 and max(sizes) <= 90
+
+
+def test_range_scans_of_empty_tables(spark):
+    from tidemark.plans.scan import running_drawdown
+    df = spark.createDataFrame([], "k string, ts timestamp_ntz, v double")
+    assert windows.rolling_std(df, "v", [5], ["k"], ["ts"]).count() == 0
+    assert running_drawdown(df, ["k"], ["ts"], "v").count() == 0
+
+
+def test_drawdown_of_leading_nulls(spark):
+    from tidemark.plans.scan import running_drawdown
+    rows = [("k", T0 + dt.timedelta(hours=i), None if i < 9 or i % 5 == 0 else float((i * 37) % 11 - 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    cols = ["ts", "equity", "running_max", "drawdown", "drawdown_pct"]
+    got = running_drawdown(df, ["k"], ["ts"], "v", n=20).select(cols).orderBy("ts").collect()
+    assert got == windows.running_drawdown(df, "v", ["k"], ["ts"]).select(cols).orderBy("ts").collect()

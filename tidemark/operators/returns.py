@@ -44,9 +44,9 @@ def summarise_returns(df: DataFrame, keys: Sequence[str] = ("strategy",), order:
 
     With ``normalizer`` (a column holding the mean absolute spread) the money
     figures are scaled to percent of it ('percentage' mode)."""
-    from tidemark.plans.scan import global_running_drawdown
+    from tidemark.plans.scan import running_drawdown
     keys = list(keys)
-    d = global_running_drawdown(df, keys, order, ret, "week").withColumnRenamed("drawdown", "_dd")
+    d = running_drawdown(df, keys, order, ret).withColumnRenamed("drawdown", "_dd")
     r = F.col(ret)
     aggs = [F.sum(r).alias("_tot"), F.avg(r).alias("_mean"), F.stddev_samp(r).alias("_std"),
             F.stddev_samp(F.when(r < 0, r)).alias("_dstd"), F.count_if(r < 0).alias("_nneg"),

@@ -1,7 +1,7 @@
 """Chronological splits and time-series folds.
 
-Row positions come from ``plans.scan.global_row_number`` (block-wise, so a single
-long series is not funnelled through one task).  Fold membership is generated with
+Row positions come from ``plans.scan.global_row_number`` (ranges of equal row counts, so a
+single long series or a dense month is not funnelled through one task).  Fold membership is generated with
 ``explode(sequence(...))`` per row: no fold-table join, no nested loop.  Guards that
 the reference raises eagerly are ``raise_error`` expressions evaluated lazily on
 the executors.

@@ -38,23 +38,14 @@ def running_drawdown(df: DataFrame, value: str, keys: Sequence[str], order: Sequ
 
 
 def rolling_std(df: DataFrame, value: str, sizes: Sequence[int], keys: Sequence[str],
-                order: Sequence[str], block_rows: int | None = 1_000_000) -> DataFrame:
+                order: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Sample std over the last n rows, min_periods=1 (one row -> NULL).
 
-    With ``block_rows`` the frames are evaluated block-wise (``plans.scan.blocked_rolling``):
-    a very long series is split over many tasks instead of one."""
-    if block_rows:
-        from tidemark.plans.scan import blocked_rolling
-        out = df
-        for n in sizes:
-            out = blocked_rolling(out, keys, order, int(n),
-                                  {f"{value}_std_{n}": lambda w: F.stddev_samp(value).over(w)}, block_rows)
-        return out
-    out = df
-    for n in sizes:
-        w = _w(keys, order).rowsBetween(-(int(n) - 1), Window.currentRow)
-        out = out.withColumn(f"{value}_std_{n}", F.stddev_samp(value).over(w))
-    return out
+    Evaluated range by range (``plans.scan.windowed``): a very long series is split over
+    many tasks, and all sizes share one cut."""
+    from tidemark.plans.scan import windowed
+    return windowed(df, keys, order, max(int(n) for n in sizes) - 1, 0, {
+        f"{value}_std_{n}": lambda w, n=int(n): F.stddev_samp(value).over(w.rowsBetween(-(n - 1), 0)) for n in sizes}, ranges)
 
 
 def first_difference(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str],

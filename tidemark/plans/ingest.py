@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import deadband_target
 from tidemark.functions.text import clean_news_text
 from tidemark.functions.timecal import calendar_columns
+from tidemark.plans.scan import windowed
 
 # Reference defaults.
 SPREAD_TARGET_DEADBAND = 3.0
@@ -26,9 +26,9 @@ def master_table(energy: DataFrame, *, horizon: int = FORECAST_HORIZON,
                  min_ts: str | None = None, drop_incomplete: bool = True) -> DataFrame:
     """Master feature table: one row per (series_id, ts).
 
-    All six shifts share one window spec, so Spark sorts each series once.  Windows
-    are partitioned by series; a single very long series is the case for
-    ``plans.scan`` (block-wise carries) instead.
+    The rows are cut into ranges of (series, time) of equal row counts; a range gets the week
+    of rows before it and the horizon after it as copies (``plans.scan.windowed``), and all six
+    shifts share its one sort.  A single very long series spreads over all tasks.
     """
     e = energy
     if drop_incomplete:
@@ -37,16 +37,14 @@ def master_table(energy: DataFrame, *, horizon: int = FORECAST_HORIZON,
         e = e.filter(F.col(ts) >= F.lit(min_ts).cast("timestamp_ntz"))   # P3, pushed down
     e = e.withColumn("real_spread_abs", F.col(spot) - F.col(da))        # P7
     e = e.withColumn("spread_target", deadband_target("real_spread_abs", deadband))  # P8
-    w = Window.partitionBy(series_id).orderBy(ts)
-    e = e.select(
-        "*",
-        F.lead("real_spread_abs", horizon).over(w).alias(f"real_spread_abs_shift_{horizon}"),
-        F.lead("spread_target", horizon).over(w).alias(f"spread_target_shift_{horizon}"),
-        F.lag(spot, horizon).over(w).alias(f"price_lag_{horizon}"),
-        F.lag(spot, WEEK_HOURS).over(w).alias(f"price_lag_{WEEK_HOURS}"),
-        F.lag(load, horizon).over(w).alias(f"load_lag_{horizon}"),
-        F.lag(load, WEEK_HOURS).over(w).alias(f"load_lag_{WEEK_HOURS}"),
-    )
+    e = windowed(e, [series_id], [ts], max(horizon, WEEK_HOURS), horizon, {
+        f"real_spread_abs_shift_{horizon}": lambda w: F.lead("real_spread_abs", horizon).over(w),
+        f"spread_target_shift_{horizon}": lambda w: F.lead("spread_target", horizon).over(w),
+        f"price_lag_{horizon}": lambda w: F.lag(spot, horizon).over(w),
+        f"price_lag_{WEEK_HOURS}": lambda w: F.lag(spot, WEEK_HOURS).over(w),
+        f"load_lag_{horizon}": lambda w: F.lag(load, horizon).over(w),
+        f"load_lag_{WEEK_HOURS}": lambda w: F.lag(load, WEEK_HOURS).over(w),
+    })
     for name, col in calendar_columns(ts).items():
         e = e.withColumn(name, col)
     return e.na.drop()

@@ -134,8 +134,8 @@ SELECT strategy, series_id, ts, equity, running_max, equity - running_max AS dra
 """, ["equity", "running_max", "drawdown", "drawdown_pct"]), "v_actions", extra=[_RET_SQL]))
 def w3_cumulative_drawdown(spark, sf_dir):
     r = rt.action_returns(_actions(spark, sf_dir), cost=COST, pct_cost=PCT_COST)
-    from tidemark.plans.scan import global_running_drawdown
-    d = global_running_drawdown(r.select("strategy", "series_id", "ts", "ret"), ["strategy", "series_id"], ["ts"], "ret", "week")
+    from tidemark.plans.scan import running_drawdown
+    d = running_drawdown(r.select("strategy", "series_id", "ts", "ret"), ["strategy", "series_id"], ["ts"], "ret")
     return round_doubles(d.select("strategy", "series_id", "ts", "equity", "running_max", "drawdown", "drawdown_pct"))
 
 

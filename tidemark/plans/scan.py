@@ -1,26 +1,20 @@
-"""Block-wise scans for a single long series.
-
-``Window.partitionBy(series).orderBy(ts)`` sends a whole series to one task.  When
-one series holds most of the rows, we instead (1) cut time into blocks, (2) compute
-a per-block partial, (3) run the window over the few block rows to get each
-block's carry, and (4) combine the carry with the within-block window.  The
-within-block windows are partitioned by (series, block), so the work spreads over
-as many tasks as there are blocks.
+"""Scans over ordered rows for series of any length.
+
+``Window.partitionBy(series).orderBy(ts)`` sends a whole series to one task.  Here the rows
+are cut once into ranges of (key, order) with about equal numbers of rows (``ranged``); each
+range is windowed on its own, and what a row needs from other ranges comes from the few
+range rows: counts and sums as carries, fills as first and last values, and shifts and
+rolling frames as copies of the rows at the borders (``windowed``).  The cut follows the rows,
+so a month, a score or a key that holds most of them is spread over as many tasks as any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-DEFAULT_BLOCK = "month"
-
-
-def _block(ts: str, unit: str):
-    return F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
+from pyspark.sql.window import Window, WindowSpec
 
 
 def _join_blocks(d: DataFrame, blocks: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -32,13 +26,25 @@ def _join_blocks(d: DataFrame, blocks: DataFrame, cols: Sequence[str]) -> DataFr
     return d.join(b, same).drop(*[f"_j_{c}" for c in cols])
 
 
-def ranged(df: DataFrame, by: Sequence[str], out: str = "_part", n: int | None = None) -> DataFrame:
+def ranged(df: DataFrame, by: Sequence[str], out: str = "_part", n: int | None = None, pos: str | None = None) -> DataFrame:
     """The rows with the number of their range partition: borders come from a sample, so ranges
     hold about equal numbers of rows whatever the values are, and ties of ``by`` stay together.
-    Stored, so that the numbers hold however often the result is read."""
+    ``pos`` names a column for a number that ascends by ``by`` in all rows and is gapless inside
+    a range.  Stored, so that the numbers hold however often the result is read."""
     from tidemark.session import cut_lineage
     parts = n or max(2 * df.sparkSession.sparkContext.defaultParallelism, 8)
-    return cut_lineage(df.repartitionByRange(parts, *by).withColumn(out, F.spark_partition_id()))
+    d = df.repartitionByRange(parts, *by)
+    if pos:
+        d = d.sortWithinPartitions(*by).withColumn(pos, F.monotonically_increasing_id())
+    return cut_lineage(d.withColumn(out, F.spark_partition_id()))
+
+
+def _range_rows(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _part, _lo, _hi, _first): the 1-based numbers of a range's first and last row within
+    the key, and the ``_pos`` of the first."""
+    sizes = d.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part"))  # one row per range
+    return sizes.select(*keys, "_part", "_first", (upto - F.col("_n") + 1).alias("_lo"), upto.alias("_hi"))
 
 
 def prefix_sums(d: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
@@ -76,75 +82,70 @@ def neighbours(d: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Se
 
 
 def ranked_rows(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
-    """Gapless 0-based number of all rows by ``order`` (unique), from equal ranges and their counts."""
-    d = ranged(df, list(order))
-    counts = d.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
-    base = counts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    w = Window.partitionBy("_part").orderBy(*order)
-    return (d.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(base), F.col("_part") == F.col("_p"))
-            .withColumn(out, (F.col("_base") + F.col("_rn") - 1).cast("bigint")).drop("_part", "_p", "_base", "_rn"))
+    """Gapless 0-based number of all rows by ``order`` (unique)."""
+    return global_row_number(df, [], order, "_rn").withColumn(out, F.col("_rn") - 1).drop("_rn", "n_rows")
 
 
 def global_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                      out: str = "rn", block_unit: str = DEFAULT_BLOCK) -> DataFrame:
-    """1-based row number per ``keys`` ordered by ``order`` (first column a timestamp),
-    plus ``n_rows`` = rows per key, computed block-wise."""
+                      out: str = "rn", n: int | None = None) -> DataFrame:
+    """1-based row number per ``keys`` ordered by ``order``, plus ``n_rows`` = rows per key: the
+    place in the sorted range and the counts of the ranges before, without a window over rows."""
     keys, order = list(keys), list(order)
-    d = df.withColumn("_blk", _block(order[0], block_unit))
-    counts = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_bn"))
-    wb = Window.partitionBy(*keys).orderBy("_blk")
-    counts = counts.select(*keys, "_blk",
-                           (F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-                           F.sum("_bn").over(Window.partitionBy(*keys)).alias("n_rows"))
-    counts = counts.fillna(0, subset=["_off"])
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    d = d.withColumn("_rin", F.row_number().over(w_in))
-    return (_join_blocks(d, counts, [*keys, "_blk"])
-            .withColumn(out, (F.col("_off") + F.col("_rin")).cast("bigint"))
-            .drop("_blk", "_rin", "_off", "_bn"))
-
-
-def blocked_rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, aggs: dict,
-                    block_rows: int = 1_000_000) -> DataFrame:
-    """Rolling ``rowsBetween(-(n-1), 0)`` aggregates computed in row blocks.
-
-    Rows are numbered per key (``global_row_number``), cut into blocks of
-    ``block_rows``; the last ``n-1`` rows of each block are copied into the next
-    block as context, each (key, block) is windowed on its own (bounded task size),
-    and the context copies are dropped.  ``aggs`` maps output name -> function of
-    the window spec returning a Column."""
+    d = ranged(df, [*keys, *order], n=n, pos="_pos")
+    rows = _range_rows(d, keys).withColumn("n_rows", F.max("_hi").over(Window.partitionBy(*keys)))
+    return (_join_blocks(d, rows, [*keys, "_part"])
+            .withColumn(out, (F.col("_lo") + F.col("_pos") - F.col("_first")).cast("bigint"))
+            .drop("_part", "_pos", "_first", "_lo", "_hi"))
+
+
+def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int,
+             cols: dict[str, Callable[[WindowSpec], Column]], n: int | None = None) -> DataFrame:
+    """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
+
+    Each range of a key gets copies of the last ``before`` rows in front of it and the first
+    ``after`` rows behind it, from as many neighbour ranges as that takes; ranges are windowed
+    on their own and the copies dropped.  ``cols`` maps a name to a function of the window over
+    (keys, range) by ``order``, to which it may add a frame; the row number within the whole key
+    is the column ``_rn``.  Rows that tie in ``order`` keep one order throughout."""
     keys, order = list(keys), list(order)
-    if n - 1 > block_rows:
-        raise ValueError("window longer than a block")
-    d = global_row_number(df, keys, order, "_rn").drop("n_rows")
-    d = d.withColumn("_blk", F.floor((F.col("_rn") - 1) / block_rows)).withColumn("_ctx", F.lit(False))
-    ctx = d.filter(((F.col("_rn") - 1) % block_rows) >= block_rows - (n - 1)) \
-           .withColumn("_blk", F.col("_blk") + 1).withColumn("_ctx", F.lit(True))
-    u = d.unionByName(ctx)
-    w = Window.partitionBy(*keys, "_blk").orderBy("_rn").rowsBetween(-(n - 1), 0)
-    for name, fn in aggs.items():
-        u = u.withColumn(name, fn(w))
-    return u.filter(~F.col("_ctx")).drop("_rn", "_blk", "_ctx")
-
-
-def global_running_drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                            block_unit: str = DEFAULT_BLOCK) -> DataFrame:
-    """W3 block-wise: equity = running sum of ``value``, running max of the equity,
-    drawdown; per-block carries come from a window over the few block rows."""
+    d = ranged(df, [*keys, *order], n=n, pos="_pos")
+    rows = _range_rows(d, keys)
+    # the ranges that look into this one: at most one neighbour per row of the halo can do so
+    near = Window.partitionBy(*keys).orderBy("_part").rowsBetween(-max(int(after), 0), max(int(before), 0))
+    rows = rows.select("*", F.collect_list(F.struct("_part", "_lo", "_hi")).over(near).alias("_near"))
+    rows = rows.select(*keys, "_part", "_first", "_lo", F.filter("_near", lambda x: (
+        ((x["_part"] > F.col("_part")) & (F.col("_hi") > x["_lo"] - 1 - int(before)))
+        | ((x["_part"] < F.col("_part")) & (F.col("_lo") <= x["_hi"] + int(after))))).alias("_near"))
+    d = _join_blocks(d, rows, [*keys, "_part"])
+    d = d.withColumn("_rn", F.col("_lo") + F.col("_pos") - F.col("_first"))
+    wanted = F.filter("_near", lambda x: ((x["_part"] > F.col("_part")) & (F.col("_rn") > x["_lo"] - 1 - int(before)))
+                      | ((x["_part"] < F.col("_part")) & (F.col("_rn") <= x["_hi"] + int(after))))
+    places = F.concat(F.array(F.col("_part")), F.transform(wanted, lambda x: x["_part"]))
+    d = d.select(*df.columns, "_rn", F.col("_part").alias("_home"), F.explode(places).alias("_part"))
+    w = Window.partitionBy(*keys, "_part").orderBy("_rn")
+    d = d.select("*", *[make(w).alias(name) for name, make in cols.items()])
+    return d.filter(F.col("_home") == F.col("_part")).drop("_rn", "_home", "_part")
+
+
+def running_drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                     n: int | None = None) -> DataFrame:
+    """equity = running sum of ``value``, running max of the equity, drawdown; every range
+    starts from the sum and the best equity of the ranges before it."""
     keys, order = list(keys), list(order)
-    d = df.withColumn("_blk", _block(order[0], block_unit))
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_run", F.sum(value).over(w_in))
-    d = d.withColumn("_rmax", F.max("_run").over(w_in))
-    per = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_bs"), F.max("_run").alias("_bm"))
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*keys, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_carry"), "_bs", "_bm")
-    # best equity reached in earlier blocks = max over them of (their carry + their block max)
-    per = per.withColumn("_prevmax", F.max(F.col("_carry") + F.col("_bm")).over(wb))
-    j = _join_blocks(d, per.select(*keys, "_blk", "_carry", "_prevmax"), [*keys, "_blk"])
-    eq = F.col("_carry") + F.col("_run")
-    rmax = F.greatest(F.coalesce(F.col("_prevmax"), F.col("_carry") + F.col("_rmax")), F.col("_carry") + F.col("_rmax"))
-    return (j.withColumn("equity", eq).withColumn("running_max", rmax)
+    d = ranged(df, [*keys, *order], n=n, pos="_pos")
+    inside = Window.partitionBy(*keys, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_run", F.sum(value).over(inside))
+    d = d.withColumn("_rmax", F.max("_run").over(inside))
+    per = d.groupBy(*keys, "_part").agg(F.sum(value).alias("_bs"), F.max("_run").alias("_bm"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_part", F.sum("_bs").over(earlier).alias("_carry"), "_bm")
+    # best equity of earlier ranges = max over them of (their carry + their best)
+    per = per.withColumn("_prevmax", F.max(F.coalesce("_carry", F.lit(0.0)) + F.col("_bm")).over(earlier))
+    j = _join_blocks(d, per.drop("_bm"), [*keys, "_part"])
+    # a sum of nulls alone is null, as in a plain running sum
+    eq = F.when(F.col("_carry").isNull(), F.col("_run")).otherwise(F.col("_carry") + F.coalesce("_run", F.lit(0.0)))
+    best = F.coalesce("_carry", F.lit(0.0)) + F.col("_rmax")
+    return (j.withColumn("equity", eq).withColumn("running_max", F.greatest("_prevmax", best))  # greatest skips nulls
              .withColumn("drawdown", F.col("equity") - F.col("running_max"))
              .withColumn("drawdown_pct", F.try_divide(F.col("drawdown"), F.nullif(F.col("running_max"), F.lit(0.0))) * 100)
-             .drop("_blk", "_run", "_rmax", "_carry", "_prevmax"))
+             .drop("_part", "_pos", "_run", "_rmax", "_carry", "_prevmax"))
