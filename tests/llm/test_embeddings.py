@@ -37,11 +37,7 @@ def test_matches_brute_force_in_many_chunks(spark, monkeypatch):
     dense = base[0] + rng.standard_normal((120, 32)) * 0.01
     x = np.concatenate([base, near, dense, dense[:20], 3 * base[:10]]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got, want = found(spark, rows), expected(rows)
-    links = sum(n for _, n, _ in want)
-    assert sum(n for _, n, _ in got) >= 0.99 * links
-    assert all(g[1] <= w[1] for g, w in zip(got, want))  # none below the threshold
-    assert sum(g == w for g, w in zip(got, want)) >= 0.97 * len(want)
+    assert found(spark, rows) == expected(rows)
 
 
 def test_edges(spark):
@@ -62,3 +58,37 @@ def test_count_is_calibrated():
     b = 0.95 * a + np.sqrt(1 - 0.95 ** 2) * np.stack([(lambda t: t / np.linalg.norm(t))(u - (u @ v) * v) for u, v in zip(cases.unit(rng, 4000, 48), a)])
     d = np.abs((a - b) @ cp.directions(48)) <= cp.window_width(0.95)
     assert (d.sum(axis=1) >= cp.least_count(cp.PROJECTIONS)).mean() >= 0.99
+
+
+def border_pairs(rng, n, dim):
+    a = cases.unit(rng, n, dim)
+    side = cases.unit(rng, n, dim)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    return a, 0.9501 * a + np.sqrt(1 - 0.9501 ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+
+def test_recall_at_the_threshold(spark):
+    """Grids and count together keep 0.99 of the pairs whose cosine is just 0.95."""
+    a, b = border_pairs(np.random.default_rng(5), 1500, 48)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert cp.near_duplicates(table).where("n_links > 0").count() >= 0.99 * 3000
+
+
+def test_meetings_stay_flat():
+    """Pairs that share a cell, per vector, do not follow the number of vectors."""
+    rng, seen = np.random.default_rng(6), []
+    for n in (5_000, 50_000):
+        x = cases.unit(rng, n, 64)
+        d = np.sqrt(2 - 2 * (x[:400] @ x[:400].T)[np.triu_indices(400, 1)])
+        shape = cp.grid_shape(n, d, 0.95)
+        meets = sum((np.unique(cp.cell_keys(x, shape, g), return_counts=True)[1] ** 2).sum() for g in range(shape[1]))
+        seen.append(meets / n)
+    assert seen[1] <= 3 * seen[0] and seen[1] <= 0.12 * 50_000
+
+
+def test_lengths_share_no_cell_and_extra_columns(spark):
+    rows = [(1, [1.0], 5, 0), (2, [2.0], 5, 0), (3, [-1.0], 5, 0), (4, [1.0, 0.0], 5, 0), (5, [1.0, 1e-9], 5, 0)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, cid bigint, root int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cp.near_duplicates(table).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}

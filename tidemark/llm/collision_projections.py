@@ -5,24 +5,27 @@ threshold cosine differ by a known normal law in every projection, so a window c
 the query of ``WINDOW`` standard deviations of that law catches a linked pair with known
 probability, and the count of windows it must pass is calibrated to ``RECALL``.
 
-Equal vectors collapse to one weighted class first.  The sorted axes of the first
-``GRID`` projections are cut into cells one window wide: a vector is a member of its own
-cell and visits the neighbour cells on one side, so each pair that collides in these
-windows meets once.  Per cell, members are kept (in chunks of ``CHUNK``) and visitors
-stream past: windows of the grid projections first, then the count over all projections,
-then the cosine in double precision of the pairs that pass.  A cell returns link counts per
-vector and its groups as stars, never the pairs themselves.
+Equal vectors collapse to one weighted class first.  Pairs are proposed by several grids: a
+grid cuts the sorted axes of its own few projections into intervals of ``INTERVAL`` at a random
+shift, and vectors that share all intervals meet.  How many projections a grid takes follows the
+number of vectors and the spread of a bounded sample of them, so that a vector meets about
+``MEETS`` others in a grid at any size; how many grids there are follows from ``GRID_RECALL``.
+A pair counts in the first grid that holds it.  In a cell the pairs pass the
+count of windows over all projections, then the cosine in double precision.  Members of a cell are kept
+in chunks of ``CHUNK`` and those of other chunks stream past, so a dense group is never whole
+in one task; a cell returns link counts per vector and its groups as stars, never the pairs.
 
 Null, empty and zero vectors and those with null or non-finite components link with
 nothing; vectors of different length never link.  A null vec_id keeps its row; the
 component id is the least non-null vec_id.  Repeated rows count as other vectors.  An empty
-table gives an empty result."""
+table gives an empty result.  Ties do not matter; vectors of any length are taken whole; only
+the two named columns are read, so others may have any name."""
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,16 @@ from tidemark.llm.components import Forest, components
 
 COSINE = 0.95
 PROJECTIONS = 24
-GRID = 2
 WINDOW = 2.576
 RECALL = 0.999
+INTERVAL = 2.0
+GRID_RECALL = 0.995
+MEETS = 512
+MOST_AXES = 20
+SAMPLE = 512
 CHUNK = 16_384
+SMALL_TABLE = 100_000
+SALTS = 32
 SEED = 20_011
 
 
@@ -56,10 +65,45 @@ def least_count(projections: int, sigmas: float = WINDOW, recall: float = RECALL
     return 0
 
 
+@lru_cache(maxsize=8)
 def directions(dim: int, projections: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, projections))
 
 
+def same_interval(distance: np.ndarray | float) -> np.ndarray | float:
+    """Probability that two points this far apart share an interval of a random projection."""
+    x = INTERVAL / np.maximum(distance, 1e-9)
+    beyond = np.vectorize(math.erfc)(x / math.sqrt(2))
+    return 1 - beyond - math.sqrt(2 / math.pi) / x * (1 - np.exp(-x * x / 2))
+
+
+def grid_shape(n: int, distances: np.ndarray, cosine: float) -> tuple[int, int]:
+    """(projections of a grid, grids) for ``n`` vectors; ``distances``: of sampled pairs without a link."""
+    apart = same_interval(distances if len(distances) else np.array([math.sqrt(2)]))
+    axes = 1
+    while axes < MOST_AXES and n * float(np.mean(apart ** axes)) > MEETS:
+        axes += 1
+    found = float(same_interval(math.sqrt(max(2 - 2 * cosine, 0.0)))) ** axes
+    return axes, max(1, math.ceil(math.log(1 - GRID_RECALL) / math.log(1 - min(found, 1 - 1e-9))))
+
+
+@lru_cache(maxsize=8)
+def _grid(dim: int, axes: int, grids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    random = np.random.default_rng([SEED, dim, 1])
+    return (random.standard_normal((grids, dim, axes)), random.uniform(0, INTERVAL, (grids, axes)),
+            random.integers(1, 1 << 62, (grids, axes)).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+
+
+def cell_keys(units: np.ndarray, shape: tuple[int, int], grid: int) -> np.ndarray:
+    """Cell of every unit vector in one grid, as a 64-bit mix of its intervals."""
+    axes, shifts, odd = _grid(units.shape[1], *shape)
+    spots = np.floor((units @ axes[grid] + shifts[grid]) / INTERVAL).astype(np.int64).view(np.uint64)
+    mixed = np.zeros(len(units), np.uint64)
+    for k in range(shape[0]):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * odd[grid, k] + spots[:, k]
+    return mixed.view(np.int64)
+
+
 def valid(vector: Column) -> Column:
     infinite = F.lit(float("inf"))
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite))
@@ -78,18 +122,16 @@ def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(units: np.ndarray, width: float, grid: int) -> np.ndarray:
-    return np.floor(units @ directions(units.shape[1])[:, :grid] / width).astype(np.int64)
-
-
 class Cell:
-    """The members of one chunk of a cell."""
+    """The members of one chunk of a cell of ``grid``."""
 
-    def __init__(self, ids: np.ndarray, weights: np.ndarray, units: np.ndarray, cosine: float) -> None:
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, units: np.ndarray, cosine: float, shape: tuple[int, int], grid: int) -> None:
         self.ids, self.weights, self.units, self.cosine = ids, weights, units, cosine
+        self.shape, self.grid = shape, grid
         self.width, self.need = window_width(cosine), least_count(PROJECTIONS)
         self.axes = directions(units.shape[1])
         self.spots = self._project(units)
+        self.earlier: dict[int, np.ndarray] = {}
         self.forest = Forest(len(ids))
         self.links = np.zeros(len(ids), np.int64)
 
@@ -99,20 +141,30 @@ class Cell:
     def _linked(self, spots: np.ndarray, units: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Linked (query, member) pairs; ``below``: only members before the query."""
         width = np.float32(self.width * 1.000001)
-        near = np.abs(spots[0][:, None] - self.spots[0][None, :]) <= width
+        # at the threshold a pair may miss this many windows; most others miss more of the first few
+        spare = PROJECTIONS - self.need
+        missed = np.zeros((spots.shape[1], len(self.ids)), np.int8)
+        dense = min(PROJECTIONS, spare + 9)
+        for k in range(dense):
+            missed += np.abs(spots[k][:, None] - self.spots[k][None, :]) > width
+        near = missed <= spare
         if below is not None:
             near &= np.arange(len(self.ids))[None, :] < below[:, None]
-        for k in range(1, GRID):
-            near &= np.abs(spots[k][:, None] - self.spots[k][None, :]) <= width
         q, m = np.nonzero(near)
-        count = np.full(len(q), GRID, np.int16)
-        for k in range(GRID, PROJECTIONS):
-            count += np.abs(spots[k][q] - self.spots[k][m]) <= width
+        lost = missed[q, m]
+        for k in range(dense, PROJECTIONS):
+            lost = lost + (np.abs(spots[k][q] - self.spots[k][m]) > width)
             if k % 3 == 2:  # drop pairs that can no longer reach the count
-                alive = count + (PROJECTIONS - 1 - k) >= self.need
-                q, m, count = q[alive], m[alive], count[alive]
-        passed = count >= self.need
+                alive = lost <= spare
+                q, m, lost = q[alive], m[alive], lost[alive]
+        passed = lost <= spare
         q, m = q[passed], m[passed]
+        for grid in range(self.grid if len(q) else 0):  # pairs that an earlier grid holds count there
+            if grid not in self.earlier:
+                self.earlier[grid] = cell_keys(self.units, self.shape, grid)
+            some, place = np.unique(q, return_inverse=True)
+            fresh = cell_keys(units[some], self.shape, grid)[place] != self.earlier[grid][m]
+            q, m = q[fresh], m[fresh]
         keep = [np.empty(0, bool)]
         for k in range(0, len(q), 65_536):
             keep.append(np.einsum("ij,ij->i", units[q[k:k + 65_536]], self.units[m[k:k + 65_536]]) >= self.cosine)
@@ -148,8 +200,8 @@ class Cell:
             yield ids[part], links, ids[part][at], self.ids[root]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, kind): members (kind 0) make the cell, visitors (kind 1) pass."""
+def _meet(batches: Iterator[pa.RecordBatch], cosine: float, shape: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (dim, grid, key, chunk, kind): members (kind 0) make the cell, visitors (kind 1) pass."""
     def out(a, b, n):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())],
                                           names=["a", "b", "links"])
@@ -164,32 +216,33 @@ def _meet(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
     current, waiting, cell = None, [], None
 
     def opened():
-        made = Cell(*(np.concatenate([w[k] for w in waiting]) for k in range(3)), cosine)
+        made = Cell(*(np.concatenate([w[k] for w in waiting]) for k in range(3)), cosine, shape, current[1])
         made.own()
         return made
 
     def closing():
-        last = opened() if cell is None and waiting else cell
+        members = sum(len(w[0]) for w in waiting)
+        last = opened() if cell is None and members > 1 else cell  # a lone vector meets nobody
         if last is not None:
             at, root = last.forest.stars(0, len(last.ids))
             yield edges(last.ids[at], last.ids[root])
             yield counts(last.ids, last.links)
 
     for batch in batches:
-        key, kind, ids, weights = (batch.column(k).to_numpy() for k in range(4))
-        units = np.empty(len(batch), object)
-        for rows, x in _units(batch.column(4)):
-            for r, v in zip(rows.tolist(), x):
-                units[r] = v
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+        places = np.stack([batch.column(k).to_numpy() for k in range(5)], axis=1)  # dim, grid, key, chunk, kind
+        ids, weights = batch.column(5).to_numpy(), batch.column(6).to_numpy()
+        cuts = np.flatnonzero((np.diff(places, axis=0) != 0).any(axis=1)) + 1
+        units = {int(x.shape[1]): (int(rows[0]), x) for rows, x in _units(batch.column(7))}  # rows of a length follow each other
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]):
             if a == b:
                 continue
-            if key[a] != current:
+            *place, kind = places[a].tolist()
+            if place != current:
                 yield from closing()
-                current, waiting, cell = int(key[a]), [], None
-            part = (ids[a:b], weights[a:b], np.stack(units[a:b].tolist()))
-            if kind[a] == 0:
+                current, waiting, cell = place, [], None
+            start, x = units[place[0]]
+            part = (ids[a:b], weights[a:b], x[a - start:b - start])
+            if kind == 0:
                 waiting.append(part)
                 continue
             if cell is None and waiting:
@@ -201,58 +254,52 @@ def _meet(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
     yield from closing()
 
 
+def _sampled_distances(classes: DataFrame, cosine: float) -> np.ndarray:
+    """Distances of the pairs without a link among ``SAMPLE`` classes chosen by hash."""
+    groups: dict[int, list] = {}
+    for r in classes.select("vector", F.xxhash64("cid").alias("at")).orderBy("at").limit(SAMPLE).collect():
+        groups.setdefault(len(r["vector"]), []).append(r["vector"])
+    found = [np.empty(0)]
+    for vectors in groups.values():
+        x = np.array(vectors, np.float64)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        dots = (x @ x.T)[np.triu_indices(len(x), 1)]
+        found.append(np.sqrt(2 - 2 * np.clip(dots[dots < cosine], -1, 1)))
+    return np.concatenate(found)
+
+
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(a, b, links): a star link where ``b`` is set, else a part of the link count of
-    class ``a``, from classes (cid, n, vector) of valid vectors."""
-    width = window_width(cosine)
+    class ``a``, from stored classes (cid, n, vector) of valid vectors."""
+    n = classes.count()
+    shape = grid_shape(n, _sampled_distances(classes, cosine), cosine)
+    place = ["dim", "grid", "key"]
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, units in _units(batch.column(0)):
-                spots, n = np.unique(_cells(units, width, GRID), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([units.shape[1]] * len(n), pa.int32()), pa.array(spots.tolist(), pa.list_(pa.int64())),
-                     pa.array(n, pa.int64())], names=["dim", "cell", "n"])
-
-    # unit vectors meet a bounded range of each axis: a few hundred cells per vector length
-    sizes = (classes.select("vector").transform(map_arrow, locate, "dim int, cell array<bigint>, n bigint")
-             .groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect())
-    first, chunks, total = {}, {}, 0
-    for r in sorted(sizes, key=lambda r: (r["dim"], r["cell"])):
-        place = (r["dim"], *r["cell"])
-        first[place], chunks[place] = total, -(-r["n"] // CHUNK)
-        total += chunks[place]
-    ahead = [d for d in itertools.product((-1, 0, 1), repeat=GRID) if d > (0,) * GRID]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def locate(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, kind, row = [], [], []
-            ids = batch.column(0).to_numpy()
             for rows, units in _units(batch.column(2)):
-                dim = units.shape[1]
-                for r, spot in zip(rows.tolist(), _cells(units, width, GRID).tolist()):
-                    own = (dim, *spot)
-                    chunk = int(ids[r]) % chunks[own]
-                    key.append(first[own] + chunk)
-                    kind.append(0)
-                    # later chunks of the own cell, and all chunks of the cells ahead
-                    visits = list(range(first[own] + chunk + 1, first[own] + chunks[own]))
-                    for step in ahead:
-                        other = (dim, *(s + d for s, d in zip(spot, step)))
-                        if other in first:
-                            visits += range(first[other], first[other] + chunks[other])
-                    key += visits
-                    kind += [1] * len(visits)
-                    row += [r] * (1 + len(visits))
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(kind, pa.int64()), *(batch.column(k).take(take) for k in range(3))],
-                names=["key", "kind", "cid", "n", "vector"])
+                take = pa.array(rows, pa.int64())
+                own = [batch.column(k).take(take) for k in range(3)] if whole else []
+                for grid in range(shape[1]):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), v), pa.int64()) for v in (units.shape[1], grid)]
+                        + [pa.array(cell_keys(units, shape, grid), pa.int64()), *own], names=place + ["cid", "n", "vector"][:len(own)])
 
     kind = classes.schema["vector"].dataType.simpleString()
-    dealt = classes.select("cid", "n", "vector").transform(map_arrow, deal, f"key bigint, kind bigint, cid bigint, n bigint, vector {kind}")
-    return (dealt.repartitionByRange(max(1, total), "key").sortWithinPartitions("key", "kind")
-            .transform(map_arrow, lambda batches: _meet(batches, cosine), "a bigint, b bigint, links bigint"))
+    rows, keys = classes.select("cid", "n", "vector"), "dim bigint, grid bigint, key bigint"
+    full = materialize(rows.transform(map_arrow, lambda b: locate(b, False), keys).groupBy(*place).agg(F.count("*").alias("size"))
+                       .where(F.col("size") > CHUNK).select(*place, F.ceil(F.col("size") / CHUNK).alias("chunks")))
+    small = full.count() <= SMALL_TABLE  # else a plain join
+    dealt = rows.transform(map_arrow, lambda b: locate(b, True), f"{keys}, cid bigint, n bigint, vector {kind}")
+    dealt = dealt.join(F.broadcast(full) if small else full, place, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = F.pmod(F.xxhash64("cid"), F.col("chunks"))
+    # a member of its own chunk, a visitor of the later ones
+    dealt = dealt.select(*place, F.explode(F.sequence(own, F.col("chunks") - 1)).alias("chunk"), own.alias("own"), "cid", "n", "vector")
+    dealt = dealt.select(*place, "chunk", (F.col("chunk") != F.col("own")).cast("bigint").alias("kind"), "cid", "n", "vector")
+    parts = max(2 * classes.sparkSession.sparkContext.defaultParallelism, n * shape[1] // 65_536 + 1)
+    return (dealt.repartition(parts, *place, "chunk").sortWithinPartitions(*place, "chunk", "kind")
+            .transform(map_arrow, lambda batches: _meet(batches, cosine, shape), "a bigint, b bigint, links bigint"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
@@ -266,12 +313,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     found = materialize(links(classes, cosine))
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("others"))
     roots = components(found.where("b is not null"))
-    rooted = (classes.join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-              .select("vector", "first_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                      F.coalesce("root", "cid").alias("root")))
-    rooted = materialize(rooted)
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("vector", "n_links", "component_id")
+    rooted = materialize(classes.join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+                         .select("vector", "first_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "root",
+                                 F.pmod(F.xxhash64("cid"), F.lit(SALTS)).alias("salt")))
+    # a component may hold a third of all classes: its name is handed out in SALTS copies
+    least = (rooted.where("root is not null").groupBy("root").agg(F.min("first_id").alias("component_id"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))))
+    named = (rooted.where("root is not null").join(least, ["root", "salt"]).select("vector", "n_links", "component_id")
+             .unionByName(rooted.where("root is null").select("vector", "n_links", F.col("first_id").alias("component_id"))))
     linked = good.join(named, "vector").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"),
                                             F.col("vec_id").alias("component_id"))
