@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tidemark.operators import decay, models, vectors  # noqa: E402
+from tidemark.operators import decay, models, neighbours, vectors  # noqa: E402
 from tidemark.plans.common import round_doubles  # noqa: E402
 from tidemark.plans.ingest import master_table  # noqa: E402
 from tidemark.plans.registry import register  # noqa: E402
@@ -264,3 +264,43 @@ def m5_second_stage_grid(spark, sf_dir):
         rows = boosting.fold_rows(tr, folds, fs, stacked.filter(F.col("split") == "val"))
         out.append(boosting.summary(boosting.search(rows, settings), settings).withColumn("feature_set", F.lit(name)))
     return round_doubles(out[0].unionByName(out[1]))
+
+
+# ---------------------------------------------------------------- M9
+
+_M9_ROWS = """
+e AS (SELECT CAST(label AS VARCHAR) AS label, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v
+      FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0),
+near AS (SELECT a.label, a.id, b.id AS neighbour, list_distance(a.v, b.v) AS distance,
+                row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank
+         FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id)"""
+
+
+@register("m9_class_neighbours", f"""WITH {_M9_ROWS}
+SELECT label, id, rank, neighbour, round(distance, 6) AS distance FROM near WHERE rank <= {neighbours.NEIGHBOURS}""")
+def m9_class_neighbours(spark, sf_dir):
+    e = T.table(spark, sf_dir, "embeddings")
+    return round_doubles(neighbours.class_neighbours(e, id_col="vec_id", vector_col="embedding", class_col="label"))
+
+
+def _m9_sql() -> str:
+    from tidemark.functions.numeric import mix_uniform_sql
+    u, v, gap = (mix_uniform_sql(42 + i, "stream", "sample_no") for i in range(3))
+    return f"""WITH {_M9_ROWS},
+sizes AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) AS stream FROM e GROUP BY label),
+ends AS (SELECT least({neighbours.NEIGHBOURS}, min(n) - 1) AS k, max(n) AS hi FROM sizes),
+wanted AS (SELECT label, n, stream, k, unnest(generate_series(0, hi - n - 1)) AS sample_no FROM sizes, ends WHERE n < hi),
+drawn AS (SELECT label, sample_no, CAST(floor({u} * n) AS BIGINT) + 1 AS rn, CAST(floor({v} * k) AS BIGINT) + 1 AS rank, {gap} AS gap FROM wanted),
+base AS (SELECT label, id, v, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM e)
+SELECT d.label, d.sample_no, b.id AS base_id, c.neighbour AS neighbour_id, round(d.gap, 6) AS gap,
+       round(list_sum(b.v) + d.gap * (list_sum(o.v) - list_sum(b.v)), 6) AS value_sum
+FROM drawn d JOIN base b ON b.label = d.label AND b.rn = d.rn
+JOIN near c ON c.label = d.label AND c.id = b.id AND c.rank = d.rank
+JOIN e o ON o.id = c.neighbour"""
+
+
+@register("m9_oversampled_classes", _m9_sql())
+def m9_oversampled_classes(spark, sf_dir):
+    made = neighbours.oversample(T.table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding", class_col="label")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return round_doubles(made.select("label", "sample_no", "base_id", "neighbour_id", "gap", total.alias("value_sum")))
