@@ -27,6 +27,7 @@ from tidemark.session import cut_lineage, ship_package
 
 PIVOTS = 64
 BLOCK = 4096
+SAMPLES = 65_536
 MOST_CLASSES = 1000
 SLACK = 1 + 1e-9
 NEIGHBOURS = 5  # fixed value: reference default
@@ -159,12 +160,18 @@ def oversample(df: DataFrame, k: int = NEIGHBOURS, seed: int = 42, id_col: str =
     if ends["lo"] == 1:
         raise ValueError("a class of one row has no neighbour to interpolate with")
     k = min(k, (ends["lo"] or 2) - 1)
-    wanted = sizes.where(F.col("n") < F.lit(ends["hi"])).select(
-        "label", "n", "_stream", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ends["hi"]) - F.col("n") - 1)).alias("sample_no"))
-    for i, name in enumerate(("_u", "_v", "gap")):
-        wanted = with_mix_uniform(wanted, name, seed + i, "_stream", "sample_no")
-    wanted = wanted.select("label", "sample_no", (F.floor(F.col("_u") * F.col("n")) + 1).alias("rn"),
-                           (F.floor(F.col("_v") * k) + 1).alias("rank"), "gap")
+    wanted = sizes.where(F.col("n") < F.lit(ends["hi"])).withColumn("lacks", F.lit(ends["hi"]) - F.col("n"))
+    # sample numbers in chunks, so that a class that lacks most rows is filled by many tasks
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(lacks - 1) div {SAMPLES}")))
+    wanted = wanted.select("*", chunk.alias("chunk")).repartition("label", "chunk")
+    first = F.col("chunk") * SAMPLES
+    wanted = wanted.select("label", "n", "_stream", F.explode(F.sequence(first, F.least(first + SAMPLES, F.col("lacks")) - 1)).alias("sample_no"))
+    # stored between the draws: three hashes are too long for one generated method
+    wanted = with_mix_uniform(cut_lineage(wanted), "_u", seed, "_stream", "sample_no")
+    wanted = with_mix_uniform(cut_lineage(wanted), "_v", seed + 1, "_stream", "sample_no")
+    wanted = with_mix_uniform(cut_lineage(wanted), "gap", seed + 2, "_stream", "sample_no")
+    wanted = cut_lineage(wanted.select("label", "sample_no", (F.floor(F.col("_u") * F.col("n")) + 1).alias("rn"),
+                                       (F.floor(F.col("_v") * k) + 1).alias("rank"), "gap"))
     base = global_row_number(rows, ["label"], ["id"]).select("label", "rn", F.col("id").alias("base_id"), F.col("vector").alias("x"))
     near = class_neighbours(rows, k, "id", "vector", "label").select("label", F.col("id").alias("base_id"), "rank", F.col("neighbour").alias("neighbour_id"))
     ends_ = rows.select("label", F.col("id").alias("neighbour_id"), F.col("vector").alias("y"))
