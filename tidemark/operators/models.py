@@ -151,25 +151,42 @@ def ridge_grid_search(data: DataFrame, features: Sequence[str], keys: Sequence[s
     mean macro-F1 over TimeSeriesSplit folds of the training split, refit on the
     whole training split, validation accuracy and macro-F1, skip reasons.
 
-    Output: one row per parameter set (keys, best_alpha, cv_macro_f1, val_accuracy,
-    val_macro_f1, n_train, n_val, skip_reason)."""
-    from tidemark.operators.split import chrono_split, time_series_folds
+    Rows without a target are left out; missing and NaN features count as 0.  A parameter set
+    whose training rows hold fewer than two classes, without validation rows, or with too few
+    training rows for two folds gets a skip reason and null figures; it never ends the job.
+
+    Output: one row per parameter set (keys, best_alpha, cv_macro_f1, n_train, val_accuracy,
+    val_macro_f1, n_val, skip_reason)."""
+    from tidemark.operators.split import chrono_split, with_test_fold
     keys = list(keys)
     p = len(features)
     require_columns(data, [*features, target])
-    d = feature_array(data.na.drop(subset=[target]), features).withColumn("y", F.col(target).cast("bigint"))
-    d = chrono_split(d, keys, [order], train_ratio, val_ratio, 1 - train_ratio - val_ratio)
+    filled = F.array(*[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features])
+    d = data.na.drop(subset=[target]).select(*keys, order, filled.alias("x"), F.col(target).cast("bigint").alias("y"))
+    d = chrono_split(d, keys, [order], train_ratio, val_ratio, 1 - train_ratio - val_ratio, strict=False)
     # the split feature table feeds six branches: materialise it once in the shared
     # checkpoint folder (reliable checkpoint, survives executor loss)
     d = cut_lineage(d.select(*keys, order, "x", "y", "split"))
-    train = d.filter(F.col("split") == "train")
-    classes_df = train.groupBy(*keys).agg(F.array_sort(F.collect_set("y")).alias("classes"))
-    classes = [int(c) for c in sorted({r[0] for r in train.select("y").distinct().collect()})]
-    # fold membership on the training rows: each row's test fold (if any) is its segment
-    f = time_series_folds(train.select(*keys, order, "x", "y"), keys, [order], n_splits)
-    seg = (f.filter(F.col("role") == "test").select(*keys, order, F.col("fold").alias("seg")))
-    t2 = train.select(*keys, order, "x", "y").join(seg, [*keys, order], "left") \
-              .withColumn("seg", F.coalesce(F.col("seg"), F.lit(-1)))
+    train = d.filter(F.col("split") == "train").drop("split")
+    sizes = d.groupBy(*keys).agg(F.count_if(F.col("split") == "train").alias("_nt"),
+                                 F.count_if(F.col("split") == "val").alias("_nv"),
+                                 F.count_distinct(F.when(F.col("split") == "train", F.col("y"))).alias("_nc"))
+    # The reference's skip reasons, in its order.
+    skip = (F.when(F.coalesce("_nc", F.lit(0)) < 2, F.lit("Training split lacks class diversity"))
+            .when(F.col("_nv") == 0, F.lit("Validation split is empty"))
+            .when(F.least(F.lit(int(n_splits)), F.col("_nt") - 1) < 2,
+                  F.lit("Insufficient data for expanding-window CV")))
+    verdict = data.select(*keys).distinct().join(sizes, keys, "left").withColumn("skip_reason", skip).drop("_nt", "_nv", "_nc")
+    verdict = cut_lineage(verdict)  # one row per parameter set
+    fitted = verdict.filter(F.col("skip_reason").isNull()).select(*keys)
+    train, val = train.join(fitted, keys, "left_semi"), d.filter(F.col("split") == "val").drop("split").join(fitted, keys, "left_semi")
+    classes = sorted(int(r[0]) for r in train.select("y").distinct().collect())  # the target's few classes
+    if not classes:
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("best_alpha", "double"), ("cv_macro_f1", "double"),
+                   ("n_train", "bigint"), ("n_val", "bigint"), ("val_accuracy", "double"), ("val_macro_f1", "double"))]
+        return verdict.select(*keys, *nothing, "skip_reason")
+    # a training row's segment is the fold that tests on it (-1: before the first test block)
+    t2 = with_test_fold(train, keys, [order], n_splits).withColumnRenamed("test_fold", "seg")
     sums = _sum_stats(_gram_partials(t2, [*keys, "seg"], classes, p), [*keys, "seg"])
     # fold f trains on segments < f (segment -1 = rows before the first test block)
     fold_ids = F.sequence(F.col("seg") + 1, F.lit(n_splits))
@@ -186,14 +203,12 @@ def ridge_grid_search(data: DataFrame, features: Sequence[str], keys: Sequence[s
     best = cvm.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     final = coef.filter(F.col("fold") == n_splits).join(best.select(*keys, "alpha_idx", "cv_macro_f1"),
                                                         [*keys, "alpha_idx"])
-    val = d.filter(F.col("split") == "val").select(*keys, order, "x", "y")
     vs = predict_linear(val.join(final, keys), classes).withColumnRenamed("y", "y_true")
     vm = cm.accuracy_macro_f1(vs, keys).withColumnRenamed("accuracy", "val_accuracy") \
            .withColumnRenamed("macro_f1", "val_macro_f1").withColumnRenamed("n", "n_val")
     res = final.select(*keys, F.col("alpha").alias("best_alpha"), "cv_macro_f1", "n_train").join(vm, keys, "left")
-    skip = (F.when(F.size("classes") < 2, F.lit("Training split lacks class diversity"))
-            .when(F.col("n_val").isNull(), F.lit("Validation split is empty")))
-    return classes_df.join(res, keys, "left").withColumn("skip_reason", skip).drop("classes")
+    return verdict.select(*keys, "skip_reason").join(res, keys, "left").select(
+        *keys, *[c for c in res.columns if c not in keys], "skip_reason")
 
 
 def top_parameter_sets(results: DataFrame, n: int = 5) -> DataFrame:

@@ -23,10 +23,11 @@ N_SPLITS, STEP, MIN_TRAIN = 8, 72, 336
 
 def chrono_split(df: DataFrame, keys: Sequence[str] = ("series_id",), order: Sequence[str] = ("ts",),
                  train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL_RATIO,
-                 test_ratio: float = TEST_RATIO, gap: int = 0) -> DataFrame:
+                 test_ratio: float = TEST_RATIO, gap: int = 0, strict: bool = True) -> DataFrame:
     """``split`` in {train, val, test} by ``int(n * ratio)`` cut points per key.
 
-    ``gap`` rows after each cut point are dropped (Q18 leakage guard; 0 = reference)."""
+    ``gap`` rows after each cut point are dropped (Q18 leakage guard; 0 = reference).
+    A key too short for three parts raises; with ``strict=False`` its empty parts stay empty."""
     if abs(train_ratio + val_ratio + test_ratio - 1.0) > 1e-8:
         raise ValueError("Split ratios must sum to 1.0")
     d = global_row_number(df, keys, order, "rn")
@@ -35,7 +36,7 @@ def chrono_split(df: DataFrame, keys: Sequence[str] = ("series_id",), order: Seq
     val_end = train_end + F.floor(n * F.lit(float(val_ratio)))
     bad = (train_end == 0) | (val_end == train_end) | (val_end >= n)
     i = F.col("rn") - 1
-    split = (F.when(bad, F.raise_error(F.lit("Invalid split sizes")))
+    split = (F.when(F.lit(strict) & bad, F.raise_error(F.lit("Invalid split sizes")))
              .when(i < train_end, F.lit("train"))
              .when(i < val_end, F.lit("val"))
              .otherwise(F.lit("test")))
@@ -77,6 +78,20 @@ def expanding_folds(df: DataFrame, keys: Sequence[str] = ("series_id",), order:
                     F.col("_c.role").alias("role")))
 
 
+def with_test_fold(df: DataFrame, keys: Sequence[str] = ("series_id",), order: Sequence[str] = ("ts",),
+                   n_splits: int = 5) -> DataFrame:
+    """W11 by row: add ``test_fold``, the one fold that tests on the row (-1: none, the row
+    comes before all test blocks).  A key of n rows gets ``min(n_splits, n - 1)`` folds, and
+    none at all where that is below two."""
+    d = global_row_number(df, keys, order, "rn")
+    n = F.col("n_rows")
+    k = F.least(F.lit(int(n_splits)), n - 1)
+    size = F.floor(n / (k + 1))
+    rel = F.col("rn") - 1 - (n - k * size)
+    fold = F.when((k >= 2) & (rel >= 0), F.floor(rel / size)).otherwise(F.lit(-1))
+    return d.select(*df.columns, fold.cast("int").alias("test_fold"))
+
+
 def time_series_folds(df: DataFrame, keys: Sequence[str] = ("series_id",), order: Sequence[str] = ("ts",),
                       n_splits: int = 5) -> DataFrame:
     """Scikit-learn style ``TimeSeriesSplit``: test size n // (k+1), the k test
