@@ -233,3 +233,47 @@ def test_top_sets_follow_the_grid_search(spark):
     assert len(every) == 30 and len(top) == 5
     score = next(c for c in ("cv_macro_f1", "val_macro_f1") if c in every.columns)
     assert sorted(top[score], reverse=True) == sorted(every[score], reverse=True)[:5]
+
+
+def test_projection_keeps_the_ten_most_frequent_labels(spark):
+    """Coordinates on the two leading axes of all vectors, points of the top labels only."""
+    from tidemark.operators import vectors
+    rng = np.random.default_rng(8)
+    labels = [f"t{k:02d}" for k in range(14) for _ in range(3 + (k * 5) % 7)] + [None] * 40
+    x = rng.normal(size=(len(labels), 5)) * [5, 3, 1, 1, 1]
+    rows = [(i, t, [float(v) for v in x[i]]) for i, t in enumerate(labels)] + [(-1, "t00", None)]
+    df = spark.createDataFrame(rows, "id int, topic string, embedding array<float>").repartition(5)
+    got = {r["id"]: r for r in vectors.top_label_projection(df, ["id"], "topic").collect()}
+    counts = {t: sum(r[1] == t for r in rows) for t in labels if t}
+    top = sorted(counts, key=lambda t: (-counts[t], t))[:10]
+    assert set(got) == {i for i, t in enumerate(labels) if t in top}
+    x = x.astype(np.float32).astype(float)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    want = (x - x.mean(axis=0)) @ axes[:, ::-1][:, :2]
+    for axis in range(2):
+        sign = 1 if axes[:, ::-1][np.abs(axes[:, ::-1][:, axis]).argmax(), axis] > 0 else -1
+        assert np.allclose([got[i][f"x{axis}"] for i in sorted(got)], sign * want[sorted(got), axis], atol=1e-6)
+    assert all(r["label_rank"] == 1 + top.index(r["topic"]) and r["label_count"] == counts[r["topic"]] for r in got.values())
+
+
+def test_stored_vectors_have_one_width(spark, tmp_path):
+    """S3: nulls stay, another width raises."""
+    from tidemark.operators import vectors
+    spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id int, embedding array<float>").write.parquet(str(tmp_path / "good"))
+    assert sorted(vectors.read_vectors(spark, str(tmp_path / "good"), 2).collect())[1]["embedding"] is None
+    spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id int, embedding array<float>").write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="Vector of 1 positions"):
+        vectors.read_vectors(spark, str(tmp_path / "bad"), 2).select("embedding").collect()
+
+
+def test_class_weights_over_a_label_list(spark):
+    """absent labels count 0 and weigh as 1; unlisted and null classes raise."""
+    from tidemark.operators import classify_metrics as cm
+    df = spark.createDataFrame([("a", 0)] * 4 + [("a", 2)] * 2 + [("b", 1)], "g string, y int")
+    got = {(r["g"], r["label"]): (r["count"], r["weight"]) for r in cm.class_weights(df, "y", 2.0, [0, 1, 2], ["g"]).collect()}
+    assert got == {("a", 0): (4, 0.25), ("a", 1): (0, 4.0), ("a", 2): (2, 1.0), ("b", 0): (0, (1 / 3) ** 2),
+                   ("b", 1): (1, (1 / 3) ** 2), ("b", 2): (0, (1 / 3) ** 2)}
+    assert [(r["label"], r["count"], r["weight"]) for r in cm.class_weights(df.limit(0), "y", 1.0, [0, 1]).collect()] == [(0, 0, 0.0), (1, 0, 0.0)]
+    for bad in (7, None):
+        with pytest.raises(Exception, match="not among the labels"):
+            cm.class_weights(df.union(spark.createDataFrame([("a", bad)], "g string, y int")), "y", 1.0, [0, 1, 2]).collect()

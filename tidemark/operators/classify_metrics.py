@@ -163,10 +163,25 @@ def calibration_curve(pred: DataFrame, keys: Sequence[str] = ("model",), proba:
         F.count(F.lit(1)).alias("count"))
 
 
-def class_weights(train: DataFrame, y: str = "y_true", power: float = 1.0) -> DataFrame:
-    """(n / (k * count_c)) ** power per class (power 2 = squared variant)."""
-    g = train.groupBy(F.col(y).alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy()
+def class_weights(train: DataFrame, y: str = "y_true", power: float = 1.0, labels: Sequence[int] | None = None,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """(n / (k * count_c)) ** power per class (power 2 = squared variant), within ``keys``.
+
+    With ``labels`` every label of that list gets a row, also those without training rows: their
+    count is 0 and weighs as 1, and k is the length of the list.  A class outside the list, or a
+    null one, raises."""
+    keys = list(keys)
+    if labels is None:
+        g = train.groupBy(*keys, F.col(y).alias("label")).agg(F.count(F.lit(1)).alias("count"))
+    else:
+        # one row of counts per key, so absent classes come from the list itself and not from a join
+        labels = [int(c) for c in labels]
+        known = F.when(F.col(y).isin(labels), F.lit(1)).otherwise(
+            F.raise_error(F.format_string("Class %s is not among the labels", F.col(y).cast("string"))).cast("int"))
+        counts = train.groupBy(*keys).agg(F.count(known).alias("_n"), *[F.count_if(F.col(y) == F.lit(c)).alias(f"_{i}") for i, c in enumerate(labels)])
+        cells = F.array(*[F.struct(F.lit(c).cast("bigint").alias("label"), F.col(f"_{i}").alias("count")) for i, c in enumerate(labels)])
+        g = counts.where("_n >= 0").select(*keys, F.explode(cells).alias("e")).select(*keys, "e.label", "e.count")
+    w = Window.partitionBy(*keys)
     tot, k = F.sum("count").over(w), F.count(F.lit(1)).over(w)
     return g.withColumn("weight", F.pow(tot / (k * F.greatest(F.col("count"), F.lit(1))), F.lit(float(power))))
 

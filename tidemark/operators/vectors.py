@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -99,6 +100,21 @@ def pca_by_key(df: DataFrame, keys: Sequence[str], vec: str = "x", k: int = 20)
     return rows.withColumn("z", score).drop("_w", "center", "axes", *[f"_k_{c}" for c in keys]), axes
 
 
+def top_label_projection(df: DataFrame, id_cols: Sequence[str], label_col: str, vec: str = "embedding", n_labels: int = 10,
+                         dims: int = 2) -> DataFrame:
+    """The first ``dims`` principal scores (``x0``, ``x1``, ...) of every vector that carries one of
+    the ``n_labels`` most frequent labels, with the label's ``label_rank`` and ``label_count``.
+
+    The axes come from all vectors, whatever their label.  Equally frequent labels rank by name;
+    null labels and null vectors get no point.  Only the label counts are ranked in one task."""
+    at = [F.col("z")[i].alias(f"x{i}") for i in range(dims)]
+    rows, _ = pca_by_key(df.select(*id_cols, label_col, vec).where(F.col(vec).isNotNull()).withColumn("_all", F.lit(0)), ["_all"], vec, dims)
+    ranked = (df.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("_label")).agg(F.count("*").alias("label_count"))
+              .orderBy(F.desc("label_count"), "_label").limit(int(n_labels)))
+    ranked = ranked.withColumn("label_rank", F.row_number().over(Window.orderBy(F.desc("label_count"), "_label")).cast("bigint"))
+    return rows.join(F.broadcast(ranked), F.col(label_col) == F.col("_label")).select(*id_cols, label_col, "label_rank", "label_count", *at)  # at most n_labels rows
+
+
 def separation_metric(long_df: DataFrame, id_col: str, label_col: str, dim: str = "dim",
                       value: str = "value") -> DataFrame:
     """T7 (re-aimed): per label, mean cosine of members to their own centroid and
@@ -135,6 +151,16 @@ def _written(spark, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def read_vectors(spark, path: str, width: int, vec: str = "embedding") -> DataFrame:
+    """S3: a stored vector table whose vectors all have ``width`` positions.
+
+    A null vector is a text without an embedding and stays.  Any other width raises when the
+    row is read, also where only the vector column is used."""
+    n = F.size(vec)
+    wrong = F.raise_error(F.format_string("Vector of %d positions where the table should hold %d", n, F.lit(int(width))))
+    return spark.read.parquet(path).withColumn(vec, F.when(F.col(vec).isNotNull() & (n != int(width)), wrong).otherwise(F.col(vec)))
+
+
 def cached_parquet(df: DataFrame, base_dir: str, params: dict) -> DataFrame:
     """Reuse a materialised result stored under a fingerprint of all columns of its
     input and of every parameter (Q22 fixed); otherwise write it, then read it back."""

@@ -261,6 +261,19 @@ def a24_class_weights(spark, sf_dir):
     return round_doubles(cm.class_weights(train, "y_true", power=2.0))
 
 
+@register("f22_error_class_weights", with_views(rounded("""
+WITH t AS (SELECT y_pred AS part, y_true AS label, count(*) AS count FROM v_pred WHERE model = 'signal' AND y_true <> y_pred GROUP BY 1, 2),
+spine AS (SELECT DISTINCT t.part, v.label FROM t, (VALUES (0), (1), (2)) v(label)),
+f AS (SELECT spine.part, spine.label, coalesce(t.count, 0) AS count FROM spine LEFT JOIN t USING (part, label))
+SELECT CAST(part AS BIGINT) AS predicted, CAST(label AS BIGINT) AS label, count,
+       sum(count) OVER (PARTITION BY part) / (3 * greatest(count, 1)) AS weight FROM f""", ["weight"]), "v_pred"))
+def f22_error_class_weights(spark, sf_dir):
+    """Weights of the true classes among one model's errors, per predicted class: the predicted class
+    itself never occurs there, so every table has a class without rows."""
+    wrong = T.predictions(spark, sf_dir).filter((F.col("model") == "signal") & (F.col("y_true") != F.col("y_pred")))
+    return round_doubles(cm.class_weights(wrong.withColumnRenamed("y_pred", "predicted"), "y_true", labels=CLASSES, keys=["predicted"]))
+
+
 def _calib_sql() -> str:
     parts = []
     for c in CLASSES:

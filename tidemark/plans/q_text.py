@@ -192,6 +192,12 @@ def t7_embedding_separation(spark, sf_dir):
     return round_doubles(vectors.separation_metric(long, "article_id", "topic"))
 
 
+@register("t7_top_label_projection")
+def t7_top_label_projection(spark, sf_dir):
+    """No SQL twin (eigenvectors); coordinates, ranks and the label cut are tested against NumPy."""
+    return round_doubles(vectors.top_label_projection(T.embedded_news(spark, sf_dir), ["article_id"], "topic"))
+
+
 @register("t6_pca_reduce")
 def t6_pca_reduce(spark, sf_dir):
     """No SQL twin: eigenvectors are defined up to sign; invariants are tested."""

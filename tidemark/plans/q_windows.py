@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.timecal import week_label
-from tidemark.operators import decay, split, windows
+from tidemark.operators import decay, eda, split, windows
 from tidemark.plans.common import round_doubles
 from tidemark.plans.ingest import master_table
 from tidemark.plans.oracle_views import rounded, with_views
@@ -69,6 +69,27 @@ def w5_rolling_std(spark, sf_dir):
                          .select("series_id", "ts", "spot_std_24", "spot_std_168"))
 
 
+@register("r1_spread_volatility", with_views(rounded("""
+SELECT series_id, ts,
+       stddev_samp(real_spread_abs) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS spread_std_24,
+       stddev_samp(real_spread_abs) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS spread_std_168
+FROM v_master_h WHERE real_spread_abs IS NOT NULL""", ["spread_std_24", "spread_std_168"]), "v_master_h"))
+def r1_spread_volatility(spark, sf_dir):
+    """R1, the volatility panel: rolling deviation of the spread over a day and a week of rows that have one."""
+    m = master_table(T.energy_hourly(spark, sf_dir)).select("series_id", "ts", "real_spread_abs").where("real_spread_abs is not null")
+    return round_doubles(windows.rolling_std(m, "real_spread_abs", [24, 168], ["series_id"], ["ts"]).select(
+        "series_id", "ts", F.col("real_spread_abs_std_24").alias("spread_std_24"), F.col("real_spread_abs_std_168").alias("spread_std_168")))
+
+
+@register("r1_spread_by_weekday", with_views(rounded("""
+SELECT CAST(day_of_week AS BIGINT) AS day_of_week, avg(real_spread_abs) AS mean_spread FROM v_master_h GROUP BY 1""",
+    ["mean_spread"]), "v_master_h"))
+def r1_spread_by_weekday(spark, sf_dir):
+    """R1, the weekday panel: mean spread by day of the week (0 = Monday)."""
+    m = master_table(T.energy_hourly(spark, sf_dir))
+    return round_doubles(eda.mean_by(m, F.col("day_of_week").cast("bigint").alias("day_of_week"), "real_spread_abs", "mean_spread"))
+
+
 @register("a9_weekly_mean", with_views(rounded(f"""
 WITH g AS (SELECT series_id, {_wk('ts')} AS week, avg(spot) AS spot, avg(load) AS load
            FROM v_energy_d GROUP BY 1, 2),
