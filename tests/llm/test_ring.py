@@ -2,6 +2,9 @@ import random
 import zlib
 from collections import Counter
 
+import xxhash
+from pyspark.sql import functions as F
+
 from tests.conftest import SF_SMALL
 from tests.llm import cases
 from tidemark.llm import bounded_ring as br
@@ -52,3 +55,36 @@ def test_a_full_shard_passes_keys_on_clockwise():
 
 def test_a_new_shard_leaves_the_other_nodes_in_place():
     assert [x for x in br.ring(17) if x[1] < 16] == br.ring(16)
+
+
+def test_documents_go_where_a_plain_walk_puts_them(spark):
+    """Brute force: byte by byte round the ring, every byte to the first virtual node with room."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 7919 % 61).cast("int")).alias("text"))
+    got = {r["doc_id"]: r["shard"] for r in br.assign(br.describe(docs), shards=5, vnodes=3).collect()}
+    cells: dict[int, list[tuple[int, int]]] = {}
+    for i in range(400):
+        key = xxhash.xxh64(str(i).encode(), seed=xxhash.xxh64(b"ring", seed=42).intdigest()).intdigest()
+        cells.setdefault(key >> (64 - br.CELL_BITS), []).append((i, i * 7919 % 61 + 1))
+    total = sum(size for rows in cells.values() for _, size in rows)
+    nodes, capacity = br.ring(5, 3), -(-int(total * (1 + br.EPSILON)) // 5) + 1
+    load, want = Counter(), {}
+    for cell in sorted(cells):
+        clockwise = [n for n in nodes if n[0] >= cell] + [n for n in nodes if n[0] < cell]
+        for doc, size in sorted(cells[cell]):
+            for byte in range(size):
+                shard = next(s for _, s in clockwise if load[s] < capacity)
+                load[shard] += 1
+                if byte == size // 2:
+                    want[doc] = shard
+    assert got == want
+
+
+def test_a_hot_id_is_spread_over_the_salts(spark):
+    """Most rows share one id: every row gets its own slot, whatever the number of salts."""
+    docs = spark.range(500).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).cast("bigint").alias("doc_id"),
+                                   F.col("id").cast("string").alias("text"))
+    rows = br.assign(br.describe(docs), shards=4, rows_per_salt=1 / br.CELLS).collect()
+    assert len(rows) == 500 and len({(r["shard"], r["slot"]) for r in rows}) == 500
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))

@@ -12,8 +12,11 @@ everything: they are summed in Spark, and the walk round the ring needs only tho
 shard; a document goes by the middle of its bytes in its cell (running sums over one cell
 and salt), so a shard exceeds its capacity by half a document at most.
 
-Null text: no bytes, CRC of the empty text.  Null doc_id: hashed like any value.  Repeated
-rows get slots of their own.  An empty table gives an empty result."""
+Null text: no bytes, CRC of the empty text.  Null doc_id: one key, like any value.  The salt
+takes in checksum and size, so a repeated or null id is spread by its texts.  Repeated rows get
+slots of their own; rows that tie in all three columns are interchangeable.  Texts of any length
+count whole.  Only the two named columns are read, so others may have any name.  An empty
+table gives an empty result."""
 
 from __future__ import annotations
 
@@ -71,15 +74,16 @@ def turns(loads: dict[int, int], shards: int, epsilon: float = EPSILON, vnodes:
     return out
 
 
-def assign(rows: DataFrame, shards: int = SHARDS, epsilon: float = EPSILON, vnodes: int = VNODES) -> DataFrame:
+def assign(rows: DataFrame, shards: int = SHARDS, epsilon: float = EPSILON, vnodes: int = VNODES,
+           rows_per_salt: float = 20_000) -> DataFrame:
     """Add (shard, slot) to a table with doc_id, size (at least 1) and text_crc32."""
     spark = rows.sparkSession
     key = F.xxhash64(F.lit("ring"), F.col("doc_id").cast("string"))
     total = rows.count()
     # enough salts per cell that a window partition stays small at any input size
-    salts = max(1, round(total / CELLS / 20_000))
+    salts = max(1, round(total / CELLS / rows_per_salt))
     placed = rows.select("*", F.shiftrightunsigned(key, 64 - CELL_BITS).cast("int").alias("rg_cell"),
-                         F.pmod(key, F.lit(salts)).cast("int").alias("rg_salt"))
+                         F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(salts)).cast("int").alias("rg_salt"))
     sums = materialize(placed.groupBy("rg_cell", "rg_salt").agg(F.sum("size").alias("rg_sum")))
     loads = {r[0]: r[1] for r in sums.groupBy("rg_cell").agg(F.sum("rg_sum")).collect()}  # at most CELLS rows
     plan = spark.createDataFrame(turns(loads, shards, epsilon, vnodes), "rg_c int, shard int, rg_from bigint, rg_to bigint")
