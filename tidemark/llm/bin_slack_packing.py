@@ -9,8 +9,9 @@ feasible combination for the rest of the bin; the combination is removed as ofte
 counts allow.  The plan gives runs of pieces per length; Spark ranks the pieces of each
 length and joins them to their run.
 
-Null text counts as empty (only the end id).  Repeated rows are packed once per row.  An
-empty table gives an empty result.
+Null text counts as empty (only the end id).  Repeated rows are packed once per row; ties in
+id and piece are ranked by checksum.  Texts of any length are cut into pieces whole.  Only the
+two named columns are read, so others may have any name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -174,8 +175,8 @@ def pack(parts: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     spark = parts.sparkSession
     rows = parts.count()
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    tagged = parts.withColumn("pk_bucket", F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece") if c in parts.columns]),
-                                                  F.lit(buckets)).cast("int"))
+    salt = [c for c in ("doc_id", "piece", "ids_crc32") if c in parts.columns]  # the checksum spreads a repeated or null id
+    tagged = parts.withColumn("pk_bucket", F.pmod(F.xxhash64(*salt), F.lit(buckets)).cast("int"))
     per = tagged.groupBy("length", "pk_bucket").agg(F.count("*").alias("pk_n"))
     # at most max_len rows, whatever the input: the whole plan rests on them
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("pk_n").alias("n")).collect()}
@@ -184,10 +185,9 @@ def pack(parts: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
                                        "pk_bin bigint, pk_offset bigint")
     before = Window.partitionBy("length").orderBy("pk_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("length", "pk_bucket", F.coalesce(F.sum("pk_n").over(before), F.lit(0)).alias("pk_base"))
-    order = [c for c in ("doc_id", "piece") if c in parts.columns]
     ranked = (tagged.join(base, ["length", "pk_bucket"])
               .withColumn("pk_rank", F.col("pk_base") - 1 + F.row_number().over(
-                  Window.partitionBy("length", "pk_bucket").orderBy(*order))))
+                  Window.partitionBy("length", "pk_bucket").orderBy(*salt))))
     within = F.col("pk_rank") - F.col("pk_from")
     # the runs are a function of the histogram (max_len rows), so the broadcast is bounded
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("pk_length")) & (F.col("pk_rank") >= F.col("pk_from"))
