@@ -6,8 +6,10 @@ canonical text is hash-joined to the digests of known licences and notices, so a
 wrapping, punctuation or spelling of the same words matches, and nothing else does.  Single
 lines are looked up the same way, for notices inside longer texts.
 
-Null text: no licence, no notice.  Texts and lines without a word never match.  Repeated rows
-give equal rows; an empty table gives an empty result."""
+Null text: no licence, no notice.  Texts and lines without a word never match.  Texts that share a digest are
+one text, so nothing ties.  Texts are read whole, whatever their length.  Only the named columns
+are read, so others may have any name.  Repeated rows give equal rows; an empty table gives an
+empty result."""
 
 from __future__ import annotations
 

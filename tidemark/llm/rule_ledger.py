@@ -9,7 +9,9 @@ is DataFrame functions; nothing is shuffled but the grouped bits.
 The words of a text are its runs of characters other than space and U+0009 to U+000D.  Null
 and empty texts have no words: all measurements are 0, and the rules that need a word pass.
 Repeated rows give equal rows; an empty table gives an empty ledger.  Three-word windows are
-compared by 64-bit hashes of their words."""
+compared by 64-bit hashes of their words.  Texts are measured whole, whatever their length; no
+measurement depends on an order, so nothing ties.  Only the named columns are read, so others
+may have any name."""
 
 from __future__ import annotations
 

@@ -12,8 +12,10 @@ whether all chunks of the text agreed.  Ids, counts and decoded text are those o
 tokenizers model throughout.
 ``roundtrip`` says whether decoding gives the normalised text back.
 
-Null and empty texts have no ids (parity and roundtrip true).  Repeated rows give equal
-rows; an empty table gives an empty result."""
+Null and empty texts have no ids (parity and roundtrip true).  Texts are encoded whole; where
+the model has no chunks, a text is encoded in one call.  Ties between segmentations are the
+tokenizers library's to break.  Only the named columns are read, so others may have any name.
+Repeated rows give equal rows; an empty table gives an empty result."""
 
 from __future__ import annotations
 

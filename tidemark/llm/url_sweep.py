@@ -12,8 +12,9 @@ longer host on a tie) decides.
 The salt is a hash of the page id, so one URL or host may fill many ranges.  The range
 borders are quantiles of a bounded sample and only steer the balance.
 
-Null url or no ``://``: empty host and path, no rule, the default verdict.  Repeated rows
-give equal rows; an empty table gives an empty result."""
+Null url or no ``://``: empty host and path, no rule, the default verdict.  URLs are taken
+whole, whatever their length.  Only the named columns are read, so others may have any name.
+Repeated rows give equal rows; an empty table gives an empty result."""
 
 from __future__ import annotations
 

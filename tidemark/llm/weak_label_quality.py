@@ -9,8 +9,9 @@
    with Spark ML, on at most about ``sample_docs`` documents chosen by a hash of the id.
 4. The scorer rates every document by its whole text; ``kept`` is score >= ``threshold``.
 
-A null text or one without words gets score 0 and is not kept.  Repeated rows give equal
-rows; an empty table gives an empty result."""
+A null text or one without words gets score 0 and is not kept.  A very long text is scored
+whole; a score that ties with the threshold is kept.  Only the named columns are read, so others
+may have any name.  Repeated rows give equal rows; an empty table gives an empty result."""
 
 from __future__ import annotations
 
