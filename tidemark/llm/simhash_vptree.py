@@ -12,7 +12,10 @@ connected components of the stars are those of the links.
 
 A null or empty text has no words: fingerprint zero, linked like any other.  A null doc_id
 keeps its row; component_id is the least non-null doc_id of the component (null if none).
-Repeated rows give equal rows.  An empty table gives an empty result."""
+A text is hashed
+whole, whatever its length; a bit that exactly half of the shingles set is 0.  Only the named
+columns are read, so others may have any name.  Repeated rows give equal rows.  An empty table
+gives an empty result."""
 
 from __future__ import annotations
 
@@ -30,6 +33,8 @@ from tidemark.llm.components import Forest, components
 
 SHINGLE = 4
 MAX_BITS = 4
+#: Copies of the name of a large group, so that its rows meet it in many tasks.
+SALTS = 32
 SEED = 42
 #: Distinct fingerprints the routing tree is fitted on (the least by hash), members aimed
 #: at per shard, and leaf size of a shard's own tree.
@@ -270,21 +275,33 @@ def hamming_links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, root, component_id) of every row of ``docs``; root names the component."""
+    """(doc_id, fp, root, component_id) of every row of ``docs``; root names the component.
+
+    A component or a fingerprint may hold a third of all rows.  The names of linked components
+    are handed out in ``SALTS`` copies, and so are those of fingerprints that hold more than a
+    thousandth of the rows, of which there are fewer than a thousand at any input size."""
     rows = materialize(fingerprints(docs, shingle, id_col, text_col))
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(hamming_links(classes, max_bits))
-    rooted = (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    linked = rooted.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(every))
+    named = (linked.join(least, ["root", "salt"]).select("fp", "root", "component_id")
+             .unionByName(rooted.where("root is null").select("fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"))))
+    total = rows.count()
+    hot = F.col("fp").isin([r["fp"] for r in classes.where(F.col("n") * 1000 > total).select("fp").collect()])
+    one = F.array(F.lit(0).cast("bigint"))
+    named = named.withColumn("salt", F.explode(F.when(hot, every).otherwise(one)))
+    # any copy will do, so rows without an id are dealt out too
+    dealt = rows.withColumn("salt", F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("bigint"))
+    return dealt.join(named, ["fp", "salt"]).select("doc_id", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """One row of each component, all columns: the one with the least doc_id.  Of rows that
-    share it, or of a component without any doc_id, any one row stays."""
+    share it, or of a component without any doc_id, the one whose columns hash least stays."""
     found = materialize(near_duplicates(docs, shingle, max_bits, id_col, text_col))
     first = found.where("doc_id = component_id")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -301,8 +318,10 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     shared = docs.join(odd_ids, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
     component = found.select(F.col("fp").alias(name), F.col("root").alias(name + "root"),
                              F.col("component_id").alias(name + "first")).distinct()
+    whole = [F.col(f"`{c}`") for c in docs.columns]
     rest = (with_fingerprint(shared, name, shingle, text_col).join(component, name)
-            .where(F.col(id_col).eqNullSafe(F.col(name + "first"))).dropDuplicates([name + "root"]).select(docs.columns))
+            .where(F.col(id_col).eqNullSafe(F.col(name + "first"))).groupBy(name + "root")
+            .agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias(name)).select(f"{name}.*"))
     return plain.unionByName(rest)
 
 
