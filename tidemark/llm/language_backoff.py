@@ -36,13 +36,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import (
-    INTERNER_BYTES, INTERNER_LIMIT, Interner, claim, map_arrow, raw_texts, slices, table)
+    INTERNER_BYTES, Interner, claim, map_arrow, raw_texts, slices, table)
 
 DOCS_PER_LANG = 2_000
 MAX_LANGS = 1_000
 ORDER = 4
 SMOOTHING = 0.5
 SAMPLE_STEPS = 1 << 30
+#: Entries of each of a worker's two memos (chunks and words): an entry takes some 200 bytes beside its key.
+MEMO_ENTRIES = 250_000
 UNDETERMINED = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -127,7 +129,7 @@ class Memo(Interner):
         return todo, len(self) - len(todo)
 
     def full(self) -> bool:
-        return len(self) > INTERNER_LIMIT or self.nbytes > INTERNER_BYTES
+        return len(self) > MEMO_ENTRIES or self.nbytes > INTERNER_BYTES
 
 
 class Scorer:
