@@ -130,46 +130,58 @@ def _mulmod32(x: Column, c: int) -> Column:
     return (x * F.lit(lo) + part_hi).bitwiseAND(F.lit(_M32))
 
 
+def _fmix_steps(src: str, prefix: str) -> list[tuple[str, Column]]:
+    """The finalizer as one column per step, the last of which holds the mixed number."""
+    steps = []
+    for i, step in enumerate(("x16", "m1", "x13", "m2", "x16")):
+        c = F.col(src)
+        if step.startswith("x"):
+            expr = c.bitwiseXOR(F.shiftright(c, int(step[1:])))
+        else:
+            expr = _mulmod32(c, _C1 if step == "m1" else _C2)
+        src = f"{prefix}{i}"
+        steps.append((src, expr))
+    return steps
+
+
+def _key_steps(key: str) -> list[tuple[str, Column]]:
+    k = F.col(key).cast("bigint")
+    folded = k.bitwiseAND(F.lit(_M32)).bitwiseXOR(F.shiftright(k, 32).bitwiseAND(F.lit(_M32)))
+    return [("_mk", folded), *_fmix_steps("_mk", "_mk")]
+
+
+def _draw_steps(mixed: str, seed: int, rep: str) -> list[tuple[str, Column]]:
+    r = _mulmod32(F.col(rep).cast("bigint").bitwiseAND(F.lit(_M32)), _GOLD)
+    start = (F.col(mixed) + r + F.lit(int(seed) & _M32)).bitwiseAND(F.lit(_M32))
+    return [("_md", start), *_fmix_steps("_md", "_md")]
+
+
+def _with_steps(df, steps: list[tuple[str, Column]], out: str, last: Column):
+    for name, expr in steps:
+        df = df.withColumn(name, expr)
+    return df.withColumn(out, last).drop(*[name for name, _ in steps])
+
+
 def with_mix_uniform(df, out: str, seed: int, rep: str, key: str):
     """Add ``out`` = deterministic U[0,1) from (seed, replicate, key), integer ops only.
 
     Each mixing step is its own column: a step reads its input twice, and as one
     nested expression the tree would double per step."""
-    steps = []
+    steps = _key_steps(key)
+    steps = steps + _draw_steps(steps[-1][0], seed, rep)
+    return _with_steps(df, steps, out, F.col(steps[-1][0]).cast("double") / F.lit(4294967296.0))
 
-    def col(name):
-        return F.col(name)
 
-    k = F.col(key).cast("bigint")
-    steps.append(("_mx0", k.bitwiseAND(F.lit(_M32)).bitwiseXOR(F.shiftright(k, 32).bitwiseAND(F.lit(_M32)))))
-    n = 0
-
-    def fmix(src: str) -> str:
-        nonlocal n
-        names = []
-        for expr in ("x16", "m1", "x13", "m2", "x16b"):
-            n += 1
-            names.append(f"_mx{n}")
-            prev = src if len(names) == 1 else names[-2]
-            c = col(prev)
-            if expr.startswith("x"):
-                sh = 13 if expr == "x13" else 16
-                steps.append((names[-1], c.bitwiseXOR(F.shiftright(c, sh))))
-            else:
-                steps.append((names[-1], _mulmod32(c, _C1 if expr == "m1" else _C2)))
-        return names[-1]
-
-    a = fmix("_mx0")
-    n += 1
-    mixed = f"_mx{n}"
-    r = _mulmod32(F.col(rep).cast("bigint").bitwiseAND(F.lit(_M32)), _GOLD)
-    steps.append((mixed, (col(a) + r + F.lit(int(seed) & _M32)).bitwiseAND(F.lit(_M32))))
-    b = fmix(mixed)
-    out_df = df
-    for name, expr in steps:
-        out_df = out_df.withColumn(name, expr)
-    out_df = out_df.withColumn(out, F.col(b).cast("double") / F.lit(4294967296.0))
-    return out_df.drop(*[name for name, _ in steps])
+def with_mixed_key(df, out: str, key: str):
+    """The part of ``with_mix_uniform`` that depends on the key alone, for keys drawn for many replicates."""
+    steps = _key_steps(key)
+    return _with_steps(df, steps, out, F.col(steps[-1][0]))
+
+
+def with_mixed_uniform(df, out: str, seed: int, rep: str, mixed: str):
+    """``with_mix_uniform`` from a column of ``with_mixed_key``."""
+    steps = _draw_steps(mixed, seed, rep)
+    return _with_steps(df, steps, out, F.col(steps[-1][0]).cast("double") / F.lit(4294967296.0))
 
 
 def _mulmod32_sql(x: str, c: int) -> str:

@@ -1,21 +1,27 @@
 """Paired model comparison.
 
 McNemar: four conditional counts from one pass over the paired predictions.
-Bootstrap: Poisson bootstrap on cells.  Rows that agree in the true class and in every model's
-prediction form one cell; the sum of the Poisson(1) weights of a cell's n rows is one Poisson(n)
-draw, so a replicate needs one draw per cell and the job's size does not depend on the rows.
-Draws are exact (``poisson_draws``) and come from an integer hash of (seed, replicate, cell, try),
-so every executor draws the same weights without coordination; all models share the resamples
-(as the reference, which reseeds identically for each model).
+Bootstrap: Poisson bootstrap.  Replicate r gives every row the weight
+Poisson(1)^-1(u(seed, r, key)) with ``u`` an integer hash of the key (codegen-friendly), so every
+executor draws the same weights without coordination and the job is reproducible; all models share
+the resamples (as the reference, which reseeds identically for each model).  The key's part of the
+hash is computed once per row; rows are dealt evenly over the tasks, exploded to their replicates
+inside the map stage and partially aggregated there, so the last shuffle carries one row per
+replicate (and cell) per task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import (
-    POISSON_SMALL, POISSON_TRIES, chi2_1_sf, poisson1_quantile, poisson_try_sql, with_mix_uniform)
+    POISSON_SMALL, POISSON_TRIES, chi2_1_sf, poisson1_quantile, poisson_try_sql, with_mix_uniform, with_mixed_key,
+    with_mixed_uniform)
+from tidemark.session import cut_lineage
 
 
 def paired_predictions(pred: DataFrame, model_a: str = "signal", model_b: str = "baseline",
@@ -64,18 +70,28 @@ def poisson_draws(cells: DataFrame, n_boot: int, seed: int = 42, cell: str = "ce
     return g.select("rep", "cell", F.coalesce("_s", "_l._l", F.lit(0)).alias("w"))
 
 
+def replicate_weights(df: DataFrame, n_boot: int, seed: int, key: str, cols) -> DataFrame:
+    """(rep, w, cols): every row once per replicate with its Poisson(1) weight.  Rows that share a
+    key share their weights; a null key counts as key 0."""
+    reps = F.explode(F.sequence(F.lit(0), F.lit(int(n_boot) - 1))).alias("rep")
+    # a small file is one task otherwise, and every row is n_boot rows of work
+    x = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("_key"), *cols).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    x = with_mixed_key(x, "_mixed", "_key").drop("_key")
+    x = with_mixed_uniform(x.select("*", reps), "_u", seed, "rep", "_mixed")
+    return x.withColumn("w", poisson1_quantile(F.col("_u"))).drop("_u", "_mixed")
+
+
 def bootstrap_accuracy(paired: DataFrame, n_boot: int = 1000, seed: int = 42, confidence: float = 0.95,
                        key: str = "row_id") -> DataFrame:
     """Per model, mean and percentile interval of bootstrap accuracy.
 
     Replicates with zero total weight are skipped (NaN scores in the reference)."""
     alpha = (1 - confidence) / 2
-    hit = [(F.col(p) == F.col("y_true")).cast("bigint") for p in ("pred_a", "pred_b")]
-    # four cells: hit or missed by either model; a null prediction is a miss
-    cells = paired.groupBy((F.coalesce(hit[0], F.lit(0)) * 2 + F.coalesce(hit[1], F.lit(0))).alias("cell")).agg(F.count("*").alias("n"))
-    x = poisson_draws(cells, n_boot, seed)
-    ca, cb = F.floor(F.col("cell") / 2), F.col("cell") % 2
-    r = x.groupBy("rep").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * ca).alias("sa"), F.sum(F.col("w") * cb).alias("sb"))
+    # a null prediction is a miss
+    hit = [F.coalesce((F.col(p) == F.col("y_true")).cast("bigint"), F.lit(0)).alias(c) for p, c in (("pred_a", "ca"), ("pred_b", "cb"))]
+    x = replicate_weights(paired, n_boot, seed, key, hit)
+    r = x.groupBy("rep").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("ca")).alias("sa"),
+                             F.sum(F.col("w") * F.col("cb")).alias("sb"))
     r = r.filter(F.col("sw") > 0)
     long = r.select("rep", F.explode(F.array(
         F.struct(F.lit("a").alias("side"), (F.col("sa") / F.col("sw")).alias("score")),
@@ -106,21 +122,22 @@ def bootstrap_confusion_metric(pred: DataFrame, metric: str = "macro_f1", n_boot
                                user_metric=None) -> DataFrame:
     """A20/U1 generalised: bootstrap interval of a confusion-matrix metric.
 
-    Weights are Poisson draws per joint cell (``poisson_draws``), shared by all models.  Each
-    replicate's input is a k x k matrix per model whatever the data size; ``metric`` is 'macro_f1' or
+    Replicate weights are the same hash-seeded Poisson draws as ``bootstrap_accuracy`` (shared by
+    all models).  Rows are reduced to weighted (replicate, y_true, y_pred) cells in the map stage, so
+    each replicate's input is a k x k matrix per model whatever the data size; ``metric`` is 'macro_f1' or
     'accuracy' (SQL aggregates), or ``user_metric(cells: pandas.DataFrame) -> float``
     applied per replicate with ``applyInPandas`` on those bounded cells."""
     import pandas as pd
     keys = list(keys)
     alpha = (1 - confidence) / 2
-    # rows that agree in the true class and in all models' predictions: classes^(models + 1) cells
-    whole = pred.groupBy(key, "y_true").agg(F.array_sort(F.collect_list(F.struct(*keys, "y_pred"))).alias("preds"))
-    number = F.aggregate("preds", F.col("y_true").cast("bigint") * 31 + F.size("preds"),
-                         lambda acc, p: acc * 1009 + F.coalesce(p["y_pred"], F.lit(-1)).cast("bigint"))
-    joint = whole.groupBy("y_true", "preds").agg(F.count("*").alias("n")).withColumn("cell", number)
-    x = poisson_draws(joint.select("cell", "n"), n_boot, seed).filter(F.col("w") > 0)
-    x = x.join(joint.select("cell", "y_true", F.explode("preds").alias("p")), "cell")
-    cells = x.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], "rep", "y_true", F.col("p.y_pred").alias("y_pred")).agg(F.sum("w").alias("w"))
+    # the cells of the matrices by number: sums per (replicate, number) take a sixth of the time of sums per (names, classes)
+    names = [*keys, "y_true", "y_pred"]
+    kinds = cut_lineage(pred.select(*names).distinct().withColumn("_cell", F.monotonically_increasing_id()))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])
+    numbered = pred.select(key, *names).join(F.broadcast(kinds.select("_cell", *[F.col(c).alias(f"_of_{c}") for c in names])), same)
+    x = replicate_weights(numbered, n_boot, seed, key, ["_cell"])
+    cells = x.groupBy("rep", "_cell").agg(F.sum("w").alias("w")).filter(F.col("w") > 0)
+    cells = cells.join(F.broadcast(kinds), "_cell").select(*keys, "rep", "y_true", "y_pred", "w")
     if user_metric is not None:
         def per_rep(pdf: pd.DataFrame) -> pd.DataFrame:
             row = {k: pdf.iloc[0][k] for k in [*keys, "rep"]}
