@@ -1,6 +1,9 @@
 """M9: neighbours within a class against brute force; interpolated rows."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.operators import neighbours as nb
@@ -52,6 +55,52 @@ def test_oversample_fills_every_class(spark):
         nb.oversample(spark.createDataFrame(rows[:41], SCHEMA))
 
 
+def peak_mb(work) -> float:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 2 ** 20
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("spots", [1, 8192])
+def test_a_block_needs_little_memory(spots):
+    """A full block with copies, all at one distance or all different: a bounded piece of distances at a time."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(spots, 64))[np.arange(8192) % spots]
+    members = pd.DataFrame({"vector": list(x), "ids": [np.arange(6) + 6 * i for i in range(8192)]})
+    assert peak_mb(lambda: nb._nearest(np.arange(2048), x[:2048] + 1, members, 5)) < 160
+
+
+def test_visits_need_little_memory():
+    """A full batch of one class in which every row asks every cell: one row out per row in."""
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"label": "a", "vector": list(rng.normal(size=(10_000, 64))), "uid": np.arange(10_000), "home": 0, "bound": 50.0, "mine": 0})
+    pivots, cells = {"a": rng.normal(size=(64, 64))}, {"a": (np.arange(64), np.full(64, 9.0), np.full(64, 100))}
+    sizes = []
+    assert peak_mb(lambda: sizes.extend(len(g) for g in nb._visits(iter([rows]), pivots, cells, 5))) < 60
+    assert sum(sizes) == 10_000 and max(sizes) <= 1000
+    assert all(len(c) == 64 for g in nb._visits(iter([rows[:300]]), pivots, cells, 5) for c in g["cells"])
+
+
+def test_rows_at_one_distance_are_cut_into_blocks(spark, monkeypatch):
+    """Vectors that all lie equally far from their pivot do not gather in one block."""
+    monkeypatch.setattr(nb, "BLOCK", 20)
+    monkeypatch.setattr(nb, "PIVOTS", 1)
+    seen, ranged = [], nb.ranged
+
+    def watched(*args, **kwargs):
+        seen.append(ranged(*args, **kwargs))
+        return seen[-1]
+
+    monkeypatch.setattr(nb, "ranged", watched)
+    rows = [(i, [float(j == i) for j in range(200)], "a", 1) for i in range(200)]  # all 2 ** 0.5 apart
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in nb.class_neighbours(spark.createDataFrame(rows, SCHEMA), 3).collect()}
+    assert got == {key: want[1] for key, want in brute(rows, 3).items()}
+    assert max(r["count"] for r in seen[0].groupBy("label", "cell", "block").count().collect()) < 100
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert nb.class_neighbours(empty).count() == 0 and nb.oversample(empty).count() == 0

@@ -6,6 +6,7 @@ pairs.  Equal vectors collapse first (with their k + 1 least ids).  Rows go to t
 ``BLOCK`` rows.  A block gives each of its rows a first bound on the k-th distance; by the
 triangle inequality only blocks whose ring of distances meets that bound are visited.  How
 much that prunes depends on the data: spread-out vectors of many dimensions visit most blocks.
+A Python worker holds a block, its visitors and about ``PIECE`` distances, however many rows there are.
 
 Rows with a null class, id or vector, or a non-finite component, take no part; the vectors of
 a class have one length.  Ids are unique.  Ties in distance go to the lower id.  Fewer than
@@ -27,6 +28,7 @@ from tidemark.session import cut_lineage, ship_package
 
 PIVOTS = 64
 BLOCK = 4096
+PIECE = 1 << 20
 SAMPLES = 65_536
 MOST_CLASSES = 1000
 SLACK = 1 + 1e-9
@@ -36,7 +38,7 @@ NEIGHBOURS = 5  # fixed value: reference default
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of all rows of x and y, from differences: equal rows are exactly 0 apart."""
     out = np.empty((len(x), len(y)))
-    step = max(1, (1 << 21) // max(1, y.size))
+    step = max(1, PIECE // max(1, y.size))
     for a in range(0, len(x), step):
         d = x[a:a + step, None, :] - y[None, :, :]
         out[a:a + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
@@ -48,9 +50,9 @@ def _nearest(uids: np.ndarray, x: np.ndarray, members: pd.DataFrame, k: int) ->
     y, ids = np.stack(members["vector"].to_list()), members["ids"].to_list()
     owner = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     every = np.concatenate(ids)
-    out = []
-    for a in range(0, len(x), 1024):
-        d = _distances(x[a:a + 1024], y)[:, owner]
+    out, step = [], max(1, PIECE // len(every))
+    for a in range(0, len(x), step):
+        d = _distances(x[a:a + step], y)[:, owner]
         keep = min(k + 1, len(every))
         edge = np.partition(d, keep - 1, axis=1)[:, keep - 1:keep]
         q, m = np.nonzero(d <= edge)
@@ -58,10 +60,31 @@ def _nearest(uids: np.ndarray, x: np.ndarray, members: pd.DataFrame, k: int) ->
         q, m = q[order], m[order]
         first = np.arange(len(q)) - np.searchsorted(q, q) <= k
         q, m = q[first], m[first]
-        out.append(pd.DataFrame({"uid": uids[a:a + 1024][q], "id": every[m], "distance": d[q, m]}))
+        out.append(pd.DataFrame({"uid": uids[a:a + step][q], "id": every[m], "distance": d[q, m]}))
     return pd.concat(out) if out else pd.DataFrame({"uid": [], "id": [], "distance": []})
 
 
+def _visits(batches: Iterator[pd.DataFrame], pivots: dict, cells: dict, k: int) -> Iterator[pd.DataFrame]:
+    """The rows with a bound on their k-th distance, the cells that may hold rows within it and the
+    distances to the pivots of those: a row goes out once, whatever the number of cells."""
+    for b in batches:
+        for label, whole in b.groupby("label"):
+            number, far, n = cells[label]
+            at_pivots = pivots[label][number]
+            step = max(1, PIECE // at_pivots.size)
+            for a in range(0, len(whole), step):
+                g = whole.iloc[a:a + step]
+                d = _distances(np.stack(g["vector"].to_list()), at_pivots)
+                reach = d + far  # every row of the cell lies within
+                order = np.argsort(reach, axis=1)
+                filled = np.cumsum(n[order], axis=1) > k
+                at = np.where(filled.any(axis=1), filled.argmax(axis=1), 0)
+                outer = np.take_along_axis(reach, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
+                bound = np.minimum(g["bound"].to_numpy(), np.where(filled.any(axis=1), outer, np.inf)) * SLACK + 1e-12
+                near = d - far <= bound[:, None]
+                yield g.assign(bound=bound, cells=[number[m] for m in near], ds=[x[m] for x, m in zip(d, near)])
+
+
 def class_neighbours(df: DataFrame, k: int = NEIGHBOURS, id_col: str = "row_id", vector_col: str = "vector",
                      class_col: str = "label") -> DataFrame:
     """(label, id, rank, neighbour, distance): the ``k`` nearest other rows of each row's class."""
@@ -91,7 +114,8 @@ def class_neighbours(df: DataFrame, k: int = NEIGHBOURS, id_col: str = "row_id",
     total, parts = reps.count(), 2 * df.sparkSession.sparkContext.defaultParallelism
     fields = "label string, vector array<double>, ids array<bigint>, uid bigint"
     placed = reps.mapInPandas(assign, f"{fields}, cell bigint, r double")
-    placed = ranged(placed, ["label", "cell", "r"], out="block", n=max(parts, total // BLOCK + 1))
+    # the uid last, so that rows at one distance from their pivot are cut too; rings may share a border
+    placed = ranged(placed, ["label", "cell", "r", "uid"], out="block", n=max(parts, total // BLOCK + 1))
     block = ["label", "cell", "block"]
     found = "uid bigint, id bigint, distance double"
     own = cut_lineage(placed.groupBy(*block).applyInPandas(
@@ -104,23 +128,11 @@ def class_neighbours(df: DataFrame, k: int = NEIGHBOURS, id_col: str = "row_id",
         cells.setdefault(r["label"], []).append((r["cell"], r["far"], r["n"]))
     cells = {c: tuple(np.array(v) for v in zip(*sorted(rows))) for c, rows in cells.items()}
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for label, g in b.groupby("label"):
-                number, far, n = cells[label]
-                d = _distances(np.stack(g["vector"].to_list()), pivots[label][number])
-                reach = d + far  # every row of the cell lies within
-                order = np.argsort(reach, axis=1)
-                filled = np.cumsum(n[order], axis=1) > k
-                at = np.where(filled.any(axis=1), filled.argmax(axis=1), 0)
-                outer = np.take_along_axis(reach, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
-                bound = np.minimum(g["bound"].to_numpy(), np.where(filled.any(axis=1), outer, np.inf)) * SLACK + 1e-12
-                q, m = np.nonzero(d - far <= bound[:, None])
-                yield pd.DataFrame({"label": label, "cell": number[m], "uid": g["uid"].to_numpy()[q], "home": g["block"].to_numpy()[q], "mine": g["mine"].to_numpy()[q],
-                                    "vector": [g["vector"].iloc[i] for i in q], "d": d[q, m], "bound": bound[q]})
-
-    asks = (placed.join(bounds, "uid").select("label", "vector", "uid", F.col("block").cast("bigint"), "bound", F.col("cell").alias("mine"))
-            .mapInPandas(visits, "label string, cell bigint, uid bigint, home bigint, mine bigint, vector array<double>, d double, bound double"))
+    fields = "label string, vector array<double>, uid bigint, home bigint, bound double, mine bigint"
+    asks = (placed.join(bounds, "uid").select("label", "vector", "uid", F.col("block").cast("bigint").alias("home"), "bound", F.col("cell").alias("mine"))
+            .mapInPandas(lambda batches: _visits(batches, pivots, cells, k), f"{fields}, cells array<bigint>, ds array<double>"))
+    asks = asks.select("label", "vector", "uid", "home", "bound", "mine", F.explode(F.arrays_zip("cells", "ds")).alias("_at"))
+    asks = asks.withColumn("cell", F.col("_at.cells")).withColumn("d", F.col("_at.ds")).drop("_at")
     asks = asks.join(rings, ["label", "cell"]).where(
         (F.col("lo") - F.col("bound") <= F.col("d")) & (F.col("d") <= F.col("hi") + F.col("bound"))
         & ~((F.col("cell") == F.col("mine")) & (F.col("block") == F.col("home"))))
